@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from skysieve.checks import pixels, signal  # noqa: F401
+from skysieve.checks import clusters, pixels, signal  # noqa: F401
 from skysieve.checks.registry import ORACLES, QUERIES  # noqa: F401

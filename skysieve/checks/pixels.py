@@ -39,32 +39,32 @@ def _(p):
     return rounded(nz.strip_noise(strips).drop("power"), "noise_std", 3)
 
 
-@query("a2_beam_noise", "fx_pixels vx_noise", """
+@query("a2_beam_noise", "fx_pixels", """
     SELECT iter, beam_id, ROUND(AVG(noise), 5) AS beam_noise, MEDIAN(noise) AS beam_median
-    FROM vx_noise GROUP BY 1, 2""")
-def _(p, _n):
+    FROM vx_noise GROUP BY 1, 2""", "vx_noise")
+def _(p):
     return rounded(nz.beam_noise(nz.channel_noise(p)), "beam_noise")
 
 
-@query("a2_overall_noise", "fx_pixels vx_noise", "SELECT iter, MEDIAN(noise) AS mean_noise FROM vx_noise GROUP BY 1")
-def _(p, _n):
+@query("a2_overall_noise", "fx_pixels", "SELECT iter, MEDIAN(noise) AS mean_noise FROM vx_noise GROUP BY 1", "vx_noise")
+def _(p):
     return nz.overall_noise(nz.channel_noise(p))
 
 
-@query("w1_rolling_noise", "fx_pixels vx_noise", f"""
+@query("w1_rolling_noise", "fx_pixels", f"""
     SELECT iter, beam_id, channel_sample, channel_noise, ROUND(channel_noise_std, 3) AS channel_noise_std
-    FROM ({_ROLL})""")
-def _(p, _n):
+    FROM ({_ROLL})""", "vx_noise")
+def _(p):
     return rounded(rolled(p), "channel_noise_std", 3).select(
         "iter", "beam_id", "channel_sample", "channel_noise", "channel_noise_std")
 
 
-@query("k11_noise_summary", "fx_pixels vx_noise", f"""
+@query("k11_noise_summary", "fx_pixels", f"""
     WITH o AS ({_ROLL})
     SELECT iter, beam_id, MEDIAN(channel_noise) AS noise_beam,
            (SELECT MEDIAN(channel_noise) FROM o WHERE iter = 5) AS noise_mean
-    FROM o WHERE iter = 5 GROUP BY 1, 2""")
-def _(p, _n):
+    FROM o WHERE iter = 5 GROUP BY 1, 2""", "vx_noise")
+def _(p):
     return nz.observation_noise_summary(rolled(p), 5)
 
 
@@ -82,13 +82,13 @@ def _(p):
 @query("w2_moving_channel_average", "fx_pixels", """
     WITH c AS (SELECT iter, beam_id, channel_sample, CAST(FLOOR(time_idx / 32) AS BIGINT) AS chunk, AVG(power) AS m,
                       STDDEV_POP(power) AS s FROM fx_pixels GROUP BY 1, 2, 3, 4)
-    SELECT iter, beam_id, channel_sample, chunk, ROUND(AVG(m) OVER w, 4) AS avg_mean, ROUND(AVG(s) OVER w, 4) AS avg_std
+    SELECT iter, beam_id, channel_sample, chunk, ROUND(AVG(m) OVER w, 6) AS avg_mean, ROUND(AVG(s) OVER w, 6) AS avg_std
     FROM c WINDOW w AS (PARTITION BY iter, beam_id, channel_sample ORDER BY chunk
                         ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def _(p):
     keys = ["iter", "beam_id", "channel_sample"]
     out = nz.moving_chunk_average(nz.chunk_statistics(p, keys), keys)
-    return rounded(out.drop("mean", "std"), "avg_mean avg_std", 4)
+    return rounded(out.drop("mean", "std"), "avg_mean avg_std", 6)
 
 
 @query("w3_chunked_threshold", "fx_pixels", """
@@ -116,38 +116,38 @@ def _(v):
     return v.select("ant", "sample", r(power(), 4).alias("power"))
 
 
-@query("p3_subtract_noise", "fx_pixels vx_noise", f"""
+@query("p3_subtract_noise", "fx_pixels", f"""
     SELECT p.iter, p.beam_id, p.channel_sample, p.time_idx, p.power - o.channel_noise AS power
     FROM fx_pixels p JOIN ({_ROLL}) o ON p.iter = o.iter AND p.beam_id = o.beam_id
-     AND p.channel_sample = o.channel_sample""")
-def _(p, _n):
+     AND p.channel_sample = o.channel_sample""", "vx_noise")
+def _(p):
     return nz.subtract_noise(p, rolled(p))
 
 
-@query("p4_sparse_pixels", "fx_pixels vx_noise", """
+@query("p4_sparse_pixels", "fx_pixels", """
     SELECT p.iter, p.beam_id, COUNT(*) AS n, SUM(p.power - n.noise) AS power
     FROM fx_pixels p JOIN vx_noise n ON p.iter = n.iter AND p.beam_id = n.beam_id
-     AND p.channel_sample = n.channel_sample WHERE p.power - n.noise > 0 GROUP BY 1, 2""")
-def _(p, _n):
+     AND p.channel_sample = n.channel_sample WHERE p.power - n.noise > 0 GROUP BY 1, 2""", "vx_noise")
+def _(p):
     out = nz.sparse(nz.subtract_noise(p, nz.channel_noise(p), column="noise"))
     return out.groupBy("iter", "beam_id").agg(F.count("*").alias("n"), F.sum("power").alias("power"))
 
 
-@query("p5_sigma_clip", "fx_pixels vx_noise", f"""
+@query("p5_sigma_clip", "fx_pixels", f"""
     SELECT p.iter, p.beam_id, p.channel_sample, p.time_idx, p.power
     FROM fx_pixels p JOIN ({_ROLL}) o ON p.iter = o.iter AND p.beam_id = o.beam_id
      AND p.channel_sample = o.channel_sample
-    WHERE p.power > 3 * o.channel_noise_std + o.channel_noise""")
-def _(p, _n):
+    WHERE p.power > 3 * o.channel_noise_std + o.channel_noise""", "vx_noise")
+def _(p):
     return dn.background(p, rolled(p), 3.0, None)
 
 
-@query("p6_background_filter", "fx_pixels vx_noise", f"""
+@query("p6_background_filter", "fx_pixels", f"""
     SELECT p.iter, p.beam_id, p.channel_sample, p.time_idx,
            CASE WHEN p.power <= 2 * o.channel_noise_std + o.channel_noise THEN -50 ELSE p.power END AS power
     FROM fx_pixels p JOIN ({_ROLL}) o ON p.iter = o.iter AND p.beam_id = o.beam_id
-     AND p.channel_sample = o.channel_sample""")
-def _(p, _n):
+     AND p.channel_sample = o.channel_sample""", "vx_noise")
+def _(p):
     return dn.background(p, rolled(p), 2.0, -50.0)
 
 
@@ -205,7 +205,7 @@ def _(p):
     return dn.triangle_gate(p)
 
 
-@query("p8_triangle_fallback", "fx_pixels vx_noise", _TRIANGLE + f""",
+@query("p8_triangle_fallback", "fx_pixels", _TRIANGLE + f""",
     kept AS (SELECT p.* FROM fx_pixels p JOIN thr ON p.iter = thr.iter AND p.beam_id = thr.beam_id
              WHERE power >= threshold),
     l AS (SELECT iter, COUNT(*) AS n FROM kept WHERE power > 0 GROUP BY 1),
@@ -213,8 +213,8 @@ def _(p):
     SELECT k.iter, k.beam_id, k.channel_sample, k.time_idx, k.power
     FROM kept k JOIN l ON k.iter = l.iter JOIN o ON k.iter = o.iter AND k.beam_id = o.beam_id
      AND k.channel_sample = o.channel_sample
-    WHERE l.n <= 150 OR k.power > 3 * o.channel_noise_std + o.channel_noise""")
-def _(p, _n):
+    WHERE l.n <= 150 OR k.power > 3 * o.channel_noise_std + o.channel_noise""", "vx_noise")
+def _(p):
     """The overload limit is set low enough for some blocks to exceed it."""
     return dn.triangle_with_fallback(p, rolled(p), 150)
 
@@ -406,7 +406,7 @@ def _(p):
     return dn.rfi_peaks(p, 2.0)
 
 
-@query("p11_rfi_persistent", "fx_pixels vx_noise", """
+@query("p11_rfi_persistent", "fx_pixels", """
     WITH n AS (SELECT iter, beam_id, AVG(noise) AS bn FROM vx_noise GROUP BY 1, 2),
     s AS (SELECT p.iter, p.beam_id, channel_sample, SUM(power) AS s, COUNT(*) FILTER (power > bn) AS k
           FROM fx_pixels p JOIN n ON p.iter = n.iter AND p.beam_id = n.beam_id GROUP BY 1, 2, 3),
@@ -414,8 +414,8 @@ def _(p):
     b AS (SELECT s.iter, s.beam_id, channel_sample, bn FROM s JOIN t ON s.iter = t.iter AND s.beam_id = t.beam_id
           JOIN n ON n.iter = s.iter AND n.beam_id = s.beam_id WHERE s > t AND k > 0.6 * 20)
     SELECT p.iter, p.beam_id, p.channel_sample, p.time_idx, ROUND(COALESCE(bn, power), 4) AS power
-    FROM fx_pixels p LEFT JOIN b ON p.iter = b.iter AND p.beam_id = b.beam_id AND p.channel_sample = b.channel_sample""")
-def _(p, _n):
+    FROM fx_pixels p LEFT JOIN b ON p.iter = b.iter AND p.beam_id = b.beam_id AND p.channel_sample = b.channel_sample""", "vx_noise")
+def _(p):
     bn = nz.beam_noise(nz.channel_noise(p))
     return rounded(dn.rfi_persistent(p, bn, 20, 1.0), "power", 4)
 
@@ -524,13 +524,13 @@ def _(p):
     return csv_lines(ev.roll_up(s, ["score"]), [("snr", "%d"), ("name", "%s"), ("score_mean", "%.6f")])
 
 
-@query("e2_filter_chain", "fx_pixels vx_noise", _TRIANGLE + """,
+@query("e2_filter_chain", "fx_pixels", _TRIANGLE + """,
     k AS (SELECT p.* FROM fx_pixels p JOIN thr ON p.iter = thr.iter AND p.beam_id = thr.beam_id WHERE power >= threshold)
     SELECT DISTINCT p.iter, p.beam_id, p.channel_sample, p.time_idx, p.power
     FROM (SELECT *, UNNEST([-1, 0, 1]) AS dc FROM k) p JOIN k q
       ON q.iter = p.iter AND q.beam_id = p.beam_id AND q.channel_sample = p.channel_sample + dc
-     AND q.time_idx BETWEEN p.time_idx - 1 AND p.time_idx + 1 AND NOT (dc = 0 AND q.time_idx = p.time_idx)""")
-def _(p, _n):
+     AND q.time_idx BETWEEN p.time_idx - 1 AND p.time_idx + 1 AND NOT (dc = 0 AND q.time_idx = p.time_idx)""", "vx_noise")
+def _(p):
     """The enabled filter list, triangle then pepper, by name."""
     return dn.denoise(p, rolled(p), NC, NT)
 

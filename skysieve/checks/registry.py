@@ -83,15 +83,20 @@ def oracle(body: str, views: list[str]) -> str:
     """SQL text with the used views as common table expressions."""
     ctes = [f"{n} AS ({VIEWS[n].strip()})" for n in _closure(views)]
     body = body.strip()
-    recursive = "RECURSIVE " if body.upper().startswith("WITH RECURSIVE") else ""
+    plain_with = body.upper().startswith("WITH RECURSIVE")
+    used = _closure(views)
+    recursive = "RECURSIVE " if plain_with or any("RECURSIVE" in VIEWS[n] for n in used) else ""
     if body.upper().startswith("WITH"):
-        body = body[len("WITH RECURSIVE") if recursive else len("WITH"):]
+        body = body[len("WITH RECURSIVE") if plain_with else len("WITH"):]
         return f"WITH {recursive}{', '.join(ctes + [body.strip()])}" if ctes else f"WITH {recursive}{body}"
     return f"WITH {', '.join(ctes)} {body}" if ctes else body
 
 
-def query(name: str, views: str = "", sql: str | None = None):
-    """Register ``fn(*views as DataFrames)``; ``views`` lists tables and views by name."""
+def query(name: str, views: str = "", sql: str | None = None, sql_views: str = ""):
+    """Register ``fn(*views as DataFrames)``; ``views`` lists tables and views by name.
+
+    ``sql_views`` are needed by the SQL twin only.
+    """
     names = views.split()
 
     def wrap(fn):
@@ -103,7 +108,7 @@ def query(name: str, views: str = "", sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = oracle(sql, names)
+            ORACLES[name] = oracle(sql, names + sql_views.split())
         return fn
 
     return wrap

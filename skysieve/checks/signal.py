@@ -240,13 +240,13 @@ def _(v):
     return p.select(co.baseline_index("ant1", "ant2", 8).alias("baseline"), "ant1", "ant2")
 
 
-@query("j3_apply_gains", "fx_voltages vx_vis vx_gains", """
+@query("j3_apply_gains", "fx_voltages vx_gains", """
     SELECT v.t_idx, v.baseline,
       ROUND(v.re * (a.re * b.re + a.im * b.im) - v.im * (a.im * b.re - a.re * b.im), 3) AS re,
       ROUND(v.re * (a.im * b.re - a.re * b.im) + v.im * (a.re * b.re + a.im * b.im), 3) AS im
     FROM vx_vis v JOIN vx_gains a ON a.ant = v.ant1 AND a.calib_id = v.t_idx
-    JOIN vx_gains b ON b.ant = v.ant2 AND b.calib_id = v.t_idx""")
-def _(v, _vis, g):
+    JOIN vx_gains b ON b.ant = v.ant2 AND b.calib_id = v.t_idx""", "vx_vis")
+def _(v, g):
     """A gain set per snapshot: calibration number = snapshot number."""
     out = co.apply_gains(visibilities(v), g.withColumnRenamed("calib_id", "t_idx"), ["t_idx"])
     return rounded(out, "re im", 3).select("t_idx", "baseline", "re", "im")
@@ -268,7 +268,7 @@ def _(g, w):
     return out
 
 
-@query("a18_transit_peak", "fx_voltages vx_vis", """
+@query("a18_transit_peak", "fx_voltages", """
     WITH a AS (SELECT baseline, t_idx, SQRT(re * re + im * im) AS amp FROM vx_vis),
     e AS (SELECT baseline, MIN(t_idx) AS lo, MAX(t_idx) AS hi FROM a WHERE amp > 0 GROUP BY 1),
     s AS (SELECT a.baseline, AVG(amp) AS m, STDDEV_POP(amp) AS sd, MIN(t_idx) AS lo
@@ -276,19 +276,19 @@ def _(g, w):
     c AS (SELECT a.baseline, t_idx - lo AS pos, CASE WHEN ABS(amp - m) < 2 * sd THEN amp ELSE m END AS v
           FROM a JOIN s ON a.baseline = s.baseline),
     k AS (SELECT baseline, pos, ROW_NUMBER() OVER (PARTITION BY baseline ORDER BY v DESC, pos) AS rn FROM c)
-    SELECT CAST(baseline AS INT) AS baseline, CAST(pos AS BIGINT) AS peak FROM k WHERE rn = 1""")
-def _(v, _vis):
+    SELECT CAST(baseline AS INT) AS baseline, CAST(pos AS BIGINT) AS peak FROM k WHERE rn = 1""", "vx_vis")
+def _(v):
     return co.transit_peaks(visibilities(v))
 
 
-@query("a18_transit_mean", "fx_voltages vx_vis", """
+@query("a18_transit_mean", "fx_voltages", """
     WITH a AS (SELECT baseline, t_idx, SQRT(re * re + im * im) AS amp FROM vx_vis),
     s AS (SELECT baseline, AVG(amp) AS m, STDDEV_POP(amp) AS sd, MIN(t_idx) AS lo FROM a GROUP BY 1),
     c AS (SELECT a.baseline, t_idx - lo AS pos, CASE WHEN ABS(amp - m) < 2 * sd THEN amp ELSE m END AS v
           FROM a JOIN s ON a.baseline = s.baseline),
     k AS (SELECT baseline, pos, ROW_NUMBER() OVER (PARTITION BY baseline ORDER BY v DESC, pos) AS rn FROM c)
-    SELECT CAST(FLOOR(AVG(pos)) AS BIGINT) AS vis_peak FROM k WHERE rn = 1""")
-def _(v, _vis):
+    SELECT CAST(FLOOR(AVG(pos)) AS BIGINT) AS vis_peak FROM k WHERE rn = 1""", "vx_vis")
+def _(v):
     return co.transit_peak(visibilities(v))
 
 
@@ -317,20 +317,20 @@ def _(g):
         "calib_id", "ant", "amplitude", "amplitude_db", "phase", "antenna_id", "d_amplitude", "d_phase")
 
 
-@query("a26_gain_amplitudes", "fx_voltages vx_vis", """
+@query("a26_gain_amplitudes", "fx_voltages", """
     WITH e AS (SELECT t_idx, ant1 AS ant, LN(1 + ABS(re)) / 40 AS v FROM vx_vis
                UNION ALL SELECT t_idx, ant2, LN(1 + ABS(re)) / 40 FROM vx_vis),
     s AS (SELECT t_idx, ant, SUM(v) AS s FROM e GROUP BY 1, 2),
     x AS (SELECT t_idx, ant, POWER(10, (s - SUM(s) OVER (PARTITION BY t_idx) / 2 / 7) / 6) AS g FROM s),
     o AS (SELECT *, AVG(g) OVER (PARTITION BY t_idx) AS m, STDDEV_POP(g) OVER (PARTITION BY t_idx) AS sd FROM x)
-    SELECT t_idx, ant, ROUND(CASE WHEN ABS(g - m) > 2 * sd THEN 1 ELSE g END, 6) AS gain FROM o""")
-def _(v, _vis):
+    SELECT t_idx, ant, ROUND(CASE WHEN ABS(g - m) > 2 * sd THEN 1 ELSE g END, 6) AS gain FROM o""", "vx_vis")
+def _(v):
     """Pair powers are compressed to (1 + |re|)^(1/40) first, to keep 10^x within doubles."""
     vis = visibilities(v).withColumn("re", F.exp(F.log(1 + F.abs("re")) / 40))
     return rounded(cal.solve_gain_amplitudes(vis, 8), "gain", 6)
 
 
-@query("a26_reference_phases", "fx_voltages vx_vis", """
+@query("a26_reference_phases", "fx_voltages", """
     WITH t AS (SELECT t_idx, re AS tr, im AS ti FROM (
                  SELECT *, ROW_NUMBER() OVER (PARTITION BY t_idx ORDER BY re DESC, im DESC) AS rn FROM vx_vis)
                WHERE rn = 1),
@@ -342,8 +342,8 @@ def _(v, _vis):
             - (AVG(re) OVER w) * (AVG(re) OVER w) - (AVG(im) OVER w) * (AVG(im) OVER w)) AS sd
           FROM q WINDOW w AS (PARTITION BY t_idx))
     SELECT t_idx, ant, ROUND(CASE WHEN m - 2 * sd > re OR m + 2 * sd < re THEN 1 ELSE re END, 5) AS re,
-           ROUND(CASE WHEN m - 2 * sd > re OR m + 2 * sd < re THEN 0 ELSE im END, 5) AS im FROM o""")
-def _(v, _vis):
+           ROUND(CASE WHEN m - 2 * sd > re OR m + 2 * sd < re THEN 0 ELSE im END, 5) AS im FROM o""", "vx_vis")
+def _(v):
     return rounded(cal.solve_reference_phases(visibilities(v)), "re im")
 
 
@@ -353,16 +353,16 @@ def _(v):
     return rounded(cal.solve_gains(visibilities(v), 8), "re im")
 
 
-@query("s12_visibility_scan", "fx_voltages vx_vis", """
-    SELECT t_idx, baseline, ROUND(re, 4) AS re, ROUND(im, 4) AS im FROM vx_vis WHERE baseline < 7""")
-def _(v, _vis):
+@query("s12_visibility_scan", "fx_voltages", """
+    SELECT t_idx, baseline, ROUND(re, 4) AS re, ROUND(im, 4) AS im FROM vx_vis WHERE baseline < 7""", "vx_vis")
+def _(v):
     return rounded(visibilities(v), "re im", 4).where("baseline < 7").select("t_idx", "baseline", "re", "im")
 
 
-@query("c20_fringes", "fx_voltages vx_vis", """
+@query("c20_fringes", "fx_voltages", """
     SELECT baseline, t_idx, ROUND(SQRT(re * re + im * im), 4) AS amplitude,
-           ROUND(DEGREES(ATAN2(im, re)), 5) AS phase FROM vx_vis""")
-def _(v, _vis):
+           ROUND(DEGREES(ATAN2(im, re)), 5) AS phase FROM vx_vis""", "vx_vis")
+def _(v):
     return visibilities(v).select("baseline", "t_idx", r(cplx.cabs("re", "im"), 4).alias("amplitude"),
                                   r(F.degrees(cplx.carg("re", "im"))).alias("phase"))
 
@@ -380,10 +380,10 @@ def _(g):
 
 
 @query("k13_gain_text", "vx_gains", """
-    SELECT 'raw' AS stage, calib_id, ant, printf('%.16e%+.16ej', re, im) AS line FROM vx_gains""")
+    SELECT 'raw' AS stage, calib_id, ant, printf('%.12e%+.12ej', re, im) AS line FROM vx_gains""")
 def _(g):
     from skysieve.sinks.tables import gain_lines
-    return gain_lines(g, "raw", ["calib_id"])
+    return gain_lines(g, "raw", ["calib_id"], 12)
 
 
 @query("s15_gain_text_scan", "vx_gains", """

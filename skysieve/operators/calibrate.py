@@ -200,17 +200,14 @@ def match_calibrator(pointings: DataFrame, sources: DataFrame, tolerance: float
         F.col("_s").isNull().alias("failed"))
 
 
-# Name fragments of observations and the calibrator each stands for.
-SOURCE_FRAGMENTS = (("cas", "Cassiopeia A"), ("tau", "Taurus A"), ("vir", "Virgo A"), ("cyg", "Cygnus A"))
+# Source keys looked for in observation names, in order.
+SOURCE_KEYS = ("cas", "cyg", "tau", "vir")
 
 
-def source_of(name, fragments=SOURCE_FRAGMENTS) -> Column:
-    """Calibrator named in an observation name; null when none is."""
-    out = None
-    for fragment, label in fragments:
-        hit = F.lower(F.col(name)).contains(fragment)
-        out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
-    return out
+def source_of(name, source_keys=SOURCE_KEYS) -> Column:
+    """Key of the calibrator named in an observation name; null when none is."""
+    text = F.lower(F.col(name) if isinstance(name, str) else name)
+    return F.coalesce(*[F.when(text.contains(k), F.lit(k)) for k in source_keys])
 
 
 def calibrator_windows(requests: DataFrame, transits: DataFrame, before_s: int, after_s: int,

@@ -32,7 +32,7 @@ def over_tiles(pixels: DataFrame, kernel: Callable, halo: int, n_channels: int,
             F.greatest(F.lit(0), F.floor((c - halo) / tile)).cast("int"),
             F.least(F.lit(last), F.floor((c + halo) / tile)).cast("int"))))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = key[-1] * tile
         lo, hi = max(0, own - halo), min(n_channels, own + tile + halo)
         ch, t = pdf["channel_sample"].to_numpy(), pdf["time_idx"].to_numpy()

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from skysieve.operators.sequences import rolling
 
@@ -41,7 +41,8 @@ def channel_noise(pixels: DataFrame, keys: Sequence[str] = PIXEL_KEYS) -> DataFr
 
 def strip_noise(strips: DataFrame) -> DataFrame:
     """The same for dense rows that hold a whole channel of a block as array: no shuffle."""
-    schema = strips.schema.add("noise", "double").add("noise_std", "double")
+    schema = T.StructType([*strips.schema.fields, T.StructField("noise", T.DoubleType()),
+                           T.StructField("noise_std", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

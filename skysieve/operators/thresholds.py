@@ -133,29 +133,48 @@ def minimum(pixels: DataFrame, n_bins: int = 1024, keys: Sequence[str] = IMAGE)
     rows = h.groupBy(*keys).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"),
                                 F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("_h"))
     rows = rows.select(*keys, "lo", "hi", F.col("_h.n").alias("h"))
+    # few bytes but much arithmetic per row: spread over all cores whatever the data size
+    rows = rows.repartition(pixels.sparkSession.sparkContext.defaultParallelism * 2, *keys)
 
     @F.pandas_udf("int")
     def valley(h: pd.Series) -> pd.Series:
-        return h.map(_valley).astype("Int32")
+        return pd.Series(_valleys(np.stack(h.to_numpy()).astype(float))).astype("Int32")
 
     rows = rows.withColumn("bin", valley("h")).where("bin IS NOT NULL")
     return rows.select(*keys, _centre(n_bins).alias("threshold"))
 
 
-def _valley(counts, max_rounds: int = 10000):
-    x = np.asarray(counts, dtype=float)
+def _valleys(x: np.ndarray, max_rounds: int = 10000) -> list[int | None]:
+    """Lowest bin between two peaks for a batch of histograms (rows)."""
+    result: list[int | None] = [None] * len(x)
+    open_rows = np.arange(len(x))
     for _ in range(max_rounds):
-        pad = np.concatenate([x[:1], x, x[-1:]])
-        x = (pad[:-2] + pad[1:-1] + pad[2:]) / 3
-        step = np.sign(np.diff(x))
-        moves = np.flatnonzero(step)
-        signs = np.concatenate([[1.0], step[moves]])
-        peaks = moves[(signs[:-1] > 0) & (signs[1:] < 0)]
-        if len(peaks) < 3:
+        if not len(open_rows):
             break
-    if len(peaks) != 2:
-        return None
-    return int(peaks[0] + np.argmin(x[peaks[0]: peaks[1] + 1]))
+        pad = np.concatenate([x[:, :1], x, x[:, -1:]], axis=1)
+        x = (pad[:, :-2] + pad[:, 1:-1] + pad[:, 2:]) / 3
+        step = np.diff(x, axis=1)
+        if (step != 0).all():
+            peak = step < 0
+            peak[:, 1:] &= step[:, :-1] > 0
+        else:
+            peak = _peaks_with_plateaus(step)
+        count = peak.sum(axis=1)
+        done = count < 3
+        for i in np.flatnonzero(done & (count == 2)):
+            a, b = np.flatnonzero(peak[i])
+            result[open_rows[i]] = int(a + np.argmin(x[i, a: b + 1]))
+        x, open_rows = x[~done], open_rows[~done]
+    return result
+
+
+def _peaks_with_plateaus(step: np.ndarray) -> np.ndarray:
+    """Bins left downwards that were reached upwards, level stretches skipped."""
+    columns = np.arange(step.shape[1])
+    last = np.maximum.accumulate(np.where(step != 0, columns, -1), axis=1)
+    before = np.concatenate([np.full((len(step), 1), -1), last[:, :-1]], axis=1)
+    came = np.where(before < 0, 1.0, np.take_along_axis(step, np.maximum(before, 0), axis=1))
+    return (step < 0) & (came > 0)
 
 
 def mean_sigma(pixels: DataFrame, n_sigma: float = 3.0, keys: Sequence[str] = IMAGE) -> DataFrame:

@@ -4,21 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from skysieve.operators.beamform import power
 
-
-def gain_lines(gains: DataFrame, stage: str, keys: Sequence[str] = ()) -> DataFrame:
+def gain_lines(gains: DataFrame, stage: str, keys: Sequence[str] = (), digits: int = 16) -> DataFrame:
     """Gains as complex text, one line per antenna, labelled with the solution stage."""
-    line = F.concat(_sci("re", False), _sci("im", True), F.lit("j"))
+    line = F.format_string(f"%.{digits}e%+.{digits}ej", F.col("re"), F.col("im"))
     return gains.select(F.lit(stage).alias("stage"), *keys, "ant", line.alias("line"))
 
 
-def _sci(name: str, signed: bool) -> Column:
-    return F.format_string("%+.16e" if signed else "%.16e", F.col(name))
-
-
 def csv_lines(df: DataFrame, columns: Sequence[tuple[str, str]], null: str = "NULL") -> DataFrame:
     """Rows as CSV text with a fixed printf format per column and a marker for nulls."""
     parts = [F.coalesce(F.when(F.col(c).isNotNull(), F.format_string(f, F.col(c))), F.lit(null))
