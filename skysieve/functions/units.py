@@ -50,7 +50,7 @@ def global_sample(iter_, time_idx, block_len: int = 160) -> Column:
 def sample_micros(t0_micros, time_idx, sampling_time_s: float) -> Column:
     """Time of a sample in whole microseconds; the step is cut to whole nanoseconds first."""
     step_ns = int(sampling_time_s * 1e9)
-    return _c(t0_micros) + F.floor(_c(time_idx) * F.lit(step_ns) / F.lit(1000)).cast("bigint")
+    return _c(t0_micros) + F.floor(_c(time_idx).cast("bigint") * F.lit(step_ns) / F.lit(1000)).cast("bigint")
 
 
 def pixel_slope_to_rate(slope, sampling_time_s: float, channel_hz: float) -> Column:

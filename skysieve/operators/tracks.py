@@ -201,9 +201,11 @@ class Fold:
     """
 
     def __init__(self, dt: float, dy: float, gradient=GRADIENT, max_cv: float = 0.1, linearity: float = 0.99,
-                 expiry_s: float = 3.0, tracks: dict | None = None, counter: int = 0):
+                 expiry_s: float = 3.0, merge_missing: float = 1.0, valid_missing: float = 0.25,
+                 tracks: dict | None = None, counter: int = 0):
         self.dt, self.dy, self.gradient, self.max_cv = dt, dy, gradient, max_cv
         self.linearity, self.expiry = linearity, expiry_s
+        self.merge_missing, self.valid_missing = merge_missing, valid_missing
         self.tracks, self.counter = dict(tracks or {}), counter
 
     def _line(self, p):
@@ -233,7 +235,7 @@ class Fold:
         slope, _, r = self._line(p)
         n, a = len(p), min(abs(r), 1.0) if r == r else 0.0
         sure = n >= 5 or (n == 4 and 1 - a <= 0.01) or (n == 3 and 1 - 2 * math.asin(a) / math.pi <= 0.01)
-        return self._missing(p) <= 1 and r <= -0.99 and sure and self._in_window(slope)
+        return self._missing(p) <= self.merge_missing and r <= -0.99 and sure and self._in_window(slope)
 
     def _is_parent(self, track, cluster):
         a, b = self._best(track), self._best(cluster)
@@ -268,7 +270,7 @@ class Fold:
             return True
         slope, _, r = self._line(p)
         return (len(np.unique(p[:, 1])) >= 5 and len(np.unique(p[:, 0])) >= 5 and abs(r) >= self.linearity
-                and self._in_window(slope) and self._missing(p) <= 0.25)
+                and self._in_window(slope) and self._missing(p) <= self.valid_missing)
 
 
 def fold_blocks(fold: Fold, pdf: pd.DataFrame, block_len: int) -> Iterator[tuple]:
