@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from skysieve.checks import clusters, pixels, signal, survey, tracks  # noqa: F401
-from skysieve.checks.registry import ORACLES, QUERIES  # noqa: F401
+from skysieve.checks import clusters, flows, pixels, signal, survey, tracks  # noqa: F401
+from skysieve.checks.registry import QUERIES, oracles  # noqa: F401

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_TWINS: dict[str, tuple[str, list[str]]] = {}
 
 # Views over the given tables; every statement runs unchanged in Spark SQL and in DuckDB.
 VIEWS = {
@@ -92,6 +92,11 @@ def oracle(body: str, views: list[str]) -> str:
     return f"WITH {', '.join(ctes)} {body}" if ctes else body
 
 
+def oracles() -> dict[str, str]:
+    """SQL twin of every query that has one, built once all views are known."""
+    return {name: oracle(sql, views) for name, (sql, views) in _TWINS.items()}
+
+
 def query(name: str, views: str = "", sql: str | None = None, sql_views: str = ""):
     """Register ``fn(*views as DataFrames)``; ``views`` lists tables and views by name.
 
@@ -108,7 +113,7 @@ def query(name: str, views: str = "", sql: str | None = None, sql_views: str = "
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = oracle(sql, names + sql_views.split())
+            _TWINS[name] = (sql, names + sql_views.split())
         return fn
 
     return wrap

@@ -11,12 +11,12 @@ from skysieve.operators import calibrate as cal, channelise as ch, correlate as
 from skysieve.operators import schedule as sc
 from skysieve.sources import files, tables
 
-NOW = 874000000  # epoch seconds inside the order dates
+NOW = 64210147200  # inside the order dates, on a calendar of 31-day months
 
 add_view("vx_sched", """
-    SELECT obs_id, station, CAST(FLOOR(DATEDIFF(DAY, DATE '1970-01-01', CAST(start_ts AS DATE))) AS BIGINT) * 86400
+    SELECT obs_id, station, CAST((EXTRACT(YEAR FROM start_ts) * 12 + EXTRACT(MONTH FROM start_ts)) * 31 + EXTRACT(DAY FROM start_ts) AS BIGINT) * 86400
              + obs_id % 86400 AS start_s,
-           CASE WHEN obs_id % 97 = 0 THEN NULL ELSE CAST(FLOOR(DATEDIFF(DAY, DATE '1970-01-01', CAST(start_ts AS DATE))) AS BIGINT) * 86400
+           CASE WHEN obs_id % 97 = 0 THEN NULL ELSE CAST((EXTRACT(YEAR FROM start_ts) * 12 + EXTRACT(MONTH FROM start_ts)) * 31 + EXTRACT(DAY FROM start_ts) AS BIGINT) * 86400
              + obs_id % 86400 + 3600 * (1 + obs_id % 48) END AS end_s,
            CASE status WHEN 'F' THEN 'finished' WHEN 'O' THEN 'pending' ELSE 'running' END AS status,
            CAST(obs_id % 90 AS DOUBLE) AS declination FROM fx_blocks""", ["fx_blocks"])

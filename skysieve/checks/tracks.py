@@ -277,7 +277,7 @@ def _(p):
 @query("c13_detections", "fx_streaks", """
     WITH b AS (SELECT iter, beam_id, AVG(power) AS bn FROM fx_streaks GROUP BY 1, 2)
     SELECT p.iter, p.beam_id, p.channel_sample, p.time_idx, p.iter * 160 + p.time_idx AS time_sample,
-           1700000000000000 + p.iter * 15339168 + CAST(FLOOR(p.time_idx * 95869805 / 1000) AS BIGINT) AS time_us,
+           1700000000000000 + p.iter * 15339168 + CAST(FLOOR(CAST(p.time_idx AS BIGINT) * 95869805 / 1000) AS BIGINT) AS time_us,
            ROUND(410.0 + channel_sample * 0.00001043e0, 8) AS channel, ROUND(10 * LOG10(power / bn), 5) AS snr
     FROM fx_streaks p JOIN b ON p.iter = b.iter AND p.beam_id = b.beam_id WHERE power >= 4000""")
 def _(p):

@@ -64,8 +64,8 @@ def unpack(packets: DataFrame, column: str = "packet") -> DataFrame:
 
 def payload_samples(packets: DataFrame, n_signals: int, iq: str = "iq") -> DataFrame:
     """I/Q pairs of a payload (time, antenna, re/im) as one row per sample and antenna."""
-    keys = [c for c in packets.columns if c != iq]
-    pairs = packets.select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size(iq) / 2).cast("int") - 1), lambda k: F.struct(
+    keys = [c for c in packets.columns if c not in (iq, "start_antenna")]
+    pairs = packets.select(*keys, "start_antenna", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size(iq) / 2).cast("int") - 1), lambda k: F.struct(
         F.get(F.col(iq), 2 * k).cast("double").alias("re"), F.get(F.col(iq), 2 * k + 1).cast("double").alias("im")))).alias("_p", "_v"))
     return pairs.select(*keys, F.floor(F.col("_p") / n_signals).alias("sample"),
                         (F.col("_p") % n_signals + F.col("start_antenna")).cast("int").alias("ant"), "_v.re", "_v.im")

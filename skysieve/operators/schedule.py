@@ -34,8 +34,8 @@ def conflicts(new: DataFrame, scheduled: DataFrame, keys: Sequence[str] = (), bu
     earlier.  ``new(keys, new_id, start_s, end_s)``, ``scheduled(keys, obs_id, start_s, end_s)``.
 
     Bounded intervals are listed once per day they touch and meet by equality; a pair is
-    reported only in the first day both touch.  An open interval meets everything that starts
-    later by comparing day summaries of the station, so open ends never multiply rows by days.
+    reported only in the first day both touch.  Open ends are not spread over days: such a row
+    meets the rows of its own keys by start time alone, and every such pair is a result.
     """
     keys = list(keys)
     a = new.select(*keys, "new_id", F.col("start_s").alias("a0"), F.col("end_s").alias("a1"))
