@@ -33,8 +33,7 @@ def _raw(v, path_name="raw"):
     spark = v.sparkSession
     path = scratch_path(spark, path_name)
     sinks.raw_voltages(frames(v), path)
-    return spark.read.format("voltage_raw").option("path", path).option("nants", 8).option("blocksamples", BLOCK).option(
-        "splitbytes", 4096).load()
+    return spark.read.format("voltage_raw").option("path", path).option("nants", 8).option("blocksamples", BLOCK).load()
 
 
 def _long(f):

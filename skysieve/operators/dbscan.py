@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from skysieve.functions import regression as rg
 from skysieve.operators.graph import connected_components, local_components
+from skysieve.session import cut, spread
 
 IMAGE = ("iter", "beam_id")
 
@@ -29,7 +30,7 @@ def dbscan(pixels: DataFrame, n_channels: int, n_times: int, eps: int = 5, min_p
     keys = list(keys)
     halo, last = 2 * eps, (n_channels - 1) // tile
     c = F.col("channel_sample")
-    spread = pixels.select(*keys, "channel_sample", "time_idx", "power").withColumn(
+    copies = pixels.select(*keys, "channel_sample", "time_idx", "power").withColumn(
         "_tile", F.explode(F.sequence(
             F.greatest(F.lit(0), F.floor((c - halo) / tile)).cast("int"),
             F.least(F.lit(last), F.floor((c + halo) / tile)).cast("int"))))
@@ -75,14 +76,12 @@ def dbscan(pixels: DataFrame, n_channels: int, n_times: int, eps: int = 5, min_p
         T.StructField("channel_sample", T.IntegerType()), T.StructField("time_idx", T.IntegerType()),
         T.StructField("power", T.DoubleType()), T.StructField("rep", T.LongType()),
         T.StructField("core", T.BooleanType()), T.StructField("own", T.BooleanType())])
-    parts = spread.groupBy(*keys, "_tile").applyInPandas(run, schema)
+    parts = spread(copies, *keys, "_tile").groupBy(*keys, "_tile").applyInPandas(run, schema)
     cell = [*keys, "channel_sample", "time_idx"]
     if last == 0:
         return parts.where("own").groupBy(*cell).agg(
             F.first("power").alias("power"), F.min("rep").alias("cluster_id"), F.first("core").alias("core"))
 
-    from skysieve.session import cut
-
     parts = cut(parts)
     ties = (
         parts.where("core").groupBy(*cell).agg(F.min("rep").alias("src"), F.max("rep").alias("dst"))

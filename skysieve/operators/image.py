@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from skysieve.session import spread
+
 IMAGE = ("iter", "beam_id")
 
 
@@ -27,7 +29,7 @@ def over_tiles(pixels: DataFrame, kernel: Callable, halo: int, n_channels: int,
     keys = list(keys)
     last = (n_channels - 1) // tile
     c = F.col("channel_sample")
-    spread = pixels.select(*keys, "channel_sample", "time_idx", "power").withColumn(
+    copies = pixels.select(*keys, "channel_sample", "time_idx", "power").withColumn(
         "_tile", F.explode(F.sequence(
             F.greatest(F.lit(0), F.floor((c - halo) / tile)).cast("int"),
             F.least(F.lit(last), F.floor((c + halo) / tile)).cast("int"))))
@@ -56,7 +58,7 @@ def over_tiles(pixels: DataFrame, kernel: Callable, halo: int, n_channels: int,
     schema = T.StructType([pixels.schema[k] for k in keys] + [
         T.StructField("channel_sample", T.IntegerType()), T.StructField("time_idx", T.IntegerType()),
         T.StructField("power", T.DoubleType()), T.StructField(value, T.DoubleType())])
-    return spread.groupBy(*keys, "_tile").applyInPandas(run, schema)
+    return spread(copies, *keys, "_tile").groupBy(*keys, "_tile").applyInPandas(run, schema)
 
 
 def _window_sum(m: np.ndarray, rc: int, rt: int) -> np.ndarray:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from skysieve.session import cut
+from skysieve.session import cut, spread
 
 IMAGE = ("iter", "beam_id")
 BOX = ("x1", "x2", "y1", "y2")
@@ -59,7 +59,7 @@ def kd_partition(pixels: DataFrame, n_channels: int, n_times: int, leaf: int = 4
         out[list(BOX)] = box
         return out[[f.name for f in leaf_schema.fields]]
 
-    return df.groupBy(*keys, "node").applyInPandas(run, leaf_schema)
+    return spread(df, *keys, "node").groupBy(*keys, "node").applyInPandas(run, leaf_schema)
 
 
 def _split_round(df: DataFrame, keys: list[str], limit: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from skysieve.functions import regression as rg
 from skysieve.operators.graph import connected_components, local_components, neighbour_pairs
 from skysieve.operators.partition import kd_partition, leaf_gate
-from skysieve.session import cut
+from skysieve.session import cut, spread
 
 IMAGE = ("iter", "beam_id")
 # Time and frequency resolution of the stream, steepest Doppler rate, its margin.
@@ -77,7 +77,7 @@ def leaf_components(leaves: DataFrame, n_times: int, keys: Sequence[str] = IMAGE
         low = pd.Series(ch.astype("int64") * n_times + t).groupby(label).transform("min")
         return pdf.assign(comp=low.to_numpy())
 
-    return leaves.groupBy(*keys, "node").applyInPandas(run, T.StructType(fields))
+    return spread(leaves, *keys, "node").groupBy(*keys, "node").applyInPandas(run, T.StructType(fields))
 
 
 def leaf_clusters(components: DataFrame, keys: Sequence[str] = IMAGE, min_length: int = 5,
@@ -89,8 +89,8 @@ def leaf_clusters(components: DataFrame, keys: Sequence[str] = IMAGE, min_length
     ident = [*keys, "node", "leaf", "comp"]
     c, t, p = F.col("channel_sample"), F.col("time_idx"), F.col("power")
     g = components.groupBy(*ident).agg(
-        F.count("*").alias("n"), F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.count_distinct(t).alias("_td"),
-        F.min(c).alias("_c0"), F.max(c).alias("_c1"), F.count_distinct(c).alias("_cd"),
+        F.count("*").alias("n"), F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.size(F.collect_set(t)).alias("_td"),
+        F.min(c).alias("_c0"), F.max(c).alias("_c1"), F.size(F.collect_set(c)).alias("_cd"),
         F.var_samp(t).alias("_vt"), F.var_samp(c).alias("_vc"), F.covar_samp(t, c).alias("_cov"),
         (F.sum(t * p) / F.sum(p)).alias("t_mean"), (F.sum(c * p) / F.sum(p)).alias("c_mean"),
         F.first("x1").alias("x1"), F.first("x2").alias("x2"), F.first("y1").alias("y1"), F.first("y2").alias("y2"))
@@ -162,45 +162,40 @@ def robust_lines(points: DataFrame, ident: Sequence[str], trials: int = 10, resi
 
     Trial points are drawn by a hash of the pixel, so the draw does not depend on row order
     or partitioning; most inliers wins, then the smaller squared error, then the first trial.
-    One aggregate draws all points, a second one scores all lines.
+    Points are spread over the draws and lines inside the task that combines them; what is
+    shuffled is one row per (group, draw).  Channel and time index must be below 65536.
     """
     ident = list(ident)
-    point = F.struct(F.col("channel_sample").cast("double").alias("c"), F.col("time_idx").cast("double").alias("t"))
-    draw = [F.min_by(point, F.struct(F.xxhash64(F.lit(j), "channel_sample", "time_idx"), "channel_sample", "time_idx")).alias(f"_p{j}")
-            for j in range(2 * trials)]
-    models = points.groupBy(*ident).agg(*draw)
-    for k in range(trials):
-        a, b = F.col(f"_p{2 * k}"), F.col(f"_p{2 * k + 1}")
-        m = F.try_divide(b["t"] - a["t"], b["c"] - a["c"])
-        models = models.withColumn(f"_m{k}", m).withColumn(f"_b{k}", a["t"] - F.col(f"_m{k}") * a["c"])
-    models = models.select(*ident, *[f"_{x}{k}" for k in range(trials) for x in "mb"])
-    j = points.join(models, ident)
-
-    def miss(k):
-        return F.abs(F.col("time_idx") - (F.col(f"_m{k}") * F.col("channel_sample") + F.col(f"_b{k}")))
-
-    score = []
-    for k in range(trials):
-        inside = miss(k) <= residual
-        score += [F.count_if(inside).alias(f"_n{k}"), F.sum(F.when(inside, miss(k) * miss(k))).alias(f"_e{k}")]
-    s = j.groupBy(*ident).agg(*score)
-    ranked = F.greatest(*[F.struct(F.col(f"_n{k}").alias("n"), (-F.coalesce(f"_e{k}", F.lit(0.0))).alias("e"),
-                                   F.lit(-k).alias("k")) for k in range(trials)])
-    best = s.select(*ident, (-ranked["k"]).alias("_k"), ranked["n"].alias("_in")).where("_in > 0")
-    chosen = best.join(models, ident)
-    pick_m = F.element_at(F.array(*[f"_m{k}" for k in range(trials)]), F.col("_k") + 1)
-    pick_b = F.element_at(F.array(*[f"_b{k}" for k in range(trials)]), F.col("_k") + 1)
-    line = chosen.select(*ident, pick_m.alias("_lm"), pick_b.alias("_lb"))
-    return points.join(line, ident).withColumn(
-        "inlier", F.abs(F.col("time_idx") - (F.col("_lm") * F.col("channel_sample") + F.col("_lb"))) <= residual).drop("_lm", "_lb")
+    # upper half: hash of (draw, pixel); lower half: the pixel itself, so one minimum draws it
+    pixel = F.shiftleft(F.col("channel_sample").cast("bigint"), 16).bitwiseOR(F.col("time_idx").cast("bigint"))
+    high = F.lit(-(1 << 32)).cast("bigint")
+    drawn = points.select(*ident, "channel_sample", "time_idx", F.explode(
+        F.sequence(F.lit(0), F.lit(2 * trials - 1))).alias("_j"))
+    drawn = drawn.groupBy(*ident, "_j").agg(
+        F.min(F.xxhash64("_j", "channel_sample", "time_idx").bitwiseAND(high).bitwiseOR(pixel)).alias("_p"))
+    low = F.col("_p").bitwiseAND(F.lit((1 << 32) - 1))
+    odd = F.col("_j") % 2 == 1
+    c, t = F.shiftright(low, 16).cast("double"), low.bitwiseAND(F.lit(0xFFFF)).cast("double")
+    pairs = drawn.groupBy(*ident, F.shiftright("_j", 1).alias("_k")).agg(*[
+        F.max(F.when(side, v)).alias(name)
+        for side, suffix in ((~odd, "0"), (odd, "1")) for v, name in ((c, "_c" + suffix), (t, "_t" + suffix))])
+    lines = pairs.withColumn("_lm", F.try_divide(F.col("_t1") - F.col("_t0"), F.col("_c1") - F.col("_c0"))).select(
+        *ident, "_k", "_lm", (F.col("_t0") - F.col("_lm") * F.col("_c0")).alias("_lb"))
+    miss = F.abs(F.col("time_idx") - (F.col("_lm") * F.col("channel_sample") + F.col("_lb")))
+    scored = points.select(*ident, "channel_sample", "time_idx").join(lines.where("_lm IS NOT NULL"), ident).withColumn(
+        "_d", miss).where(F.col("_d") <= residual).groupBy(*ident, "_k", "_lm", "_lb").agg(
+        F.count("*").alias("_n"), F.sum(F.col("_d") * F.col("_d")).alias("_e"))
+    best = scored.groupBy(*ident).agg(F.max_by(F.struct("_lm", "_lb"), F.struct(
+        F.col("_n"), -F.col("_e"), -F.col("_k"))).alias("_l")).select(*ident, "_l.*")
+    return points.join(best, ident).withColumn("inlier", miss <= residual).drop("_lm", "_lb")
 
 
 def streak_quality(points: DataFrame, ident: Sequence[str]) -> DataFrame:
     """Scores of point groups used by the validity rules."""
     c, t = F.col("channel_sample"), F.col("time_idx")
     s = points.groupBy(*ident).agg(
-        *rg.sum_aggs(t, c), F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.count_distinct(t).alias("_td"),
-        F.min(c).alias("_c0"), F.max(c).alias("_c1"), F.count_distinct(c).alias("_cd"))
+        *rg.sum_aggs(t, c), F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.size(F.collect_set(t)).alias("_td"),
+        F.min(c).alias("_c0"), F.max(c).alias("_c1"), F.size(F.collect_set(c)).alias("_cd"))
     f = rg.fit_of()
     return s.select(*ident, "n", f["r"].alias("r"), f["slope"].alias("slope"),
                     rg.missing_score_closed("_t0", "_t1", "_td", "n").alias("t_missing"),
@@ -219,9 +214,9 @@ def validated_streaks(points: DataFrame, keys: Sequence[str] = IMAGE) -> DataFra
     first = cut(robust_lines(points, ident))
     good = valid_streaks(streak_quality(first.where("inlier"), ident)).select(*ident)
     one = first.where("inlier").join(good, ident).withColumn("streak", F.col("group_id"))
-    rest = first.where("NOT inlier").join(good, ident).drop("inlier")
+    rest = cut(first.where("NOT inlier").join(good, ident).drop("inlier"))
     enough = streak_quality(rest, ident).where((F.col("n") > 3) & (F.col("t_missing") < 2)).select(*ident)
-    second = robust_lines(rest.join(enough, ident), ident).where("inlier")
+    second = cut(robust_lines(rest.join(enough, ident), ident).where("inlier"))
     ok2 = valid_streaks(streak_quality(second, ident)).select(*ident)
     two = second.join(ok2, ident).withColumn("streak", -F.col("group_id"))
     return one.unionByName(two).drop("inlier")

@@ -26,7 +26,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     )
     if master:
-        b = b.master(master)
+        b = b.master(master).config("spark.driver.memory", "12g")  # one JVM does all the work
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
@@ -62,3 +62,12 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions by ``keys`` in the configured number, for stages that run Python.
+
+    Their cost is arithmetic, not bytes, so partitions must not be merged for being small.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

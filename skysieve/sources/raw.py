@@ -84,20 +84,16 @@ class VoltageReader(_FrameReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Bounds on ``iter`` become frame ranges; everything else stays with Spark."""
         for f in filters:
-            column = getattr(f, "attribute", None)
-            if column != ("iter",):
+            if getattr(f, "attribute", None) != ("iter",) or not isinstance(
+                    f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
                 yield f
                 continue
-            v = f.value
-            if isinstance(f, (EqualTo, GreaterThanOrEqual)):
-                self.lo = max(self.lo, v * self.block)
-            if isinstance(f, GreaterThan):
-                self.lo = max(self.lo, (v + 1) * self.block)
-            top = {EqualTo: v + 1, LessThanOrEqual: v + 1, LessThan: v}.get(type(f)) if not isinstance(f, (GreaterThan, GreaterThanOrEqual)) else None
+            low = {EqualTo: f.value, GreaterThanOrEqual: f.value, GreaterThan: f.value + 1}.get(type(f))
+            top = {EqualTo: f.value + 1, LessThanOrEqual: f.value + 1, LessThan: f.value}.get(type(f))
+            if low is not None:
+                self.lo = max(self.lo, low * self.block)
             if top is not None:
                 self.hi = top * self.block if self.hi is None else min(self.hi, top * self.block)
-            if not isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
-                yield f
 
     def read(self, p: FrameRange):
         if not p.n_frames:
