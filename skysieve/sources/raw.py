@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan,
-                                    GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage)
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo,
+                                    Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage)
 
 VOLTAGE_SCHEMA = "iter bigint, sample bigint, re array<float>, im array<float>"
 BEAM_SCHEMA = "time_idx bigint, channel int, power array<float>"
@@ -42,9 +42,11 @@ def _list(path: str) -> list[tuple[str, int]]:
     return [(i.path, i.size) for i in sorted(infos, key=lambda i: (number(i), i.base_name))]
 
 
-class FrameRange(InputPartition):
-    def __init__(self, path: str, offset: int, first_frame: int, n_frames: int):
-        self.path, self.offset, self.first_frame, self.n_frames = path, offset, first_frame, n_frames
+class FrameRanges(InputPartition):
+    """Ranges (path, byte offset, first frame, frames) that one task reads."""
+
+    def __init__(self, ranges: list[tuple[str, int, int, int]]):
+        self.ranges = ranges
 
 
 class _FrameReader(DataSourceReader):
@@ -58,21 +60,32 @@ class _FrameReader(DataSourceReader):
         self.lo, self.hi = 0, None  # frame range kept by pushed filters
 
     def partitions(self):
-        out, frame = [], 0
+        """Large files are split, small ones packed, so that tasks get about equal bytes."""
+        out, pack, load, frame = [], [], 0, 0
         step = max(1, self.split // self.frame_bytes)
         for path, size in _list(self.root):
             n = size // self.frame_bytes
             a, z = max(frame, self.lo), frame + n if self.hi is None else min(frame + n, self.hi)
             for f in range(a, z, step):
-                out.append(FrameRange(path, (f - frame) * self.frame_bytes, f, min(step, z - f)))
+                m = min(step, z - f)
+                if load + m > step and pack:
+                    out.append(FrameRanges(pack))
+                    pack, load = [], 0
+                pack.append((path, (f - frame) * self.frame_bytes, f, m))
+                load += m
             frame += n
-        return out or [FrameRange("", 0, 0, 0)]
+        return [*out, FrameRanges(pack)]
 
-    def _frames(self, p: FrameRange, dtype) -> np.ndarray:
+    def _frames(self, ranges: FrameRanges) -> Iterator[tuple[int, np.ndarray]]:
+        """(first frame, 32-bit floats of the frames) in pieces of bounded size."""
         fs, _ = _filesystem(self.root)
-        with fs.open_input_file(p.path) as f:
-            f.seek(p.offset)
-            return np.frombuffer(f.read(p.n_frames * self.frame_bytes), dtype=dtype)
+        piece = max(1, (8 << 20) // self.frame_bytes)
+        for path, offset, first, n in ranges.ranges:
+            with fs.open_input_file(path) as f:
+                f.seek(offset)
+                for a in range(0, n, piece):
+                    m = min(piece, n - a)
+                    yield first + a, np.frombuffer(f.read(m * self.frame_bytes), dtype="<f4").reshape(m, -1)
 
 
 class VoltageReader(_FrameReader):
@@ -95,13 +108,10 @@ class VoltageReader(_FrameReader):
             if top is not None:
                 self.hi = top * self.block if self.hi is None else min(self.hi, top * self.block)
 
-    def read(self, p: FrameRange):
-        if not p.n_frames:
-            return
-        x = self._frames(p, "<f4").reshape(p.n_frames, self.n_ants, 2)
-        for a in range(0, p.n_frames, 16384):
-            part = x[a: a + 16384]
-            sample = np.arange(p.first_frame + a, p.first_frame + a + len(part))
+    def read(self, partition: FrameRanges):
+        for first, x in self._frames(partition):
+            part = x.reshape(len(x), self.n_ants, 2)
+            sample = np.arange(first, first + len(part))
             ends = pa.array(np.arange(len(part) + 1, dtype="int32") * self.n_ants)
             yield pa.RecordBatch.from_arrays([
                 pa.array(sample // self.block), pa.array(sample),
@@ -109,26 +119,30 @@ class VoltageReader(_FrameReader):
                 pa.ListArray.from_arrays(ends, pa.array(part[:, :, 1].ravel()))], names=["iter", "sample", "re", "im"])
 
 
-class VoltageWriter(DataSourceWriter):
+class VoltageWriter(DataSourceArrowWriter):
     """One file per group of blocks; rows must arrive sorted with a group in one task."""
 
     def __init__(self, options):
         self.root, self.group = options["path"], int(options.get("blocksperfile", 4))
 
-    def write(self, rows) -> WriterCommitMessage:
+    def write(self, batches) -> WriterCommitMessage:
         fs, root = _filesystem(self.root)
         fs.create_dir(root, recursive=True)
         current, out = None, None
-        for row in rows:
-            number = row.iter // self.group
-            if number != current:
-                if out:
-                    out.close()
-                current = number
-                out = fs.open_output_stream(f"{root}/raw_{number}.dat")
-            frame = np.empty((len(row.re), 2), dtype="<f4")
-            frame[:, 0], frame[:, 1] = row.re, row.im
-            out.write(frame.tobytes())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = np.asarray(batch.column("iter")) // self.group
+            frames = np.stack([np.asarray(batch.column(c).flatten()) for c in ("re", "im")], axis=-1).astype("<f4")
+            frames = frames.reshape(len(number), -1)
+            edges = [0, *(np.flatnonzero(np.diff(number)) + 1), len(number)]
+            for a, z in zip(edges, edges[1:]):
+                if number[a] != current:
+                    if out:
+                        out.close()
+                    current = number[a]
+                    out = fs.open_output_stream(f"{root}/raw_{current}.dat")
+                out.write(frames[a:z].tobytes())
         if out:
             out.close()
         return WriterCommitMessage()
@@ -155,31 +169,30 @@ class BeamReader(_FrameReader):
         self.n_chans, self.n_beams = int(options["nchans"]), int(options["nbeams"])
         self.frame_bytes = self.n_chans * self.n_beams * 4
 
-    def read(self, p: FrameRange):
-        if not p.n_frames:
-            return
-        x = self._frames(p, "<f4").reshape(p.n_frames * self.n_chans, self.n_beams)
-        n = len(x)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.repeat(np.arange(p.first_frame, p.first_frame + p.n_frames), self.n_chans)),
-            pa.array(np.tile(np.arange(self.n_chans, dtype="int32"), p.n_frames)),
-            pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="int32") * self.n_beams), pa.array(x.ravel()))],
-            names=["time_idx", "channel", "power"])
+    def read(self, partition: FrameRanges):
+        for first, frames in self._frames(partition):
+            m, x = len(frames), frames.reshape(-1, self.n_beams)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(np.arange(first, first + m), self.n_chans)),
+                pa.array(np.tile(np.arange(self.n_chans, dtype="int32"), m)),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype="int32") * self.n_beams), pa.array(x.ravel()))],
+                names=["time_idx", "channel", "power"])
 
 
-class BeamWriter(DataSourceWriter):
-    """Appends (time, channel) rows in order; one task writes one file."""
+class BeamWriter(DataSourceArrowWriter):
+    """Writes (time, channel) rows in order; one task writes one file."""
 
     def __init__(self, options):
         self.root = options["path"]
 
-    def write(self, rows) -> WriterCommitMessage:
+    def write(self, batches) -> WriterCommitMessage:
         fs, root = _filesystem(self.root)
         fs.create_dir(root, recursive=True)
         out = None
-        for row in rows:
-            out = out or fs.open_output_stream(f"{root}/beam_{row.time_idx}.dat")
-            out.write(np.asarray(row.power, dtype="<f4").tobytes())
+        for batch in batches:
+            if batch.num_rows:
+                out = out or fs.open_output_stream(f"{root}/beam_{batch.column('time_idx')[0].as_py()}.dat")
+                out.write(np.asarray(batch.column("power").flatten()).astype("<f4").tobytes())
         if out:
             out.close()
         return WriterCommitMessage()

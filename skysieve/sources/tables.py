@@ -77,9 +77,12 @@ def parse_schedule(df: DataFrame, column: str, required=("name", "pipeline", "st
 
 
 def schedule_file(spark, path: str) -> DataFrame:
-    """Schedule array file; unreadable entries arrive in ``_corrupt_record``."""
-    return spark.read.schema(SCHEDULE_SCHEMA + ", _corrupt_record string").option("multiLine", True).option(
-        "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    """Schedule array file, entry by entry: one bad entry does not spoil the others.
+
+    The file is one JSON array, written by hand; tables of requests use :func:`parse_schedule`.
+    """
+    text = spark.read.text(path, wholetext=True)
+    return parse_schedule(text.select(F.explode(F.from_json("value", "array<string>")).alias("json")), "json")
 
 
 def beam_csv(spark, path: str, schema) -> DataFrame:
