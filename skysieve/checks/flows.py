@@ -153,6 +153,27 @@ def _(v):
     return out.groupBy("iter", "ant").agg(F.count("*").alias("n"), r(F.sum("re"), 4).alias("re"))
 
 
+@query("x1_stream_beams", "fx_voltages fx_weights", """
+    SELECT v.sample, w.beam_id, ROUND(SUM(v.re * w.re - v.im * w.im), 4) AS re, ROUND(SUM(v.re * w.im + v.im * w.re), 4) AS im
+    FROM fx_voltages v JOIN fx_weights w ON v.ant = w.ant GROUP BY v.sample, w.beam_id""")
+def _(v, w):
+    """Reader and beamformer as one stream over landed frames."""
+    f = bf.to_frames(v, 8)
+    beams = bf.beamform_frames(sb.block_stream(v.sparkSession, _land(f, "frames"), f.schema, 4), w)
+    rows = beams.select("sample", F.posexplode(F.arrays_zip("re", "im")).alias("beam_id", "_v")).select(
+        "sample", "beam_id", F.col("_v.re").alias("re"), F.col("_v.im").alias("im"))
+    return rounded(_drain(rows, "beams-out"), "re im", 4)
+
+
+@query("x8_track_events", "vx_cluster_points")
+def _(p):
+    """Event log rows of the track stream, counted per kind."""
+    path = _land(p, "points")
+    s = ss.track_stream(sb.block_stream(p.sparkSession, path, p.schema, 1000), "track_id", 1.0, 1.0, gradient=(-0.4, -0.6),
+                        linearity=0.9, expiry_s=60.0, merge_missing=40.0, valid_missing=40.0)
+    return stt.event_log(_drain(s, "events-out")).groupBy("name", "level").agg(F.count("*").alias("n"))
+
+
 @query("x3_stream_rolling_noise", "fx_pixels", f"""
     SELECT iter, beam_id, channel_sample, channel_noise, ROUND(channel_noise_std, 3) AS channel_noise_std FROM ({_ROLL})""", "vx_noise")
 def _(p):

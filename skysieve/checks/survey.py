@@ -415,16 +415,43 @@ def _(v):
     return rounded(ch.channelise(v, 8, 4), "re im", 4)
 
 
-@query("w10_channeliser_blocks", "fx_voltages")
-def _(v):
-    """Dense block form: array rows of 80 samples, only block tails travel."""
+def dense_strips(v):
+    """Array rows of 80 samples per antenna and block."""
     b = v.withColumn("iter", F.floor(F.col("sample") / 80))
     full = b.groupBy("ant", "iter").agg(F.map_from_entries(F.collect_list(F.struct((F.col("sample") % 80).cast("int"), F.struct("re", "im")))).alias("_m"))
     cell = lambda part: F.transform(F.sequence(F.lit(0), F.lit(79)), lambda k: F.coalesce(F.col("_m")[k][part], F.lit(0.0)))
-    strips = full.select("ant", "iter", cell("re").alias("re"), cell("im").alias("im"))
-    out = ch.channelise_strips(strips, 8, 4, ["ant"])
+    return full.select("ant", "iter", cell("re").alias("re"), cell("im").alias("im"))
+
+
+def spectra_rows(out):
+    """Long rows; the first spectrum has no samples at all and is left out."""
     return out.select("ant", "iter", "channel", F.posexplode(F.arrays_zip("re", "im")).alias("k", "_v")).select(
-        "ant", (F.col("iter") * 10 + F.col("k")).alias("spectrum"), "channel", r(F.col("_v.re"), 4).alias("re"), r(F.col("_v.im"), 4).alias("im"))
+        "ant", (F.col("iter") * 10 + F.col("k")).alias("spectrum"), "channel", r(F.col("_v.re"), 4).alias("re"),
+        r(F.col("_v.im"), 4).alias("im")).where("spectrum > 0")
+
+
+_BLOCK_SPECTRA = """
+    SELECT ant, CAST(spectrum AS BIGINT) AS spectrum, CAST((k + 4) % 8 AS INT) AS channel,
+           ROUND(SUM(re * COS(2 * PI() * k * pos / 8) + im * SIN(2 * PI() * k * pos / 8)), 4) AS re,
+           ROUND(SUM(im * COS(2 * PI() * k * pos / 8) - re * SIN(2 * PI() * k * pos / 8)), 4) AS im
+    FROM vx_fir, (SELECT UNNEST(RANGE(0, 8)) AS k)
+    WHERE spectrum < (SELECT (MAX(sample) // 80 + 1) * 10 FROM fx_voltages) GROUP BY 1, 2, 3"""
+
+
+@query("w10_channeliser_blocks", "fx_voltages", _BLOCK_SPECTRA, "vx_fir")
+def _(v):
+    """Dense block form: only block tails travel to the next block."""
+    return spectra_rows(ch.channelise_strips(dense_strips(v), 8, 4, ["ant"]))
+
+
+@query("x4_channeliser_stream", "fx_voltages", _BLOCK_SPECTRA, "vx_fir")
+def _(v):
+    """The same on a stream, with the block tail as keyed state."""
+    from skysieve.checks.flows import _drain, _land
+    from skysieve.streaming import blocks as sb, state as ss
+    s = dense_strips(v)
+    stream = sb.block_stream(v.sparkSession, _land(s, "strips"), s.schema, 1000)
+    return spectra_rows(_drain(ss.channelise_stream(stream, 8, 4, "ant"), "spectra"))
 
 
 @query("d1_4_block_metadata", "vx_sched", """

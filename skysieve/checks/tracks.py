@@ -472,3 +472,47 @@ def _(p):
     return s.select("track_id", F.format_string(
         "N: %d (%d unique), SNR: %.2f dB (PSNR: %.2f dB), beams: %d", F.col("n"), F.col("track_size"),
         F.floor(F.col("mean_snr") * 100) / 100 + 0.001, F.col("psnr"), F.col("activated_beams")).alias("line"))
+
+
+@query("f5_sample_time", "vx_points", """
+    SELECT event_id, iter * 160 + beam_id AS time_sample, 1700000000000000 + CAST(FLOOR(CAST(beam_id AS BIGINT) * 95869805 / 1000) AS BIGINT) AS time_us
+    FROM vx_points""")
+def _(p):
+    return p.select("event_id", units.global_sample("iter", "beam_id").alias("time_sample"),
+                    units.sample_micros(F.lit(1700000000000000), "beam_id", SAMPLING_TIME).alias("time_us"))
+
+
+@query("f12_p_value_gate", "vx_cluster_points", """
+    WITH s AS (SELECT track_id, cluster_id, COUNT(*) AS n, CORR(channel_sample, time_sample) AS r FROM vx_cluster_points GROUP BY 1, 2)
+    SELECT track_id, cluster_id, n, (n = 3 AND 1 - 2 * ASIN(LEAST(ABS(r), 1)) / PI() <= 0.01) OR (n = 4 AND 1 - ABS(r) <= 0.01)
+           OR (n >= 5 AND ABS(r) >= 0.99) AS passes
+    FROM s WHERE n >= 3 AND r IS NOT NULL AND NOT ISNAN(r)""")
+def _(p):
+    f = tr.fits(p, ["track_id", "cluster_id"]).where("n >= 3 AND r IS NOT NULL")
+    return f.select("track_id", "cluster_id", "n", rg.p_value_gate("n", "r").alias("passes"))
+
+
+@query("u1_union_of_beams", "vx_cluster_points", """
+    SELECT iter, COUNT(*) AS n, COUNT(DISTINCT beam_id) AS beams FROM vx_cluster_points GROUP BY 1""")
+def _(p):
+    """Per-beam cluster tables put together again by name."""
+    out = None
+    for b in range(4):
+        one = p.where(F.col("beam_id") == b)
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("iter").agg(F.count("*").alias("n"), F.count_distinct("beam_id").alias("beams"))
+
+
+@query("s13_track_scan", "vx_points", """
+    SELECT track_id, event_id FROM vx_points WHERE track_id = 5 AND time_sample BETWEEN 100 AND 500""")
+def _(p):
+    from skysieve.sources import tables
+    t = p.withColumn("obs_id", F.col("track_id")).withColumn("created_s", F.col("time_sample"))
+    return tables.tracks(t, 5, 100, 500).select("track_id", "event_id")
+
+
+@query("s13_event_scan", "vx_points", """
+    SELECT event_id FROM vx_points WHERE time_sample >= 300""")
+def _(p):
+    from skysieve.sources import tables
+    return tables.events(p.withColumn("created_s", F.col("time_sample")), from_s=300).select("event_id")

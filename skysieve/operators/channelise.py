@@ -67,6 +67,15 @@ def channelise(samples: DataFrame, n_chans: int, n_taps: int, keys: Sequence[str
         *keys, "spectrum", "channel", F.col("_v.re").alias("re"), F.col("_v.im").alias("im"))
 
 
+def block_spectra(before: np.ndarray, x: np.ndarray, n_chans: int, n_taps: int) -> np.ndarray:
+    """Spectra (channel, time) of one block that follows the samples ``before``."""
+    h = prototype_filter(n_chans, n_taps).reshape(n_taps, n_chans)
+    frames = np.concatenate([before, x]).reshape(-1, n_chans)
+    n = len(frames) - n_taps
+    y = sum(frames[j: j + n] * h[j] for j in range(n_taps))
+    return np.fft.fftshift(np.fft.fft(y, axis=1), axes=1).T
+
+
 def channelise_strips(strips: DataFrame, n_chans: int, n_taps: int, keys: Sequence[str] = ("stream_id",)) -> DataFrame:
     """Spectra of dense streams stored as one array row per block.
 
@@ -78,17 +87,13 @@ def channelise_strips(strips: DataFrame, n_chans: int, n_taps: int, keys: Sequen
     keys, tail = list(keys), n_chans * n_taps
     tails = strips.select(*keys, (F.col("iter") + 1).alias("iter"), F.slice("re", -tail, tail).alias("tr"),
                           F.slice("im", -tail, tail).alias("ti"))
-    h = prototype_filter(n_chans, n_taps).reshape(n_taps, n_chans)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples(index=False):
                 x = np.asarray(row.re) + 1j * np.asarray(row.im)
                 before = np.zeros(tail, complex) if row.tr is None else np.asarray(row.tr) + 1j * np.asarray(row.ti)
-                frames = np.concatenate([before, x]).reshape(-1, n_chans)
-                n = len(frames) - n_taps
-                y = sum(frames[j: j + n] * h[j] for j in range(n_taps))
-                y = np.fft.fftshift(np.fft.fft(y, axis=1), axes=1).T
+                y = block_spectra(before, x, n_chans, n_taps)
                 out = pd.DataFrame({"channel": np.arange(n_chans, dtype="int32"), "re": list(y.real), "im": list(y.imag)})
                 out.insert(0, "iter", row.iter)
                 for k in keys:

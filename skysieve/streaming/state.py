@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skysieve.operators.channelise import block_spectra
 from skysieve.operators.tracks import Fold, fold_blocks
 
 NOISE_OUT = "iter long, beam_id int, channel_sample int, channel_noise double, channel_noise_std double"
@@ -86,3 +87,26 @@ def track_stream(points: DataFrame, obs: str, dt: float, dy: float, block_len: i
 
     return points.groupBy(obs).applyInPandasWithState(
         run, f"{obs} {kind}, {TRACK_OUT}", TRACK_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def channelise_stream(strips: DataFrame, n_chans: int, n_taps: int, key: str) -> DataFrame:
+    """Channeliser on a stream of blocks; state is the tail of the last block of each stream."""
+    kind = strips.schema[key].dataType.simpleString()
+    tail = n_chans * n_taps
+
+    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = np.zeros(tail, complex)
+        if state.exists:
+            re, im = state.get
+            before = np.asarray(re) + 1j * np.asarray(im)
+        for row in pd.concat(list(batches), ignore_index=True).sort_values("iter").itertuples(index=False):
+            x = np.asarray(row.re) + 1j * np.asarray(row.im)
+            y = block_spectra(before, x, n_chans, n_taps)
+            before = np.concatenate([before, x])[-tail:]
+            yield pd.DataFrame({key: group[0], "iter": row.iter, "channel": np.arange(n_chans, dtype="int32"),
+                                "re": list(y.real), "im": list(y.imag)})
+        state.update((before.real.tolist(), before.imag.tolist()))
+
+    return strips.groupBy(key).applyInPandasWithState(
+        run, f"{key} {kind}, iter long, channel int, re array<double>, im array<double>",
+        "re array<double>, im array<double>", "append", GroupStateTimeout.NoTimeout)
