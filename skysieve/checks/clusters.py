@@ -42,7 +42,7 @@ add_view("vx_leaves", """
       WINDOW g AS (PARTITION BY iter, beam_id, leaf))
     SELECT iter, beam_id, channel_sample, time_idx, power, leaf, x1, x2, y1, y2 FROM part WHERE n <= 40""", ["fx_streaks"])
 add_view("vx_gated", """
-    SELECT l.*, channel_sample * 160 + time_idx AS p FROM vx_leaves l
+    SELECT l.*, CAST(channel_sample * 160 + time_idx AS BIGINT) AS p FROM vx_leaves l
     JOIN (SELECT iter, beam_id, leaf, AVG(power) AS m FROM vx_leaves GROUP BY 1, 2, 3 HAVING COUNT(*) > 2) s
       ON l.iter = s.iter AND l.beam_id = s.beam_id AND l.leaf = s.leaf
     JOIN (SELECT iter, beam_id, AVG(power) / 8 AS bn FROM fx_streaks GROUP BY 1, 2) b
@@ -128,14 +128,14 @@ def _(p):
 @query("j9_leaf_edges", "fx_streaks", "SELECT iter, beam_id, leaf, src, dst FROM vx_leaf_edges", "vx_leaf_edges")
 def _(p):
     e = st.leaf_edges(gated(p))
-    return e.select("iter", "beam_id", "leaf", (F.col("c1") * NT + F.col("t1")).alias("src"),
-                    (F.col("c2") * NT + F.col("t2")).alias("dst"))
+    return e.select("iter", "beam_id", "leaf", (F.col("c1") * NT + F.col("t1")).cast("bigint").alias("src"),
+                    (F.col("c2") * NT + F.col("t2")).cast("bigint").alias("dst"))
 
 
 @query("c9_leaf_components", "fx_streaks", """
     SELECT iter, beam_id, leaf, p, comp FROM vx_comps""", "vx_comps")
 def _(p):
-    return components(p).select("iter", "beam_id", "leaf", (F.col("channel_sample") * NT + F.col("time_idx")).alias("p"), "comp")
+    return components(p).select("iter", "beam_id", "leaf", (F.col("channel_sample") * NT + F.col("time_idx")).cast("bigint").alias("p"), "comp")
 
 
 @query("c9_connected_components", "fx_streaks", _cc("vx_gated", "vx_leaf_edges", ["iter", "beam_id", "leaf"]),
@@ -275,7 +275,7 @@ add_view("vx_dbscan", """
       JOIN recurring.cc cur ON cur.iter = e.iter AND cur.beam_id = e.beam_id AND cur.p = e.dst
       WHERE cc.comp < cur.comp GROUP BY e.iter, e.beam_id, e.dst)
     SELECT e.iter, e.beam_id, CAST(e.src // 160 AS INT) AS channel_sample, CAST(e.src % 160 AS INT) AS time_idx,
-           COALESCE(MIN(own.comp), MIN(cc.comp)) AS cluster_id, MIN(own.comp) IS NOT NULL AS core
+           CAST(COALESCE(MIN(own.comp), MIN(cc.comp)) AS BIGINT) AS cluster_id, MIN(own.comp) IS NOT NULL AS core
     FROM vx_eps_pairs e JOIN cc ON cc.iter = e.iter AND cc.beam_id = e.beam_id AND cc.p = e.dst
     LEFT JOIN cc own ON own.iter = e.iter AND own.beam_id = e.beam_id AND own.p = e.src
     GROUP BY 1, 2, e.src""", ["vx_eps_pairs"])

@@ -111,7 +111,7 @@ def _(v):
 
 
 @query("k4_image_sink", "fx_pixels", """
-    SELECT iter, beam_id, CAST(iter // 10 AS BIGINT) AS file_no, 410.07 AS s_freq, COUNT(*) AS n, SUM(power) AS power
+    SELECT iter, beam_id, CAST(iter // 10 AS BIGINT) AS file_no, 410.07e0 AS s_freq, COUNT(*) AS n, SUM(power) AS power
     FROM fx_pixels WHERE beam_id IN (2, 6) GROUP BY 1, 2""")
 def _(p):
     path = scratch_path(p.sparkSession, "img")

@@ -24,7 +24,8 @@ def cleaned_pixels(pixels: DataFrame, n_channels: int, n_times: int, n_noise_blo
                    filters: Sequence[str] = ("triangle", "pepper")) -> tuple[DataFrame, DataFrame]:
     """Noise estimate, subtraction and filters; returns the pixels and the noise table."""
     noise = cut(nz.rolling_noise(nz.channel_noise(pixels), n_noise_blocks))
-    above = nz.sparse(nz.subtract_noise(pixels, noise))
+    # thresholds read the pixels three times (range, histogram, gate): subtract the noise once
+    above = cut(nz.sparse(nz.subtract_noise(pixels, noise)))
     return dn.denoise(above, noise, n_channels, n_times, filters), noise
 
 
