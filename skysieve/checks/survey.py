@@ -424,18 +424,19 @@ def dense_strips(v):
 
 
 def spectra_rows(out):
-    """Long rows; the first spectrum has no samples at all and is left out."""
+    """Long rows without the zeros (a spectrum without samples is absent from the long form)."""
     return out.select("ant", "iter", "channel", F.posexplode(F.arrays_zip("re", "im")).alias("k", "_v")).select(
         "ant", (F.col("iter") * 10 + F.col("k")).alias("spectrum"), "channel", r(F.col("_v.re"), 4).alias("re"),
-        r(F.col("_v.im"), 4).alias("im")).where("spectrum > 0")
+        r(F.col("_v.im"), 4).alias("im")).where("re <> 0 OR im <> 0")
 
 
 _BLOCK_SPECTRA = """
-    SELECT ant, CAST(spectrum AS BIGINT) AS spectrum, CAST((k + 4) % 8 AS INT) AS channel,
+    WITH s AS (SELECT ant, CAST(spectrum AS BIGINT) AS spectrum, CAST((k + 4) % 8 AS INT) AS channel,
            ROUND(SUM(re * COS(2 * PI() * k * pos / 8) + im * SIN(2 * PI() * k * pos / 8)), 4) AS re,
            ROUND(SUM(im * COS(2 * PI() * k * pos / 8) - re * SIN(2 * PI() * k * pos / 8)), 4) AS im
     FROM vx_fir, (SELECT UNNEST(RANGE(0, 8)) AS k)
-    WHERE spectrum < (SELECT (MAX(sample) // 80 + 1) * 10 FROM fx_voltages) GROUP BY 1, 2, 3"""
+    WHERE spectrum < (SELECT (MAX(sample) // 80 + 1) * 10 FROM fx_voltages) GROUP BY 1, 2, 3)
+    SELECT * FROM s WHERE re <> 0 OR im <> 0"""
 
 
 @query("w10_channeliser_blocks", "fx_voltages", _BLOCK_SPECTRA, "vx_fir")
