@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skysieve.checks.registry import add_view, query
 from skysieve.checks.signal import r, rounded
 from skysieve.operators import denoise as dn, evaluate as ev, image, noise as nz, thresholds as th
+from skysieve.session import cut
 
 NC, NT = 64, 160
 
@@ -21,7 +22,7 @@ _ROLL = """
 
 
 def rolled(p):
-    return nz.rolling_noise(nz.channel_noise(p))
+    return nz.rolling_noise(cut(nz.channel_noise(p)))
 
 
 @query("a1_channel_noise", "fx_pixels", """

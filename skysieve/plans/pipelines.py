@@ -23,7 +23,8 @@ def power_pixels(voltages: DataFrame, weights: DataFrame, n_chans: int, n_taps:
 def cleaned_pixels(pixels: DataFrame, n_channels: int, n_times: int, n_noise_blocks: int = 10,
                    filters: Sequence[str] = ("triangle", "pepper")) -> tuple[DataFrame, DataFrame]:
     """Noise estimate, subtraction and filters; returns the pixels and the noise table."""
-    noise = cut(nz.rolling_noise(nz.channel_noise(pixels), n_noise_blocks))
+    # the rolling step reads the block noise twice: write that small table, not the pixels, again
+    noise = cut(nz.rolling_noise(cut(nz.channel_noise(pixels)), n_noise_blocks))
     # thresholds read the pixels three times (range, histogram, gate): subtract the noise once
     above = cut(nz.sparse(nz.subtract_noise(pixels, noise)))
     return dn.denoise(above, noise, n_channels, n_times, filters), noise
