@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skysieve.checks.registry import add_view, query
-from skysieve.functions import cplx, pointing, units
+from skysieve.functions import cplx, pointing
 from skysieve.operators import beamform as bf, calibrate as cal, correlate as co
 
 LAT, REF_DEC, START_MHZ, BW_MHZ = 44.5208, 40.0, 410.0, 0.078125

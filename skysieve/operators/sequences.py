@@ -11,8 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skysieve.session import cut
-
 
 def _carry(df: DataFrame, keys: Sequence[str], bucket: str, value: Column, how=F.sum) -> DataFrame:
     """Per bucket: the aggregate of ``value`` over all earlier buckets of the key."""
@@ -100,8 +98,3 @@ def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     A larger table is returned as it is and joins by shuffle.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """A result that several later steps read: written once, lineage cut."""
-    return cut(df)
