@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skysieve.llm import mixing, secret_scan
+from skysieve.llm import mixing, packing, quality, secret_scan, simhash
 from skysieve.llm.text import table
 from skysieve.session import cut
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go; the others stay as they are."""
+    return quality.kept(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest id; five-word shingles, similarity 0.8."""
+    return simhash.deduplicated(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in it are replaced by their kind."""
     return secret_scan.redact(docs)
@@ -19,8 +29,14 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeated(docs)
 
 
-STAGES = [("secret scans", secrets), ("mixing sources", mixture)]
-# SQL has no way to say SimHash links, tokenizer ids or Newton's steps
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 ids."""
+    return packing.digest(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_dedup), ("secret scans", secrets),
+          ("mixing sources", mixture), ("packing", packed)]
+# SQL has no way to say SimHash links, tokenizer ids or Newton's steps; tests compare with direct computations
 ORACLE_SQL = None
 
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skysieve.llm import mixing, oracles, pii, secret_scan, url_filter
+from skysieve.llm import (
+    bfd_pack, bm25, mixing, oracles, packing, pii, quality, secret_scan, simhash, token_rollup, url_filter,
+)
 from skysieve.llm.text import table
 
 
@@ -26,10 +28,34 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_url_filter, op3_source_mixing, op4_pii)
-}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bfd_pack.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_secret_scan, op2_url_filter, op3_source_mixing, op4_pii, op5_packing, op6_token_counts, op7_top_k_search,
+    op8_simhash_dedup, op9_token_matrices, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": oracles.secrets(), "op4_pii": oracles.personal_data()}
+    return {"op1_secret_scan": oracles.secrets(), "op4_pii": oracles.personal_data(), "op7_top_k_search": oracles.search()}
