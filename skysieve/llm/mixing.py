@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skysieve.llm.text import n_words, whole
+from skysieve.llm.text import boxed, field, n_words, unboxed, whole
 from skysieve.session import cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -124,16 +124,25 @@ def _copies(cells: DataFrame, cap: float) -> DataFrame:
 def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = WEIGHTS, cap: int = 2) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``; columns of these names are replaced.
 
-    ``docs`` needs ``doc_id`` and ``source`` and either ``text`` or ``_size``, the number of words,
-    and ``_hash``.  A null text has size 0, a null source is a source of its own, the last one;
-    documents of size 0 keep one copy.  Of documents alike in source and size the ones with the
-    lowest hash get the copies that are left over, so reruns agree; equal rows are interchangeable.
+    ``docs`` needs ``doc_id``, ``source`` and ``text``.  A null text has size 0, a null source is a
+    source of its own, the last one; documents of size 0 keep one copy.  Of documents alike in
+    source and size the ones with the lowest hash get the copies that are left over, so reruns
+    agree; equal rows are interchangeable.
     """
-    new = ("size", "source_size", "target", "copies")
-    keep = [c for c in docs.columns if c not in (*new, "_size", "_hash")]
-    base = docs if "_hash" in docs.columns else sized(docs)
-    base = base.select(*keep, F.col("_size").alias("size"), "_hash").withColumn(
-        "_source", F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))))
+    return unboxed(_mixed(_sized(boxed(docs)), share, weights, cap), docs.columns, {
+        n: F.col(n) for n in ("size", "source_size", "target", "copies")})
+
+
+def _sized(base: DataFrame) -> DataFrame:
+    """What mixing needs of a boxed document: size, hash and id, and the source as a key in order, null last."""
+    source = field("source").cast("string")
+    return base.select("__row__", n_words(whole(field("text"))).alias("size"), F.xxhash64(field("doc_id"), whole(field("text"))).alias("_hash"),
+                       field("doc_id").alias("_id"),
+                       F.when(source.isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), source)).alias("_source"))
+
+
+def _mixed(base: DataFrame, share: float, weights: Sequence[float], cap: int) -> DataFrame:
+    """Sized documents with their copies."""
     bucket = F.pmod("_hash", F.lit(_BUCKETS)).alias("_bucket")
     parts = cut(base.select("_source", "size", bucket).groupBy("_source", "size", "_bucket").count(), "mix-parts")
     cells = cut(parts.groupBy("_source", "size").agg(F.sum("count").alias("n")), "mix-cells")
@@ -149,24 +158,22 @@ def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = WEIGHTS,
         decided, ["_source", "size"]).select(
         "_source", "size", "_bucket", "source_size", "target", F.expr("copies div n").alias("_each"),
         (F.col("copies") - F.expr("copies div n") * F.col("n") - F.col("_before")).alias("_more")), "mix-quota")
-    order = Window.partitionBy("_source", "size", "_bucket").orderBy("_hash", "doc_id")
+    order = Window.partitionBy("_source", "size", "_bucket").orderBy("_hash", "_id")
     placed = base.withColumn("_bucket", bucket).withColumn("_at", F.row_number().over(order))
     return placed.join(quota, ["_source", "size", "_bucket"]).select(
-        *keep, "size", "source_size", "target", (F.col("_each") + F.when(F.col("_at") <= F.col("_more"), 1).otherwise(0)).alias("copies"))
-
-
-def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with the two columns that mixing needs of a text."""
-    return docs.withColumn("_size", n_words(whole())).withColumn("_hash", F.xxhash64("doc_id", whole()))
+        "__row__", "size", "source_size", "target", (F.col("_each") + F.when(F.col("_at") <= F.col("_more"), 1).otherwise(0)).alias("copies"))
 
 
-def repeated(docs: DataFrame, **policy) -> DataFrame:
+def repeated(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = WEIGHTS, cap: int = 2) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as its copies say."""
-    return mix(docs, **policy).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    mixed = _mixed(_sized(boxed(docs)), share, weights, cap)
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
+    return unboxed(mixed.select("__row__", copies.alias("_copy")), docs.columns, {})
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row per document: its size, its source's size and target, and the words the mix takes."""
-    thin = cut(sized(docs.select("doc_id", "source", "text")).drop("text"), "sizes")
-    return mix(thin).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target",
+    thin = cut(_sized(boxed(docs.select("doc_id", "source", "text"))).drop("__row__"), "sizes")
+    return _mixed(thin.withColumn("__row__", F.struct("_id")), 1.5, WEIGHTS, 2).select(
+        F.col("__row__._id").alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), "target",
                             (F.col("copies") * F.col("size")).cast("long").alias("taken"))

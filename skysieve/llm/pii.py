@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skysieve.llm import spans as sp
-from skysieve.llm.text import let, whole
+from skysieve.llm.text import boxed, field, let, unboxed, whole
 
 BASE = ("email", "ip", "card", "phone")
 
@@ -90,15 +90,17 @@ def detect(docs: DataFrame, rules: Sequence[sp.Rule] = RULES, text: str = "text"
     are answered row by row; a column of the result's name is replaced, others pass through.
     Spans of the base kinds stay whatever their score; ``ssn`` needs a word nearby.
     """
-    keep = [c for c in docs.columns if c != name]
-    every = F.array_sort(F.concat(*[sp.find(whole(text), r, i) for i, r in enumerate(rules)]))
-    return docs.select(*keep, every.alias(name))
+    return unboxed(boxed(docs), docs.columns, {name: _spans(whole(field(text)), rules)})
+
+
+def _spans(text: Column, rules: Sequence[sp.Rule]) -> Column:
+    return F.array_sort(F.concat(*[sp.find(text, r, i) for i, r in enumerate(rules)]))
 
 
 def redact(docs: DataFrame, rules: Sequence[sp.Rule] = RULES, text: str = "text") -> DataFrame:
     """The same rows and columns with every span replaced by its kind in brackets."""
-    found = detect(docs, rules, text, "_pii")
-    return found.withColumn(text, sp.masked(F.col(text), F.col("_pii"))).select(*docs.columns)
+    found = boxed(docs).withColumn("_spans", _spans(whole(field(text)), rules))
+    return found.select(*[(sp.masked(field(c), F.col("_spans")) if c == text else field(c)).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from skysieve.llm.text import whole
+from skysieve.llm.text import boxed, field, unboxed, whole
 
 # Highest share of a text's word characters inside repeated n-grams, by n.
 NGRAM_LIMITS: dict[int, float] = dict.fromkeys((5, 6, 7, 8, 9, 10), 0.25)
@@ -133,13 +133,13 @@ def assess(docs: DataFrame, text: str = "text", name: str = "quality") -> DataFr
     Each row by itself, its whole text; a null text counts as empty and fails.  Rows, ids and
     other columns are left alone; a column of the result's name is replaced.
     """
-    keep = [c for c in docs.columns if c != name]
-    return docs.select(*keep, F.pandas_udf(_assessed, SCHEMA)(whole(text)).alias(name))
+    return unboxed(boxed(docs), docs.columns, {name: F.pandas_udf(_assessed, SCHEMA)(whole(field(text)))})
 
 
 def kept(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    return assess(docs, text, "_quality").where("_quality.kept").select(*docs.columns)
+    found = boxed(docs).withColumn("_quality", F.pandas_udf(_assessed, SCHEMA)(whole(field(text))))
+    return unboxed(found.where("_quality.kept"), docs.columns, {})
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from re import _constants as op, _parser
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skysieve.llm import spans as sp
-from skysieve.llm.text import let, whole
+from skysieve.llm.text import boxed, field, let, unboxed, whole
 from skysieve.session import cut
 
 # The base kinds and public key formats.
@@ -148,30 +148,32 @@ def scan(docs: DataFrame, rules: Sequence[sp.Rule] = RULES, text: str = "text",
     """``docs`` with ``secrets``: sorted spans ``(start, rank, end, kind, score)`` of all rules in the whole text.
 
     Null and empty texts have no spans.  Every row is answered by itself: equal rows, repeated or
-    null ids keep their rows; an existing column of the result's name is replaced.  Columns with
-    a leading underscore are the operator's own while it runs and must not be in ``docs``.
+    null ids keep their rows; a column of the result's name is replaced, others pass through.
     """
-    keep = [c for c in docs.columns if c != name]
-    base = docs.select(*keep).withColumn("_text", whole(text))
-    ids = [F.col(c) for c in ("doc_id",) if c in keep]
-    base = base.withColumn("_key", F.xxhash64(*ids, F.col("_text")))
+    ids = [field(c) for c in docs.columns if c.lower() == "doc_id"]
+    return unboxed(_found(boxed(docs), ids, whole(field(text)), rules), docs.columns, {name: F.col("_spans")})
+
+
+def _found(base: DataFrame, ids: list[Column], text: Column, rules: Sequence[sp.Rule]) -> DataFrame:
+    """A boxed frame with its spans."""
+    base = base.withColumn("_key", F.xxhash64(*ids, text))
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q}
     vocabulary = sorted({t for q in indexed.values() for clauses in q for c in clauses for t in c})
     if indexed:
-        found = candidates(index(base.select("_key", "_text"), vocabulary), indexed)
+        found = candidates(index(base.select("_key", text.alias("_text")), vocabulary), indexed)
         base = base.join(cut(found, "candidates"), "_key", "left")
     else:
         base = base.withColumn("_kinds", F.lit(None).cast("array<string>"))
 
     def spans_of(rule: sp.Rule, rank: int) -> Column:
-        spans = sp.find(F.col("_text"), rule, rank)
+        spans = sp.find(text, rule, rank)
         if rule.kind not in indexed:
             return spans
         return F.when(F.array_contains("_kinds", rule.kind), spans).otherwise(F.array().cast(f"array<{sp.SPAN}>"))
 
     every = F.array_sort(F.concat(*[spans_of(r, i) for i, r in enumerate(rules)]))
-    return base.withColumn(name, every).select(*keep, name)
+    return base.withColumn("_spans", every)
 
 
 def redact(docs: DataFrame, rules: Sequence[sp.Rule] = RULES, text: str = "text") -> DataFrame:
@@ -179,12 +181,17 @@ def redact(docs: DataFrame, rules: Sequence[sp.Rule] = RULES, text: str = "text"
 
     Texts without a secret, null ones included, stay as they are.
     """
-    found = scan(docs, rules, text, "_secrets")
-    out = found.withColumn(text, sp.masked(F.col(text), F.coalesce("_secrets", F.array().cast(f"array<{sp.SPAN}>"))))
-    if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length(text).cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    ids = [field(c) for c in docs.columns if c.lower() == "doc_id"]
+    found = _found(boxed(docs), ids, whole(field(text)), rules).withColumn("_clean", sp.masked(field(text), F.col("_spans")))
+
+    def column(c: str) -> Column:
+        if c == text:
+            return F.col("_clean").alias(c)
+        if c == "n_chars":
+            return F.when(F.size("_spans") > 0, F.length("_clean").cast(dict(docs.dtypes)[c])).otherwise(field(c)).alias(c)
+        return field(c).alias(c)
+
+    return found.select(*[column(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skysieve.llm.text import whole
+from skysieve.llm.text import boxed, field, unboxed, whole
 from skysieve.operators.graph import connected_components, local_components
 from skysieve.session import cut
 
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", name: st
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([simhash(shingle_hashes(t, shingle)) for t in texts], np.uint64).view(np.int64))
 
-    return docs.withColumn(name, F.pandas_udf(run, "long")(whole(text)))
+    return unboxed(boxed(docs), docs.columns, {name: F.pandas_udf(run, "long")(whole(field(text)))})
 
 
 def gray_rank(fp: Column) -> Column:
@@ -279,13 +279,15 @@ def _shard_pairs(cols: list[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
 def _candidates(nodes: DataFrame, most: int) -> DataFrame:
     """``(a, b)``: pairs of rows that share a shard and differ in at most ``most`` bits, linear in the rows.
 
-    Shards of more than a few thousand rows are worked on in blocks; each block names its most
+    Shards of more than a few thousand rows are dealt into blocks twice; each block names its most
     central row and all rows of the shard meet the most central of these.
     """
     keyed = nodes.select("row", "fp", F.explode("bands").alias("shard"))
     counts = cut(keyed.groupBy("shard").count().where("count > 1"), "shard-sizes")
-    rows = cut(keyed.join(counts, "shard").select(
-        "shard", F.pmod(F.xxhash64("row"), F.ceil(F.col("count") / _SHARD)).alias("block"),
+    blocks = F.ceil(F.col("count") / _SHARD)
+    salts = F.when(F.col("count") <= _SHARD, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    rows = cut(keyed.join(counts, "shard").select("*", F.explode(salts).alias("salt")).select(
+        "shard", (F.pmod(F.xxhash64("row", "salt"), blocks) * 2 + F.col("salt")).alias("block"),
         (F.col("count") <= _SHARD).cast("long").alias("alone"), "fp", "row"), "shard-rows")
     found = cut(rows.repartition("shard", "block").sortWithinPartitions("shard", "block", "row").mapInArrow(
         _by_group(lambda c: _shard_pairs(c, most), 2), "shard long, a long, b long, off long"), "shard-pairs")
@@ -297,7 +299,7 @@ def _candidates(nodes: DataFrame, most: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 5,
                     most: int = 22, text: str = "text") -> DataFrame:
-    """``docs`` with ``_row``, a number of the row, and ``_group``, the row that stands for its group.
+    """``docs`` with ``row``, a number of the row, and ``group``, the row that stands for its group.
 
     Texts with the same words are copies.  Others are linked if their sets of word shingles have
     the given Jaccard similarity, counted exactly for candidates: fingerprints within 2 bits
@@ -307,8 +309,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     row with the smallest ``doc_id`` (null last) stands for it.  Texts without words are copies of
     each other.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    base = docs.withColumn("_f", _features(shingle, bands, rows)(whole(text)))
+    found = _near(docs, shingle, similarity, bands, rows, most, text)
+    return unboxed(found, docs.columns, {"row": F.col("_row"), "group": F.col("_group")})
+
+
+def _near(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int, most: int, text: str) -> DataFrame:
+    """The boxed rows with ``_row`` and ``_group``."""
+    order = F.struct(field("doc_id").isNull().alias("none"), field("doc_id").alias("id"), F.col("_row").alias("row"))
+    base = boxed(docs).withColumn("_f", _features(shingle, bands, rows)(whole(field(text))))
     base = cut(base.withColumn("_row", F.monotonically_increasing_id()), "features")
     copies = cut(base.groupBy(F.col("_f.same").alias("same")).agg(F.min(order).alias("first")), "copies")
     nodes = cut(base.join(copies.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(
@@ -318,7 +326,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = cut(_candidates(nodes, most).unionByName(two).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-    texts = cut(base.join(wanted, "_row", "left_semi").select("_row", whole(text).alias("t")), "pair-texts")
+    texts = cut(base.join(wanted, "_row", "left_semi").select("_row", whole(field(text)).alias("t")), "pair-texts")
 
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
@@ -335,9 +343,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         "same", "first", F.coalesce("root", "row").alias("root")), "near-rooted")
     stands = cut(rooted.groupBy("root").agg(F.min("first").alias("best")), "near-groups")
     groups = cut(rooted.join(stands, "root").select("same", F.col("best.row").alias("_group")), "near-groups")
-    return base.join(groups, base["_f.same"] == groups["same"]).select(*docs.columns, "_row", "_group")
+    return base.join(groups, base["_f.same"] == groups["same"]).select("__row__", "_row", "_group")
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 5,
+                 most: int = 22, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their groups."""
-    return near_duplicates(docs, **options).where("_row = _group").select(*docs.columns)
+    found = _near(docs, shingle, similarity, bands, rows, most, text)
+    return unboxed(found.where("_row = _group"), docs.columns, {})

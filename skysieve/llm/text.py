@@ -14,9 +14,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def whole(text: str = "text") -> Column:
+def whole(text: str | Column = "text") -> Column:
     """The text, empty where it is null."""
-    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
+
+
+def boxed(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``__row__``, so that an operator's own columns cannot clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row__"))
+
+
+def field(name: str) -> Column:
+    """A column of a boxed frame."""
+    return F.col(f"__row__.`{name}`")
+
+
+def unboxed(df: DataFrame, columns: list[str], new: dict[str, Column]) -> DataFrame:
+    """The given columns again, and new ones, which replace those of the same name in any case."""
+    names = {n.lower() for n in new}
+    return df.select(*[field(c).alias(c) for c in columns if c.lower() not in names], *[v.alias(n) for n, v in new.items()])
 
 
 def n_words(text: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skysieve.llm.text import let
+from skysieve.llm.text import boxed, field, let, unboxed
 from skysieve.session import cut
 
 # The policy, longest fitting rule first to win.
@@ -109,19 +109,18 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: DataFrame, policy: Sequence[tuple[str, str]] = POLICY) -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``rule``, ``mined`` and ``verdict``; columns of these names are replaced.
+    """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` and ``mined``; columns of these names are replaced.
 
     Policy first, then mined rules, else allow.  Null URLs and URLs without ``://`` have empty
     parts and fit no policy.  Every row is answered, repeated ones alike.
     """
-    new = ("host", "path", "rule", "mined", "verdict")
-    keep = [c for c in pages.columns if c not in new]
-    base = pages.select(*keep)
-    base = base.join(matches(base, rules), "url", "left")
+    base = boxed(pages).withColumn("url", field("url"))
+    base = base.join(matches(base.select("url"), rules), "url", "left")
     base = base.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
     base = base.withColumn("_policy", policy_rule(F.col("host"), F.col("path"), policy))
     verdict = F.coalesce(F.col("_policy.verdict"), F.when(F.col("mined").isNotNull(), F.lit("block")), F.lit("allow"))
-    return base.select(*keep, "host", "path", F.col("_policy.rule").alias("rule"), "mined", verdict.alias("verdict"))
+    return unboxed(base, pages.columns, {"host": F.col("host"), "path": F.col("path"), "rule": F.col("_policy.rule"),
+                                         "verdict": verdict, "mined": F.col("mined")})
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
