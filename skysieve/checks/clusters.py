@@ -252,8 +252,8 @@ def _(p):
 
 @query("c12_robust_lines", "fx_streaks")
 def _(p):
-    """Inliers of the best line per image column of streak pixels."""
-    pts = p.where("power >= 4000").withColumn("group_id", F.lit(1))
+    """Inliers of the best line through the bright and through the faint pixels of each image."""
+    pts = p.withColumn("group_id", F.when(F.col("power") >= 4000, 1).otherwise(2))
     return st.robust_lines(pts, ["iter", "beam_id", "group_id"])
 
 
@@ -332,13 +332,14 @@ def _(p):
     WITH s AS (SELECT iter, beam_id, COUNT(*) AS n, CORR(channel_sample, time_idx) AS r,
       (MAX(time_idx) - MIN(time_idx) + 1 - COUNT(DISTINCT time_idx)) / COUNT(*) AS tm,
       (MAX(channel_sample) - MIN(channel_sample) + 1 - COUNT(DISTINCT channel_sample)) / COUNT(*) AS cm
-      FROM fx_streaks WHERE power >= 4000 GROUP BY 1, 2)
+      FROM fx_streaks GROUP BY 1, 2, power >= 4000)
     SELECT iter, beam_id, n, ROUND(r, 6) AS r, ROUND(tm, 6) AS t_missing, ROUND(cm, 6) AS c_missing FROM s
     WHERE NOT (tm > 0.5 AND cm > 0.5) AND r <= -0.99
       AND (n >= 5 OR (n = 4 AND 1 - ABS(r) <= 0.01) OR (n = 3 AND 1 - 2 * ASIN(ABS(r)) / PI() <= 0.01))""")
 def _(p):
-    q = st.valid_streaks(st.streak_quality(p.where("power >= 4000"), ["iter", "beam_id"]))
-    return rounded(q, "r t_missing c_missing", 6).drop("slope")
+    """Bright and faint pixels of an image are a group each."""
+    q = st.valid_streaks(st.streak_quality(p.withColumn("bright", F.col("power") >= 4000), ["iter", "beam_id", "bright"]))
+    return rounded(q, "r t_missing c_missing", 6).drop("slope", "bright")
 
 
 @query("c19_compare_detectors", "fx_streaks", """
@@ -359,14 +360,14 @@ _POS = "CAST(FLOOR(channel_sample * COS(-PI() / 2 + k * (PI() / 179)) - time_idx
 
 @query("c14_hough_votes", "fx_streaks", f"""
     SELECT iter, beam_id, CAST(k AS INT) AS theta, {_RHO} AS rho, COUNT(*) AS votes
-    FROM (SELECT *, UNNEST(RANGE(0, 180)) AS k FROM fx_streaks WHERE power >= 4000) GROUP BY 1, 2, 3, 4""")
+    FROM (SELECT *, UNNEST(RANGE(0, 180)) AS k FROM fx_streaks) GROUP BY 1, 2, 3, 4""")
 def _(p):
-    return hough.votes(p.where("power >= 4000"))
+    return hough.votes(p)
 
 
 @query("c14_hough_segments", "fx_streaks", f"""
     WITH x AS (SELECT *, CAST(k AS INT) AS theta, {_RHO} AS rho, {_POS} AS pos
-               FROM (SELECT *, UNNEST(RANGE(0, 180)) AS k FROM fx_streaks WHERE power >= 4000)),
+               FROM (SELECT *, UNNEST(RANGE(0, 180)) AS k FROM fx_streaks)),
     v AS (SELECT *, COUNT(*) OVER (PARTITION BY iter, beam_id, theta, rho) AS votes FROM x),
     g AS (SELECT *, pos - LAG(pos) OVER w AS gap FROM v WHERE votes >= 10
           WINDOW w AS (PARTITION BY iter, beam_id, theta, rho ORDER BY pos, channel_sample, time_idx)),
@@ -377,7 +378,7 @@ def _(p):
            ARG_MAX(time_idx, (pos, channel_sample, time_idx)) AS t1, ARG_MAX(channel_sample, (pos, channel_sample, time_idx)) AS c1
     FROM s GROUP BY 1, 2, 3, 4, 5 HAVING MAX(pos) - MIN(pos) >= 5""")
 def _(p):
-    return hough.segments(p.where("power >= 4000"))
+    return hough.segments(p)
 
 
 add_view("vx_leaf_boxes", """

@@ -354,9 +354,9 @@ def _(v):
 
 
 @query("s12_visibility_scan", "fx_voltages", """
-    SELECT t_idx, baseline, ROUND(re, 4) AS re, ROUND(im, 4) AS im FROM vx_vis WHERE baseline < 7""", "vx_vis")
+    SELECT t_idx, baseline, ROUND(re, 4) AS re, ROUND(im, 4) AS im FROM vx_vis""", "vx_vis")
 def _(v):
-    return rounded(visibilities(v), "re im", 4).where("baseline < 7").select("t_idx", "baseline", "re", "im")
+    return rounded(visibilities(v), "re im", 4).select("t_idx", "baseline", "re", "im")
 
 
 @query("c20_fringes", "fx_voltages", """

@@ -254,7 +254,8 @@ def _(l):
 
 @query("s9_packet_sequence", "vx_packets", """
     WITH d AS (SELECT stream, arrival, MIN(counter) AS counter FROM vx_packets GROUP BY 1, 2),
-    k AS (SELECT *, SUM(CASE WHEN counter = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY arrival) AS rollovers FROM d),
+    k AS (SELECT *, SUM(CASE WHEN counter = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY arrival)
+            - CASE WHEN FIRST_VALUE(counter) OVER (PARTITION BY stream ORDER BY arrival) = 0 THEN 1 ELSE 0 END AS rollovers FROM d),
     n AS (SELECT *, counter + rollovers * 16777216 AS packet_no FROM k)
     SELECT stream, arrival, counter, CAST(rollovers AS BIGINT) AS rollovers, CAST(packet_no AS BIGINT) AS packet_no,
            CAST(COALESCE(GREATEST(0, packet_no - LAG(packet_no) OVER (PARTITION BY stream ORDER BY arrival) - 1), 0) AS BIGINT) AS lost FROM n""")

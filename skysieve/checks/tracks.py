@@ -120,9 +120,9 @@ _SUMMARY = """
       COUNT(DISTINCT beam_id) AS nb, CORR(channel_sample, time_sample) AS r, REGR_SLOPE(channel_sample, time_sample) AS m,
       (MAX(time_sample) - MIN(time_sample) - (COUNT(DISTINCT time_sample) - 1) + 1) / COUNT(*) AS miss, MAX(time_sample) AS last
       FROM vx_points GROUP BY 1),
-    v AS (SELECT *, CASE WHEN nb > 60 THEN NULL WHEN nb < 1 THEN 'Not enough unique beams'
-      WHEN nc < 5 OR ts < 5 THEN 'Not enough unique samples' WHEN r IS NULL OR ISNAN(r) OR ABS(r) < 0.99 THEN 'Track is not linear'
-      WHEN NOT m BETWEEN -0.51 AND -0.49 THEN 'Gradient is not within valid range' WHEN miss > 9 THEN 'High missing score' END AS reason FROM s)"""
+    v AS (SELECT *, CASE WHEN nb > 60 THEN NULL WHEN nb < 1 THEN 'beams'
+      WHEN nc < 5 OR ts < 5 THEN 'samples' WHEN r IS NULL OR ISNAN(r) OR ABS(r) < 0.99 THEN 'linearity'
+      WHEN NOT m BETWEEN -0.51 AND -0.49 THEN 'gradient' WHEN miss > 9 THEN 'missing' END AS reason FROM s)"""
 
 
 def judged(p):
@@ -279,11 +279,11 @@ def _(p):
     SELECT p.iter, p.beam_id, p.channel_sample, p.time_idx, p.iter * 160 + p.time_idx AS time_sample,
            1700000000000000 + p.iter * 15339168 + CAST(FLOOR(CAST(p.time_idx AS BIGINT) * 95869805 / 1000) AS BIGINT) AS time_us,
            ROUND(410.0 + channel_sample * 0.00001043e0, 8) AS channel, ROUND(10 * LOG10(power / bn), 5) AS snr
-    FROM fx_streaks p JOIN b ON p.iter = b.iter AND p.beam_id = b.beam_id WHERE power >= 4000""")
+    FROM fx_streaks p JOIN b ON p.iter = b.iter AND p.beam_id = b.beam_id""")
 def _(p):
     noise = p.groupBy("iter", "beam_id").agg(F.avg("power").alias("beam_noise"))
     blocks = p.select("iter").distinct().withColumn("t0_us", F.lit(1700000000000000) + F.col("iter") * 15339168)
-    d = tr.to_detections(p.where("power >= 4000"), noise, blocks, 410.0, 0.00001043, SAMPLING_TIME)
+    d = tr.to_detections(p, noise, blocks, 410.0, 0.00001043, SAMPLING_TIME)
     return rounded(rounded(d, "channel", 8), "snr").select(
         "iter", "beam_id", "channel_sample", "time_idx", "time_sample", "time_us", "channel", "snr")
 
@@ -304,7 +304,7 @@ def _(p):
         r(F.avg("snr")).alias("snr"), r(F.avg(units.doppler_hz("channel", F.lit(TX))), 3).alias("doppler"))
 
 
-_BEAMS = list(range(8))
+_BEAMS = list(range(32))
 _ILL = "WITH b AS (SELECT track_id AS obs_id, time_sample, " + ", ".join(
     f"MAX(snr) FILTER (beam_id = {b}) AS S{b}, ARG_MAX(channel_sample, (snr, -channel_sample)) FILTER (beam_id = {b}) AS C{b}"
     for b in _BEAMS) + """ FROM vx_points GROUP BY 1, 2),
@@ -390,10 +390,10 @@ def _(p, b):
 
 @query("k5_tdm_message_sizes", "vx_points vx_beam_info", """
     WITH d AS (SELECT track_id, COUNT(*) AS n, COUNT(DISTINCT beam_id) AS nb FROM vx_best GROUP BY 1)
-    SELECT track_id, CAST(2 + nb * 20 + 5 * n AS BIGINT) AS lines FROM d""", "vx_best")
+    SELECT track_id, CAST(4 + nb * 20 + 5 * n AS BIGINT) AS lines FROM d""", "vx_best")
 def _(p, b):
     """Line count of every whole message."""
-    m = tdm.messages(tr.best_detections(p), b, b, TX, "TARGET", SAMPLING_TIME)
+    m = tdm.messages(tr.best_detections(p), b, b, TX, "TARGET", SAMPLING_TIME, comments=("survey track",))
     return m.groupBy("track_id").agg(F.count("*").alias("lines"))
 
 
@@ -464,14 +464,14 @@ def _(p):
 
 
 @query("f16_state_text", "vx_points", """
-    SELECT track_id, printf('N: %d (%d unique), SNR: %.2f dB (PSNR: %.2f dB), beams: %d', COUNT(*), COUNT(DISTINCT time_sample),
-           FLOOR(AVG(snr) * 100) / 100 + 0.001, MAX(snr), COUNT(DISTINCT beam_id)) AS line FROM vx_points GROUP BY 1""")
+    SELECT track_id, printf('%d detections at %d times in %d beams; mean %.2f dB, peak %.2f dB', COUNT(*), COUNT(DISTINCT time_sample),
+           COUNT(DISTINCT beam_id), FLOOR(AVG(snr) * 100) / 100 + 0.001, MAX(snr)) AS line FROM vx_points GROUP BY 1""")
 def _(p):
     """Status line; the mean is cut to two digits first so that both text formatters agree."""
     s = tr.summary(p)
     return s.select("track_id", F.format_string(
-        "N: %d (%d unique), SNR: %.2f dB (PSNR: %.2f dB), beams: %d", F.col("n"), F.col("track_size"),
-        F.floor(F.col("mean_snr") * 100) / 100 + 0.001, F.col("psnr"), F.col("activated_beams")).alias("line"))
+        "%d detections at %d times in %d beams; mean %.2f dB, peak %.2f dB", F.col("n"), F.col("track_size"),
+        F.col("activated_beams"), F.floor(F.col("mean_snr") * 100) / 100 + 0.001, F.col("psnr")).alias("line"))
 
 
 @query("f5_sample_time", "vx_points", """

@@ -50,12 +50,16 @@ def first_antennas(df: DataFrame, n: int) -> DataFrame:
 def beamform(voltages: DataFrame, weights: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFrame:
     """Weighted sum over antennas per beam, long form.
 
-    The weights are a checked-size dimension, the sums combine map-side before the shuffle.
+    Weights may have further keys (array, sub-band, polarisation): where voltages have the
+    column too they meet on it, otherwise each of its values gives beams of its own.  The weights
+    are a checked-size dimension, the sums combine map-side before the shuffle.
     """
-    w = small(weights.select("ant", "beam_id", F.col("re").alias("w_re"), F.col("im").alias("w_im")),
+    extra = [c for c in weights.columns if c not in ("ant", "beam_id", "re", "im")]
+    w = small(weights.select("ant", "beam_id", *extra, F.col("re").alias("w_re"), F.col("im").alias("w_im")),
               MAX_WEIGHT_ROWS)
     re, im = cmul(F.col("re"), F.col("im"), F.col("w_re"), F.col("w_im"))
-    return voltages.join(w, "ant").groupBy(*keys, "beam_id").agg(
+    group = [*keys, *[c for c in extra if c not in keys], "beam_id"]
+    return voltages.join(w, ["ant", *[c for c in extra if c in voltages.columns]]).groupBy(*group).agg(
         F.sum(re).alias("re"), F.sum(im).alias("im"))
 
 
@@ -72,10 +76,12 @@ def to_frames(voltages: DataFrame, n_ants: int, keys: Sequence[str] = ("sample",
 
 
 def weight_matrix(weights: DataFrame) -> np.ndarray:
-    """Weights as (beam, antenna) matrix; refused beyond a fixed size."""
+    """Weights as (beam, antenna) matrix; refused beyond a fixed size, or with two weights for one place."""
     rows = weights.select("beam_id", "ant", "re", "im").limit(MAX_WEIGHT_ROWS + 1).toPandas()
     if len(rows) > MAX_WEIGHT_ROWS:
         raise ValueError("weight table too large for a matrix; use beamform()")
+    if rows.duplicated(["beam_id", "ant"]).any():
+        raise ValueError("several weights for one beam and antenna: select one sub-band and array first")
     out = np.zeros((rows.beam_id.max() + 1, rows.ant.max() + 1), dtype=np.complex128)
     out[rows.beam_id, rows.ant] = rows.re + 1j * rows.im
     return out

@@ -41,15 +41,17 @@ def solve_gain_amplitudes(vis: DataFrame, n_ants: int, keys: Sequence[str] = ("t
     """Log-linear amplitude solution of a complete pair set, in closed form.
 
     With S_i the sum of the log amplitudes of pairs touching antenna i and B the sum over all
-    pairs, x_i = (S_i - B / (n - 1)) / (n - 2); the gain is 10^x, and outliers become 1.
+    pairs, x_i = (S_i - B / (n - 1)) / (n - 2); the gain is 10^x, and outliers become 1.  A
+    solution that lacks a pair, or has one without a positive real part, has null gains.
     """
     keys = list(keys)
     ends = _both_ends(vis, keys, F.log(F.when(F.col("re") > 0, F.col("re"))))
-    s = ends.groupBy(*keys, "ant").agg(F.sum("_v").alias("_s"))
+    s = ends.groupBy(*keys, "ant").agg(F.sum("_v").alias("_s"), F.count("_v").alias("_n"))
     # a solution has one row per antenna: the window below is bounded by the array size
     w = Window.partitionBy(*keys)
     x = (F.col("_s") - F.sum("_s").over(w) / 2 / (n_ants - 1)) / (n_ants - 2)
-    g = s.withColumn("gain", F.pow(F.lit(10.0), x))
+    complete = (F.min("_n").over(w) == n_ants - 1) & (F.count(F.lit(1)).over(w) == n_ants)
+    g = s.withColumn("gain", F.when(complete, F.pow(F.lit(10.0), x)))
     out = _reset_outliers(g, keys, "gain")
     return out.select(*keys, "ant", F.when(F.col("_o"), F.lit(1.0)).otherwise(F.col("gain")).alias("gain"))
 
@@ -84,23 +86,24 @@ def solve_gains(vis: DataFrame, n_ants: int, keys: Sequence[str] = ("t_idx",),
     """Iterative gain solution per snapshot (alternating per-antenna least squares).
 
     Pair sums of one snapshot become one array row; a task then solves its whole batch of
-    snapshots together.  A group is one snapshot, bounded by the array size.
+    snapshots together.  A group is one snapshot, bounded by the array size.  Pairs that are
+    missing stay out of the equations; an antenna without any pair has a gain of zero.
     """
     keys = list(keys)
-    n_pairs = n_ants * (n_ants - 1) // 2
-    upper = np.triu_indices(n_ants, 1)
-    cells = F.array_sort(F.collect_list(F.struct("baseline", "re", "im")))
-    snap = vis.groupBy(*keys).agg(cells.alias("_c")).select(
-        *keys, F.col("_c.re").alias("re"), F.col("_c.im").alias("im")).where(F.size("re") == n_pairs)
+    cells = F.array_sort(F.collect_list(F.struct("ant1", "ant2", "re", "im")))
+    snap = vis.groupBy(*keys).agg(cells.alias("_c")).select(*keys, *[F.col(f"_c.{c}").alias(c) for c in ("ant1", "ant2", "re", "im")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            m = np.zeros((len(b), n_ants, n_ants), dtype=complex)
-            m[:, upper[0], upper[1]] = np.stack(b["re"].to_numpy()) + 1j * np.stack(b["im"].to_numpy())
+            m, known = np.zeros((len(b), n_ants, n_ants), dtype=complex), np.zeros((len(b), n_ants, n_ants))
+            at = np.repeat(np.arange(len(b)), [len(x) for x in b["re"]])
+            p, q, re, im = (np.concatenate(b[c].to_list()) for c in ("ant1", "ant2", "re", "im"))
+            m[at, p, q], known[at, p, q] = re + 1j * im, 1.0
             m += m.conj().transpose(0, 2, 1)
-            g = _alternate(m, max_iterations, tolerance)
+            known += known.transpose(0, 2, 1)
+            g = _alternate(m, known, max_iterations, tolerance)
             inv = np.divide(1, g, out=np.zeros_like(g), where=g != 0)
             out = b[keys].loc[b.index.repeat(n_ants)].reset_index(drop=True)
             out["ant"] = np.tile(np.arange(n_ants, dtype="int32"), len(b))
@@ -113,8 +116,8 @@ def solve_gains(vis: DataFrame, n_ants: int, keys: Sequence[str] = ("t_idx",),
     return snap.mapInPandas(run, T.StructType(fields))
 
 
-def _alternate(m: np.ndarray, max_iterations: int, tolerance: float) -> np.ndarray:
-    """Fixed point of g_p = <m_p, g> / |g|^2 without the own term, for a batch of matrices.
+def _alternate(m: np.ndarray, known: np.ndarray, max_iterations: int, tolerance: float) -> np.ndarray:
+    """Fixed point of g_p = <m_p, g> / |g|^2 over the known pairs of p, for a batch of matrices.
 
     Even steps are averaged with the step before; a snapshot stops once its relative change
     falls below the tolerance, and its result is the iterate before the last.
@@ -122,8 +125,7 @@ def _alternate(m: np.ndarray, max_iterations: int, tolerance: float) -> np.ndarr
     g = np.ones(m.shape[:2], dtype=complex)
     result, active = g.copy(), np.ones(len(m), dtype=bool)
     for i in range(1, max_iterations):
-        weight = np.abs(g) ** 2
-        denom = weight.sum(1, keepdims=True) - weight
+        denom = np.einsum("kpq,kq->kp", known, np.abs(g) ** 2)
         numer = np.einsum("kqp,kq->kp", m.conj(), g)
         new = np.divide(numer, denom, out=np.zeros_like(g), where=denom != 0)
         result[active] = g[active]
@@ -216,11 +218,15 @@ def calibrator_windows(requests: DataFrame, transits: DataFrame, before_s: int,
 
     ``requests(request_id, from_s, to_s)``, ``transits(source, transit_s)``.  Per source the
     latest transit before the end is the candidate.  Requests are listed once per day they
-    touch, so the interval join is an equality join by day.
+    touch and transits are gathered into one sorted list per day and source, which is searched
+    in place, so that no pair is made for a transit that is not the answer.
     """
     r = requests.withColumn("_lo", F.col("from_s") + before_s).withColumn("_hi", F.col("to_s") - after_s)
     r = r.where("_lo < _hi").withColumn("_day", F.explode(F.sequence(
         F.floor(F.col("_lo") / bucket_s), F.floor(F.col("_hi") / bucket_s))))
-    t = transits.withColumn("_day", F.floor(F.col("transit_s") / bucket_s))
-    inside = r.join(t, "_day").where((F.col("transit_s") > F.col("_lo")) & (F.col("transit_s") < F.col("_hi")))
+    # distinct seconds of one source in one day: a bounded list
+    t = transits.groupBy("source", F.floor(F.col("transit_s") / bucket_s).alias("_day")).agg(
+        F.collect_set("transit_s").alias("_ts"))
+    latest = F.array_max(F.filter("_ts", lambda x: (x > F.col("_lo")) & (x < F.col("_hi"))))
+    inside = r.join(t, "_day").withColumn("transit_s", latest).where("transit_s IS NOT NULL")
     return inside.groupBy("request_id", "source").agg(F.max("transit_s").alias("transit_s"))

@@ -30,7 +30,8 @@ def triangle_with_fallback(pixels: DataFrame, noise: DataFrame, max_points: int
                            n_bins: int = 1024) -> DataFrame:
     """Triangle gate; blocks that keep more than ``max_points`` are sigma-clipped as well.
 
-    The decision is a column, so both cases are one plan.
+    The decision is a column, so both cases are one plan.  Blocks are treated by their load, as in
+    the survey's overload rule, so this is a step of its own and not part of the default chain.
     """
     kept = triangle_gate(pixels, n_bins)
     load = kept.where("power > 0").groupBy("iter").agg((F.count("*") > max_points).alias("_over"))
@@ -85,7 +86,8 @@ def denoise(pixels: DataFrame, noise: DataFrame, n_channels: int, n_times: int,
             steps: Sequence[str] = ("triangle", "pepper")) -> DataFrame:
     """Ordered list of filters by name; the default pair is the enabled one."""
     known = {
-        "triangle": lambda p: triangle_with_fallback(p, noise),
+        "triangle": triangle_gate,
+        "triangle_with_fallback": lambda p: triangle_with_fallback(p, noise),
         "pepper": lambda p: pepper(p, n_channels, n_times),
         "sigma_clip": lambda p: background(p, noise, 3.0, None),
         "background": lambda p: background(p, noise, 3.0, -50.0),

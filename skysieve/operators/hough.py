@@ -34,12 +34,11 @@ def segments(pixels: DataFrame, min_votes: int = 10, min_length: int = 5, max_ga
     bounded groups.
     """
     keys = list(keys)
-    lit = pixels.where("power > 0")
-    on_line = lit.select(*keys, "channel_sample", "time_idx", F.explode(
+    # votes combine map-side; only pixels on a cell with enough of them go on to the ordered step
+    full = votes(pixels, n_theta, keys).where(F.col("votes") >= min_votes).drop("votes")
+    on_line = pixels.where("power > 0").select(*keys, "channel_sample", "time_idx", F.explode(
         F.sequence(F.lit(0), F.lit(n_theta - 1))).alias("theta")).withColumn("rho", _rho("theta", n_theta))
-    # votes, gaps and segment numbers share one partitioning, so the cells are shuffled once
-    cell = Window.partitionBy(*keys, "theta", "rho")
-    on_line = on_line.withColumn("_votes", F.count("*").over(cell)).where(F.col("_votes") >= min_votes).drop("_votes")
+    on_line = on_line.join(full, [*keys, "theta", "rho"], "left_semi")
     a = _angle(F.col("theta"), n_theta)
     on_line = on_line.withColumn("pos", F.floor(
         F.col("channel_sample") * F.cos(a) - F.col("time_idx") * F.sin(a) + 0.5).cast("int"))

@@ -74,11 +74,15 @@ def payload_samples(packets: DataFrame, n_signals: int, iq: str = "iq") -> DataF
 def sequence_packets(packets: DataFrame, keys: Sequence[str], arrival: str, bucket: str, counter: str = "counter") -> DataFrame:
     """Absolute packet number across counter roll-overs, and the packets lost before each.
 
-    The counter has 24 bits; it restarts at zero, which adds one to the roll-over count.
+    The counter has 24 bits; it restarts at zero, which adds one to the roll-over count unless
+    the stream begins with it.
     """
-    r = running(packets, list(keys), [arrival], bucket, F.when(F.col(counter) == 0, 1).otherwise(0), "rollovers")
+    keys = list(keys)
+    start = packets.groupBy(*keys).agg(F.min_by(counter, arrival).alias("_start"))
+    r = running(packets, keys, [arrival], bucket, F.when(F.col(counter) == 0, 1).otherwise(0), "rollovers").join(start, keys)
+    r = r.withColumn("rollovers", F.col("rollovers") - F.when(F.col("_start") == 0, 1).otherwise(0)).drop("_start")
     r = r.withColumn("packet_no", F.col(counter) + F.shiftleft(F.col("rollovers").cast("bigint"), 24))
-    p = previous(r, list(keys), [arrival], bucket, {"_before": "packet_no"})
+    p = previous(r, keys, [arrival], bucket, {"_before": "packet_no"})
     return p.withColumn("lost", F.coalesce(F.greatest(F.lit(0), F.col("packet_no") - F.col("_before") - 1), F.lit(0))).drop("_before")
 
 

@@ -21,7 +21,8 @@ def kd_partition(pixels: DataFrame, n_channels: int, n_times: int, leaf: int = 4
     Adds ``node`` (coarse part, the unit of later per-task work), ``leaf`` and the leaf box.
     Parts above ``task_points`` pixels are split by distributed rounds of extents per node;
     what remains is finished inside tasks, so no task ever holds a larger part.  Low side is
-    ``<=``; boxes do not overlap.
+    ``<=``; boxes do not overlap.  Pixels in one place cannot be split and stay one leaf,
+    however many.
     """
     keys = list(keys)
     df = pixels.select(*keys, "channel_sample", "time_idx", "power")
@@ -29,7 +30,8 @@ def kd_partition(pixels: DataFrame, n_channels: int, n_times: int, leaf: int = 4
     for name, value in zip(BOX, (0.0, float(n_times), 0.0, float(n_channels))):
         df = df.withColumn(name, F.lit(value))
     while True:
-        top = df.groupBy(*keys, "node").count().agg(F.max("count")).first()[0] or 0
+        wide = (F.max("channel_sample") > F.min("channel_sample")) | (F.max("time_idx") > F.min("time_idx"))
+        top = df.groupBy(*keys, "node").agg(F.count("*").alias("n"), wide.alias("wide")).where("wide").agg(F.max("n")).first()[0] or 0
         if top <= task_points:
             break
         df = cut(_split_round(df, keys, task_points))
@@ -48,6 +50,8 @@ def kd_partition(pixels: DataFrame, n_channels: int, n_times: int, leaf: int = 4
             if len(i) <= leaf:
                 continue
             wide_c, wide_t = np.ptp(ch[i]), np.ptp(t[i])
+            if wide_c == 0 and wide_t == 0:
+                continue
             axis, x = (0, ch) if wide_c >= wide_t else (1, t)
             at = (x[i].min() + x[i].max()) / 2
             low = x[i] <= at
@@ -66,7 +70,8 @@ def _split_round(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """One distributed split of every node above ``limit``."""
     ext = df.groupBy(*keys, "node").agg(
         F.count("*").alias("_n"), F.min("channel_sample").alias("_c0"), F.max("channel_sample").alias("_c1"),
-        F.min("time_idx").alias("_t0"), F.max("time_idx").alias("_t1")).where(F.col("_n") > limit)
+        F.min("time_idx").alias("_t0"), F.max("time_idx").alias("_t1")).where(
+        (F.col("_n") > limit) & ((F.col("_c1") > F.col("_c0")) | (F.col("_t1") > F.col("_t0"))))
     ext = ext.withColumn("_axis", F.when(F.col("_c1") - F.col("_c0") >= F.col("_t1") - F.col("_t0"), 0).otherwise(1))
     ext = ext.withColumn("_at", F.when(F.col("_axis") == 0, (F.col("_c0") + F.col("_c1")) / 2).otherwise(
         (F.col("_t0") + F.col("_t1")) / 2)).select(*keys, "node", "_axis", "_at")

@@ -160,25 +160,17 @@ def merged_groups(clusters: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame
 def robust_lines(points: DataFrame, ident: Sequence[str], trials: int = 10, residual: float = 2.0) -> DataFrame:
     """Mark the pixels on the best of ``trials`` two-point lines time ~ channel (``inlier``).
 
-    Trial points are drawn by a hash of the pixel, so the draw does not depend on row order
-    or partitioning; most inliers wins, then the smaller squared error, then the first trial.
-    Points are spread over the draws and lines inside the task that combines them; what is
-    shuffled is one row per (group, draw).  Channel and time index must be below 65536.
+    Trial points are the pixels with the lowest and the highest hash of the trial, two different
+    ones wherever there are two, so the draw does not depend on row order or partitioning; most
+    inliers wins, then the smaller squared error, then the first trial.  Points are spread over
+    the draws and lines inside the task that combines them; what is shuffled is one row per
+    (group, draw).  A group whose trials all draw one channel keeps its pixels, none an inlier.
     """
     ident = list(ident)
-    # upper half: hash of (draw, pixel); lower half: the pixel itself, so one minimum draws it
-    pixel = F.shiftleft(F.col("channel_sample").cast("bigint"), 16).bitwiseOR(F.col("time_idx").cast("bigint"))
-    high = F.lit(-(1 << 32)).cast("bigint")
-    drawn = points.select(*ident, "channel_sample", "time_idx", F.explode(
-        F.sequence(F.lit(0), F.lit(2 * trials - 1))).alias("_j"))
-    drawn = drawn.groupBy(*ident, "_j").agg(
-        F.min(F.xxhash64("_j", "channel_sample", "time_idx").bitwiseAND(high).bitwiseOR(pixel)).alias("_p"))
-    low = F.col("_p").bitwiseAND(F.lit((1 << 32) - 1))
-    odd = F.col("_j") % 2 == 1
-    c, t = F.shiftright(low, 16).cast("double"), low.bitwiseAND(F.lit(0xFFFF)).cast("double")
-    pairs = drawn.groupBy(*ident, F.shiftright("_j", 1).alias("_k")).agg(*[
-        F.max(F.when(side, v)).alias(name)
-        for side, suffix in ((~odd, "0"), (odd, "1")) for v, name in ((c, "_c" + suffix), (t, "_t" + suffix))])
+    pixel = F.struct(F.xxhash64("_k", "channel_sample", "time_idx").alias("h"), F.col("channel_sample").alias("c"), F.col("time_idx").alias("t"))
+    drawn = points.select(*ident, "channel_sample", "time_idx", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("_k"))
+    pairs = drawn.groupBy(*ident, "_k").agg(F.min(pixel).alias("_a"), F.max(pixel).alias("_z")).select(
+        *ident, "_k", *[F.col(f"{side}.{v}").cast("double").alias(f"_{v}{i}") for i, side in enumerate(("_a", "_z")) for v in "ct"])
     lines = pairs.withColumn("_lm", F.try_divide(F.col("_t1") - F.col("_t0"), F.col("_c1") - F.col("_c0"))).select(
         *ident, "_k", "_lm", (F.col("_t0") - F.col("_lm") * F.col("_c0")).alias("_lb"))
     miss = F.abs(F.col("time_idx") - (F.col("_lm") * F.col("channel_sample") + F.col("_lb")))
@@ -187,7 +179,7 @@ def robust_lines(points: DataFrame, ident: Sequence[str], trials: int = 10, resi
         F.count("*").alias("_n"), F.sum(F.col("_d") * F.col("_d")).alias("_e"))
     best = scored.groupBy(*ident).agg(F.max_by(F.struct("_lm", "_lb"), F.struct(
         F.col("_n"), -F.col("_e"), -F.col("_k"))).alias("_l")).select(*ident, "_l.*")
-    return points.join(best, ident).withColumn("inlier", miss <= residual).drop("_lm", "_lb")
+    return points.join(best, ident, "left").withColumn("inlier", F.coalesce(miss <= residual, F.lit(False))).drop("_lm", "_lb")
 
 
 def streak_quality(points: DataFrame, ident: Sequence[str]) -> DataFrame:

@@ -37,16 +37,17 @@ def data_lines(points: DataFrame, pointings: DataFrame, tx_mhz: float, keys: Seq
 
 def messages(points: DataFrame, pointings: DataFrame, beam_noise: DataFrame, tx_mhz: float, target: str,
              integration_s: float, keys: Sequence[str] = ("track_id",), channel: str = "channel",
-             originator: str = "SURVEY") -> DataFrame:
+             originator: str = "SURVEY", comments: Sequence[str] = ()) -> DataFrame:
     """All lines of the message of every track with their order columns.
 
-    The order is (beam, section, time, detection, line); writing sorts inside a track only.
+    The creation date is the time of the track's last detection, so that a message made again is
+    the same; ``comments`` are lines of the header.  The order is (beam, section, time, detection, line); writing sorts inside a track only.
     """
     keys = list(keys)
     t = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     meta = beam_metadata(points, beam_noise, keys)
-    start = [F.lit("META_START"), F.format_string("COMMENT Data from Beam %d", F.col("beam_id")),
-             F.format_string("COMMENT Beam Noise %.6f", F.coalesce(F.col("beam_noise"), F.lit(0.0))), F.lit("TIME_SYSTEM = UTC"),
+    start = [F.lit("META_START"), F.format_string("COMMENT beam_id=%d", F.col("beam_id")),
+             F.format_string("COMMENT noise_power=%.6f", F.coalesce(F.col("beam_noise"), F.lit(0.0))), F.lit("TIME_SYSTEM = UTC"),
              F.concat(F.lit("START_TIME = "), F.date_format("start_time", t)),
              F.concat(F.lit("STOP_TIME  = "), F.date_format("stop_time", t)),
              F.lit("PARTICIPANT_1 = RX"), F.lit(f"PARTICIPANT_2 = {target}"), F.lit("PARTICIPANT_3 = TX"),
@@ -57,8 +58,9 @@ def messages(points: DataFrame, pointings: DataFrame, beam_noise: DataFrame, tx_
         return df.select(*keys, "beam_id", F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("time_sample"),
                          F.lit(0).cast("bigint").alias("event_id"), F.posexplode(F.array(*lines)).alias("line_no", "line"))
 
-    head = points.select(*keys).distinct().withColumn("beam_id", F.lit(-1))
-    head = fixed(head, 0, [*[F.lit(x) for x in HEADER], F.lit(f"ORIGINATOR = {originator}")])
+    head = points.groupBy(*keys).agg(F.max("time").alias("created")).withColumn("beam_id", F.lit(-1))
+    head = fixed(head, 0, [*[F.lit(x) for x in HEADER], *[F.lit(f"COMMENT {x}") for x in comments],
+                           F.concat(F.lit("CREATION_DATE = "), F.date_format("created", t)), F.lit(f"ORIGINATOR = {originator}")])
     body = data_lines(points, pointings, tx_mhz, keys, channel).select(
         *keys, "beam_id", F.lit(2).alias("section"), "time_sample", "event_id", "line_no", "line")
     return head.unionByName(fixed(meta, 1, start)).unionByName(body).unionByName(fixed(meta, 3, [F.lit("DATA_STOP")]))

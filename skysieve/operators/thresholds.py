@@ -241,7 +241,7 @@ THRESHOLDS: dict[str, Callable[..., DataFrame]] = {
 
 
 def above(pixels: DataFrame, thresholds: DataFrame, keys: Sequence[str] = IMAGE, strict: bool = False) -> DataFrame:
-    """Pixels that are not below their threshold."""
-    j = pixels.join(thresholds.select(*keys, "threshold"), list(keys))
+    """Pixels that are not below their threshold; images without one (flat, or not solved) keep all of theirs."""
+    j = pixels.join(thresholds.select(*keys, "threshold"), list(keys), "left")
     cond = F.col("power") > F.col("threshold") if strict else F.col("power") >= F.col("threshold")
-    return j.where(cond).drop("threshold")
+    return j.where(F.col("threshold").isNull() | cond).drop("threshold")

@@ -82,14 +82,14 @@ def beam_size(points: DataFrame, keys: Sequence[str] = ("track_id",)) -> DataFra
 
 def validity(tracks: DataFrame, linearity: float = 0.99, gradient: tuple[float, float] = GRADIENT,
              max_missing: float = 0.25, min_samples: int = 5, sure_beams: int = 5) -> DataFrame:
-    """Ordered validity rules with the reason of the first one that fails."""
+    """Ordered validity rules with the first one that fails as ``reason``."""
     reason = (
         F.when(F.col("activated_beams") > sure_beams, F.lit(None))
-        .when(F.col("activated_beams") < 1, F.lit("Not enough unique beams"))
-        .when((F.col("n_channels") < min_samples) | (F.col("track_size") < min_samples), F.lit("Not enough unique samples"))
-        .when(~F.coalesce(F.abs("r") >= linearity, F.lit(False)), F.lit("Track is not linear"))
-        .when(~F.coalesce(F.col("gradient").between(gradient[1], gradient[0]), F.lit(False)), F.lit("Gradient is not within valid range"))
-        .when(F.col("missing") > max_missing, F.lit("High missing score"))
+        .when(F.col("activated_beams") < 1, F.lit("beams"))
+        .when((F.col("n_channels") < min_samples) | (F.col("track_size") < min_samples), F.lit("samples"))
+        .when(~F.coalesce(F.abs("r") >= linearity, F.lit(False)), F.lit("linearity"))
+        .when(~F.coalesce(F.col("gradient").between(gradient[1], gradient[0]), F.lit(False)), F.lit("gradient"))
+        .when(F.col("missing") > max_missing, F.lit("missing"))
     )
     return tracks.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 

@@ -26,8 +26,11 @@ def cleaned_pixels(pixels: DataFrame, n_channels: int, n_times: int, n_noise_blo
     # the rolling step reads the block noise twice: write that small table, not the pixels, again
     noise = cut(nz.rolling_noise(cut(nz.channel_noise(pixels)), n_noise_blocks))
     # thresholds read the pixels three times (range, histogram, gate): subtract the noise once
-    above = cut(nz.sparse(nz.subtract_noise(pixels, noise)))
-    return dn.denoise(above, noise, n_channels, n_times, filters), noise
+    image = cut(nz.subtract_noise(pixels, noise))
+    # filters before the first neighbourhood filter see the whole image, negative values included
+    at = filters.index("pepper") if "pepper" in filters else len(filters)
+    sparse = nz.sparse(dn.denoise(image, noise, n_channels, n_times, filters[:at]))
+    return dn.denoise(sparse, noise, n_channels, n_times, filters[at:]), noise
 
 
 def beam_level(noise: DataFrame) -> DataFrame:

@@ -35,13 +35,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (local tests) gets a folder of its own.
+    Only a local session may go without that setting and gets a folder of its own: on a cluster
+    each executor would write to its own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skysieve-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

@@ -64,7 +64,9 @@ class _FrameReader(DataSourceReader):
         out, pack, load, frame = [], [], 0, 0
         step = max(1, self.split // self.frame_bytes)
         for path, size in _list(self.root):
-            n = size // self.frame_bytes
+            n, rest = divmod(size, self.frame_bytes)
+            if rest:
+                raise ValueError(f"{path} ends within a frame: {size} bytes, {self.frame_bytes} to a frame")
             a, z = max(frame, self.lo), frame + n if self.hi is None else min(frame + n, self.hi)
             for f in range(a, z, step):
                 m = min(step, z - f)

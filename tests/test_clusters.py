@@ -152,3 +152,19 @@ def test_robust_lines_ignore_outliers_and_order(spark):
     inl = {(r.channel_sample, r.time_idx) for r in a.where("inlier").collect()}
     assert len(inl & {(100 - t // 2, t) for t in range(80)}) >= 76
     assert inl == {(r.channel_sample, r.time_idx) for r in b.where("inlier").collect()}
+
+
+def test_partition_of_equal_pixels_ends(spark):
+    """More pixels in one place than a leaf or a task may hold."""
+    rows = [(0, 0, 5, 7, 1.0)] * 300 + [(0, 0, c, c, 1.0) for c in range(20)]
+    df = spark.createDataFrame(rows, PIXELS)
+    for limit in (20_000, 50):
+        got = pt.kd_partition(df, 128, 160, task_points=limit).groupBy("leaf").count().collect()
+        assert sum(r["count"] for r in got) == 320 and max(r["count"] for r in got) >= 300
+
+
+def test_groups_without_a_line_stay(spark):
+    df = spark.createDataFrame([(0, 0, 1, 5, t, 1.0) for t in range(4)] + [(0, 0, 2, 100_000 + t, 70_000 + t, 1.0) for t in range(5)],
+                               "iter bigint, beam_id int, group_id bigint, channel_sample int, time_idx int, power double")
+    got = st.robust_lines(df, ["iter", "beam_id", "group_id"]).collect()
+    assert len(got) == 9 and all(r.inlier == (r.group_id == 2) for r in got)

@@ -76,27 +76,22 @@ def test_cfar(picture):
     assert cells(image.cfar_peaks(df, NC, NT)) == want
 
 
-def loop_valley(h):
-    x = np.asarray(h, float)
-    for _ in range(10000):
-        x = np.array([(x[max(i - 1, 0)] + x[i] + x[min(i + 1, len(x) - 1)]) / 3 for i in range(len(x))])
-        up, peaks = True, []
-        for i in range(len(x) - 1):
-            if up and x[i + 1] < x[i]:
-                up = False
-                peaks.append(i)
-            elif not up and x[i + 1] > x[i]:
-                up = True
-        if len(peaks) < 3:
-            return peaks[0] + int(np.argmin(x[peaks[0]: peaks[1] + 1])) if len(peaks) == 2 else None
-    return None
+def smoothed_valley(h):
+    """Lowest bin between the two tops left by repeated 3-bin means, tops found as ends of rising runs."""
+    x, smooth = np.asarray(h, float), np.ones(3) / 3
+    while True:
+        x = np.convolve(np.pad(x, 1, mode="edge"), smooth, mode="valid")
+        moves = [(i, s) for i, s in enumerate(np.sign(np.diff(x))) if s]
+        tops = [i for (i, s), (_, before) in zip(moves, [(-1, 1.0), *moves]) if s < 0 < before]
+        if len(tops) < 3:
+            return tops[0] + int(x[tops[0]:tops[1] + 1].argmin()) if len(tops) == 2 else None
 
 
 def test_minimum_threshold():
     rng = np.random.default_rng(2)
     for _ in range(5):
         h = np.histogram(np.concatenate([rng.normal(20, 5, 300), rng.normal(60, 6, 200)]), 64, (0, 80))[0]
-        assert th._valleys(np.array([h], float))[0] == loop_valley(h)
+        assert th._valleys(np.array([h], float))[0] == smoothed_valley(h)
 
 
 def test_minimum_threshold_on_spark(spark):
@@ -105,7 +100,7 @@ def test_minimum_threshold_on_spark(spark):
     df = spark.createDataFrame([(0, 0, float(x)) for x in v], "iter bigint, beam_id int, power double")
     h, edges = np.histogram(v, 64)
     row = th.minimum(df, 64).first()
-    assert np.isclose(row.threshold, (edges[:-1] + edges[1:])[loop_valley(h)] / 2)
+    assert np.isclose(row.threshold, (edges[:-1] + edges[1:])[smoothed_valley(h)] / 2)
 
 
 def test_flat_image_has_threshold_one(spark):
@@ -124,3 +119,9 @@ def test_empty_prediction_scores_zero_precision(spark):
     t = spark.createDataFrame([(0, 1, 1)], "img int, channel_sample int, time_idx int")
     s = ev.scores(ev.confusion(t, t.limit(0), ["img"], 100), 100).first()
     assert (s.tp, s.fp, s.fn, s.tn, s.precision) == (0, 0, 1, 99, 0.0)
+
+
+def test_images_without_a_threshold_keep_their_pixels(spark):
+    df = spark.createDataFrame([(0, 0, 5.0)] * 4 + [(0, 1, float(x)) for x in range(50)], "iter bigint, beam_id int, power double")
+    got = th.above(df, th.otsu(df)).groupBy("beam_id").count().collect()
+    assert {r.beam_id: r["count"] for r in got}[0] == 4

@@ -126,3 +126,36 @@ def test_calibrated_power_counts_overlapping_ends_twice(spark):
     row = bf.calibrated_beam_power(df).select("noise").first()
     p = np.arange(1.0, 121)
     assert np.isclose(row.noise, np.concatenate([p[:100], p[-50:]]).mean())
+
+
+def test_iterative_gains_with_missing_pairs(spark):
+    g = RNG.uniform(0.5, 2, 6) * np.exp(1j * RNG.uniform(-1, 1, 6))
+    full = vis_of(spark, g)
+    part = full.where("NOT (ant1 = 1 AND ant2 = 4) AND NOT (ant1 = 0 AND ant2 = 2)").withColumn("t_idx", full.t_idx + 1)
+    rows = cal.solve_gains(full.unionByName(part), 6).orderBy("t_idx", "ant").collect()
+    assert len(rows) == 12
+    for t in (0, 1):
+        solved = np.array([r.re + 1j * r.im for r in rows if r.t_idx == t])
+        ratio, alt = solved * g.conj(), solved * g
+        assert min(np.std(ratio / ratio[0]), np.std(alt / alt[0])) < 1e-6
+
+
+def test_amplitude_solution_of_incomplete_pairs_is_null(spark):
+    g = RNG.uniform(0.9, 1.1, 5).astype(complex)
+    good = vis_of(spark, g)
+    lacking = good.where("baseline <> 3").withColumn("t_idx", good.t_idx + 1)
+    negative = good.selectExpr("t_idx + 2 AS t_idx", "ant1", "ant2", "baseline", "IF(baseline = 0, -re, re) AS re", "im")
+    out = cal.solve_gain_amplitudes(good.unionByName(lacking).unionByName(negative), 5).collect()
+    assert len(out) == 15 and all((r.gain is None) == (r.t_idx > 0) for r in out)
+
+
+def test_beams_of_several_sub_bands_and_polarisations(spark):
+    v = spark.createDataFrame([(s, a, p, 1.0 + p, 0.0) for s in range(3) for a in range(2) for p in range(2)],
+                              "sample long, ant int, pol int, re double, im double")
+    w = spark.createDataFrame([(b, a, u, p, 1.0 + u, 0.0) for b in range(2) for a in range(2) for u in range(2) for p in range(2)],
+                              "beam_id int, ant int, sub int, pol int, re double, im double")
+    out = bf.beamform(v, w).collect()
+    assert len(out) == 3 * 2 * 2 * 2
+    assert all(r.re == 2 * (1 + r.pol) * (1 + r.sub) for r in out)
+    with pytest.raises(ValueError, match="several weights"):
+        bf.weight_matrix(w)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from skysieve.operators import packets as pk
 from skysieve.sinks import tables as sinks
@@ -62,3 +63,10 @@ def test_complex_text(spark):
 def test_skip_by_seconds(spark):
     df = spark.range(20).withColumnRenamed("id", "iter")
     assert [r.iter for r in files.block_range(df, skip_seconds=4.0, seconds=6.0, block_seconds=2.0).collect()] == [2, 3, 4]
+
+
+def test_partial_frames_are_an_error(spark, tmp_path):
+    (tmp_path / "obs_0.dat").write_bytes(b"\0" * (3 * 8 * 2 + 5))
+    df = raw.register(spark).read.format("voltage_raw").option("path", str(tmp_path)).option("nants", 2).option("blocksamples", 2).load()
+    with pytest.raises(Exception, match="ends within a frame"):
+        df.count()

@@ -169,6 +169,6 @@ def test_messages_are_ordered_per_track(spark, tmp_path):
     message_files(tdm.messages(pts, info, info, 410.0, "X", 0.1), str(tmp_path / "tdm"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "tdm" / "track_id=7")).collect()]
     assert lines[0] == "CCSDS_TDM_VERS = 1.0" and lines.count("META_START") == 2 and lines[-1] == "DATA_STOP"
-    assert lines.index("COMMENT Data from Beam 1") < lines.index("COMMENT Data from Beam 2")
+    assert lines.index("COMMENT beam_id=1") < lines.index("COMMENT beam_id=2")
     angles = [x for x in lines if x.startswith("ANGLE_1")]
     assert angles == sorted(angles[:2]) + angles[2:]
