@@ -298,6 +298,19 @@ def _(p):
     return PIPELINES["streak_detection"](p, NC, NT, n_noise_blocks=3, filters=("pepper",))
 
 
+@query("e4_track_points", "fx_streaks")
+def _(p):
+    """Pixels of two observations to detections that carry their track."""
+    from skysieve.operators.noise import channel_noise, rolling_noise, subtract_noise
+    p = p.withColumn("obs_id", F.col("beam_id") % 2)
+    channel = ["obs_id", "iter", "beam_id", "channel_sample"]
+    noise = rolling_noise(channel_noise(p, channel), 3, ["obs_id", "beam_id", "channel_sample"])
+    blocks = p.select("obs_id", "iter").distinct().withColumn("t0_us", F.col("iter") * 15339168)
+    t = PIPELINES["track_points"](subtract_noise(p, noise, channel), noise, blocks, NC, NT, 410.0, 0.00001043, SAMPLING_TIME,
+                                  filters=("pepper",), gradient=(-1.0, -291.47), warm_up=0)
+    return t.select("obs_id", "iter", "beam_id", "time_sample", "channel_sample", "track")
+
+
 @query("e4_dbscan_detection", "fx_streaks")
 def _(p):
     return PIPELINES["dbscan_detection"](p, NC, NT, CHANNEL_HZ, SAMPLING_TIME, linearity=0.8, gradient=(-1.0, -291.47))

@@ -18,13 +18,13 @@ GRADIENT = (-57.0, -291.47)
 
 
 def to_detections(pixels: DataFrame, beam_noise: DataFrame, blocks: DataFrame, start_mhz: float, channel_mhz: float,
-                  sampling_time: float, block_len: int = 160) -> DataFrame:
+                  sampling_time: float, block_len: int = 160, obs: Sequence[str] = ()) -> DataFrame:
     """Cluster pixels in physical units: time, frequency, SNR and global sample number.
 
-    ``beam_noise(iter, beam_id, beam_noise)``, ``blocks(iter, t0_us)``.
+    ``beam_noise(obs, iter, beam_id, beam_noise)``, ``blocks(obs, iter, t0_us)``.
     """
-    j = pixels.join(beam_noise.select("iter", "beam_id", "beam_noise"), ["iter", "beam_id"]).join(
-        blocks.select("iter", "t0_us"), "iter")
+    beam, block = [*obs, "iter", "beam_id"], [*obs, "iter"]
+    j = pixels.join(beam_noise.select(*beam, "beam_noise"), beam).join(blocks.select(*block, "t0_us"), block)
     return (
         j.withColumn("time_sample", units.global_sample("iter", "time_idx", block_len))
         .withColumn("time_us", units.sample_micros("t0_us", "time_idx", sampling_time))

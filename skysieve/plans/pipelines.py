@@ -20,21 +20,105 @@ def power_pixels(voltages: DataFrame, weights: DataFrame, n_chans: int, n_taps:
                        bf.power().alias("power"))
 
 
+def beam_strips(frames: DataFrame, weights: DataFrame, keys: Sequence[str] = ("obs_id", "iter")) -> DataFrame:
+    """Dense frames ``(keys, sample, re[], im[])`` to one row per block and beam with arrays over samples.
+
+    One matrix product per batch of frames, then one shuffle of the beams; a row is a block.
+    """
+    beams = bf.beamform_frames(frames, weights, [*keys, "sample"])
+    one = beams.select(*keys, "sample", F.posexplode(F.arrays_zip("re", "im")).alias("beam_id", "_v"))
+    rows = one.groupBy(*keys, "beam_id").agg(F.array_sort(F.collect_list(F.struct("sample", "_v.re", "_v.im"))).alias("_c"))
+    return rows.select(*keys, "beam_id", F.col("_c.re").alias("re"), F.col("_c.im").alias("im"))
+
+
+def dense_pixels(frames: DataFrame, weights: DataFrame, n_chans: int, n_taps: int, n_noise_blocks: int = 10,
+                 obs: str = "obs_id") -> tuple[DataFrame, DataFrame]:
+    """Frames of any number of observations to noise-free pixels and the noise table.
+
+    Beams, spectra, power and noise stay arrays with one row per channel of a block; pixels are
+    made last, with the noise of their row already in it.
+    """
+    strips = ch.channelise_strips(beam_strips(frames, weights, (obs, "iter")), n_chans, n_taps, (obs, "beam_id"))
+    power = F.zip_with("re", "im", lambda re, im: bf.power(re, im))
+    rows = cut(nz.strip_noise(strips.select(obs, "iter", "beam_id", F.col("channel").alias("channel_sample"), power.alias("power"))))
+    noise = cut(nz.rolling_noise(rows.drop("power"), n_noise_blocks, (obs, "beam_id", "channel_sample")))
+    channel = [obs, "iter", "beam_id", "channel_sample"]
+    level = rows.join(noise.select(*channel, "channel_noise"), channel)
+    above = F.transform("power", lambda p: p - F.col("channel_noise"))
+    return level.select(*channel, F.posexplode(above).alias("time_idx", "power")), noise
+
+
 def cleaned_pixels(pixels: DataFrame, n_channels: int, n_times: int, n_noise_blocks: int = 10,
-                   filters: Sequence[str] = ("triangle", "pepper")) -> tuple[DataFrame, DataFrame]:
+                   filters: Sequence[str] = ("triangle", "pepper"), obs: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Noise estimate, subtraction and filters; returns the pixels and the noise table."""
+    channel = [*obs, "iter", "beam_id", "channel_sample"]
     # the rolling step reads the block noise twice: write that small table, not the pixels, again
-    noise = cut(nz.rolling_noise(cut(nz.channel_noise(pixels)), n_noise_blocks))
+    noise = cut(nz.rolling_noise(cut(nz.channel_noise(pixels, channel)), n_noise_blocks, [*obs, "beam_id", "channel_sample"]))
+    return filtered(nz.subtract_noise(pixels, noise, channel), noise, n_channels, n_times, filters, obs), noise
+
+
+def filtered(pixels: DataFrame, noise: DataFrame, n_channels: int, n_times: int, filters: Sequence[str] = ("triangle", "pepper"),
+             obs: Sequence[str] = ()) -> DataFrame:
+    """Noise-free pixels through the filters, down to the sparse image."""
+    keys = [*obs, "iter", "beam_id"]
     # thresholds read the pixels three times (range, histogram, gate): subtract the noise once
-    image = cut(nz.subtract_noise(pixels, noise))
+    image = cut(pixels)
     # filters before the first neighbourhood filter see the whole image, negative values included
     at = filters.index("pepper") if "pepper" in filters else len(filters)
-    sparse = nz.sparse(dn.denoise(image, noise, n_channels, n_times, filters[:at]))
-    return dn.denoise(sparse, noise, n_channels, n_times, filters[at:]), noise
+    sparse = nz.sparse(dn.denoise(image, noise, n_channels, n_times, filters[:at], keys))
+    return dn.denoise(sparse, noise, n_channels, n_times, filters[at:], keys)
+
+
+def beam_level(noise: DataFrame, obs: Sequence[str] = ()) -> DataFrame:
+    keys = [*obs, "iter", "beam_id"]
+    return nz.beam_noise(noise, keys, "channel_noise").select(*keys, "beam_noise")
+
+
+def streak_clusters(pixels: DataFrame, level: DataFrame, n_channels: int, n_times: int, keys: Sequence[str], channel_hz: float,
+                    sampling_time: float, gradient=tr.GRADIENT) -> DataFrame:
+    """Pixels of valid streaks as clusters; the streak rules know no physical units."""
+    found = st.detect_streaks(pixels, level, n_channels, n_times, keys)
+    return found.withColumn("cluster_id", F.col("streak").cast("bigint")).drop("streak", "group_id")
+
+
+def density_clusters(pixels: DataFrame, level: DataFrame, n_channels: int, n_times: int, keys: Sequence[str],
+                     channel_hz: float, sampling_time: float, gradient=tr.GRADIENT, linearity: float = 0.99) -> DataFrame:
+    """Pixels of valid density clusters."""
+    clusters = cut(db.dbscan(pixels, n_channels, n_times, keys=keys))
+    ok = db.valid_clusters(db.cluster_fits(clusters, keys), channel_hz, sampling_time, linearity, gradient)
+    return clusters.join(ok.select(*keys, "cluster_id"), [*keys, "cluster_id"], "left_semi")
+
+
+DETECTORS: dict[str, Callable[..., DataFrame]] = {"streaks": streak_clusters, "dbscan": density_clusters}
+
+
+def track_points(pixels: DataFrame, noise: DataFrame, blocks: DataFrame, n_channels: int, n_times: int, start_mhz: float,
+                 channel_mhz: float, sampling_time: float, detector: str = "streaks", filters: Sequence[str] = ("triangle", "pepper"),
+                 gradient=tr.GRADIENT, obs: str = "obs_id", warm_up: int = 2, **options) -> DataFrame:
+    """Noise-free pixels to detections that carry their observation's ``track``.
+
+    Filters, detector, detections in physical units and order-free association, all keyed by the
+    observation; ``blocks(obs, iter, t0_us)`` has the start of each block.
+    """
+    keys = [obs, "iter", "beam_id"]
+    level = cut(beam_level(noise, [obs]))
+    clean = nz.skip_warm_up(filtered(pixels, noise, n_channels, n_times, filters, [obs]), warm_up)
+    clusters = DETECTORS[detector](clean, level, n_channels, n_times, keys, channel_mhz * 1e6, sampling_time, gradient, **options)
+    d = tr.to_detections(clusters, level, blocks, start_mhz, channel_mhz, sampling_time, n_times, [obs])
+    d = cut(d.withColumn("cluster", F.concat_ws(":", "iter", "beam_id", "cluster_id")).withColumn(
+        "event_id", F.col("channel_sample").cast("bigint")).withColumn("time", F.timestamp_micros("time_us")))
+    table = cut(tr.cluster_table(d, [obs, "iter", "cluster"], sampling_time, channel_mhz * 1e6))
+    tracks = tr.associate(table, [obs], "cluster", gradient=gradient).select(obs, "cluster", "track")
+    return tr.best_detections(d.join(tracks, [obs, "cluster"]), (obs, "track", "time_sample", "beam_id"))
 
 
-def beam_level(noise: DataFrame) -> DataFrame:
-    return nz.beam_noise(noise, column="channel_noise").select("iter", "beam_id", "beam_noise")
+def track_table(points: DataFrame, blocks: DataFrame, sampling_time: float, channel_mhz: float, gradient=tr.GRADIENT,
+                obs: str = "obs_id", **rules) -> DataFrame:
+    """One row per track with its validity and life-cycle status at the end of the observation."""
+    tracks = tr.validity(tr.summary(points, [obs, "track"], sampling_time, channel_mhz * 1e6), gradient=gradient, **rules)
+    last = points.groupBy(obs, "track").agg((F.max("time_us") / 1e6).alias("last_s"))
+    end = blocks.groupBy(obs).agg((F.max("t0_us") / 1e6).alias("end_s"))
+    return tr.life_cycle(tracks.join(last, [obs, "track"]).join(end, obs), "end_s", "last_s")
 
 
 def streak_detection(pixels: DataFrame, n_channels: int, n_times: int, **kw) -> DataFrame:
@@ -78,4 +162,5 @@ def truncate(voltages: DataFrame, first: int, last: int, column: str = "iter") -
 PIPELINES: dict[str, Callable[..., DataFrame]] = {
     "streak_detection": streak_detection, "dbscan_detection": dbscan_detection, "standalone_beams": standalone_beams,
     "correlation": correlation, "channelised_correlation": channelised_correlation, "truncate": truncate,
+    "power_pixels": power_pixels, "dense_pixels": dense_pixels, "track_points": track_points, "track_table": track_table,
 }

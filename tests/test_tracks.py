@@ -172,3 +172,37 @@ def test_messages_are_ordered_per_track(spark, tmp_path):
     assert lines.index("COMMENT beam_id=1") < lines.index("COMMENT beam_id=2")
     angles = [x for x in lines if x.startswith("ANGLE_1")]
     assert angles == sorted(angles[:2]) + angles[2:]
+
+
+def tone_frames(spark, obs, drift, n_blocks=6, seed=0):
+    """Frames of two antennas with a tone that drifts from block to block, in noise."""
+    import numpy as np
+    rng, rows, n = np.random.default_rng(seed), [], 64 * 40
+    t = np.arange(n_blocks * n)
+    phase = 2 * np.pi * np.cumsum((40 - drift * t / 64) / 64 - 0.5)
+    x = 6 * np.exp(1j * phase)[:, None] + (rng.normal(size=(len(t), 2)) + 1j * rng.normal(size=(len(t), 2)))
+    for i in range(len(t)):
+        rows.append((obs, int(i // n), int(i), x[i].real.tolist(), x[i].imag.tolist()))
+    return spark.createDataFrame(rows, "obs_id string, iter long, sample long, re array<double>, im array<double>")
+
+
+def test_voltages_to_tracks_of_two_observations(spark):
+    """Both observations together give what each gives alone, a drifting tone becomes one falling track."""
+    from skysieve.plans import pipelines as pl
+    from skysieve.session import cut
+    weights = spark.createDataFrame([(b, a, 1.0, 0.0) for b in range(2) for a in range(2)], "beam_id int, ant int, re double, im double")
+    a, b = cut(tone_frames(spark, "a", 0.1, seed=1)), cut(tone_frames(spark, "b", 0.1, seed=2))
+
+    def tracks(frames):
+        pixels, noise = pl.dense_pixels(frames, weights, 64, 4, 3)
+        blocks = frames.select("obs_id", "iter").distinct().withColumn("t0_us", F.col("iter") * 40_000_000)
+        points = cut(pl.track_points(pixels, noise, blocks, 64, 40, 400.0, 1e-6, 1.0, detector="dbscan", gradient=(-0.01, -5.0),
+                                     warm_up=1, linearity=0.5))
+        table = pl.track_table(points, blocks, 1.0, 1e-6, (-0.01, -5.0), linearity=0.5, max_missing=1.0)
+        return sorted(map(str, points.drop("track").collect())), {(r.obs_id, r.track, r.status, round(r.gradient, 6)) for r in table.collect()}
+
+    pa, ta = tracks(a)
+    pb, tb = tracks(b)
+    both, table = tracks(a.unionByName(b))
+    assert pa and pb and both == sorted(pa + pb)
+    assert table == ta | tb and all(-0.3 < g < -0.03 for *_, g in table)
