@@ -322,9 +322,11 @@ def _(p):
 
 @query("p18_loose_validity", "fx_streaks", """
     SELECT iter, beam_id, cluster_id, COUNT(*) AS n, ROUND(CORR(channel_sample, time_idx), 6) AS r
-    FROM vx_dbscan GROUP BY 1, 2, 3 HAVING COUNT(*) >= 5 AND CORR(channel_sample, time_idx) < -0.9""", "vx_dbscan")
+    FROM vx_dbscan GROUP BY 1, 2, 3 HAVING CORR(channel_sample, time_idx) < -0.9 AND (COUNT(*) >= 5
+      OR (COUNT(*) = 4 AND 1 - ABS(CORR(channel_sample, time_idx)) <= 0.05)
+      OR (COUNT(*) = 3 AND 1 - 2 * ASIN(LEAST(ABS(CORR(channel_sample, time_idx)), 1)) / PI() <= 0.05))""", "vx_dbscan")
 def _(p):
-    fits = db.loosely_valid(db.cluster_fits(db.dbscan(p, NC, NT), ["iter", "beam_id"])).where("n >= 5")
+    fits = db.loosely_valid(db.cluster_fits(db.dbscan(p, NC, NT), ["iter", "beam_id"]))
     return rounded(fits, "r", 6).select("iter", "beam_id", "cluster_id", "n", "r")
 
 

@@ -203,6 +203,18 @@ def _(e):
     return log.groupBy("name").agg(F.count("*").alias("n"), F.count_if(F.col("level") == "WARNING").alias("warnings"))
 
 
+@query("x7_heartbeat", "events", """
+    SELECT 'event-log' AS name, CAST(COUNT(*) AS DOUBLE) AS rows FROM events""")
+def _(e):
+    """Input rows of all triggers of a named stream."""
+    src = e.select(F.col("event_type").alias("event"), "event_id", "value")
+    log = stt.event_log(sb.block_stream(e.sparkSession, _land(src, "hb"), src.schema, 1))
+    q = log.writeStream.format("noop").queryName("event-log").trigger(availableNow=True).option(
+        "checkpointLocation", scratch_path(e.sparkSession, "hb-cp")).start()
+    q.awaitTermination()
+    return stt.progress_rows(e.sparkSession, q).groupBy("name").agg(F.sum("rows").alias("rows"))
+
+
 @query("x7_metrics_stream", "fx_voltages", f"""
     SELECT CAST(sample // {BLOCK} AS BIGINT) AS iter, ant, ROUND(SQRT(AVG(re * re + im * im)), 5) AS rms
     FROM fx_voltages WHERE (sample // {BLOCK}) % 10 = 0 GROUP BY 1, 2""")

@@ -107,6 +107,13 @@ def _(s):
     return sc.pending(s, NOW).select("obs_id", "start_s").limit(1)
 
 
+@query("t3_latest_configuration", "vx_sched", """
+    SELECT station, obs_id, start_s, status FROM vx_sched
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY station ORDER BY start_s DESC, obs_id DESC) = 1""")
+def _(s):
+    return mo.latest_per(s.select("station", "obs_id", "start_s", "status"), ["station"], ["start_s", "obs_id"])
+
+
 @query("p23_request_checks", "vx_sched", f"""
     WITH q AS (SELECT obs_id, CASE WHEN obs_id % 11 = 0 THEN NULL ELSE 'obs' END AS name, start_s,
                       CASE WHEN obs_id % 13 = 0 THEN start_s - 5 ELSE end_s END AS end_s, 'detection' AS pipeline FROM vx_sched),

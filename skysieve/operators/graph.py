@@ -72,13 +72,14 @@ def _is_star_forest(e: DataFrame, keys: list[str]) -> bool:
 
 def _large_star(e: DataFrame, keys: list[str]) -> DataFrame:
     both = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # written, so that both sides of the join are plain shuffles and the rows of a hub can be split
+    low = cut(both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
     return both.join(low, keys + ["u"]).where("v > u").select(
         *keys, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(e: DataFrame, keys: list[str]) -> DataFrame:
-    low = e.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+    low = cut(e.groupBy(*keys, "u").agg(F.min("v").alias("m")))
     moved = e.join(low, keys + ["u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
     own = low.select(*keys, "u", F.col("m").alias("v"))
     return moved.unionByName(own).where("u <> v").distinct()

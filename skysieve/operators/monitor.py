@@ -79,6 +79,13 @@ def nearest(df: DataFrame, keys, value: str, target) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(value, F.struct(F.abs(F.col(value) - target), F.col(value))).alias(value))
 
 
+def latest_per(df: DataFrame, keys, order) -> DataFrame:
+    """Newest row of each key, such as the configuration in force; an aggregate, so it combines before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_n"))
+    return newest.select(*keys, *[F.col("_n").getField(c).alias(c) for c in rest])
+
+
 def first_per(df: DataFrame, keys, order) -> DataFrame:
     """First record per key in the given order."""
     rest = [c for c in df.columns if c not in keys]

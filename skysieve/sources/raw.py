@@ -11,7 +11,9 @@ through pyarrow file systems: local folders and shared stores alike.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +52,9 @@ class FrameRanges(InputPartition):
 
 
 class _FrameReader(DataSourceReader):
-    """Splits a file set into ranges of whole frames."""
+    """Splits a file set into ranges of whole frames; bounds on ``bounded`` become frame ranges."""
 
-    frame_bytes = 0
+    frame_bytes, bounded, per_value = 0, "", 1  # column and how many frames one value of it has
 
     def __init__(self, options):
         self.root = options["path"]
@@ -78,6 +80,20 @@ class _FrameReader(DataSourceReader):
             frame += n
         return [*out, FrameRanges(pack)]
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Everything but bounds on the one column stays with Spark."""
+        for f in filters:
+            if getattr(f, "attribute", None) != (self.bounded,) or not isinstance(
+                    f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                yield f
+                continue
+            low = {EqualTo: f.value, GreaterThanOrEqual: f.value, GreaterThan: f.value + 1}.get(type(f))
+            top = {EqualTo: f.value + 1, LessThanOrEqual: f.value + 1, LessThan: f.value}.get(type(f))
+            if low is not None:
+                self.lo = max(self.lo, low * self.per_value)
+            if top is not None:
+                self.hi = top * self.per_value if self.hi is None else min(self.hi, top * self.per_value)
+
     def _frames(self, ranges: FrameRanges) -> Iterator[tuple[int, np.ndarray]]:
         """(first frame, 32-bit floats of the frames) in pieces of bounded size."""
         fs, _ = _filesystem(self.root)
@@ -94,21 +110,7 @@ class VoltageReader(_FrameReader):
     def __init__(self, options):
         super().__init__(options)
         self.n_ants, self.block = int(options["nants"]), int(options["blocksamples"])
-        self.frame_bytes = self.n_ants * 8
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds on ``iter`` become frame ranges; everything else stays with Spark."""
-        for f in filters:
-            if getattr(f, "attribute", None) != ("iter",) or not isinstance(
-                    f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
-                yield f
-                continue
-            low = {EqualTo: f.value, GreaterThanOrEqual: f.value, GreaterThan: f.value + 1}.get(type(f))
-            top = {EqualTo: f.value + 1, LessThanOrEqual: f.value + 1, LessThan: f.value}.get(type(f))
-            if low is not None:
-                self.lo = max(self.lo, low * self.block)
-            if top is not None:
-                self.hi = top * self.block if self.hi is None else min(self.hi, top * self.block)
+        self.frame_bytes, self.bounded, self.per_value = self.n_ants * 8, "iter", self.block
 
     def read(self, partition: FrameRanges):
         for first, x in self._frames(partition):
@@ -121,16 +123,51 @@ class VoltageReader(_FrameReader):
                 pa.ListArray.from_arrays(ends, pa.array(part[:, :, 1].ravel()))], names=["iter", "sample", "re", "im"])
 
 
-class VoltageWriter(DataSourceArrowWriter):
+@dataclass
+class Written(WriterCommitMessage):
+    """Files of one task: where they are and what they are to be called."""
+
+    files: list[tuple[str, str]]
+
+
+class _Staged(DataSourceArrowWriter):
+    """Tasks write under names of their own; files get their names only when the whole job is done."""
+
+    def __init__(self, options, overwrite: bool):
+        self.root, self.overwrite = options["path"], overwrite
+
+    def _open(self, fs, root: str, name: str, files: list[tuple[str, str]]):
+        files.append((f"{root}/.{name}-{uuid.uuid4().hex}.part", f"{root}/{name}"))
+        return fs.open_output_stream(files[-1][0])
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        fs, root = _filesystem(self.root)
+        fs.create_dir(root, recursive=True)
+        if self.overwrite:
+            for path, _ in _list(self.root):
+                fs.delete_file(path)
+        for m in messages:
+            for part, name in m.files if m else ():
+                fs.move(part, name)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        fs, _ = _filesystem(self.root)
+        for m in messages:
+            for part, _ in m.files if m else ():
+                fs.delete_file(part)
+
+
+class VoltageWriter(_Staged):
     """One file per group of blocks; rows must arrive sorted with a group in one task."""
 
-    def __init__(self, options):
-        self.root, self.group = options["path"], int(options.get("blocksperfile", 4))
+    def __init__(self, options, overwrite: bool = False):
+        super().__init__(options, overwrite)
+        self.group = int(options.get("blocksperfile", 4))
 
     def write(self, batches) -> WriterCommitMessage:
         fs, root = _filesystem(self.root)
         fs.create_dir(root, recursive=True)
-        current, out = None, None
+        current, out, files = None, None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -143,11 +180,11 @@ class VoltageWriter(DataSourceArrowWriter):
                     if out:
                         out.close()
                     current = number[a]
-                    out = fs.open_output_stream(f"{root}/raw_{current}.dat")
+                    out = self._open(fs, root, f"raw_{current}.dat", files)
                 out.write(frames[a:z].tobytes())
         if out:
             out.close()
-        return WriterCommitMessage()
+        return Written(files)
 
 
 class VoltageRaw(DataSource):
@@ -162,14 +199,14 @@ class VoltageRaw(DataSource):
         return VoltageReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return VoltageWriter(self.options)
+        return VoltageWriter(self.options, overwrite)
 
 
 class BeamReader(_FrameReader):
     def __init__(self, options):
         super().__init__(options)
         self.n_chans, self.n_beams = int(options["nchans"]), int(options["nbeams"])
-        self.frame_bytes = self.n_chans * self.n_beams * 4
+        self.frame_bytes, self.bounded = self.n_chans * self.n_beams * 4, "time_idx"
 
     def read(self, partition: FrameRanges):
         for first, frames in self._frames(partition):
@@ -181,23 +218,20 @@ class BeamReader(_FrameReader):
                 names=["time_idx", "channel", "power"])
 
 
-class BeamWriter(DataSourceArrowWriter):
+class BeamWriter(_Staged):
     """Writes (time, channel) rows in order; one task writes one file."""
 
-    def __init__(self, options):
-        self.root = options["path"]
-
     def write(self, batches) -> WriterCommitMessage:
         fs, root = _filesystem(self.root)
         fs.create_dir(root, recursive=True)
-        out = None
+        out, files = None, []
         for batch in batches:
             if batch.num_rows:
-                out = out or fs.open_output_stream(f"{root}/beam_{batch.column('time_idx')[0].as_py()}.dat")
+                out = out or self._open(fs, root, f"beam_{batch.column('time_idx')[0].as_py()}.dat", files)
                 out.write(np.asarray(batch.column("power").flatten()).astype("<f4").tobytes())
         if out:
             out.close()
-        return WriterCommitMessage()
+        return Written(files)
 
 
 class BeamRaw(DataSource):
@@ -212,7 +246,7 @@ class BeamRaw(DataSource):
         return BeamReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return BeamWriter(self.options)
+        return BeamWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> SparkSession:

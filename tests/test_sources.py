@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
 from skysieve.operators import packets as pk
 from skysieve.sinks import tables as sinks
 from skysieve.sources import files, raw, tables
@@ -70,3 +71,28 @@ def test_partial_frames_are_an_error(spark, tmp_path):
     df = raw.register(spark).read.format("voltage_raw").option("path", str(tmp_path)).option("nants", 2).option("blocksamples", 2).load()
     with pytest.raises(Exception, match="ends within a frame"):
         df.count()
+
+
+def test_beam_bounds_prune_the_scan(tmp_path):
+    from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
+
+    (tmp_path / "beam_0.dat").write_bytes(b"\0" * (20 * 3 * 2 * 4))
+    reader = raw.BeamReader({"path": str(tmp_path), "nchans": "3", "nbeams": "2"})
+    assert list(reader.pushFilters([GreaterThanOrEqual(("time_idx",), 5), LessThan(("time_idx",), 9), LessThan(("channel",), 1)])) == [
+        LessThan(("channel",), 1)]
+    assert [(f, m) for p in reader.partitions() for _, _, f, m in p.ranges] == [(5, 4)]
+
+
+def test_binary_sink_shows_whole_jobs_only(spark, tmp_path):
+    raw.register(spark)
+    frames = spark.range(8).selectExpr("id div 2 AS iter", "id AS sample", "array(float(id), float(0)) AS re", "array(float(1), float(2)) AS im")
+    write = lambda df, mode: df.coalesce(1).write.format("voltage_raw").option("path", str(tmp_path)).option(
+        "nants", 2).option("blocksamples", 2).option("blocksperfile", 1).mode(mode).save()
+    write(frames, "append")
+    names = lambda: sorted(p.name for p in tmp_path.iterdir())
+    assert names() == [f"raw_{i}.dat" for i in range(4)]
+    with pytest.raises(Exception):
+        write(frames.withColumn("sample", F.when(F.col("iter") < 2, F.col("sample")).otherwise(F.raise_error(F.lit("lost")))), "append")
+    assert [n for n in names() if n.endswith(".dat")] == [f"raw_{i}.dat" for i in range(4)]
+    write(frames.where("iter < 2"), "overwrite")
+    assert [n for n in names() if n.endswith(".dat")] == ["raw_0.dat", "raw_1.dat"]
