@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skysieve.llm.text import boxed, field, unboxed, whole
+from skysieve.llm.text import boxed, field, filtered_scans, unboxed, whole
 from skysieve.operators.graph import connected_components, local_components
 from skysieve.session import cut
 
@@ -309,12 +309,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     row with the smallest ``doc_id`` (null last) stands for it.  Texts without words are copies of
     each other.
     """
-    found = _near(docs, shingle, similarity, bands, rows, most, text)
+    base, groups = _near(docs, shingle, similarity, bands, rows, most, text)
+    found = base.join(groups, base["_f.same"] == groups["same"])
     return unboxed(found, docs.columns, {"row": F.col("_row"), "group": F.col("_group")})
 
 
-def _near(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int, most: int, text: str) -> DataFrame:
-    """The boxed rows with ``_row`` and ``_group``."""
+def _near(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int, most: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """The boxed rows with ``_row`` and features, and ``(same, _group)`` of each distinct text."""
     order = F.struct(field("doc_id").isNull().alias("none"), field("doc_id").alias("id"), F.col("_row").alias("row"))
     base = boxed(docs).withColumn("_f", _features(shingle, bands, rows)(whole(field(text))))
     base = cut(base.withColumn("_row", F.monotonically_increasing_id()), "features")
@@ -325,8 +326,9 @@ def _near(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: in
     two = links(by_fp.select("fp"), 2).join(by_fp.toDF("src", "a"), "src").join(by_fp.toDF("dst", "b"), "dst").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = cut(_candidates(nodes, most).unionByName(two).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-    texts = cut(base.join(wanted, "_row", "left_semi").select("_row", whole(field(text)).alias("t")), "pair-texts")
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "pair-rows").where("_row >= 0")
+    with filtered_scans(docs.sparkSession):  # texts outside pairs are not shuffled
+        texts = cut(base.join(wanted, "_row", "left_semi").select("_row", whole(field(text)).alias("t")), "pair-texts")
 
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
@@ -342,12 +344,16 @@ def _near(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: in
     rooted = cut(copies.select("same", "first", F.col("first.row").alias("row")).join(joined, "row", "left").select(
         "same", "first", F.coalesce("root", "row").alias("root")), "near-rooted")
     stands = cut(rooted.groupBy("root").agg(F.min("first").alias("best")), "near-groups")
-    groups = cut(rooted.join(stands, "root").select("same", F.col("best.row").alias("_group")), "near-groups")
-    return base.join(groups, base["_f.same"] == groups["same"]).select("__row__", "_row", "_group")
+    return base, cut(rooted.join(stands, "root").select("same", F.col("best.row").alias("_group")), "near-groups")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 5,
                  most: int = 22, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their groups."""
-    found = _near(docs, shingle, similarity, bands, rows, most, text)
-    return unboxed(found.where("_row = _group"), docs.columns, {})
+    """The rows of ``docs`` that stand for their groups.
+
+    The rows that go are usually few: those are joined, by broadcast while Spark sees that they are small.
+    """
+    base, groups = _near(docs, shingle, similarity, bands, rows, most, text)
+    thin = base.select("_row", F.col("_f.same").alias("same"))
+    gone = cut(thin.join(groups, "same").where("_row <> _group").select("_row"), "near-gone")
+    return unboxed(base.join(gone, "_row", "left_anti"), docs.columns, {})

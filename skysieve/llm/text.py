@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -43,3 +44,15 @@ def n_words(text: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also where lambdas in ``body`` use it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+@contextmanager
+def filtered_scans(spark: SparkSession) -> Iterator[None]:
+    """Let Spark put its Bloom filter of a join's small side, bounded by its own settings, on scans of any size."""
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
