@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skysieve.llm import tokens
-from skysieve.llm.text import n_words, whole
-from skysieve.session import scratch_path
+from skysieve.llm.text import filtered_scans, n_words, whole
+from skysieve.session import cut, scratch_path
 
 WORDS, BYTE_BPE = "words-1", "byte_bpe_50k-1"
 _KEY = ["doc_id", "tokenizer"]
@@ -92,7 +92,10 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.lit("delete").alias("op"), "doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"),
         both, F.lit(None).cast("long").alias("n_tokens"))
     store.commit(2, gone)
-    poor = docs.join(known.where("quality = 0 AND coalesce(toxic, 0) <> 1").select("doc_id"), "doc_id")
+    # any id passes the last condition; with it Spark takes the side for selective and filters the scan by it
+    ids = cut(known.where("quality = 0 AND coalesce(toxic, 0) <> 1").select("doc_id"), "poor").where(F.col("doc_id") >= -(1 << 63))
+    poor = docs.select("doc_id", "source", "lang", "text").join(ids, "doc_id")
     lines = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
-    store.commit(3, counted(poor.withColumn("text", lines)).withColumn("op", F.lit("revise")))
+    with filtered_scans(docs.sparkSession):  # texts of other documents are not shuffled
+        store.commit(3, counted(poor.withColumn("text", lines)).withColumn("op", F.lit("revise")))
     return store.totals()
