@@ -25,6 +25,8 @@ _SHARD = 8192  # fingerprints searched as one tree
 _ROWS = 1 << 18  # rows of small shards searched together
 _PAIRS = 1 << 21  # pairs compared at once
 _FAN = 8
+_BITS = 1024  # of a parity bitmap
+_WINDOWS = ((0, 16), (16, 256), (256, 1 << 62))  # places of partners tried in one round
 
 
 # fingerprints ---------------------------------------------------------------------------------
@@ -239,11 +241,13 @@ def _features(shingle: int, bands: int, rows: int):
         out = []
         for t in texts:
             h = shingle_hashes(t, shingle)
+            distinct = np.unique(h)
+            parity = np.packbits(np.bincount((distinct & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1, bitorder="little")
             same = xxhash.xxh3_128_hexdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()))
-            out.append((same, int(simhash(h).view(np.int64)), keys(h).view(np.int64) if len(h) else np.zeros(0, np.int64)))
-        return pd.DataFrame(out, columns=["same", "fp", "bands"])
+            out.append((same, int(simhash(h).view(np.int64)), keys(h).view(np.int64) if len(h) else np.zeros(0, np.int64), len(distinct), parity.tobytes()))
+        return pd.DataFrame(out, columns=["same", "fp", "bands", "size", "parity"])
 
-    return F.pandas_udf(run, "same string, fp long, bands array<long>")
+    return F.pandas_udf(run, "same string, fp long, bands array<long>, size long, parity binary")
 
 
 def _shard_pairs(cols: list[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
@@ -280,14 +284,15 @@ def _candidates(nodes: DataFrame, most: int) -> DataFrame:
     """``(a, b)``: pairs of rows that share a shard and differ in at most ``most`` bits, linear in the rows.
 
     Shards of more than a few thousand rows are dealt into blocks twice; each block names its most
-    central row and all rows of the shard meet the most central of these.
+    central row and all rows of the shard meet the most central of these.  What blocks keep apart
+    is left to ``_open_tiles``.
     """
     keyed = nodes.select("row", "fp", F.explode("bands").alias("shard"))
     counts = cut(keyed.groupBy("shard").count().where("count > 1"), "shard-sizes")
     blocks = F.ceil(F.col("count") / _SHARD)
     salts = F.when(F.col("count") <= _SHARD, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
     rows = cut(keyed.join(counts, "shard").select("*", F.explode(salts).alias("salt")).select(
-        "shard", (F.pmod(F.xxhash64("row", "salt"), blocks) * 2 + F.col("salt")).alias("block"),
+        "shard", (F.pmod(F.xxhash64("shard", "row", "salt"), blocks) * 2 + F.col("salt")).alias("block"),
         (F.col("count") <= _SHARD).cast("long").alias("alone"), "fp", "row"), "shard-rows")
     found = cut(rows.repartition("shard", "block").sortWithinPartitions("shard", "block", "row").mapInArrow(
         _by_group(lambda c: _shard_pairs(c, most), 2), "shard long, a long, b long, off long"), "shard-pairs")
@@ -297,6 +302,61 @@ def _candidates(nodes: DataFrame, most: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _open_pairs(cols: list[np.ndarray], similarity: float, window: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different roots in each tile that can have the similarity; a pair of -1 if a later window has more.
+
+    Every element of the difference of two sets flips one bit of their parity bitmaps, so bitmaps
+    differ in no more bits than the sets in elements; no pair of the similarity is left out.  The
+    window is of places among all such partners of a row, which do not depend on roots.
+    """
+    shard, tile, side, row, root, size, parity = cols
+    gid = _group_ids([shard, tile])
+    starts = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]]))
+    bits = np.frombuffer(b"".join(parity), "<u8").reshape(len(row), -1)
+    share, out, more = (1 - similarity) / (1 + similarity), [], False
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(gid)).tolist()):
+        if (root[a:b] == root[a]).all():
+            continue
+        one_block = tile[a] < 0
+        middle = b if one_block else a + int(np.searchsorted(side[a:b], 1))
+        other = np.arange(a, b) if one_block else np.arange(middle, b)
+        if not len(other):
+            continue
+        step = max(1, (_PAIRS >> 1) // len(other))
+        for s in range(a, middle, step):
+            mine = np.arange(s, min(s + step, middle))
+            apart = np.zeros((len(mine), len(other)), np.int16)
+            for w in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[mine, w][:, None] ^ bits[other, w])
+            x, y = size[mine][:, None], size[other]
+            near = (apart <= share * (x + y) + 1e-6) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6)
+            if one_block:
+                near &= other > mine[:, None]
+            place = np.cumsum(near, 1)
+            near &= (place > window[0]) & (root[mine][:, None] != root[other])
+            more |= bool((near & (place > window[1])).any())
+            i, j = np.nonzero(near & (place <= window[1]))
+            if len(i):
+                out.append((row[mine[i]], row[other[j]]))
+    if more:
+        out.append((np.array([-1]), np.array([-1])))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b"])
+
+
+def _open_tiles(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the shards dealt into blocks that hold more than one root, for each pair of blocks they are in."""
+    keyed = nodes.select("row", F.explode("bands").alias("shard")).join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    counts = cut(keyed.groupBy("shard").agg(F.count("*").alias("count"), F.min("root").alias("low"), F.max("root").alias("high")).where(
+        f"low <> high AND count > {_SHARD}").select("shard", F.ceil(F.col("count") / max(1, _SHARD // 2)).alias("blocks")), "open-shards")
+    block, other = F.pmod(F.xxhash64("shard", "row"), F.col("blocks")), F.explode(F.expr("sequence(0L, blocks - 1)"))
+    dealt = keyed.join(counts, "shard").select("shard", "row", "root", "blocks", block.alias("block"), other.alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    tile = F.when(F.col("block") == F.col("other"), -1 - F.col("block")).otherwise(low * F.col("blocks") + high)
+    return dealt.select("shard", tile.alias("tile"), (F.col("block") > F.col("other")).cast("long").alias("side"), "row", "root").join(
+        nodes.select("row", "size", "parity"), "row").select("shard", "tile", "side", "row", "root", "size", "parity")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 5,
                     most: int = 22, text: str = "text") -> DataFrame:
     """``docs`` with ``row``, a number of the row, and ``group``, the row that stands for its group.
@@ -321,14 +381,11 @@ def _near(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: in
     base = cut(base.withColumn("_row", F.monotonically_increasing_id()), "features")
     copies = cut(base.groupBy(F.col("_f.same").alias("same")).agg(F.min(order).alias("first")), "copies")
     nodes = cut(base.join(copies.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(
-        F.col("_row").alias("row"), "_f.fp", "_f.bands"), "nodes")
+        F.col("_row").alias("row"), "_f.fp", "_f.bands", "_f.size", "_f.parity"), "nodes")
     by_fp = cut(nodes.groupBy("fp").agg(F.min("row").alias("row")), "node-fingerprints")
     two = links(by_fp.select("fp"), 2).join(by_fp.toDF("src", "a"), "src").join(by_fp.toDF("dst", "b"), "dst").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = cut(_candidates(nodes, most).unionByName(two).distinct(), "pairs")
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "pair-rows").where("_row >= 0")
-    with filtered_scans(docs.sparkSession):  # texts outside pairs are not shuffled
-        texts = cut(base.join(wanted, "_row", "left_semi").select("_row", whole(field(text)).alias("t")), "pair-texts")
 
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
@@ -338,9 +395,28 @@ def _near(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: in
             out.append(both >= similarity * (len(s) + len(t) - both) - 1e-9)
         return pd.Series(out, dtype=bool)
 
-    linked = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").where(
-        F.pandas_udf(alike, "boolean")("ta", "tb")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    joined = cut(connected_components(linked).select(F.col("node").alias("row"), F.col("component").alias("root")), "near-roots")
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "pair-rows").where("_row >= 0")
+        with filtered_scans(docs.sparkSession):  # texts outside pairs are not shuffled
+            texts = cut(base.join(wanted, "_row", "left_semi").select("_row", whole(field(text)).alias("t")), "pair-texts")
+        return cut(pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").where(
+            F.pandas_udf(alike, "boolean")("ta", "tb")).select(F.col("a").alias("src"), F.col("b").alias("dst")), "near-links")
+
+    def rooted_rows(linked: DataFrame) -> DataFrame:
+        return cut(connected_components(linked).select(F.col("node").alias("row"), F.col("component").alias("root")), "near-roots")
+
+    linked = verified(pairs)
+    joined = rooted_rows(linked)
+    for window in _WINDOWS:  # until no pair of different roots in a shard is untried
+        tiles = _open_tiles(nodes, joined).repartition("shard", "tile").sortWithinPartitions("shard", "tile", "side", "row")
+        found = cut(tiles.mapInArrow(_by_group(lambda c, w=window: _open_pairs(c, similarity, w), 2), "a long, b long"), "open-pairs")
+        fresh = cut(found.where("a >= 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(
+            pairs, ["a", "b"], "left_anti"), "fresh-pairs")
+        if not fresh.isEmpty():
+            linked, pairs = linked.unionByName(verified(fresh)), pairs.unionByName(fresh)
+            joined = rooted_rows(linked)
+        if found.where("a < 0").isEmpty():
+            break
     rooted = cut(copies.select("same", "first", F.col("first.row").alias("row")).join(joined, "row", "left").select(
         "same", "first", F.coalesce("root", "row").alias("root")), "near-rooted")
     stands = cut(rooted.groupBy("root").agg(F.min("first").alias("best")), "near-groups")

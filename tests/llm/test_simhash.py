@@ -117,3 +117,28 @@ def test_near_duplicates(frame, monkeypatch):
     blocks = {r.doc_id: r.group for r in simhash.near_duplicates(frame(rows)).collect()}
     assert 0 <= len(set(blocks.values())) - len(set(labels.tolist())) <= 2
     assert simhash.deduplicated(frame([])).count() == 0
+
+
+def groups(df, **kw):
+    found = {}
+    for r in simhash.near_duplicates(df, **kw).collect():
+        found.setdefault(r.group, set()).add(r.doc_id)
+    return sorted(map(sorted, found.values()))
+
+
+def brute_groups(docs):
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if similarity(docs[i], docs[j]) >= 0.8]
+    labels = local_components(len(docs), np.array([i for i, _ in pairs]), np.array([j for _, j in pairs])).tolist()
+    return sorted([i for i, c in enumerate(labels) if c == label] for label in set(labels))
+
+
+def test_hot_shards_lose_no_link(frame, monkeypatch):
+    """Near copies among texts of one template, whose shards are many times the size of a block."""
+    monkeypatch.setattr(simhash, "_SHARD", 16)
+    template, docs = prose(1, 160), []
+    for i in range(150):
+        own = prose(2000 + i, 60)
+        docs += [template + own, template + edited(own, 2, i)]
+    want = brute_groups(docs)
+    assert len(want) == 150
+    assert groups(frame([(i, " ".join(w)) for i, w in enumerate(docs)]), bands=6, rows=1) == want
