@@ -284,7 +284,7 @@ def _candidates(nodes: DataFrame, most: int) -> DataFrame:
     """``(a, b)``: pairs of rows that share a shard and differ in at most ``most`` bits, linear in the rows.
 
     Shards of more than a few thousand rows are dealt into blocks twice; each block names its most
-    central row and all rows of the shard meet the most central of these.  What blocks keep apart
+    central row and all rows of the shard meet the most central of these.  What this leaves apart
     is left to ``_open_tiles``.
     """
     keyed = nodes.select("row", "fp", F.explode("bands").alias("shard"))
@@ -345,10 +345,10 @@ def _open_pairs(cols: list[np.ndarray], similarity: float, window: tuple[int, in
 
 
 def _open_tiles(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of the shards dealt into blocks that hold more than one root, for each pair of blocks they are in."""
+    """Rows of the shards that hold more than one root, for each pair of blocks they are in."""
     keyed = nodes.select("row", F.explode("bands").alias("shard")).join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
     counts = cut(keyed.groupBy("shard").agg(F.count("*").alias("count"), F.min("root").alias("low"), F.max("root").alias("high")).where(
-        f"low <> high AND count > {_SHARD}").select("shard", F.ceil(F.col("count") / max(1, _SHARD // 2)).alias("blocks")), "open-shards")
+        "low <> high").select("shard", F.ceil(F.col("count") / max(1, _SHARD // 2)).alias("blocks")), "open-shards")
     block, other = F.pmod(F.xxhash64("shard", "row"), F.col("blocks")), F.explode(F.expr("sequence(0L, blocks - 1)"))
     dealt = keyed.join(counts, "shard").select("shard", "row", "root", "blocks", block.alias("block"), other.alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")

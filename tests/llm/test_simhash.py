@@ -142,3 +142,18 @@ def test_hot_shards_lose_no_link(frame, monkeypatch):
     want = brute_groups(docs)
     assert len(want) == 150
     assert groups(frame([(i, " ".join(w)) for i, w in enumerate(docs)]), bands=6, rows=1) == want
+
+
+def test_small_shards_lose_no_link(frame):
+    """Two clusters of close variants that only one pair joins, which is neither nearest nor central."""
+    docs = []
+    for i in range(40):
+        a = prose(3000 + i, 200)
+        b = [f"b{j}" if j in range(10, 50, 10) else w for j, w in enumerate(a)]  # joined by the two originals
+        for base, at in ((a, 100), (b, 150)):
+            docs.append(base)
+            docs += [[f"v{at + k}" if j == at + 10 * k else w for j, w in enumerate(base)] for k in range(4)]
+    assert similarity(docs[0], docs[5]) >= 0.8 > max(similarity(docs[x], docs[y]) for x in range(5) for y in range(5, 10) if (x, y) != (0, 5))
+    want = brute_groups(docs)
+    assert len(want) == 40
+    assert groups(frame([(i, " ".join(w)) for i, w in enumerate(docs)])) == want
