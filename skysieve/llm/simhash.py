@@ -244,13 +244,13 @@ def _features(shingle: int, bands: int, rows: int):
             distinct = np.unique(h)
             parity = np.packbits(np.bincount((distinct & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1, bitorder="little")
             same = xxhash.xxh3_128_hexdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()))
-            out.append((same, int(simhash(h).view(np.int64)), keys(h).view(np.int64) if len(h) else np.zeros(0, np.int64), len(distinct), parity.tobytes()))
+            out.append((same, int(simhash(distinct).view(np.int64)), keys(h).view(np.int64) if len(h) else np.zeros(0, np.int64), len(distinct), parity.tobytes()))
         return pd.DataFrame(out, columns=["same", "fp", "bands", "size", "parity"])
 
     return F.pandas_udf(run, "same string, fp long, bands array<long>, size long, parity binary")
 
 
-def _shard_pairs(cols: list[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
+def _shard_pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each shard: every member with its two nearest and with the shard's most central member."""
     shard, block, alone, fp, row = cols
     gid, fp = _group_ids([shard, block]), fp.view(np.uint64)
@@ -268,11 +268,11 @@ def _shard_pairs(cols: list[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
                 d[np.arange(len(d)), np.arange(s, s + len(d))] = 999
                 for _ in range(2):
                     at = d.argmin(1)
-                    ok = np.flatnonzero(d[np.arange(len(d)), at] <= most)
+                    ok = np.flatnonzero(d[np.arange(len(d)), at] < 999)
                     out.append((shard[a] + np.zeros(len(ok), np.int64), r[s + ok], r[at[ok]], np.zeros(len(ok), np.int64)))
                     d[np.arange(len(d)), at] = 999
         if alone[a]:
-            ok = np.flatnonzero((np.bitwise_count(f ^ f[middle]) <= most) & (np.arange(n) != middle))
+            ok = np.flatnonzero(np.arange(n) != middle)
             out.append((np.full(len(ok), shard[a]), r[ok], np.full(len(ok), r[middle]), np.zeros(len(ok), np.int64)))
         else:
             out.append((shard[a:a + 1], r[middle:middle + 1], r[middle:middle + 1], np.array([1 + int(off[middle])], np.int64)))
@@ -280,8 +280,8 @@ def _shard_pairs(cols: list[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["shard", "a", "b", "off"])
 
 
-def _candidates(nodes: DataFrame, most: int) -> DataFrame:
-    """``(a, b)``: pairs of rows that share a shard and differ in at most ``most`` bits, linear in the rows.
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """``(a, b)``: pairs of rows that share a shard, linear in the rows; fingerprints only say which come first.
 
     Shards of more than a few thousand rows are dealt into blocks twice; each block names its most
     central row and all rows of the shard meet the most central of these.  What this leaves apart
@@ -295,7 +295,7 @@ def _candidates(nodes: DataFrame, most: int) -> DataFrame:
         "shard", (F.pmod(F.xxhash64("shard", "row", "salt"), blocks) * 2 + F.col("salt")).alias("block"),
         (F.col("count") <= _SHARD).cast("long").alias("alone"), "fp", "row"), "shard-rows")
     found = cut(rows.repartition("shard", "block").sortWithinPartitions("shard", "block", "row").mapInArrow(
-        _by_group(lambda c: _shard_pairs(c, most), 2), "shard long, a long, b long, off long"), "shard-pairs")
+        _by_group(_shard_pairs, 2), "shard long, a long, b long, off long"), "shard-pairs")
     middle = cut(found.where("off > 0").groupBy("shard").agg(F.min_by("a", F.struct("off", "a")).alias("b")), "shard-middles")
     far = rows.where("alone = 0").join(middle, "shard").select(F.col("row").alias("a"), "b")
     pairs = found.where("off = 0").select("a", "b").unionByName(far).where("a <> b")
@@ -358,23 +358,24 @@ def _open_tiles(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 5,
-                    most: int = 22, text: str = "text") -> DataFrame:
+                    text: str = "text") -> DataFrame:
     """``docs`` with ``row``, a number of the row, and ``group``, the row that stands for its group.
 
     Texts with the same words are copies.  Others are linked if their sets of word shingles have
     the given Jaccard similarity, counted exactly for candidates: fingerprints within 2 bits
-    from the hierarchical index and, since fingerprints of texts of similarity 0.8 differ in about
-    ten bits, the nearest ones in shards keyed by bands of minimum shingle hashes (a pair of
-    similarity 0.8 shares a shard with probability 0.9996).  A group is what links connect; its
+    from the hierarchical index and the rows of shards keyed by bands of minimum shingle hashes (a
+    pair of similarity 0.8 shares a shard with probability 0.9996), nearest fingerprints first, then
+    all between groups that their parity bitmaps do not rule out.  Fingerprints here are of distinct
+    shingles, like the similarity.  A group is what links connect; its
     row with the smallest ``doc_id`` (null last) stands for it.  Texts without words are copies of
     each other.
     """
-    base, groups = _near(docs, shingle, similarity, bands, rows, most, text)
+    base, groups = _near(docs, shingle, similarity, bands, rows, text)
     found = base.join(groups, base["_f.same"] == groups["same"])
     return unboxed(found, docs.columns, {"row": F.col("_row"), "group": F.col("_group")})
 
 
-def _near(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int, most: int, text: str) -> tuple[DataFrame, DataFrame]:
+def _near(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int, text: str) -> tuple[DataFrame, DataFrame]:
     """The boxed rows with ``_row`` and features, and ``(same, _group)`` of each distinct text."""
     order = F.struct(field("doc_id").isNull().alias("none"), field("doc_id").alias("id"), F.col("_row").alias("row"))
     base = boxed(docs).withColumn("_f", _features(shingle, bands, rows)(whole(field(text))))
@@ -385,7 +386,7 @@ def _near(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: in
     by_fp = cut(nodes.groupBy("fp").agg(F.min("row").alias("row")), "node-fingerprints")
     two = links(by_fp.select("fp"), 2).join(by_fp.toDF("src", "a"), "src").join(by_fp.toDF("dst", "b"), "dst").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(_candidates(nodes, most).unionByName(two).distinct(), "pairs")
+    pairs = cut(_candidates(nodes).unionByName(two).distinct(), "pairs")
 
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
@@ -424,12 +425,12 @@ def _near(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: in
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 5,
-                 most: int = 22, text: str = "text") -> DataFrame:
+                 text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their groups.
 
     The rows that go are usually few: those are joined, by broadcast while Spark sees that they are small.
     """
-    base, groups = _near(docs, shingle, similarity, bands, rows, most, text)
+    base, groups = _near(docs, shingle, similarity, bands, rows, text)
     thin = base.select("_row", F.col("_f.same").alias("same"))
     gone = cut(thin.join(groups, "same").where("_row <> _group").select("_row"), "near-gone")
     return unboxed(base.join(gone, "_row", "left_anti"), docs.columns, {})

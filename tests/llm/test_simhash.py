@@ -157,3 +157,16 @@ def test_small_shards_lose_no_link(frame):
     want = brute_groups(docs)
     assert len(want) == 40
     assert groups(frame([(i, " ".join(w)) for i, w in enumerate(docs)])) == want
+
+
+def test_repeated_lines_lose_no_link(frame):
+    """A line added many times changes fingerprints of counted shingles, but hardly the set of shingles."""
+    docs = []
+    for i in range(20):
+        words, line = prose(5000 + i, 400), prose(6000 + i, 5)
+        at = random.Random(i).sample(range(400), 19)
+        docs += [words + line, words + line * 19, [w for j, x in enumerate(words) for w in (*(line if j in at[:3] else []), x)]]
+    want = brute_groups(docs)
+    assert len(want) == 20
+    assert groups(frame([(i, " ".join(w)) for i, w in enumerate(docs)])) == want
+    assert groups(frame([(0, " ".join(docs[0])), (1, " ".join(docs[1]))])) == [[0, 1]]
