@@ -104,3 +104,22 @@ def search(k: int = 10, n_terms: int = 16) -> str:
         top AS (SELECT query_id, doc_id, score, row_number() OVER (
             PARTITION BY query_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM sc)
         SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, round(score, 6) AS score FROM top WHERE rank <= {k}"""
+
+
+def ranked() -> str:
+    """The 50 best documents of each benchmark item."""
+    found = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+            "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {found} AS ts FROM documents),
+        stat AS (SELECT count(*) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
+        tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ts) AS term FROM d) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+            FROM tf, stat GROUP BY term, n),
+        q AS (SELECT DISTINCT item_id, unnest({found}) AS term FROM benchmark),
+        s AS (SELECT item_id, tf.rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (
+                50 + (50 * len(ts) * n) // l)))) AS BIGINT) AS score
+            FROM q JOIN tf USING (term) JOIN w USING (term) JOIN d ON d.rid = tf.rid CROSS JOIN stat
+            GROUP BY item_id, tf.rid, doc_id),
+        r AS (SELECT item_id, doc_id, score, row_number() OVER (
+            PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50"""
