@@ -101,12 +101,13 @@ def fit(docs: DataFrame, labels: DataFrame, learnt: Column | None = None, label:
     these labels, the hinge-loss model is fitted on ``sample`` of them at most.  Rows of a repeated
     id each count; ids with a null label, another value or labels that disagree teach nothing.
     """
-    told = cut(known(labels, F.lit(True) if learnt is None else learnt, label).withColumn("at", F.xxhash64("doc_id")), "labels")
+    learnt = F.lit(True) if learnt is None else learnt
+    told = cut(known(labels, learnt, label).withColumn("at", F.xxhash64("doc_id")), "labels").where("label >= 0")
     last = told.select("at").orderBy("at").limit(sample).agg(F.max("at")).first()[0]
     if last is None:
         return _flat(0, 0)
     with filtered_scans(docs.sparkSession):  # texts without a label are not shuffled
-        rows = docs.select("doc_id", whole().cast("binary").alias("text")).join(told, "doc_id").select(
+        rows = docs.where(learnt).select("doc_id", whole().cast("binary").alias("text")).join(told, "doc_id").select(
             "text", "label", F.when(F.col("at") <= last, F.col("at")).alias("at"))
         seen = cut(rows.mapInArrow(_seen, "at long, label int, ids binary, good binary, bad binary"), "indicators")
     counts = seen.where("at IS NULL").mapInArrow(_added, "id int, good long, bad long").groupBy("id").agg(
