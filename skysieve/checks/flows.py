@@ -8,6 +8,7 @@ from skysieve.checks.registry import query
 from skysieve.checks.clusters import NC, NT
 from skysieve.checks.pixels import _ROLL
 from skysieve.checks.signal import A19_SQL, r, rounded
+from skysieve.checks.tracks import LIMITS, first_match_sql
 from skysieve.operators import beamform as bf, noise as nz, tracks as tr
 from skysieve.operators.streaks import CHANNEL_HZ, SAMPLING_TIME
 from skysieve.plans.pipelines import PIPELINES
@@ -165,13 +166,22 @@ def _(v, w):
     return rounded(_drain(rows, "beams-out"), "re im", 4)
 
 
-@query("x8_track_events", "vx_cluster_points")
+def _track_events(p):
+    """Track stream over points landed in several files and batches, and a last row that moves the time on."""
+    path = _land(p.repartition(6), "points")
+    tick = p.sparkSession.createDataFrame([(10 ** 6,)], "iter long").select(
+        *[F.col(c) if c == "iter" else F.lit(None).cast(t).alias(c) for c, t in p.dtypes])
+    tick.write.mode("append").parquet(path)
+    stream = sb.block_stream(p.sparkSession, path, p.schema, 2)
+    return _drain(ss.track_stream(stream, "track_id", 1.0, 1.0, delay="10 hours", **LIMITS), "tracks-out")
+
+
+@query("x8_track_events", "vx_cluster_points", first_match_sql("9e15", """
+    SELECT e.event AS name, CASE WHEN e.event = 'deleted' THEN 'WARNING' ELSE 'INFO' END AS level, COUNT(*) AS n
+    FROM (SELECT UNNEST(events) AS e FROM done) GROUP BY ALL"""))
 def _(p):
     """Event log rows of the track stream, counted per kind."""
-    path = _land(p, "points")
-    s = ss.track_stream(sb.block_stream(p.sparkSession, path, p.schema, 1000), "track_id", 1.0, 1.0, gradient=(-0.4, -0.6),
-                        linearity=0.9, expiry_s=60.0, merge_missing=40.0, valid_missing=40.0)
-    return stt.event_log(_drain(s, "events-out")).groupBy("name", "level").agg(F.count("*").alias("n"))
+    return stt.event_log(_track_events(p)).groupBy("name", "level").agg(F.count("*").alias("n"))
 
 
 @query("x3_stream_rolling_noise", "fx_pixels", f"""
@@ -184,13 +194,12 @@ def _(p):
     return rounded(out, "channel_noise_std", 3)
 
 
-@query("x5_stream_tracks", "vx_cluster_points")
+@query("x5_stream_tracks", "vx_cluster_points", first_match_sql("9e15", """
+    SELECT track_id, e.no AS track_no, e.status, e.n, e.t0 AS first_sample, e.t1 AS last_sample, ROUND(e.gradient, 5) AS gradient,
+           ROUND(e.r, 5) AS r, e.event FROM (SELECT track_id, UNNEST(events) AS e FROM done)"""))
 def _(p):
     """Open-track state on a stream with its created / modified / transit events."""
-    path = _land(p, "points")
-    s = ss.track_stream(sb.block_stream(p.sparkSession, path, p.schema, 1000), "track_id", 1.0, 1.0, gradient=(-0.4, -0.6),
-                        linearity=0.9, expiry_s=60.0, merge_missing=40.0, valid_missing=40.0)
-    return rounded(_drain(s, "tracks-out"), "gradient r", 5)
+    return rounded(_track_events(p), "gradient r", 5)
 
 
 @query("k12_event_log", "events", """

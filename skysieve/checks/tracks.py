@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skysieve.checks.registry import add_view, query
 from skysieve.checks.signal import r, rounded
 from skysieve.functions import regression as rg, units
-from skysieve.operators import monitor as mo, noise as nz, tdm, tracks as tr
+from skysieve.operators import association as an, monitor as mo, noise as nz, tdm, tracks as tr
 from skysieve.operators.streaks import CHANNEL_HZ, SAMPLING_TIME
 
 TX = 410.0
@@ -267,11 +267,115 @@ def _(p):
         "track_id", "cluster_id", "track")
 
 
-@query("c15_first_match_association", "vx_cluster_points")
-def _(p):
-    """Order-dependent fold; compared with a direct loop in the tests."""
-    return tr.associate_first_match(p, "track_id", 1.0, 1.0, gradient=(-0.4, -0.6), linearity=0.9, expiry_s=60.0,
-                                    merge_missing=40.0, valid_missing=40.0)
+# --- first match, by recursion over the clusters of an observation in order; a step extends all observations by a cluster
+LIMITS = {"gradient": (-0.4, -0.6), "linearity": 0.9, "expiry_s": 60.0, "merge_missing": 40.0, "valid_missing": 40.0}
+
+
+def _fit(p: str, q: str = "", x: str = "") -> tuple[str, str]:
+    """Slope and intercept from sums with prefix ``x`` of ``p``, or of ``p`` and ``q`` together."""
+    n, sx, sy, sxx, sxy = (f"({p}.{x}{c} + {q}.{x}{c})" if q else f"{p}.{x}{c}" for c in ("n", "sx", "sy", "sxx", "sxy"))
+    slope = f"(({n} * {sxy} - {sx} * {sy}) / nullif({n} * {sxx} - {sx} * {sx}, 0))"
+    return slope, f"(({sy} - {slope} * {sx}) / {n})"
+
+
+def _r(p: str, q: str = "") -> str:
+    n, sx, sy, sxx, sxy, syy = (f"({p}.{c} + {q}.{c})" if q else f"{p}.{c}" for c in ("n", "sx", "sy", "sxx", "sxy", "syy"))
+    return f"(({n} * {sxy} - {sx} * {sy}) / nullif(sqrt(({n} * {sxx} - {sx} * {sx}) * ({n} * {syy} - {sy} * {sy})), 0))"
+
+
+def _like(*v: str) -> str:
+    mean = f"(({' + '.join(v)}) / 3)"
+    return f"(abs(sqrt(({' + '.join(f'({x} - {mean}) * ({x} - {mean})' for x in v)}) / 3) / nullif({mean}, 0)) < 0.1)"
+
+
+def _accepted(p: str, q: str = "") -> str:
+    n = f"({p}.n + {q}.n)" if q else f"{p}.n"
+    seen = f"len(list_distinct(list_concat({p}.ts, {q}.ts)))" if q else f"len({p}.ts)"
+    lo, hi = (f"least({p}.t0, {q}.t0)", f"greatest({p}.t1, {q}.t1)") if q else (f"{p}.t0", f"{p}.t1")
+    r, slope = _r(p, q), _fit(p, q)[0]
+    return f"""coalesce({r} <= -0.99 AND ({n} >= 5 OR ({n} = 4 AND 1 - abs({r}) <= 0.01)
+        OR ({n} = 3 AND 1 - 2 * asin(least(abs({r}), 1)) / pi() <= 0.01))
+        AND {slope} BETWEEN -0.6 AND -0.4 AND ({hi} - {lo} - ({seen} - 1) + 1) / {n} <= 40, false)"""
+
+
+def first_match_sql(final: str, out: str) -> str:
+    """SQL over ``run``: tracks and events of all observations; ``final`` is the time after their last blocks."""
+    sums = ("n", "sx", "sy", "sxx", "sxy", "syy", "bn", "bsx", "bsy", "bsxx", "bsxy")
+    lists = ("ts", "cs", "bs")
+    kind = (f"STRUCT(no BIGINT, status VARCHAR, seen BIGINT, t0 BIGINT, t1 BIGINT, {', '.join(f'{c} DOUBLE' for c in sums)}, "
+            "ts BIGINT[], cs DOUBLE[], bs BIGINT[])")
+    merged = ", ".join(["'no': t.no", "'status': t.status", "'seen': t.seen", "'t0': least(t.t0, c.t0)", "'t1': greatest(t.t1, c.t1)",
+                        *[f"'{x}': t.{x} + c.{x}" for x in sums], *[f"'{x}': list_distinct(list_concat(t.{x}, c.{x}))" for x in lists]])
+    fresh = ", ".join(["'no': CAST(len(tracks) AS BIGINT)", "'status': 'pending'", "'seen': CAST(0 AS BIGINT)", "'t0': c.t0", "'t1': c.t1",
+                       *[f"'{x}': c.{x}" for x in (*sums, *lists)]])
+
+    def changed(**new: str) -> str:
+        return "{" + ", ".join(f"'{x}': {new.get(x, 't.' + x)}" for x in ("no", "status", "seen", "t0", "t1", *sums, *lists)) + "}"
+
+    (s1, i1), (s2, i2), (s3, i3) = _fit("t", x="b"), _fit("c", x="b"), _fit("t", "c", x="b")
+    fits = f"coalesce({_like(s1, s2, s3)} AND {_like(i1, i2, i3)} AND {s3} BETWEEN -0.6 AND -0.4, false) AND {_accepted('t', 'c')}"
+    valid = f"""(len(t.bs) > 5 OR coalesce(len(t.cs) >= 5 AND len(t.ts) >= 5 AND abs({_r('t')}) >= 0.9
+        AND {_fit('t')[0]} BETWEEN -0.6 AND -0.4 AND (t.t1 - t.t0 - (len(t.ts) - 1) + 1) / t.n <= 40, false))"""
+    told = lambda event, status="t.status": (
+        f"{{'no': t.no, 'status': {status}, 'n': CAST(t.n AS BIGINT), 't0': t.t0, 't1': t.t1, 'gradient': {_fit('t')[0]}, "
+        f"'r': {_r('t')}, 'event': {event}}}")
+    grown = "CASE WHEN t.seen = 0 THEN 'created' ELSE 'modified' END"
+    event = ("STRUCT(no BIGINT, status VARCHAR, n BIGINT, t0 BIGINT, t1 BIGINT, gradient DOUBLE, r DOUBLE, event VARCHAR)")
+    return f"""WITH RECURSIVE best AS (
+          SELECT * FROM vx_cluster_points QUALIFY ROW_NUMBER() OVER (PARTITION BY track_id, iter, beam_id, cluster_id, time_sample
+            ORDER BY snr DESC, channel_sample) = 1),
+        b AS (SELECT track_id, iter, beam_id, cluster_id, COUNT(*) AS bn, SUM(time_sample) AS bsx, SUM(channel_sample) AS bsy,
+            SUM(time_sample * time_sample) AS bsxx, SUM(time_sample * channel_sample) AS bsxy FROM best GROUP BY ALL),
+        a AS (SELECT track_id, iter, beam_id, cluster_id, COUNT(*) AS n, SUM(time_sample) AS sx, SUM(channel_sample) AS sy,
+            SUM(time_sample * time_sample) AS sxx, SUM(time_sample * channel_sample) AS sxy, SUM(channel_sample * channel_sample) AS syy,
+            list(DISTINCT time_sample) AS ts, list(DISTINCT channel_sample) AS cs, list(DISTINCT CAST(beam_id AS BIGINT)) AS bs,
+            MIN(time_sample) AS t0, MAX(time_sample) AS t1 FROM vx_cluster_points GROUP BY track_id, iter, beam_id, cluster_id),
+        k AS (SELECT *, ROW_NUMBER() OVER w AS k, LEAD(iter) OVER w AS nxt FROM a JOIN b USING (track_id, iter, beam_id, cluster_id)
+            WINDOW w AS (PARTITION BY track_id ORDER BY iter, beam_id, t0, cluster_id)),
+        run AS (
+          SELECT DISTINCT track_id, CAST(0 AS BIGINT) AS k, CAST([] AS {kind}[]) AS tracks, CAST([] AS {event}[]) AS events FROM k
+          UNION ALL
+          SELECT track_id, k, CASE WHEN ended THEN list_transform(open, lambda t: {changed(
+              status="CASE WHEN t.status = 'pending' AND after > t.t1 + 60 THEN 'terminated' ELSE t.status END",
+              seen="CASE WHEN t.status = 'pending' THEN CAST(len(t.ts) AS BIGINT) ELSE t.seen END")}) ELSE open END AS tracks,
+            CASE WHEN ended THEN list_concat(events, list_concat(closed, list_concat(
+              list_transform(list_filter(open, lambda t: t.status = 'pending' AND (t.seen = 0 OR (len(t.ts) - t.seen) / len(t.ts) > 0.10)),
+                lambda t: {told(grown)}),
+              list_transform(list_filter(open, lambda t: t.status = 'pending' AND after > t.t1 + 60),
+                lambda t: {told("'transit'", "'terminated'")})))) ELSE events END AS events
+          FROM (SELECT track_id, k, ended, after, events, CASE WHEN ended THEN list_transform(taken, lambda t: {changed(
+                  status=f"CASE WHEN t.status <> 'pending' THEN t.status WHEN NOT {valid} THEN 'cancelled' "
+                         "WHEN block_end > t.t1 + 60 THEN 'terminated' ELSE 'pending' END")}) ELSE taken END AS open,
+                CASE WHEN ended THEN list_transform(list_filter(taken, lambda t: t.status = 'pending' AND
+                    (NOT {valid} OR block_end > t.t1 + 60)), lambda t: {told(
+                      f"CASE WHEN NOT {valid} THEN 'deleted' ELSE 'transit' END",
+                      f"CASE WHEN NOT {valid} THEN 'cancelled' ELSE 'terminated' END")}) END AS closed
+            FROM (SELECT track_id, k, nxt IS NULL OR nxt <> iter AS ended, (iter + 1) * 160 AS block_end,
+                  CASE WHEN nxt IS NULL THEN {final} ELSE nxt * 160 END AS after, events,
+                  CASE WHEN hit IS NOT NULL THEN list_transform(tracks, lambda t: CASE WHEN t.no = hit THEN {{{merged}}} ELSE t END)
+                       WHEN {_accepted('c')} THEN list_append(tracks, {{{fresh}}}) ELSE tracks END AS taken
+              FROM (SELECT c, c.track_id, c.k, c.nxt, c.iter, run.tracks, run.events,
+                    list_filter(run.tracks, lambda t: t.status = 'pending' AND {fits})[1].no AS hit
+                    FROM run JOIN k AS c ON c.track_id = run.track_id AND c.k = run.k + 1)))),
+        done AS (SELECT * FROM run QUALIFY ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY k DESC) = 1)
+        {out}"""
+
+
+@query("c15_first_match_association", "vx_cluster_points", first_match_sql("(iter + 1) * 160", f"""
+    SELECT track_id, t.no AS track_no, t.status, CAST(t.n AS BIGINT) AS n, t.t0 AS first_sample, t.t1 AS last_sample,
+           ROUND({_fit('t')[0]}, 5) AS gradient, ROUND({_r('t')}, 5) AS r
+    FROM (SELECT track_id, UNNEST(tracks) AS t FROM done)"""))
+def _(p):
+    """Order-dependent association, folded by parts."""
+    return rounded(an.associate_first_match(p, "track_id", 1.0, 1.0, **LIMITS), "gradient r", 5)
+
+
+@query("c15_part_sizes", "vx_cluster_points", """
+    SELECT track_id, COUNT(DISTINCT (iter, beam_id, cluster_id)) AS clusters FROM vx_cluster_points GROUP BY 1""")
+def _(p):
+    """Clusters of each observation, added up over the parts that are folded apart."""
+    parts = an.association_parts(p, "track_id", an.Rules(1.0, 1.0, **LIMITS))
+    return an.part_sizes(parts, "track_id").groupBy("track_id").agg(F.sum("clusters").alias("clusters"))
 
 
 @query("c13_detections", "fx_streaks", """

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skysieve.functions import regression as rg, units
 from skysieve.operators.graph import label_nodes
-from skysieve.operators.sequences import previous, row_index
+from skysieve.operators.sequences import previous, row_index, running
 
 # Default Doppler-rate window in Hz/s, shallow end first.
 GRADIENT = (-57.0, -291.47)
@@ -137,7 +135,6 @@ def sessions(points: DataFrame, keys: Sequence[str], time_s: str, gap_s: int = 3
     keys = list(keys)
     d = b.select(*keys, time_s, "_bucket").groupBy(*keys, time_s, "_bucket").agg(F.count("*").alias("_n"))
     p = previous(d, keys, [time_s], "_bucket", {"_before": time_s})
-    from skysieve.operators.sequences import running
     new = F.when(F.col("_before").isNull() | (F.col(time_s) - F.col("_before") >= gap_s), 1).otherwise(0)
     s = running(p, keys, [time_s], "_bucket", new, "session_no")
     return s.groupBy(*keys, "session_no").agg(F.min(time_s).alias("start_s"), F.max(time_s).alias("end_s"), F.sum("_n").alias("n"))
@@ -194,128 +191,6 @@ def associate(clusters: DataFrame, obs: Sequence[str], ident: str, **kw) -> Data
     return label_nodes(clusters, edges, ident, obs).withColumnRenamed("component", "track")
 
 
-class Fold:
-    """First-match association of one observation, block by block.
-
-    ``tracks`` holds the points of the tracks that are still open; it is all the state there is.
-    """
-
-    def __init__(self, dt: float, dy: float, gradient=GRADIENT, max_cv: float = 0.1, linearity: float = 0.99,
-                 expiry_s: float = 3.0, merge_missing: float = 1.0, valid_missing: float = 0.25,
-                 tracks: dict | None = None, counter: int = 0):
-        self.dt, self.dy, self.gradient, self.max_cv = dt, dy, gradient, max_cv
-        self.linearity, self.expiry = linearity, expiry_s
-        self.merge_missing, self.valid_missing = merge_missing, valid_missing
-        self.tracks, self.counter = dict(tracks or {}), counter
-
-    def _line(self, p):
-        x, y = p[:, 0] * self.dt, p[:, 1] * self.dy
-        vx = x.var()
-        if len(p) < 2 or vx == 0:
-            return np.nan, np.nan, np.nan
-        cov, vy = ((x - x.mean()) * (y - y.mean())).mean(), y.var()
-        slope = cov / vx
-        return slope, y.mean() - slope * x.mean(), (cov / math.sqrt(vx * vy) if vy > 0 else np.nan)
-
-    @staticmethod
-    def _best(p):
-        """Strongest point per (time, beam)."""
-        p = p[np.argsort(-p[:, 2], kind="stable")]
-        _, first = np.unique(p[:, [0, 3]], axis=0, return_index=True)
-        return p[np.sort(first)]
-
-    def _missing(self, p):
-        times = np.unique(p[:, 0])
-        return (times[-1] - times[0] - (len(times) - 1) + 1) / len(p)
-
-    def _in_window(self, slope):
-        return self.gradient[1] <= slope <= self.gradient[0]
-
-    def _accepts(self, p):
-        slope, _, r = self._line(p)
-        n, a = len(p), min(abs(r), 1.0) if r == r else 0.0
-        sure = n >= 5 or (n == 4 and 1 - a <= 0.01) or (n == 3 and 1 - 2 * math.asin(a) / math.pi <= 0.01)
-        return self._missing(p) <= self.merge_missing and r <= -0.99 and sure and self._in_window(slope)
-
-    def _is_parent(self, track, cluster):
-        a, b = self._best(track), self._best(cluster)
-        lines = np.array([self._line(a), self._line(b), self._line(np.concatenate([a, b]))])
-        with np.errstate(all="ignore"):
-            cv = np.abs(lines[:, :2].std(0) / lines[:, :2].mean(0))
-        return bool((cv < self.max_cv).all() and self._in_window(lines[2, 0]))
-
-    def block(self, clusters: list[np.ndarray], block_end_s: float) -> list[tuple]:
-        """Take in the clusters of one block; returns (track, status, points) of closed tracks."""
-        for c in clusters:
-            for name, points in self.tracks.items():
-                if self._is_parent(points, c):
-                    merged = np.concatenate([points, c])
-                    if self._accepts(merged):
-                        self.tracks[name] = merged
-                        break
-            else:
-                if self._accepts(c):
-                    self.tracks[self.counter] = c
-                    self.counter += 1
-        closed = []
-        for name, p in list(self.tracks.items()):
-            if not self._valid(p):
-                closed.append((name, "cancelled", self.tracks.pop(name)))
-            elif block_end_s > p[:, 0].max() * self.dt + self.expiry:
-                closed.append((name, "terminated", self.tracks.pop(name)))
-        return closed
-
-    def _valid(self, p):
-        if len(np.unique(p[:, 3])) > 5:
-            return True
-        slope, _, r = self._line(p)
-        return (len(np.unique(p[:, 1])) >= 5 and len(np.unique(p[:, 0])) >= 5 and abs(r) >= self.linearity
-                and self._in_window(slope) and self._missing(p) <= self.valid_missing)
-
-
-def fold_blocks(fold: Fold, pdf: pd.DataFrame, block_len: int) -> Iterator[tuple]:
-    """Feed the rows of one observation to a fold in block and cluster order."""
-    for it, block in pdf.groupby("iter", sort=True):
-        groups = []
-        for (beam, cid), g in block.groupby(["beam_id", "cluster_id"], sort=True):
-            groups.append((beam, g["time_sample"].min(), cid,
-                           g[["time_sample", "channel_sample", "snr", "beam_id"]].to_numpy(float)))
-        groups.sort(key=lambda x: x[:3])
-        yield from fold.block([g[3] for g in groups], (it + 1) * block_len * fold.dt)
-
-
-TRACK_SCHEMA = "track_no long, status string, n long, first_sample long, last_sample long, gradient double, r double"
-
-
-def associate_first_match(points: DataFrame, obs: str, dt: float, dy: float, block_len: int = 160, **kw) -> DataFrame:
-    """Batch form of the order-dependent association.
-
-    Tracks end after a silence, so an observation is first cut where a whole block passes
-    without any cluster: the parts cannot influence each other and run as separate groups.
-    Very long uninterrupted observations belong to the streaming form, which keeps only the
-    open tracks, or to :func:`associate`, which has no order at all.
-    """
-    blocks = points.select(obs, "iter").distinct().withColumn("_bucket", F.floor(F.col("iter") / 4096))
-    p = previous(blocks, [obs], ["iter"], "_bucket", {"_before": "iter"})
-    from skysieve.operators.sequences import running
-    new = F.when(F.col("_before").isNull() | (F.col("iter") - F.col("_before") > 1), 1).otherwise(0)
-    part = running(p, [obs], ["iter"], "_bucket", new, "part").select(obs, "iter", "part")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fold = Fold(dt, dy, **kw)
-        done = list(fold_blocks(fold, pdf, block_len))
-        done += [(name, "pending", p) for name, p in fold.tracks.items()]
-        out = []
-        for name, status, p in done:
-            slope, _, r = fold._line(p)
-            out.append((key[0], int(key[1]), name, status, len(p), int(p[:, 0].min()), int(p[:, 0].max()), slope, r))
-        return pd.DataFrame(out, columns=[obs, "part", "track_no", "status", "n", "first_sample", "last_sample", "gradient", "r"])
-
-    kind = points.schema[obs].dataType.simpleString()
-    return points.join(part, [obs, "iter"]).groupBy(obs, "part").applyInPandas(
-        run, f"{obs} {kind}, part long, {TRACK_SCHEMA}")
-
-
 def bounding_window(points: DataFrame, keys: Sequence[str] = ("track_id",)) -> DataFrame:
     """Extent of a track rounded outwards to tens, and its centre."""
     t, c = F.col("time_sample"), F.col("channel_sample")

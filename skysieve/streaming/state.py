@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skysieve.operators.association import FirstMatch, Rules, Track
 from skysieve.operators.channelise import block_spectra
-from skysieve.operators.tracks import Fold, fold_blocks
 
 NOISE_OUT = "iter long, beam_id int, channel_sample int, channel_noise double, channel_noise_std double"
 NOISE_STATE = "channel array<int>, noise array<array<double>>, std array<array<double>>"
@@ -45,48 +47,144 @@ def rolling_noise_stream(noise: DataFrame, n_blocks: int = 10, channels_per_key:
 
 TRACK_OUT = ("track_no long, status string, n long, first_sample long, last_sample long, gradient double, r double, "
              "event string")
-TRACK_STATE = "counter long, name array<long>, notified array<long>, points array<array<double>>"
+_FOUNDER = "f_iter long, f_beam long, f_time long, f_cluster long"
+_TRACK = ("number long, block long, raw array<double>, past array<double>, top array<array<double>>, n_samples long, "
+          "samples array<long>, beams array<long>, channels array<double>, first long, last long, noticed long")
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def track_stream(points: DataFrame, obs: str, dt: float, dy: float, block_len: int = 160, **kw) -> DataFrame:
-    """First-match association on a stream of cluster points, with its event notices.
+class OpenTracks(StatefulProcessor):
+    """First-match association of one key: blocks wait for the watermark, tracks for their timers.
 
-    State per observation is the set of open tracks.  Emits a row when a track is created, has
-    grown by more than 10 %, is cancelled or has left the field of view.
+    State is the rows of blocks the watermark has not passed and, for each open track, moments
+    and the details of one block, whatever the length of the observation.
     """
-    kind = points.schema[obs].dataType.simpleString()
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracks, counter, seen = {}, 0, {}
-        if state.exists:
-            counter, names, notified, flat = state.get
-            tracks = {n: np.asarray(p, float).reshape(-1, 4) for n, p in zip(names, flat)}
-            seen = dict(zip(names, notified))
-        fold = Fold(dt, dy, tracks=tracks, counter=counter, **kw)
-        rows = pd.concat(list(batches), ignore_index=True)
-        out = []
+    def __init__(self, rules: Rules, start_ms: int, keys: Sequence[str]):
+        self.rules, self.start_ms = rules, start_ms
+        self.columns = [*keys, *(c.split()[0] for c in TRACK_OUT.split(", "))]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "iter long", "rows array<array<double>>")
+        self.tracks = handle.getMapState("tracks", _FOUNDER, _TRACK)
+        self.clock = handle.getValueState("clock", "block long, tracks long")
+
+    def _end_ms(self, block: int) -> int:
+        return self.start_ms + math.ceil((block + 1) * self.rules.block_s * 1000)
+
+    def _passed(self, watermark_ms: int) -> int:
+        """The last block that ends at or before the watermark."""
+        block = math.floor((watermark_ms - self.start_ms) / (self.rules.block_s * 1000)) - 1
+        while self._end_ms(block + 1) <= watermark_ms:
+            block += 1
+        while self._end_ms(block) > watermark_ms:
+            block -= 1
+        return block
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        done, _ = self.clock.get() if self.clock.exists() else (None, 0)
+        late, blocks = 0, {}
+        for r in rows:
+            if r["cluster_id"] is None:  # a tick: only its time counts
+                continue
+            if done is not None and r["iter"] <= done:
+                late += 1
+                continue
+            blocks.setdefault(r["iter"], []).append([float(r[c]) for c in ("time_sample", "channel_sample", "snr", "beam_id", "cluster_id")])
+        for number, held in blocks.items():
+            if self.waiting.containsKey((number,)):
+                held = self.waiting.getValue((number,))[0] + held
+            else:
+                self.handle.registerTimer(self._end_ms(number))
+            self.waiting.updateValue((number,), (held,))
+        if late:
+            yield self._out(key, None, "late", (late, None, None, None, None), "late")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = self._passed(timerValues.getCurrentWatermarkInMs())
+        due = sorted(n for (n,) in self.waiting.keys() if n <= passed)
+        done, counter = self.clock.get() if self.clock.exists() else (None, 0)
+        numbers, match = {}, FirstMatch(self.rules)
+        for founder, value in self.tracks.iterator():
+            track = self._track(tuple(founder), value)
+            match.tracks.append(track)
+            numbers[track.founder] = value[0]
+        match.tracks.sort(key=lambda t: t.founder)
+        before = set(numbers)
+        for number in due:
+            rows = np.array(self.waiting.getValue((number,))[0])
+            self.waiting.removeKey((number,))
+            clusters = [Track.of(self.rules, number, (int(beam), int(cluster)), rows[(rows[:, 3] == beam) & (rows[:, 4] == cluster), :4])
+                        for beam, cluster in {(b, c) for b, c in rows[:, 3:].tolist()}]
+            closed = list(match.block(clusters, number))
+            opened = [t for t in (*match.tracks, *(t for t, _ in closed)) if t.founder not in numbers]
+            for t in sorted(opened, key=lambda t: t.founder):
+                numbers[t.founder] = counter
+                counter += 1
+            for t, status in closed:
+                yield self._out(key, numbers[t.founder], status, t.row(), "transit" if status == "terminated" else "deleted")
+            for t in match.tracks:
+                size = t.size()
+                if not t.noticed or (size - t.noticed) / size > 0.10:
+                    yield self._out(key, numbers[t.founder], "pending", t.row(), "modified" if t.noticed else "created")
+                t.noticed = size
+        for t, status in match.silence(passed):
+            yield self._out(key, numbers[t.founder], status, t.row(), "transit")
+        open_now = {t.founder for t in match.tracks}
+        for founder in before - open_now:
+            self.tracks.removeKey(founder)
+        pending = set(self.handle.listTimers())
+        for t in match.tracks:
+            self.tracks.updateValue(t.founder, self._stored(t, numbers[t.founder]))
+            limit = t.last * self.rules.dt + self.rules.expiry_s
+            block = math.floor(limit / self.rules.block_s)
+            block += (block + 1) * self.rules.block_s <= limit
+            if self._end_ms(block) not in pending:
+                pending.add(self._end_ms(block))
+                self.handle.registerTimer(self._end_ms(block))
+        self.clock.update((max(passed, -1 if done is None else done), counter))
+
+    def close(self) -> None:
+        pass
+
+    def _out(self, key, number, status, row, event) -> Row:
+        return Row(**dict(zip(self.columns, (*key, number, status, *row, event))))
+
+    @staticmethod
+    def _stored(t: Track, number: int) -> tuple:
+        top = [[float(a), float(b), s, y] for (a, b), (s, y) in t.top.items()]
+        return (number, t.block, t.raw.tolist(), t.past.tolist(), top, t.n_samples, sorted(t.samples), sorted(t.beams),
+                sorted(t.channels), t.first, t.last, t.noticed)
+
+    @staticmethod
+    def _track(founder: tuple, stored: tuple) -> Track:
+        _, block, raw, past, top, n, samples, beams, channels, first, last, noticed = stored
+        return Track(founder, block, np.array(raw), np.array(past), {(int(a), int(b)): (s, y) for a, b, s, y in top}, n, set(samples),
+                     set(beams), set(channels), first, last, noticed)
+
+
+def track_stream(points: DataFrame, obs: str | Sequence[str], dt: float, dy: float, block_len: int = 160, delay: str = "0 seconds",
+                 start_ms: int = 0, **limits) -> DataFrame:
+    """First-match association on a stream of cluster points, with its event notices.
 
-        def emit(name, status, p, event):
-            slope, _, r = fold._line(p)
-            out.append((key[0], name, status, len(p), int(p[:, 0].min()), int(p[:, 0].max()), slope, r, event))
-
-        for _, block in rows.groupby("iter", sort=True):
-            for name, status, p in fold_blocks(fold, block, block_len):
-                emit(name, status, p, "transit" if status == "terminated" else "deleted")
-                seen.pop(name, None)
-            for name, p in fold.tracks.items():
-                size = len(np.unique(p[:, 0]))
-                before = seen.get(name, 0)
-                if before == 0 or (size - before) / size > 0.10:
-                    emit(name, "pending", p, "created" if before == 0 else "modified")
-                seen[name] = size
-        state.update((fold.counter, list(fold.tracks), [seen[n] for n in fold.tracks],
-                      [p.ravel().tolist() for p in fold.tracks.values()]))
-        cols = [obs, *[c.split()[0] for c in TRACK_OUT.split(", ")]]
-        yield pd.DataFrame(out, columns=cols)
-
-    return points.groupBy(obs).applyInPandasWithState(
-        run, f"{obs} {kind}, {TRACK_OUT}", TRACK_STATE, "append", GroupStateTimeout.NoTimeout)
+    A block is taken in once the watermark has passed its end, so its rows may come in any order and
+    over several batches, as long as they are not later than ``delay``; rows of a block already
+    taken in are counted in an event ``late``.  A row is emitted when a track is created, has
+    grown by more than 10 %, is cancelled or has been silent for too long; timers end tracks
+    without any further row of their key.  Rows without a cluster only move the time on.  ``obs``
+    may name several columns whose values never share a track.
+    """
+    keys = [obs] if isinstance(obs, str) else list(obs)
+    spark = points.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != _ROCKS:  # the only one with map state and timers
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    rules = Rules(dt, dy, block_len, **limits)
+    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+    end = F.timestamp_millis(F.lit(start_ms) + F.ceil((F.col("iter") + 1) * rules.block_s * 1000).cast("long"))
+    rows = points.select(*keys, "iter", F.col("cluster_id").cast("long").alias("cluster_id"), "beam_id", "time_sample", "channel_sample",
+                         "snr", end.alias("block_end")).withWatermark("block_end", delay)
+    return rows.groupBy(*keys).transformWithState(OpenTracks(rules, start_ms, keys), f"{kinds}, {TRACK_OUT}", "Append", "EventTime")
 
 
 def channelise_stream(strips: DataFrame, n_chans: int, n_taps: int, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skysieve.operators import calibrate as cal, schedule as sc, tracks as tr
+from skysieve.operators import association as an, calibrate as cal, schedule as sc, tracks as tr
 from skysieve.streaming import blocks as sb, state as ss, tables as stt
 
 DT, DY = 0.1, 10.0
@@ -33,10 +33,10 @@ def clusters(spark):
 
 def test_first_match_association_finds_the_objects(clusters):
     _, df = clusters
-    out = tr.associate_first_match(df, "obs_id", DT, DY).where("status <> 'cancelled'").collect()
+    out = an.associate_first_match(df, "obs_id", DT, DY).where("status <> 'cancelled'").collect()
     assert sorted(round(r.gradient, -1) for r in out) == [-190.0, -80.0]
     assert all(r.status == "terminated" for r in out)
-    again = tr.associate_first_match(df.repartition(6), "obs_id", DT, DY).where("status <> 'cancelled'").collect()
+    again = an.associate_first_match(df.repartition(6), "obs_id", DT, DY).where("status <> 'cancelled'").collect()
     assert sorted(map(tuple, out)) == sorted(map(tuple, again))
 
 
@@ -84,17 +84,6 @@ def drain(spark, stream, tmp_path):
     return spark.read.parquet(str(tmp_path / "out"))
 
 
-def test_track_stream_equals_batch(spark, clusters, tmp_path):
-    pdf, df = clusters
-    land(pdf, str(tmp_path / "in"), "iter")
-    out = drain(spark, ss.track_stream(sb.block_stream(spark, str(tmp_path / "in"), df.schema), "obs_id", DT, DY), tmp_path)
-    ended = {(r.track_no, r.n, round(r.gradient, 6)) for r in out.where("event = 'transit'").collect()}
-    batch = tr.associate_first_match(df, "obs_id", DT, DY).where("status = 'terminated'").collect()
-    assert ended == {(r.track_no, r.n, round(r.gradient, 6)) for r in batch} and ended
-    events = [r.event for r in out.collect()]
-    assert events.count("created") >= 2 and "modified" in events
-
-
 def test_noise_stream_equals_batch(spark, tmp_path):
     from skysieve.operators.noise import rolling_noise
     rng = np.random.default_rng(0)
