@@ -154,6 +154,53 @@ def _(v):
     return out.groupBy("iter", "ant").agg(F.count("*").alias("n"), r(F.sum("re"), 4).alias("re"))
 
 
+_WHOLE = f"(SELECT COUNT(DISTINCT sample) // {BLOCK} * {BLOCK} FROM fx_voltages)"
+
+
+@query("s6_raw_stream", "fx_voltages", _DENSE + f"""
+    SELECT sample, ant, ROUND(CAST(re AS DOUBLE), 3) AS re, ROUND(CAST(im AS DOUBLE), 3) AS im FROM d
+    WHERE sample - (SELECT MIN(sample) FROM fx_voltages) < {_WHOLE}""")
+def _(v):
+    """Raw files read as a stream of whole blocks, started anew after half of the files."""
+    spark = v.sparkSession
+    path, out, state = (scratch_path(spark, n) for n in ("raw", "raw-out", "raw-cp"))
+    f = frames(v)
+    last = f.agg(F.max("iter")).first()[0]
+    for part in (F.col("iter") <= last // 8 * 4 - 1, F.col("iter") > last // 8 * 4 - 1):
+        sinks.raw_voltages(f.where(part), path)
+        stt.run_available(sb.voltage_stream(spark, path, 8, BLOCK), out, state)
+    return _long(spark.read.parquet(out))
+
+
+@query("k1_raw_stream_sink", "fx_voltages", _DENSE + f"""
+    SELECT sample, ant, ROUND(CAST(re AS DOUBLE), 3) AS re, ROUND(CAST(im AS DOUBLE), 3) AS im FROM d
+    WHERE sample - (SELECT MIN(sample) FROM fx_voltages) < {_WHOLE}""")
+def _(v):
+    """A stream from raw files to raw files, scanned back."""
+    spark = v.sparkSession
+    path, copy, state = (scratch_path(spark, n) for n in ("raw", "raw-copy", "raw-cp"))
+    sinks.raw_voltages(frames(v), path)
+    sinks.raw_voltage_stream(sb.voltage_stream(spark, path, 8, BLOCK), copy, state).awaitTermination()
+    return _long(spark.read.format("voltage_raw").option("path", copy).option("nants", 8).option("blocksamples", BLOCK).load())
+
+
+@query("s1_observations", "fx_voltages", _DENSE + f""",
+    o AS (SELECT sample // {BLOCK} % 3 AS obs_id, sample // {BLOCK} // 3 AS iter, ant, re, im FROM d)
+    SELECT 'obs' || CAST(obs_id AS BIGINT) AS obs_id, CAST(iter AS BIGINT) AS iter, COUNT(*) // 8 AS n, ROUND(SUM(CAST(re AS DOUBLE)), 2) AS re
+    FROM o WHERE obs_id < 2 GROUP BY 1, 2""")
+def _(v):
+    """Folders of observations scanned as one table with their names."""
+    spark = v.sparkSession
+    path = scratch_path(spark, "observations")
+    f = frames(v)
+    for o in range(3):
+        sinks.raw_voltages(f.where(F.col("iter") % 3 == o).withColumn("iter", F.floor(F.col("iter") / 3)), f"{path}/obs{o}")
+    back = spark.read.format("voltage_raw").option("path", path).option("nants", 8).option("blocksamples", BLOCK).option(
+        "observations", "true").load()
+    return back.where("obs_id < 'obs2'").groupBy("obs_id", "iter").agg(F.count("*").alias("n"), r(F.sum(F.aggregate(
+        "re", F.lit(0.0), lambda a, x: a + x)), 2).alias("re"))
+
+
 @query("x1_stream_beams", "fx_voltages fx_weights", """
     SELECT v.sample, w.beam_id, ROUND(SUM(v.re * w.re - v.im * w.im), 4) AS re, ROUND(SUM(v.re * w.im + v.im * w.re), 4) AS im
     FROM fx_voltages v JOIN fx_weights w ON v.ant = w.ant GROUP BY v.sample, w.beam_id""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def gain_lines(gains: DataFrame, stage: str, keys: Sequence[str] = (), digits: int = 16) -> DataFrame:
@@ -30,6 +31,28 @@ def raw_voltages(frames: DataFrame, path: str, blocks_per_file: int = 4) -> None
         "path", path).option("blocksperfile", blocks_per_file).mode("append").save()
 
 
+def raw_voltage_stream(frames: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Frames of a stream to flat raw files, one for each run of blocks a task holds; an epoch's files appear together."""
+    from skysieve.sources.raw import register
+
+    register(frames.sparkSession)
+    return frames.select("iter", "sample", "re", "im").repartition("iter").writeStream.format("voltage_raw").option("path", path).option(
+        "checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def beam_power_stream(beams: DataFrame, path: str, checkpoint: str, times_per_file: int = 160) -> StreamingQuery:
+    """Rows ``(time_idx, channel, power[])`` of a stream to flat files, each a run of times.
+
+    A task holds the rows of its runs in one epoch.
+    """
+    from skysieve.sources.raw import register
+
+    register(beams.sparkSession)
+    rows = beams.select("time_idx", "channel", "power").repartition(F.floor(F.col("time_idx") / times_per_file))
+    return rows.writeStream.format("beam_raw").option("path", path).option("checkpointLocation", checkpoint).outputMode(
+        "append").trigger(availableNow=True).start()
+
+
 def beam_table(beams: DataFrame, beam_range: tuple[int, int], channel_range: tuple[int, int] | None = None,
                as_power: bool = True, warm_up: int = 2) -> DataFrame:
     """Rows of the beam sink: inclusive beam and channel ranges after the filter warm-up."""

@@ -6,6 +6,10 @@
 Files of a set (base.dat, base_1.dat, ...) are read in numeric order; each input partition is
 a range of whole frames of one file, so reading scales with the bytes, not the files.  Paths go
 through pyarrow file systems: local folders and shared stores alike.
+
+With the option ``observations`` each folder below the path is the file set of one observation, named
+by the column ``obs_id``.  As a stream, ``voltage_raw`` gives whole blocks as they land; both formats can be
+the sink of a stream.
 """
 
 from __future__ import annotations
@@ -19,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo,
-                                    Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage)
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter,
+                                    DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual,
+                                    InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage)
 
 VOLTAGE_SCHEMA = "iter bigint, sample bigint, re array<float>, im array<float>"
 BEAM_SCHEMA = "time_idx bigint, channel int, power array<float>"
@@ -44,6 +49,25 @@ def _list(path: str) -> list[tuple[str, int]]:
     return [(i.path, i.size) for i in sorted(infos, key=lambda i: (number(i), i.base_name))]
 
 
+def _sets(path: str, observations: bool) -> dict[str, list[tuple[str, int]]]:
+    """File sets by observation; a flat folder is one set without a name."""
+    if not observations:
+        return {"": _list(path)}
+    fs, root = _filesystem(path)
+    folders = sorted(i.path for i in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if i.type == pafs.FileType.Directory)
+    scheme = path[: len(path) - len(root.lstrip("/"))] if "://" in path else ""
+    names = {f.rstrip("/").rsplit("/", 1)[1]: f for f in folders}
+    return {n: _list(scheme + f.lstrip("/") if scheme else f) for n, f in names.items() if not n.startswith((".", "_"))}
+
+
+def _observation(path: str) -> str:
+    return path.rsplit("/", 2)[1]
+
+
+def _flag(options, name: str) -> bool:
+    return str(options.get(name, "false")).lower() == "true"
+
+
 class FrameRanges(InputPartition):
     """Ranges (path, byte offset, first frame, frames) that one task reads."""
 
@@ -59,30 +83,42 @@ class _FrameReader(DataSourceReader):
     def __init__(self, options):
         self.root = options["path"]
         self.split = int(options.get("splitBytes", 64 << 20))
-        self.lo, self.hi = 0, None  # frame range kept by pushed filters
+        self.observations = _flag(options, "observations")
+        self.lo, self.hi, self.only = 0, None, None  # frames and the observation kept by pushed filters
 
     def partitions(self):
+        sets = _sets(self.root, self.observations)
+        for files in sets.values():
+            for path, size in files:
+                if size % self.frame_bytes:
+                    raise ValueError(f"{path} ends within a frame: {size} bytes, {self.frame_bytes} to a frame")
+        return self._ranges({o: (f, self.lo, self.hi) for o, f in sets.items() if self.only in (None, o)})
+
+    def _ranges(self, sets: dict[str, tuple[list[tuple[str, int]], int, int | None]]) -> list[FrameRanges]:
         """Large files are split, small ones packed, so that tasks get about equal bytes."""
-        out, pack, load, frame = [], [], 0, 0
+        out, pack, load = [], [], 0
         step = max(1, self.split // self.frame_bytes)
-        for path, size in _list(self.root):
-            n, rest = divmod(size, self.frame_bytes)
-            if rest:
-                raise ValueError(f"{path} ends within a frame: {size} bytes, {self.frame_bytes} to a frame")
-            a, z = max(frame, self.lo), frame + n if self.hi is None else min(frame + n, self.hi)
-            for f in range(a, z, step):
-                m = min(step, z - f)
-                if load + m > step and pack:
-                    out.append(FrameRanges(pack))
-                    pack, load = [], 0
-                pack.append((path, (f - frame) * self.frame_bytes, f, m))
-                load += m
-            frame += n
+        for files, lo, hi in sets.values():
+            frame = 0
+            for path, size in files:
+                n = size // self.frame_bytes
+                a, z = max(frame, lo), frame + n if hi is None else min(frame + n, hi)
+                for f in range(a, z, step):
+                    m = min(step, z - f)
+                    if load + m > step and pack:
+                        out.append(FrameRanges(pack))
+                        pack, load = [], 0
+                    pack.append((path, (f - frame) * self.frame_bytes, f, m))
+                    load += m
+                frame += n
         return [*out, FrameRanges(pack)]
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Everything but bounds on the one column stays with Spark."""
+        """Everything but bounds on the one column, and the one observation, stays with Spark."""
         for f in filters:
+            if self.observations and self.only is None and isinstance(f, EqualTo) and f.attribute == ("obs_id",):
+                self.only = f.value
+                continue
             if getattr(f, "attribute", None) != (self.bounded,) or not isinstance(
                     f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
                 yield f
@@ -94,8 +130,8 @@ class _FrameReader(DataSourceReader):
             if top is not None:
                 self.hi = top * self.per_value if self.hi is None else min(self.hi, top * self.per_value)
 
-    def _frames(self, ranges: FrameRanges) -> Iterator[tuple[int, np.ndarray]]:
-        """(first frame, 32-bit floats of the frames) in pieces of bounded size."""
+    def _frames(self, ranges: FrameRanges) -> Iterator[tuple[str, int, np.ndarray]]:
+        """(file, first frame, 32-bit floats of the frames) in pieces of bounded size."""
         fs, _ = _filesystem(self.root)
         piece = max(1, (8 << 20) // self.frame_bytes)
         for path, offset, first, n in ranges.ranges:
@@ -103,7 +139,7 @@ class _FrameReader(DataSourceReader):
                 f.seek(offset)
                 for a in range(0, n, piece):
                     m = min(piece, n - a)
-                    yield first + a, np.frombuffer(f.read(m * self.frame_bytes), dtype="<f4").reshape(m, -1)
+                    yield path, first + a, np.frombuffer(f.read(m * self.frame_bytes), dtype="<f4").reshape(m, -1)
 
 
 class VoltageReader(_FrameReader):
@@ -113,14 +149,45 @@ class VoltageReader(_FrameReader):
         self.frame_bytes, self.bounded, self.per_value = self.n_ants * 8, "iter", self.block
 
     def read(self, partition: FrameRanges):
-        for first, x in self._frames(partition):
+        for path, first, x in self._frames(partition):
             part = x.reshape(len(x), self.n_ants, 2)
             sample = np.arange(first, first + len(part))
             ends = pa.array(np.arange(len(part) + 1, dtype="int32") * self.n_ants)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(sample // self.block), pa.array(sample),
-                pa.ListArray.from_arrays(ends, pa.array(part[:, :, 0].ravel())),
-                pa.ListArray.from_arrays(ends, pa.array(part[:, :, 1].ravel()))], names=["iter", "sample", "re", "im"])
+            columns = {"iter": pa.array(sample // self.block), "sample": pa.array(sample),
+                       "re": pa.ListArray.from_arrays(ends, pa.array(part[:, :, 0].ravel())),
+                       "im": pa.ListArray.from_arrays(ends, pa.array(part[:, :, 1].ravel()))}
+            if self.observations:
+                columns = {"obs_id": pa.array([_observation(path)] * len(part)), **columns}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+class VoltageStream(DataSourceStreamReader):
+    """Whole blocks of each observation as they land; an offset is the number of blocks given out so far.
+
+    A file set may grow in its last file and by new files, and new observations may appear.  What
+    is left of a block waits; blocks already given out are never read again, whatever the restart.
+    """
+
+    def __init__(self, options):
+        self.reader = VoltageReader(options)
+        self.bytes = self.reader.frame_bytes * self.reader.block
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        sets = _sets(self.reader.root, self.reader.observations)
+        return {o: n for o, files in sets.items() if (n := sum(size for _, size in files) // self.bytes)}
+
+    def partitions(self, start: dict, end: dict) -> list[FrameRanges]:
+        sets, block = _sets(self.reader.root, self.reader.observations), self.reader.block
+        return self.reader._ranges({o: (sets[o], start.get(o, 0) * block, n * block) for o, n in end.items() if n > start.get(o, 0)})
+
+    def read(self, partition: FrameRanges):
+        return self.reader.read(partition)
+
+    def commit(self, end: dict) -> None:
+        """Recordings are kept."""
 
 
 @dataclass
@@ -143,12 +210,13 @@ class _Staged(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, root = _filesystem(self.root)
         fs.create_dir(root, recursive=True)
-        if self.overwrite:
-            for path, _ in _list(self.root):
-                fs.delete_file(path)
+        before = {path.rsplit("/", 1)[1] for path, _ in _list(self.root)} if self.overwrite else set()
         for m in messages:
             for part, name in m.files if m else ():
                 fs.move(part, name)
+                before.discard(name.rsplit("/", 1)[1])
+        for name in before:  # only once the new files are there
+            fs.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, _ = _filesystem(self.root)
@@ -187,13 +255,77 @@ class VoltageWriter(_Staged):
         return Written(files)
 
 
+class _StagedStream(DataSourceStreamArrowWriter):
+    """A file for each run of consecutive numbers; files get their names when the epoch is committed.
+
+    The names follow from the rows, so an epoch that is written again replaces its own files; one that
+    was committed before is dropped.  A task holds its share of an epoch to put it in order.
+    """
+
+    stem, order, values = "", (), ()
+
+    def __init__(self, options):
+        self.root = options["path"]
+
+    def write(self, batches) -> WriterCommitMessage:
+        fs, root = _filesystem(self.root)
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return Written([])
+        fs.create_dir(root, recursive=True)
+        table = pa.Table.from_batches(held)
+        table = table.sort_by([(c, "ascending") for c in self.order])
+        frames = np.stack([np.asarray(table.column(c).combine_chunks().flatten()) for c in self.values], axis=-1).astype("<f4")
+        frames = frames.reshape(table.num_rows, -1)
+        number = np.asarray(table.column(self.order[0]))
+        edges = [0, *(np.flatnonzero(np.diff(number) > 1) + 1), len(number)]
+        files = []
+        for a, z in zip(edges, edges[1:]):
+            files.append((f"{root}/.{self.stem}-{uuid.uuid4().hex}.part", f"{root}/{self.stem}_{number[a]}.dat"))
+            with fs.open_output_stream(files[-1][0]) as out:
+                out.write(frames[a:z].tobytes())
+        return Written(files)
+
+    def commit(self, messages: list[WriterCommitMessage | None], batchId: int) -> None:
+        fs, root = _filesystem(self.root)
+        done = f"{root}/_epochs/{batchId}"
+        fs.create_dir(f"{root}/_epochs", recursive=True)
+        if fs.get_file_info(done).type != pafs.FileType.NotFound:
+            return self.abort(messages, batchId)
+        for m in messages:
+            for part, name in m.files if m else ():
+                fs.move(part, name)
+        with fs.open_output_stream(done):
+            pass
+
+    def abort(self, messages: list[WriterCommitMessage | None], batchId: int) -> None:
+        fs, _ = _filesystem(self.root)
+        for m in messages:
+            for part, _ in m.files if m else ():
+                fs.delete_file(part)
+
+
+class VoltageStreamWriter(_StagedStream):
+    stem, order, values = "raw", ("iter", "sample"), ("re", "im")
+
+
+class BeamStreamWriter(_StagedStream):
+    stem, order, values = "beam", ("time_idx", "channel"), ("power",)
+
+
 class VoltageRaw(DataSource):
     @classmethod
     def name(cls) -> str:
         return "voltage_raw"
 
     def schema(self) -> str:
-        return VOLTAGE_SCHEMA
+        return ("obs_id string, " if _flag(self.options, "observations") else "") + VOLTAGE_SCHEMA
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return VoltageStream(self.options)
+
+    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamArrowWriter:
+        return VoltageStreamWriter(self.options)
 
     def reader(self, schema) -> DataSourceReader:
         return VoltageReader(self.options)
@@ -209,7 +341,7 @@ class BeamReader(_FrameReader):
         self.frame_bytes, self.bounded = self.n_chans * self.n_beams * 4, "time_idx"
 
     def read(self, partition: FrameRanges):
-        for first, frames in self._frames(partition):
+        for _, first, frames in self._frames(partition):
             m, x = len(frames), frames.reshape(-1, self.n_beams)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.repeat(np.arange(first, first + m), self.n_chans)),
@@ -242,6 +374,9 @@ class BeamRaw(DataSource):
     def schema(self) -> str:
         return BEAM_SCHEMA
 
+    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamArrowWriter:
+        return BeamStreamWriter(self.options)
+
     def reader(self, schema) -> DataSourceReader:
         return BeamReader(self.options)
 
