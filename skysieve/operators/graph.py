@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skysieve.session import cut
 
 
+SLICE = 250_000  # edges contracted together in a task
+
+
 def connected_components(edges: DataFrame, keys: Sequence[str] = (), max_rounds: int = 60) -> DataFrame:
     """Smallest node of the component for every node that has an edge.
 
@@ -22,8 +25,10 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = (), max_rounds:
     keys = list(keys)
     e = cut(edges.select(*keys, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where(
         "u <> v").distinct())
-    # neighbours in the ordering meet in one task: most of a graph collapses before any round
-    e = cut(e.repartitionByRange(*keys, "v", "u").mapInPandas(_contract(keys), e.schema).distinct())
+    # neighbours in the ordering meet in one task: most of a graph collapses before any round, and a graph of
+    # one slice altogether
+    slices = max(1, -(-e.count() // SLICE))
+    e = cut(e.repartitionByRange(slices, *keys, "v", "u").mapInPandas(_contract(keys), e.schema).distinct())
     for _ in range(max_rounds):
         if _is_star_forest(e, keys):
             break

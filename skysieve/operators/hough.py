@@ -5,7 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from skysieve.session import spread
 
 IMAGE = ("iter", "beam_id")
 
@@ -27,32 +31,51 @@ def _rho(theta: str, n_theta: int) -> Column:
 
 
 def segments(pixels: DataFrame, min_votes: int = 10, min_length: int = 5, max_gap: int = 3,
-             n_theta: int = 180, keys: Sequence[str] = IMAGE) -> DataFrame:
+             n_theta: int = 180, keys: Sequence[str] = IMAGE, bands: int = 4) -> DataFrame:
     """Line segments: cells with enough votes, cut where pixels along the line leave a gap.
 
-    A line holds at most the pixels of one image row or diagonal, so the ordered step runs on
-    bounded groups.
+    A group is an image and every ``bands``-th angle; it holds the image's pixels and goes through its
+    angles one by one, so pixels are dealt ``bands`` times instead of once for each angle, and only
+    those on a cell with enough votes are put in order.
     """
     keys = list(keys)
-    # votes combine map-side; only pixels on a cell with enough of them go on to the ordered step
-    full = votes(pixels, n_theta, keys).where(F.col("votes") >= min_votes).drop("votes")
-    on_line = pixels.where("power > 0").select(*keys, "channel_sample", "time_idx", F.explode(
-        F.sequence(F.lit(0), F.lit(n_theta - 1))).alias("theta")).withColumn("rho", _rho("theta", n_theta))
-    on_line = on_line.join(full, [*keys, "theta", "rho"], "left_semi")
-    a = _angle(F.col("theta"), n_theta)
-    on_line = on_line.withColumn("pos", F.floor(
-        F.col("channel_sample") * F.cos(a) - F.col("time_idx") * F.sin(a) + 0.5).cast("int"))
-    w = Window.partitionBy(*keys, "theta", "rho").orderBy("pos", "channel_sample", "time_idx")
-    cut = on_line.withColumn("_gap", F.col("pos") - F.lag("pos").over(w))
-    cut = cut.withColumn("segment", F.sum(F.when(F.col("_gap") > max_gap + 1, 1).otherwise(0)).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = cut.groupBy(*keys, "theta", "rho", "segment").agg(
-        F.min("pos").alias("p0"), F.max("pos").alias("p1"), F.count("*").alias("n"),
-        F.min_by("time_idx", F.struct("pos", "channel_sample", "time_idx")).alias("t0"),
-        F.min_by("channel_sample", F.struct("pos", "channel_sample", "time_idx")).alias("c0"),
-        F.max_by("time_idx", F.struct("pos", "channel_sample", "time_idx")).alias("t1"),
-        F.max_by("channel_sample", F.struct("pos", "channel_sample", "time_idx")).alias("c1"))
-    return ends.where(F.col("p1") - F.col("p0") >= min_length).drop("p0", "p1")
+    kinds = {c: pixels.schema[c].dataType.simpleString() for c in (*keys, "time_idx", "channel_sample")}
+    out = [*keys, "theta", "rho", "segment", "n", "t0", "c0", "t1", "c1"]
+
+    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        t, c = pdf["time_idx"].to_numpy(np.int64), pdf["channel_sample"].to_numpy(np.int64)
+        by_place = np.lexsort((t, c))  # once: the order of pixels at the same position of a line
+        t, c, found = t[by_place], c[by_place], []
+        for k in range(int(group[-1]), n_theta, bands):
+            a = -math.pi / 2 + k * (math.pi / (n_theta - 1))
+            rho = np.floor(t * math.cos(a) + c * math.sin(a) + 0.5).astype(np.int64)
+            cell = rho - rho.min()
+            on = np.flatnonzero(np.bincount(cell)[cell] >= min_votes)
+            if not len(on):
+                continue
+            pos = np.floor(c[on] * math.cos(a) - t[on] * math.sin(a) + 0.5).astype(np.int64)
+            low = pos.min()
+            order = np.argsort(cell[on] * (pos.max() - low + 1) + (pos - low), kind="stable")
+            on, pos = on[order], pos[order]
+            line = rho[on]
+            new_line = np.diff(line, prepend=line[0] - 1) != 0
+            gap = (np.diff(pos, prepend=pos[0]) > max_gap + 1) & ~new_line
+            first = np.flatnonzero(new_line | gap)
+            last = np.append(first[1:], len(on)) - 1
+            breaks = np.cumsum(gap)
+            segment = breaks[first] - np.maximum.accumulate(np.where(new_line, breaks, 0))[first]
+            long_ones = pos[last] - pos[first] >= min_length
+            f, z = first[long_ones], last[long_ones]
+            found.append(np.stack([np.full(len(f), k), line[f], segment[long_ones], z - f + 1, t[on[f]], c[on[f]], t[on[z]], c[on[z]]], 1))
+        rows = np.concatenate(found) if found else np.zeros((0, 8), np.int64)
+        return pd.DataFrame({**dict(zip(keys, group)), **dict(zip(out[len(keys):], rows.T))}, columns=out)
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + (
+        f", theta int, rho int, segment long, n long, t0 {kinds['time_idx']}, c0 {kinds['channel_sample']}, "
+        f"t1 {kinds['time_idx']}, c1 {kinds['channel_sample']}")
+    dealt = pixels.where("power > 0").select(*keys, "time_idx", "channel_sample", F.explode(
+        F.sequence(F.lit(0), F.lit(bands - 1))).alias("_band"))
+    return spread(dealt, *keys, "_band").groupBy(*keys, "_band").applyInPandas(run, schema)
 
 
 def rasterise(lines: DataFrame, x1="t0", y1="c0", x2="t1", y2="c1") -> DataFrame:
