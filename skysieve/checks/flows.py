@@ -223,6 +223,37 @@ def _track_events(p):
     return _drain(ss.track_stream(stream, "track_id", 1.0, 1.0, delay="10 hours", **LIMITS), "tracks-out")
 
 
+@query("x1_stream_power", "fx_voltages", """
+    WITH y AS (SELECT ant, CAST(spectrum AS BIGINT) AS m, CAST((k + 4) % 8 AS INT) AS c,
+           SUM(re * COS(2 * PI() * k * pos / 8) + im * SIN(2 * PI() * k * pos / 8)) AS re,
+           SUM(im * COS(2 * PI() * k * pos / 8) - re * SIN(2 * PI() * k * pos / 8)) AS im
+        FROM vx_fir, (SELECT UNNEST(RANGE(0, 8)) AS k) GROUP BY 1, 2, 3),
+    g AS (SELECT CAST(m AS BIGINT) AS m, CAST(a AS INT) AS ant, CAST(c AS INT) AS c
+        FROM (SELECT UNNEST(RANGE(0, (SELECT COUNT(DISTINCT sample) // 40 * 5 FROM fx_voltages))) AS m),
+             (SELECT UNNEST(RANGE(0, 8)) AS a), (SELECT UNNEST(RANGE(0, 8)) AS c)),
+    p AS (SELECT g.m // 5 AS iter, g.m % 5 AS t, g.ant, g.c, COALESCE(re * re + im * im, 0) + 1e-14 AS power
+        FROM g LEFT JOIN y ON y.m = g.m AND y.ant = g.ant AND y.c = g.c),
+    n AS (SELECT iter, ant, c, MEDIAN(power) AS noise FROM p GROUP BY 1, 2, 3),
+    l AS (SELECT iter, ant, c, MEDIAN(noise) OVER (PARTITION BY ant, c ORDER BY iter ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS level FROM n)
+    SELECT 'obs' AS obs_id, p.iter, p.ant AS beam_id, p.c AS channel_sample, CAST(t AS INT) AS time_idx, ROUND(power - level, 3) AS power,
+           ROUND(level, 3) AS channel_noise FROM p JOIN l USING (iter, ant, c)""", "vx_fir")
+def _(v):
+    """Raw files to power above the rolling noise as one stream, started anew half-way; a beam for each antenna."""
+    spark = v.sparkSession
+    path, out, state = (scratch_path(spark, n) for n in ("raw", "power-out", "power-cp"))
+    f = frames(v).withColumn("iter", F.floor(F.col("sample") / 40))
+    last = f.agg(F.max("iter")).first()[0]
+    weights = spark.createDataFrame([(a, a, 1.0, 0.0) for a in range(8)], "beam_id int, ant int, re double, im double")
+    for part in (F.col("iter") <= last // 8 * 4 - 1, F.col("iter") > last // 8 * 4 - 1):
+        sinks.raw_voltages(f.where(part), f"{path}/obs")
+        slices = bf.beam_slices(sb.voltage_stream(spark, path, 8, 40, True), weights)
+        powers = ss.channel_power_stream(slices, 40, 8, 4, 3)
+        stt.run_available(powers, out, state)
+    rows = spark.read.schema(powers.schema).parquet(out).select(
+        "obs_id", "iter", "beam_id", "channel_sample", F.posexplode("power").alias("time_idx", "power"), "channel_noise")
+    return rounded(rows, "power channel_noise", 3)
+
+
 @query("x8_track_events", "vx_cluster_points", first_match_sql("9e15", """
     SELECT e.event AS name, CASE WHEN e.event = 'deleted' THEN 'WARNING' ELSE 'INFO' END AS level, COUNT(*) AS n
     FROM (SELECT UNNEST(events) AS e FROM done) GROUP BY ALL"""))

@@ -111,6 +111,37 @@ def beamform_frames(frames: DataFrame, weights: DataFrame,
     return frames.select(*keys, "re", "im").mapInPandas(run, schema)
 
 
+def beam_slices(frames: DataFrame, weights: DataFrame, keys: Sequence[str] = ("obs_id", "iter")) -> DataFrame:
+    """Beams of dense frames as ``(keys, beam_id, first, re[], im[])``: runs of consecutive samples.
+
+    One matrix product per Arrow batch, no shuffle and no row per sample: a run is as long as a
+    batch gives it.
+    """
+    matrix = weight_matrix(weights).T
+    keys = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            b = b.sort_values([*keys, "sample"], kind="stable", ignore_index=True)
+            x = np.stack(b["re"].to_numpy()) + 1j * np.stack(b["im"].to_numpy())
+            y = (x @ matrix[: x.shape[1]]).T
+            cuts = (b["sample"].diff() != 1) | (b[keys] != b[keys].shift()).any(axis=1)
+            starts = np.flatnonzero(cuts.to_numpy())
+            for a, z in zip(starts, [*starts[1:], len(b)]):
+                out = pd.DataFrame({"beam_id": np.arange(len(y), dtype="int32"), "first": b["sample"].iloc[a],
+                                    "re": list(y[:, a:z].real), "im": list(y[:, a:z].imag)})
+                for k in reversed(keys):
+                    out.insert(0, k, b[k].iloc[a])
+                yield out
+
+    arr = T.ArrayType(T.DoubleType())
+    schema = T.StructType([frames.schema[k] for k in keys] + [
+        T.StructField("beam_id", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("re", arr), T.StructField("im", arr)])
+    return frames.select(*keys, "sample", "re", "im").mapInPandas(run, schema)
+
+
 def power(re="re", im="im", floor: float = 1e-14) -> Column:
     """Pixel power with the small offset that keeps logarithms finite."""
     return cabs2(re, im) + F.lit(floor)

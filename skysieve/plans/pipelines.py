@@ -23,12 +23,12 @@ def power_pixels(voltages: DataFrame, weights: DataFrame, n_chans: int, n_taps:
 def beam_strips(frames: DataFrame, weights: DataFrame, keys: Sequence[str] = ("obs_id", "iter")) -> DataFrame:
     """Dense frames ``(keys, sample, re[], im[])`` to one row per block and beam with arrays over samples.
 
-    One matrix product per batch of frames, then one shuffle of the beams; a row is a block.
+    One matrix product per batch of frames, then one shuffle of runs of samples, which are put in
+    order as wholes; a row is a block.
     """
-    beams = bf.beamform_frames(frames, weights, [*keys, "sample"])
-    one = beams.select(*keys, "sample", F.posexplode(F.arrays_zip("re", "im")).alias("beam_id", "_v"))
-    rows = one.groupBy(*keys, "beam_id").agg(F.array_sort(F.collect_list(F.struct("sample", "_v.re", "_v.im"))).alias("_c"))
-    return rows.select(*keys, "beam_id", F.col("_c.re").alias("re"), F.col("_c.im").alias("im"))
+    runs = bf.beam_slices(frames, weights, keys).groupBy(*keys, "beam_id").agg(
+        F.array_sort(F.collect_list(F.struct("first", "re", "im"))).alias("_c"))
+    return runs.select(*keys, "beam_id", F.flatten("_c.re").alias("re"), F.flatten("_c.im").alias("im"))
 
 
 def dense_pixels(frames: DataFrame, weights: DataFrame, n_chans: int, n_taps: int, n_noise_blocks: int = 10,
@@ -92,20 +92,34 @@ def density_clusters(pixels: DataFrame, level: DataFrame, n_channels: int, n_tim
 DETECTORS: dict[str, Callable[..., DataFrame]] = {"streaks": streak_clusters, "dbscan": density_clusters}
 
 
-def track_points(pixels: DataFrame, noise: DataFrame, blocks: DataFrame, n_channels: int, n_times: int, start_mhz: float,
-                 channel_mhz: float, sampling_time: float, detector: str = "streaks", filters: Sequence[str] = ("triangle", "pepper"),
-                 gradient=tr.GRADIENT, obs: str = "obs_id", warm_up: int = 2, **options) -> DataFrame:
-    """Noise-free pixels to detections that carry their observation's ``track``.
+def detections(pixels: DataFrame, noise: DataFrame, blocks: DataFrame, n_channels: int, n_times: int, start_mhz: float,
+               channel_mhz: float, sampling_time: float, detector: str = "streaks", filters: Sequence[str] = ("triangle", "pepper"),
+               gradient=tr.GRADIENT, obs: str = "obs_id", warm_up: int = 2, **options) -> DataFrame:
+    """Noise-free pixels to detections of valid clusters in physical units, each block by itself.
 
-    Filters, detector, detections in physical units and order-free association, all keyed by the
-    observation; ``blocks(obs, iter, t0_us)`` has the start of each block.
+    ``blocks(obs, iter, t0_us)`` has the start of each block.
     """
     keys = [obs, "iter", "beam_id"]
     level = cut(beam_level(noise, [obs]))
     clean = nz.skip_warm_up(filtered(pixels, noise, n_channels, n_times, filters, [obs]), warm_up)
     clusters = DETECTORS[detector](clean, level, n_channels, n_times, keys, channel_mhz * 1e6, sampling_time, gradient, **options)
-    d = tr.to_detections(clusters, level, blocks, start_mhz, channel_mhz, sampling_time, n_times, [obs])
-    d = cut(d.withColumn("cluster", F.concat_ws(":", "iter", "beam_id", "cluster_id")).withColumn(
+    return tr.to_detections(clusters, level, blocks, start_mhz, channel_mhz, sampling_time, n_times, [obs])
+
+
+def track_points(pixels: DataFrame, noise: DataFrame, blocks: DataFrame, n_channels: int, n_times: int, start_mhz: float,
+                 channel_mhz: float, sampling_time: float, gradient=tr.GRADIENT, obs: str = "obs_id", **options) -> DataFrame:
+    """Noise-free pixels to detections that carry their observation's ``track``.
+
+    Filters, detector, detections in physical units and order-free association, all keyed by the
+    observation; ``options`` are those of :func:`detections`.
+    """
+    d = detections(pixels, noise, blocks, n_channels, n_times, start_mhz, channel_mhz, sampling_time, gradient=gradient, obs=obs, **options)
+    return tracked(d, channel_mhz, sampling_time, gradient, obs)
+
+
+def tracked(found: DataFrame, channel_mhz: float, sampling_time: float, gradient=tr.GRADIENT, obs: str = "obs_id") -> DataFrame:
+    """Detections, of a batch or as a stream has landed them, with the ``track`` of their cluster."""
+    d = cut(found.withColumn("cluster", F.concat_ws(":", "iter", "beam_id", "cluster_id")).withColumn(
         "event_id", F.col("channel_sample").cast("bigint")).withColumn("time", F.timestamp_micros("time_us")))
     table = cut(tr.cluster_table(d, [obs, "iter", "cluster"], sampling_time, channel_mhz * 1e6))
     tracks = tr.associate(table, [obs], "cluster", gradient=gradient).select(obs, "cluster", "track")

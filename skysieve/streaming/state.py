@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -60,15 +60,22 @@ class OpenTracks(StatefulProcessor):
     and the details of one block, whatever the length of the observation.
     """
 
-    def __init__(self, rules: Rules, start_ms: int, keys: Sequence[str]):
-        self.rules, self.start_ms = rules, start_ms
+    def __init__(self, rules: Rules, keys: Sequence[str]):
+        self.rules, self.start_ms = rules, 0
         self.columns = [*keys, *(c.split()[0] for c in TRACK_OUT.split(", "))]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "iter long", "rows array<array<double>>")
         self.tracks = handle.getMapState("tracks", _FOUNDER, _TRACK)
-        self.clock = handle.getValueState("clock", "block long, tracks long")
+        self.clock = handle.getValueState("clock", "block long, tracks long, start_ms long")
+
+    def _clock(self) -> tuple[int | None, int]:
+        """The last block taken in and the number of tracks so far; also sets the key's start."""
+        if not self.clock.exists():
+            return None, 0
+        block, tracks, self.start_ms = self.clock.get()
+        return block, tracks
 
     def _end_ms(self, block: int) -> int:
         return self.start_ms + math.ceil((block + 1) * self.rules.block_s * 1000)
@@ -83,11 +90,14 @@ class OpenTracks(StatefulProcessor):
         return block
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        done, _ = self.clock.get() if self.clock.exists() else (None, 0)
+        done, counter = self._clock()
         late, blocks = 0, {}
         for r in rows:
             if r["cluster_id"] is None:  # a tick: only its time counts
                 continue
+            if done is None and not blocks and not self.clock.exists():
+                self.start_ms = r["start_ms"]
+                self.clock.update((None, counter, self.start_ms))
             if done is not None and r["iter"] <= done:
                 late += 1
                 continue
@@ -102,9 +112,9 @@ class OpenTracks(StatefulProcessor):
             yield self._out(key, None, "late", (late, None, None, None, None), "late")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        done, counter = self._clock()
         passed = self._passed(timerValues.getCurrentWatermarkInMs())
         due = sorted(n for (n,) in self.waiting.keys() if n <= passed)
-        done, counter = self.clock.get() if self.clock.exists() else (None, 0)
         numbers, match = {}, FirstMatch(self.rules)
         for founder, value in self.tracks.iterator():
             track = self._track(tuple(founder), value)
@@ -143,7 +153,7 @@ class OpenTracks(StatefulProcessor):
             if self._end_ms(block) not in pending:
                 pending.add(self._end_ms(block))
                 self.handle.registerTimer(self._end_ms(block))
-        self.clock.update((max(passed, -1 if done is None else done), counter))
+        self.clock.update((max(passed, -1 if done is None else done), counter, self.start_ms))
 
     def close(self) -> None:
         pass
@@ -165,7 +175,7 @@ class OpenTracks(StatefulProcessor):
 
 
 def track_stream(points: DataFrame, obs: str | Sequence[str], dt: float, dy: float, block_len: int = 160, delay: str = "0 seconds",
-                 start_ms: int = 0, **limits) -> DataFrame:
+                 start_ms: int | str = 0, **limits) -> DataFrame:
     """First-match association on a stream of cluster points, with its event notices.
 
     A block is taken in once the watermark has passed its end, so its rows may come in any order and
@@ -173,18 +183,108 @@ def track_stream(points: DataFrame, obs: str | Sequence[str], dt: float, dy: flo
     taken in are counted in an event ``late``.  A row is emitted when a track is created, has
     grown by more than 10 %, is cancelled or has been silent for too long; timers end tracks
     without any further row of their key.  Rows without a cluster only move the time on.  ``obs``
-    may name several columns whose values never share a track.
+    may name several columns whose values never share a track.  ``start_ms`` is the time of block 0, or the
+    column that has it for each observation: needed where observations do not run at the same time.
     """
     keys = [obs] if isinstance(obs, str) else list(obs)
-    spark = points.sparkSession
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != _ROCKS:  # the only one with map state and timers
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    _rocks(points.sparkSession)
     rules = Rules(dt, dy, block_len, **limits)
     kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
-    end = F.timestamp_millis(F.lit(start_ms) + F.ceil((F.col("iter") + 1) * rules.block_s * 1000).cast("long"))
+    start = F.coalesce(F.col(start_ms) if isinstance(start_ms, str) else F.lit(start_ms), F.lit(0)).cast("long")
+    end = F.timestamp_millis(start + F.ceil((F.col("iter") + 1) * rules.block_s * 1000).cast("long"))
     rows = points.select(*keys, "iter", F.col("cluster_id").cast("long").alias("cluster_id"), "beam_id", "time_sample", "channel_sample",
-                         "snr", end.alias("block_end")).withWatermark("block_end", delay)
-    return rows.groupBy(*keys).transformWithState(OpenTracks(rules, start_ms, keys), f"{kinds}, {TRACK_OUT}", "Append", "EventTime")
+                         "snr", start.alias("start_ms"), end.alias("block_end")).withWatermark("block_end", delay)
+    return rows.groupBy(*keys).transformWithState(OpenTracks(rules, keys), f"{kinds}, {TRACK_OUT}", "Append", "EventTime")
+
+
+class ChannelPower(StatefulProcessor):
+    """Runs of samples of one beam to channel powers above the rolling noise, a block at a time.
+
+    A block leaves when all its samples have come, and only after the one before it.  State is the
+    runs of blocks that are not complete, the tail of the last block, and the noise of the last blocks.
+    """
+
+    def __init__(self, columns: Sequence[str], samples: int, n_chans: int, n_taps: int, n_noise_blocks: int):
+        self.columns, self.samples = list(columns), samples
+        self.n_chans, self.n_taps, self.n_noise = n_chans, n_taps, n_noise_blocks
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.runs = handle.getMapState("runs", "iter long", "first array<long>, samples array<binary>")
+        self.past = handle.getValueState("past", "block long, tail binary, noise binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        done, tail, noise = -1, np.zeros(self.n_chans * self.n_taps, complex), np.zeros((0, self.n_chans))
+        if self.past.exists():
+            done, *held = self.past.get()
+            tail, noise = np.frombuffer(held[0], complex), np.frombuffer(held[1]).reshape(-1, self.n_chans)
+        new, late = {}, 0
+        for b in rows:
+            for number, first, re, im in zip(b["iter"], b["first"], b["re"], b["im"]):
+                if number <= done:
+                    late += len(re)
+                    continue
+                new.setdefault(int(number), []).append((int(first), np.asarray(re) + 1j * np.asarray(im)))
+        for number, runs in new.items():
+            if self.runs.containsKey((number,)):
+                first, held = self.runs.getValue((number,))
+                runs += [(f, np.frombuffer(x, complex)) for f, x in zip(first, held)]
+                new[number] = runs
+        while True:
+            number = done + 1
+            runs = new.pop(number, None)
+            if runs is None and self.runs.containsKey((number,)):
+                first, held = self.runs.getValue((number,))
+                runs = [(f, np.frombuffer(x, complex)) for f, x in zip(first, held)]
+            if runs is None or sum(len(x) for _, x in runs) < self.samples:
+                if runs is not None:
+                    new[number] = runs
+                break
+            x = np.concatenate([x for _, x in sorted(runs, key=lambda r: r[0])])
+            y = block_spectra(tail, x, self.n_chans, self.n_taps)
+            p = y.real ** 2 + y.imag ** 2 + 1e-14
+            noise = np.concatenate([noise, np.median(p, axis=1)[None]])[-self.n_noise:]
+            level = np.median(noise, axis=0)
+            tail, done = np.concatenate([tail, x])[-len(tail):], number
+            if self.runs.containsKey((number,)):
+                self.runs.removeKey((number,))
+            yield self._frame(key, number, np.arange(self.n_chans), list(p - level[:, None]), level, 0)
+        for number, runs in new.items():
+            self.runs.updateValue((number,), ([f for f, _ in runs], [x.tobytes() for _, x in runs]))
+        self.past.update((done, tail.tobytes(), noise.tobytes()))
+        if late:
+            yield self._frame(key, done, [None], [None], [None], late)
+
+    def _frame(self, key, number, channel, power, level, late) -> pd.DataFrame:
+        obs, beam = key
+        return pd.DataFrame({self.columns[0]: obs, "iter": number, "beam_id": beam, "channel_sample": pd.array(channel, "Int32"),
+                             "power": power, "channel_noise": level, "late": late})[self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def channel_power_stream(slices: DataFrame, samples: int, n_chans: int, n_taps: int, n_noise_blocks: int = 10,
+                         obs: str = "obs_id") -> DataFrame:
+    """Stream of ``beam_slices`` to ``(obs, iter, beam_id, channel_sample, power[], channel_noise, late)``.
+
+    A block has ``samples`` samples and blocks count from 0 in each observation; samples of a block
+    that has left are counted in a row of their own, without channel and power.  With a source that
+    gives whole blocks, all beams of a block leave in the same batch.
+    """
+    _rocks(slices.sparkSession)
+    out = f"{obs} {slices.schema[obs].dataType.simpleString()}, iter long, beam_id int, channel_sample int, power array<double>, " \
+          "channel_noise double, late long"
+    processor = ChannelPower([c.split()[0] for c in out.split(", ")], samples, n_chans, n_taps, n_noise_blocks)
+    return slices.groupBy(obs, "beam_id").transformWithStateInPandas(processor, out, "Append", "None")
+
+
+def _rocks(spark: SparkSession) -> None:
+    """Map state and timers need this store."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != _ROCKS:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
 
 
 def channelise_stream(strips: DataFrame, n_chans: int, n_taps: int, key: str) -> DataFrame:

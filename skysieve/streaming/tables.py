@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from skysieve.functions.cplx import cabs2
 from skysieve.operators.tracks import upsert
+from skysieve.session import cut
 
 REQUEST_SCHEMA = "action string, obs_id bigint, name string, pipeline string, start_s bigint"
 
@@ -63,6 +64,28 @@ def subscribe(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, int],
     return stream.writeStream.foreachBatch(fan_out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def detection_stream(powers: DataFrame, path: str, checkpoint: str, detect: Callable[[DataFrame, DataFrame], DataFrame],
+                     obs: str = "obs_id") -> StreamingQuery:
+    """Whole images of a stream through a batch detector into the table ``path``, a folder per batch.
+
+    ``powers`` is a ``channel_power_stream``; ``detect(pixels, noise)`` gets the blocks that left it together.
+    A repeated batch writes its folder again.  Rows that came too late are counted in ``path-late``.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        rows = cut(batch)
+        channel = [obs, "iter", "beam_id", "channel_sample"]
+        whole = rows.where("channel_sample IS NOT NULL")
+        if not whole.isEmpty():
+            pixels = whole.select(*channel, F.posexplode("power").alias("time_idx", "power"))
+            detect(pixels, whole.select(*channel, "channel_noise")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        late = rows.where("late > 0").groupBy(obs).agg(F.sum("late").alias("samples"))
+        if not late.isEmpty():
+            late.write.mode("overwrite").parquet(f"{path}-late/batch={batch_id}")
+
+    return powers.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def event_log(events: DataFrame) -> DataFrame:
     """Events in the shape of the log table: channels, JSON body, header."""
     body = F.to_json(F.struct(*[c for c in events.columns if c != "event"]))

@@ -195,3 +195,53 @@ def test_voltages_to_tracks_of_two_observations(spark):
     both, table = tracks(a.unionByName(b))
     assert pa and pb and both == sorted(pa + pb)
     assert table == ta | tb and all(-0.3 < g < -0.03 for *_, g in table)
+
+
+def test_reader_to_detector_stream_equals_batch(spark, tmp_path):
+    """Raw files of two observations, landed in parts, to detections and tracks by streams alone."""
+    from skysieve.operators import beamform as bf
+    from skysieve.plans import pipelines as pl
+    from skysieve.session import cut
+    from skysieve.sinks import tables as sinks
+    from skysieve.sources import raw
+    weights = spark.createDataFrame([(b, a, 1.0, 0.0) for b in range(2) for a in range(2)], "beam_id int, ant int, re double, im double")
+    told = {"n_channels": 64, "n_times": 40, "start_mhz": 400.0, "channel_mhz": 1e-6, "sampling_time": 1.0, "detector": "dbscan",
+            "gradient": (-0.01, -5.0), "warm_up": 1, "linearity": 0.5}
+    starts = lambda df: df.select("obs_id", "iter").distinct().withColumn("t0_us", F.col("iter") * 40_000_000)
+    both = {"a": cut(tone_frames(spark, "a", 0.1, seed=1)), "b": cut(tone_frames(spark, "b", 0.1, 5, seed=2))}
+    root, out, state = str(tmp_path / "raw"), str(tmp_path / "found"), str(tmp_path / "cp")
+
+    def detect(pixels, noise):
+        return pl.detections(pixels, noise, starts(pixels), **told)
+
+    def run():
+        slices = bf.beam_slices(sb.voltage_stream(spark, root, 2, 2560, True), weights)
+        stt.detection_stream(ss.channel_power_stream(slices, 2560, 64, 4, 3), out, state, detect).awaitTermination()
+
+    for first, last, which in ((0, 1, "a"), (2, 3, "ab"), (0, 1, "b"), (4, 5, "ab")):  # b begins late, and with a gap to fill
+        for o in which:
+            sinks.raw_voltages(both[o].where(F.col("iter").between(first, last)), f"{root}/{o}", 1)
+        if (first, which) != (2, "ab"):
+            run()
+    found = spark.read.parquet(out).drop("batch")
+    frames = spark.read.format("voltage_raw").option("path", root).option("nants", 2).option("blocksamples", 2560).option(
+        "observations", "true").load()
+    pixels, noise = pl.dense_pixels(frames, weights, 64, 4, 3)
+    batch = cut(pl.detections(pixels, noise, starts(frames), **told))
+    place = ["obs_id", "iter", "beam_id", "time_sample", "channel_sample"]
+    assert sorted(map(str, found.select(*place, F.round("snr", 6)).collect())) == sorted(map(str, batch.select(*place, F.round("snr", 6)).collect()))
+    assert not (tmp_path / "found-late").exists() and found.select("obs_id").distinct().count() == 2
+    # the detections as they landed, on to tracks
+    rows = lambda df: sorted(map(str, pl.tracked(df, 1e-6, 1.0, (-0.01, -5.0)).select(
+        "obs_id", "time_sample", "beam_id", "channel_sample", F.round("snr", 6)).collect()))
+    assert rows(found) == rows(batch) and rows(found)
+
+
+def test_late_samples_are_counted(spark, tmp_path):
+    rows = [("o", b, 0, b * 8, [1.0] * 8, [0.0] * 8) for b in range(3)]
+    schema = "obs_id string, iter long, beam_id int, first long, re array<double>, im array<double>"
+    for i, part in enumerate(([rows[1]], [rows[0], rows[2]], [rows[0]])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = drain(spark, ss.channel_power_stream(sb.block_stream(spark, str(tmp_path / "in"), schema), 8, 4, 2, 2), tmp_path)
+        left = [(r["iter"], r.late) for r in out.where("channel_sample = 0 OR late > 0").collect()]
+        assert sorted(left) == [[], [(0, 0), (1, 0), (2, 0)], [(0, 0), (1, 0), (2, 0), (2, 8)]][i]
