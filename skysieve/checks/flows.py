@@ -12,8 +12,9 @@ from skysieve.checks.tracks import LIMITS, first_match_sql
 from skysieve.operators import beamform as bf, noise as nz, tracks as tr
 from skysieve.operators.streaks import CHANNEL_HZ, SAMPLING_TIME
 from skysieve.plans.pipelines import PIPELINES
-from skysieve.session import scratch_path
+from skysieve.session import cut, scratch_path
 from skysieve.sinks import tables as sinks
+from skysieve.sinks.keyed import KeyedTable
 from skysieve.streaming import blocks as sb, state as ss, tables as stt
 
 BLOCK = 50
@@ -332,11 +333,24 @@ def _(s):
     changes = stt.parsed_requests(sb.block_stream(spark, _land(m, "req"), m.schema, 1)).select(
         "obs_id", "version", "name", "start_s", (F.col("action") == "delete").alias("deleted"))
     out = scratch_path(spark, "sched")
-    q = stt.upsert_table(changes, out, scratch_path(spark, "sched-cp"), "obs_id", "version",
-                         "obs_id bigint, version bigint, name string, start_s bigint")
-    q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress)
-    return spark.read.parquet(f"{out}/batch={last}")
+    schema = "obs_id bigint, version bigint, name string, start_s bigint"
+    stt.upsert_table(changes, out, scratch_path(spark, "sched-cp"), "obs_id", "version", schema).awaitTermination()
+    return KeyedTable(spark, out, "obs_id", "version", schema).read()
+
+
+@query("k10_keyed_table", "vx_cluster_points", """
+    WITH v AS (SELECT track_id, iter, COUNT(*) AS n, MAX(snr) AS psnr FROM vx_cluster_points GROUP BY 1, 2)
+    SELECT track_id, iter, n, psnr FROM v QUALIFY ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY iter DESC) = 1
+       AND NOT (track_id % 9 = 0 AND iter > 1)""")
+def _(p):
+    """A batch per block into the buckets of a table that is merged when read."""
+    v = cut(p.groupBy("track_id", "iter").agg(F.count("*").alias("n"), F.max("snr").alias("psnr")))
+    table = KeyedTable(p.sparkSession, scratch_path(p.sparkSession, "tracks"), "track_id", "iter",
+                       "track_id bigint, iter bigint, n bigint, psnr double")
+    changes = v.withColumn("deleted", (F.col("track_id") % 9 == 0) & (F.col("iter") > 1))
+    for i in range(v.agg(F.max("iter")).first()[0] + 1):
+        table.apply(changes.where(F.col("iter") == i), i)
+    return table.read()
 
 
 @query("k10_track_upsert", "vx_cluster_points", """

@@ -57,16 +57,16 @@ def rfi_peaks(pixels: DataFrame, n_sigma: float = 5.0, fill: float = -100.0, key
 
 
 def rfi_persistent(pixels: DataFrame, beam_noise: DataFrame, n_samples: int, n_sigma: float = 3.0,
-                   share: float = 0.6) -> DataFrame:
+                   share: float = 0.6, keys: Sequence[str] = IMAGE) -> DataFrame:
     """Channels with an outstanding sum that also exceed the beam noise most of the time."""
-    b = beam_noise.select("iter", "beam_id", F.col("beam_noise").alias("_bn"))
-    sums = pixels.join(b, ["iter", "beam_id"]).groupBy("iter", "beam_id", "channel_sample").agg(
+    keys = list(keys)
+    b = beam_noise.select(*keys, F.col("beam_noise").alias("_bn"))
+    sums = pixels.join(b, keys).groupBy(*keys, "channel_sample").agg(
         F.sum("power").alias("_s"), F.count_if(F.col("power") > F.col("_bn")).alias("_n"))
-    stats = sums.groupBy("iter", "beam_id").agg((F.avg("_s") + n_sigma * F.stddev_pop("_s")).alias("_t"))
-    bad = sums.join(stats, ["iter", "beam_id"]).where(
-        (F.col("_s") > F.col("_t")) & (F.col("_n") > share * n_samples)).join(b, ["iter", "beam_id"]).select(
-        "iter", "beam_id", "channel_sample", "_bn")
-    return pixels.join(bad, ["iter", "beam_id", "channel_sample"], "left").withColumn(
+    stats = sums.groupBy(*keys).agg((F.avg("_s") + n_sigma * F.stddev_pop("_s")).alias("_t"))
+    bad = sums.join(stats, keys).where(
+        (F.col("_s") > F.col("_t")) & (F.col("_n") > share * n_samples)).join(b, keys).select(*keys, "channel_sample", "_bn")
+    return pixels.join(bad, [*keys, "channel_sample"], "left").withColumn(
         "power", F.coalesce("_bn", "power")).drop("_bn")
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skysieve.functions.cplx import cabs2
-from skysieve.operators.tracks import upsert
 from skysieve.session import cut
+from skysieve.sinks.keyed import KeyedTable
 
 REQUEST_SCHEMA = "action string, obs_id bigint, name string, pipeline string, start_s bigint"
 
@@ -34,17 +34,14 @@ def parsed_requests(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def upsert_table(stream: DataFrame, path: str, checkpoint: str, key: str, version: str, schema: str,
-                 deleted: str | None = "deleted") -> StreamingQuery:
-    """Apply a change stream to a keyed table; the table of batch n is ``path/batch=n``.
+                 deleted: str | None = "deleted", buckets: int = 16) -> StreamingQuery:
+    """Apply a change stream to the keyed table ``path``, read by ``sinks.keyed.KeyedTable``.
 
-    A repeated batch writes the same folder again, so a restart cannot apply it twice.
+    A batch is written into the buckets of its keys; a repeated one changes nothing.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = (spark.read.schema(schema).parquet(f"{path}/batch={batch_id - 1}") if batch_id else
-               spark.createDataFrame([], schema))
-        upsert(old, batch, key, version, deleted).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        KeyedTable(batch.sparkSession, path, key, version, schema, deleted, buckets).apply(batch, batch_id)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

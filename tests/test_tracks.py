@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skysieve.operators import association as an, calibrate as cal, schedule as sc, tracks as tr
+from skysieve.sinks.keyed import KeyedTable
 from skysieve.streaming import blocks as sb, state as ss, tables as stt
 
 DT, DY = 0.1, 10.0
@@ -104,10 +105,49 @@ def test_upsert_stream_is_idempotent_per_batch(spark, tmp_path):
     pdf["part"] = [0, 0, 1, 1]
     land(pdf, str(tmp_path / "in"), "part")
     s = sb.block_stream(spark, str(tmp_path / "in"), "k bigint, v bigint, name string, deleted boolean").select("k", "v", "name", "deleted")
-    q = stt.upsert_table(s, str(tmp_path / "t"), str(tmp_path / "cp"), "k", "v", "k bigint, v bigint, name string")
-    q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress)
-    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/t/batch={last}").collect()] == [(1, 3, "c")]
+    schema = "k bigint, v bigint, name string"
+    stt.upsert_table(s, str(tmp_path / "t"), str(tmp_path / "cp"), "k", "v", schema).awaitTermination()
+    assert [tuple(r) for r in KeyedTable(spark, str(tmp_path / "t"), "k", "v", schema).read().collect()] == [(1, 3, "c")]
+    # the same stream from its start: every batch is known
+    before = sorted(p.name for p in (tmp_path / "t").rglob("*.parquet"))
+    stt.upsert_table(s, str(tmp_path / "t"), str(tmp_path / "cp2"), "k", "v", schema).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "t").rglob("*.parquet")) == before
+
+
+def test_keyed_table_equals_a_dictionary_and_writes_what_changes(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    schema = "k bigint, v bigint, name string"
+    table = lambda: KeyedTable(spark, str(tmp_path / "t"), "k", "v", schema, buckets=4)
+    want, written = {}, []
+    files = lambda: {p: p.stat().st_size for p in (tmp_path / "t").rglob("*.parquet")}
+    for batch in range(8):
+        n = 4000 if batch == 0 else 12
+        rows = [(int(k), int(v), f"{batch}-{v}", bool(batch and rng.random() < 0.2)) for k, v in zip(
+            rng.integers(0, 5000, n), rng.permutation(10 * n))]
+        for k, v, name, gone in sorted(rows, key=lambda r: r[1]):
+            if k not in want or v >= want[k][1]:
+                want[k] = (k, v, None if gone else name)
+        before = files() if batch else {}
+        df = spark.createDataFrame([*rows, (None, 1, "no key", False)], schema + ", deleted boolean")
+        if batch == 4:  # killed before the log: a folder without an entry, then the batch again
+            (tmp_path / "t" / "batch" / "4" / "_bucket=0").mkdir(parents=True)
+            (tmp_path / "t" / "batch" / "4" / "_bucket=0" / "part-x.parquet").write_bytes(b"half")
+        table().apply(df, batch)
+        table().apply(df, batch)
+        written.append(sum(s for p, s in files().items() if p not in before))
+        got = sorted(tuple(r) for r in table().read().collect())
+        assert got == sorted(r for r in want.values() if r[2])
+    assert max(written[1:]) < written[0] / 2  # a small batch does not write the table
+    some = [int(k) for k in list(want)[:3]] + [99999]
+    assert sorted(tuple(r) for r in table().read(some).collect()) == sorted(r for k, r in want.items() if k in some and r[2])
+    n = len(files())
+    table().vacuum()
+    assert len(files()) <= n and sorted(tuple(r) for r in table().read().collect()) == got
+    big = [(k, 10 ** 6, "all", False) for k in range(5000)]
+    table().apply(spark.createDataFrame(big, schema + ", deleted boolean"), 8)
+    assert any(h["base"] and h["base"][0] == 8 for h in table().state()["held"].values())  # grown batches are merged
+    assert table().read().where("name = 'all'").count() == 5000
+    assert KeyedTable(spark, str(tmp_path / "none"), "k", "v", schema).read().count() == 0
 
 
 def test_subscribers_get_their_events(spark, tmp_path):
