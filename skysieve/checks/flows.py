@@ -297,10 +297,11 @@ def _(e):
     """Input rows of all triggers of a named stream."""
     src = e.select(F.col("event_type").alias("event"), "event_id", "value")
     log = stt.event_log(sb.block_stream(e.sparkSession, _land(src, "hb"), src.schema, 1))
-    q = log.writeStream.format("noop").queryName("event-log").trigger(availableNow=True).option(
-        "checkpointLocation", scratch_path(e.sparkSession, "hb-cp")).start()
-    q.awaitTermination()
-    return stt.progress_rows(e.sparkSession, q).groupBy("name").agg(F.sum("rows").alias("rows"))
+    path = scratch_path(e.sparkSession, "heartbeat")
+    with stt.heartbeat(e.sparkSession, path):
+        log.writeStream.format("noop").queryName("event-log").trigger(availableNow=True).option(
+            "checkpointLocation", scratch_path(e.sparkSession, "hb-cp")).start().awaitTermination()
+    return stt.heartbeat_rows(e.sparkSession, path).where("event = 'progress'").groupBy("name").agg(F.sum("rows").alias("rows"))
 
 
 @query("x7_metrics_stream", "fx_voltages", f"""
@@ -310,13 +311,13 @@ def _(v):
     """Every tenth block, one time window per block."""
     b = v.withColumn("iter", F.floor(F.col("sample") / BLOCK)).withColumn(
         "ts", F.timestamp_seconds(F.lit(1700000010) + F.col("iter") * 15))
-    path = _land(b, "metrics")
-    m = stt.antenna_metrics(sb.block_stream(v.sparkSession, path, b.schema, 1000))
-    spark, name = v.sparkSession, "metrics_" + path[-8:]
-    q = m.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option(
-        "checkpointLocation", scratch_path(spark, "metrics-cp")).start()
-    q.awaitTermination()
-    return rounded(spark.table(name), "rms").select("iter", "ant", "rms")
+    path = _land(b.repartition(4), "metrics")
+    # one row of a much later block closes the windows before it
+    b.sparkSession.createDataFrame([(10 ** 7,)], "iter long").select(*[
+        F.col(c) if c == "iter" else F.timestamp_seconds(F.lit(1900000000)).alias(c) if c == "ts" else F.lit(None).cast(t).alias(c)
+        for c, t in b.dtypes]).write.mode("append").parquet(path)
+    m = stt.antenna_metrics(sb.block_stream(v.sparkSession, path, b.schema, 2), watermark="100 days")
+    return rounded(_drain(m, "metrics-out"), "rms").select("iter", "ant", "rms")
 
 
 @query("s17_request_stream", "vx_sched", """

@@ -221,6 +221,17 @@ def _(v):
     return rounded(visibilities(v), "re im", 4).select("t_idx", "ant1", "ant2", "baseline", "re", "im")
 
 
+@query("j2_polarisations", "fx_voltages", """
+    SELECT CAST(FLOOR(a.sample / 50) AS BIGINT) AS t_idx, CAST(a.ant // 2 AS INT) AS ant1, CAST(b.ant // 2 AS INT) AS ant2,
+           CAST(a.ant % 2 AS INT) AS pol1, CAST(b.ant % 2 AS INT) AS pol2,
+           ROUND(SUM(a.re * b.re + a.im * b.im), 4) AS re, ROUND(SUM(a.im * b.re - a.re * b.im), 4) AS im
+    FROM fx_voltages a JOIN fx_voltages b ON a.sample = b.sample AND a.ant // 2 < b.ant // 2 GROUP BY 1, 2, 3, 4, 5""")
+def _(v):
+    """Four products of two polarisations for each pair of four antennas."""
+    out = co.correlate_frames(bf.to_frames(v, 8), 50, 4, n_pols=2)
+    return rounded(out, "re im", 4).select("t_idx", "ant1", "ant2", "pol1", "pol2", "re", "im")
+
+
 @query("x2_tumbling_integration", "fx_voltages", """
     SELECT CAST(FLOOR(sample / 32) AS BIGINT) AS win, ant, COUNT(*) AS n, ROUND(SUM(re), 5) AS re,
            ROUND(SUM(im), 5) AS im FROM fx_voltages GROUP BY 1, 2""")

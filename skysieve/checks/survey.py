@@ -537,3 +537,26 @@ def _(p):
     from skysieve.sinks.tables import csv_lines
     g = p.groupBy("iter", "beam_id", "time_idx").agg(F.when(F.count("*") > 1, F.count("*")).alias("n"))
     return csv_lines(g, [("iter", "%d"), ("beam_id", "%d"), ("time_idx", "%d"), ("n", "%d")])
+
+
+# --- table functions ---------------------------------------------------------------------------
+@query("e1_block_transform", "fx_voltages", """
+    SELECT sample // 50 AS iter, ant, COUNT(*) AS n, ROUND(SQRT(AVG(re * re + im * im)), 5) AS rms FROM fx_voltages GROUP BY 1, 2""")
+def _(v):
+    """A transform of each antenna's block, called by name from SQL."""
+    from skysieve.functions.table_functions import register
+    b = v.withColumn("iter", F.floor(F.col("sample") / 50))
+    out = register(v.sparkSession).sql("""SELECT * FROM block_transform(
+        TABLE(SELECT iter, ant, sample, re, im FROM {b}) PARTITION BY (iter, ant) ORDER BY (sample), 'rms', 'iter, ant')""", b=b)
+    return rounded(out, "rms")
+
+
+@query("e6_rasterise_sql", "vx_leaf_boxes", """
+    SELECT id, CAST(FLOOR(t0 + CASE WHEN n > 0 THEN k / n ELSE 0 END * (t1 - t0) + 0.5) AS INT) AS time_idx,
+           CAST(FLOOR(c0 + CASE WHEN n > 0 THEN k / n ELSE 0 END * (c1 - c0) + 0.5) AS INT) AS channel_sample
+    FROM (SELECT *, UNNEST(RANGE(0, n + 1)) AS k FROM (
+      SELECT *, GREATEST(ABS(t1 - t0), ABS(c1 - c0)) AS n FROM vx_leaf_boxes))""")
+def _(b):
+    """The rasteriser as a table function."""
+    from skysieve.functions.table_functions import register
+    return register(b.sparkSession).sql("SELECT id, time_idx, channel_sample FROM rasterise(TABLE(SELECT * FROM {b}))", b=b)

@@ -12,42 +12,85 @@ from skysieve.functions.cplx import cabs, cmul_conj
 from skysieve.operators.sequences import small
 
 
+_HELD_BYTES = 256 << 20  # window sums of a task before they are passed on
+_ROWS = 100_000  # visibilities made at once
+
+
 def baseline_index(ant1, ant2, n_ants: int) -> Column:
     """Position of the pair (ant1 < ant2) in row-major upper-triangle order."""
     a, b = (F.col(c) if isinstance(c, str) else c for c in (ant1, ant2))
     return (a * n_ants - F.floor(a * (a + 1) / 2) + (b - a - 1)).cast("int")
 
 
-def correlate_frames(frames: DataFrame, integration: int, n_ants: int,
-                     keys: Sequence[str] = ()) -> DataFrame:
-    """Sum of x_a conj(x_b) per (window, pair).
+def correlate_blocks(frames: DataFrame, integration: int, n_ants: int, n_pols: int = 1, keys: Sequence[str] = ()) -> DataFrame:
+    """Hermitian sums ``(keys, t_idx, block)`` of x conj(x)^T over windows of ``integration`` samples.
 
-    Each Arrow batch is reduced to one matrix product per window inside the task, so what is
-    shuffled is one row per (batch, window, pair), not one per (sample, pair).
+    Frames have arrays over inputs, polarisations innermost (``ant * n_pols + pol``).  A task adds
+    up one matrix per window over all its batches; what is shuffled and added again is the packed
+    upper triangle, diagonal included, as 128-bit complex numbers.
     """
     keys = list(keys)
-    upper = np.triu_indices(n_ants, 1)
+    upper = np.triu_indices(n_ants * n_pols)
+    schema = T.StructType([frames.schema[k] for k in keys] + [T.StructField("t_idx", T.LongType()), T.StructField("block", T.BinaryType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
         for b in batches:
-            for key, g in b.groupby(keys + ["t_idx"], sort=False):
-                x = np.stack(g["re"].to_numpy()) + 1j * np.stack(g["im"].to_numpy())
-                v = (x.T @ x.conj())[upper]
-                out = pd.DataFrame({"ant1": upper[0].astype("int32"), "ant2": upper[1].astype("int32"),
-                                    "re": v.real, "im": v.imag})
-                for name, value in zip(keys + ["t_idx"], key):
-                    out[name] = value
-                yield out
+            if not len(b):
+                continue
+            x = np.stack(b["re"].to_numpy()) + 1j * np.stack(b["im"].to_numpy())
+            group = b.groupby(keys + ["t_idx"], sort=False, dropna=False)
+            order = np.argsort(group.ngroup().to_numpy(), kind="stable")
+            edges = [0, *np.cumsum(group.size().to_numpy())]
+            for key, a, z in zip(group.size().index, edges, edges[1:]):
+                key = key if isinstance(key, tuple) else (key,)
+                part = x[order[a:z]]
+                held[key] = held.get(key, 0) + (part.T @ part.conj())[upper]
+            if sum(v.nbytes for v in held.values()) > _HELD_BYTES:
+                yield rows(held)
+                held = {}
+        if held:
+            yield rows(held)
+
+    def rows(held: dict[tuple, np.ndarray]) -> pd.DataFrame:
+        out = pd.DataFrame(list(held), columns=keys + ["t_idx"])
+        out["block"] = [v.astype("<c16").tobytes() for v in held.values()]
+        return out
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(v, "<c16") for v in pdf["block"])
+        return pd.DataFrame([(*key, total.tobytes())], columns=keys + ["t_idx", "block"])
 
     df = frames.withColumn("t_idx", F.floor(F.col("sample") / integration))
-    fields = [frames.schema[k] for k in keys] + [
-        T.StructField("t_idx", T.LongType()), T.StructField("ant1", T.IntegerType()),
-        T.StructField("ant2", T.IntegerType()), T.StructField("re", T.DoubleType()),
-        T.StructField("im", T.DoubleType())]
-    part = df.select(*keys, "t_idx", "re", "im").mapInPandas(run, T.StructType(fields))
-    return part.groupBy(*keys, "t_idx", "ant1", "ant2").agg(
-        F.sum("re").alias("re"), F.sum("im").alias("im")).withColumn(
-        "baseline", baseline_index("ant1", "ant2", n_ants))
+    parts = df.select(*keys, "t_idx", "re", "im").mapInPandas(run, schema)
+    return parts.groupBy(*keys, "t_idx").applyInPandas(add, schema)
+
+
+def visibilities(blocks: DataFrame, n_ants: int, n_pols: int = 1, autos: bool = False) -> DataFrame:
+    """Rows of packed blocks: a row for each pair of antennas and, where there are several, of polarisations."""
+    i, j = np.triu_indices(n_ants * n_pols)
+    a1, a2, p1, p2 = i // n_pols, j // n_pols, i % n_pols, j % n_pols
+    kept = np.flatnonzero((a1 < a2) | autos)
+    keys = [c for c in blocks.columns if c != "block"]
+    schema = T.StructType([blocks.schema[k] for k in keys] + [T.StructField(n, T.IntegerType()) for n in ("ant1", "ant2", "pol1", "pol2")]
+                          + [T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for start in range(0, len(b), _ROWS // len(kept) + 1):
+                part = b.iloc[start: start + _ROWS // len(kept) + 1]
+                v = np.stack([np.frombuffer(x, "<c16")[kept] for x in part["block"]])
+                out = {k: np.repeat(part[k].to_numpy(), len(kept)) for k in keys}
+                out |= {n: np.tile(x[kept].astype("int32"), len(part)) for n, x in (("ant1", a1), ("ant2", a2), ("pol1", p1), ("pol2", p2))}
+                yield pd.DataFrame({**out, "re": v.real.ravel(), "im": v.imag.ravel()})
+
+    out = blocks.mapInPandas(run, schema).withColumn("baseline", baseline_index("ant1", "ant2", n_ants))
+    return out if n_pols > 1 else out.drop("pol1", "pol2")
+
+
+def correlate_frames(frames: DataFrame, integration: int, n_ants: int, keys: Sequence[str] = (), n_pols: int = 1) -> DataFrame:
+    """Sum of x_a conj(x_b) per window and pair, for several polarisations per pair of them."""
+    return visibilities(correlate_blocks(frames, integration, n_ants, n_pols, keys), n_ants, n_pols)
 
 
 def channel_range(spectra: DataFrame, start: int, end: int) -> DataFrame:

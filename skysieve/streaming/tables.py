@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from threading import Condition
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from skysieve.functions.cplx import cabs2
 from skysieve.session import cut
@@ -90,7 +95,59 @@ def event_log(events: DataFrame) -> DataFrame:
                          F.when(F.col("event") == "deleted", F.lit("WARNING")).otherwise(F.lit("INFO")).alias("level"))
 
 
-def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Heartbeat of a running stream: one row per recent trigger."""
-    rows = [(p["name"], p["batchId"], p["timestamp"], float(p["numInputRows"])) for p in query.recentProgress]
-    return spark.createDataFrame(rows, "name string, batch_id bigint, ts string, rows double")
+HEARTBEAT_SCHEMA = "event string, run string, name string, batch_id bigint, ts string, rows double, rows_per_second double"
+
+
+class Heartbeat(StreamingQueryListener):
+    """Appends a row for each start, trigger, idle spell and end of a stream while it runs, a small file each."""
+
+    def __init__(self, path: str):
+        self.path, self.open, self.changed = path, set(), Condition()
+        self.fs, self.root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+        self.fs.create_dir(self.root, recursive=True)
+
+    def _append(self, **row) -> None:
+        staged = f"{self.root}/.{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(staged) as f:
+            f.write((json.dumps(row) + "\n").encode())
+        self.fs.move(staged, f"{self.root}/{uuid.uuid4().hex}.json")
+
+    def onQueryStarted(self, event) -> None:
+        self.open.add(str(event.runId))
+        self._append(event="started", run=str(event.runId), name=event.name, ts=event.timestamp)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._append(event="progress", run=str(p.runId), name=p.name, batch_id=p.batchId, ts=p.timestamp, rows=float(p.numInputRows),
+                     rows_per_second=float(p.processedRowsPerSecond or 0))
+
+    def onQueryIdle(self, event) -> None:
+        self._append(event="idle", run=str(event.runId), ts=event.timestamp)
+
+    def onQueryTerminated(self, event) -> None:
+        self._append(event="failed" if event.exception else "ended", run=str(event.runId))
+        with self.changed:
+            self.open.discard(str(event.runId))
+            self.changed.notify_all()
+
+    def settled(self, seconds: float = 30) -> bool:
+        """Wait until the ends of all streams that were started have been written."""
+        with self.changed:
+            return self.changed.wait_for(lambda: not self.open, seconds)
+
+
+@contextmanager
+def heartbeat(spark: SparkSession, path: str) -> Iterator[Heartbeat]:
+    """Write the heartbeat of all streams of the session into the table ``path``."""
+    listener = Heartbeat(path)
+    spark.streams.addListener(listener)
+    try:
+        yield listener
+        listener.settled()
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def heartbeat_rows(spark: SparkSession, path: str) -> DataFrame:
+    """What has been written so far, also while streams run."""
+    return spark.read.schema(HEARTBEAT_SCHEMA).json(path)

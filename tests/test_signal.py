@@ -159,3 +159,38 @@ def test_beams_of_several_sub_bands_and_polarisations(spark):
     assert all(r.re == 2 * (1 + r.pol) * (1 + r.sub) for r in out)
     with pytest.raises(ValueError, match="several weights"):
         bf.weight_matrix(w)
+
+
+def test_block_correlator_with_polarisations(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(2, 60, 6)) + 1j * rng.normal(size=(2, 60, 6))  # observation, sample, ant * 2 + pol
+    rows = [(f"o{o}", s, x[o, s].real.tolist(), x[o, s].imag.tolist()) for o in range(2) for s in range(60)]
+    frames = spark.createDataFrame(rows, "obs string, sample long, re array<double>, im array<double>").repartition(7)
+    for held in (co._HELD_BYTES, 1):  # sums kept in the task, or passed on with every batch
+        monkeypatch.setattr(co, "_HELD_BYTES", held)
+        got = co.correlate_frames(frames, 25, 3, ["obs"], 2).collect()
+        assert len(got) == 2 * 3 * 3 * 4
+        for r in got:
+            o, part = int(r.obs[1]), slice(r.t_idx * 25, r.t_idx * 25 + 25)
+            v = (x[o, part, r.ant1 * 2 + r.pol1] * x[o, part, r.ant2 * 2 + r.pol2].conj()).sum()
+            assert abs(complex(r.re, r.im) - v) < 1e-9
+    blocks = co.correlate_blocks(frames, 25, 3, 2, ["obs"])
+    autos = co.visibilities(blocks, 3, 2, autos=True).where("ant1 = ant2 AND pol1 = pol2").collect()
+    assert len(autos) == 2 * 3 * 6 and all(r.re > 0 and abs(r.im) < 1e-9 for r in autos)
+
+
+def test_table_functions(spark):
+    from skysieve.functions.table_functions import register
+    register(spark)
+    x = np.exp(2j * np.pi * np.arange(16) * 3 / 16)
+    spark.createDataFrame([(k, i, float(x[i].real), float(x[i].imag)) for k in ("a", "b") for i in range(16)],
+                          "k string, sample long, re double, im double").repartition(5).createOrReplaceTempView("tf_samples")
+    call = "SELECT * FROM block_transform(TABLE(SELECT * FROM tf_samples) PARTITION BY k ORDER BY (sample), '{}', 'k')"
+    out = spark.sql(call.format("spectrum")).where("power > 1e-6").collect()
+    assert sorted((r.k, r.channel, round(r.power, 6)) for r in out) == [("a", 11, 256.0), ("b", 11, 256.0)]
+    assert sorted(map(tuple, spark.sql(call.format("total_power")).collect())) == [("a", 16, 16.0), ("b", 16, 16.0)]
+    with pytest.raises(Exception, match="one of rms"):
+        spark.sql(call.format("nothing")).collect()
+    spark.createDataFrame([(1, 0, 0, 3, 1, 9), (2, 5, 5, 5, 5, 9)], "id int, t0 int, c0 int, t1 int, c1 int, time_idx int").createOrReplaceTempView("tf_lines")
+    rows = spark.sql("SELECT id, time_idx, channel_sample FROM rasterise(TABLE(SELECT * FROM tf_lines))").collect()
+    assert sorted(map(tuple, rows)) == [(1, 0, 0), (1, 1, 0), (1, 2, 1), (1, 3, 1), (2, 5, 5)]

@@ -285,3 +285,27 @@ def test_late_samples_are_counted(spark, tmp_path):
         out = drain(spark, ss.channel_power_stream(sb.block_stream(spark, str(tmp_path / "in"), schema), 8, 4, 2, 2), tmp_path)
         left = [(r["iter"], r.late) for r in out.where("channel_sample = 0 OR late > 0").collect()]
         assert sorted(left) == [[], [(0, 0), (1, 0), (2, 0)], [(0, 0), (1, 0), (2, 0), (2, 8)]][i]
+
+
+def test_heartbeat_is_written_while_streams_run(spark, tmp_path):
+    pdf = pd.DataFrame({"event": ["created"] * 6, "x": range(6), "part": [0, 0, 1, 1, 2, 2]})
+    land(pdf, str(tmp_path / "in"), "part")
+    beats, seen = str(tmp_path / "beats"), []
+
+    def look(df, i):
+        df.count()
+        seen.append(len(list((tmp_path / "beats").glob("*.json"))))
+
+    def fail(df, i):
+        raise ValueError("no")
+
+    s = sb.block_stream(spark, str(tmp_path / "in"), "event string, x bigint, part bigint")
+    with stt.heartbeat(spark, beats):
+        stt.subscribe(s, {"created": look}, str(tmp_path / "cp")).awaitTermination()
+        with pytest.raises(Exception):
+            stt.subscribe(s, {"created": fail}, str(tmp_path / "cp2")).awaitTermination()
+    rows = stt.heartbeat_rows(spark, beats)
+    assert seen[-1] >= 1  # rows of the running stream
+    count = {(r.event, r.n) for r in rows.groupBy("event").agg(F.count("*").alias("n")).collect()}
+    assert {("started", 2), ("ended", 1), ("failed", 1)} <= count
+    assert sorted(r.rows for r in rows.where("event = 'progress'").collect() if r.rows) == [2.0, 2.0, 2.0]
