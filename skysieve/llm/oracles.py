@@ -85,7 +85,7 @@ def personal_data() -> str:
                    "WHERE kind <> 'ssn' OR score >= 60")
 
 
-def search(k: int = 10, n_terms: int = 16) -> str:
+def search(k: int = 10) -> str:
     marks = bm25.MARKS.replace("'", "''")
     return f"""WITH
         d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -96,11 +96,10 @@ def search(k: int = 10, n_terms: int = 16) -> str:
         len AS (SELECT d.rid, CAST(coalesce(sum(c), 0) AS DOUBLE) AS dl FROM d LEFT JOIN tf ON d.rid = tf.rid GROUP BY d.rid),
         st AS (SELECT count(*) AS n, sum(dl) / count(*) AS mean FROM len),
         idf AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY term),
-        q AS (SELECT doc_id AS query_id, term, max(c) AS tf FROM tf WHERE doc_id % 100 = 0 GROUP BY 1, 2),
-        ranked AS (SELECT query_id, term, idf, row_number() OVER (
-            PARTITION BY query_id ORDER BY round(tf * idf, 9) DESC, term) AS r FROM q JOIN idf USING (term)),
+        q AS (SELECT DISTINCT doc_id AS query_id, term FROM tf WHERE doc_id % 100 = 0),
+        ranked AS (SELECT query_id, term, idf FROM q JOIN idf USING (term)),
         sc AS (SELECT query_id, tf.rid, tf.doc_id, round(sum(idf * c * {bm25.K1 + 1} / (c + {bm25.K1} * ({1 - bm25.B} + {bm25.B} * dl / mean))), 9)
-            AS score FROM ranked JOIN tf USING (term) JOIN len ON tf.rid = len.rid, st WHERE r <= {n_terms} GROUP BY 1, 2, 3),
+            AS score FROM ranked JOIN tf USING (term) JOIN len ON tf.rid = len.rid, st GROUP BY 1, 2, 3),
         top AS (SELECT query_id, doc_id, score, row_number() OVER (
             PARTITION BY query_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM sc)
         SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, round(score, 6) AS score FROM top WHERE rank <= {k}"""
