@@ -13,6 +13,8 @@ from check import rows  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+# whole flows that leave no cluster of the few pixels in the smallest tables
+NOTHING_TO_FIND = {"e4_dbscan_detection", "e4_streak_detection"}
 
 
 @pytest.fixture(scope="module")
@@ -41,3 +43,5 @@ def test_query(spark, duck, name):
         cols = [d[0] for d in cur.description]
         assert sorted(cols) == sorted(df.columns)
         assert rows(df.columns, got) == rows(cols, cur.fetchall())
+    else:
+        assert got or name in NOTHING_TO_FIND
