@@ -10,16 +10,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from skysieve.llm.text import boxed, field, unboxed, whole
 
-# Highest share of a text's word characters inside repeated n-grams, by n.
-NGRAM_LIMITS: dict[int, float] = dict.fromkeys((5, 6, 7, 8, 9, 10), 0.25)
-LINE_LIMIT = 0.30  # of characters in lines that repeat an earlier line
+# Fixed values, published for web text: highest share of a text's word characters inside the n-gram that covers most of them, by n.
+TOP_LIMITS: dict[int, float] = {2: 0.20, 3: 0.18, 4: 0.16}
+# Highest share of a text's word characters inside any repeated n-gram, by n.  They fall with n, so that each can bind, and
+# are set to lose two or three in 1,000 documents labelled good.
+NGRAM_LIMITS: dict[int, float] = {5: 0.20, 6: 0.18, 7: 0.17, 8: 0.16, 9: 0.15, 10: 0.14}
+LINE_LIMIT = 0.20  # of characters in lines that repeat an earlier line
 SYMBOL_LIMIT = 1.0  # symbols for each word
 _SPACE, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 21  # bytes of text measured together
 
 SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, dup_line_share double, "
-          "repeat_shares array<double>, base_failed boolean, kept boolean")
+          "top_shares array<double>, repeat_shares array<double>, base_failed boolean, kept boolean, rejected_by array<string>")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -45,8 +48,8 @@ def _lines(text: bytes) -> tuple[int, int, int]:
     return n, size, total
 
 
-def repeated_words(ids: np.ndarray, doc: np.ndarray, lengths: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each n: which words lie in an n-gram that its document has at least twice.
+def _ngrams(ids: np.ndarray, doc: np.ndarray, lengths: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each n: the first words of all n-grams and their hashes, which differ between documents.
 
     A hash rolls from each length to the next; n-grams never cross documents.
     """
@@ -60,19 +63,46 @@ def repeated_words(ids: np.ndarray, doc: np.ndarray, lengths: Sequence[int]) ->
                 rolled = word.copy()
             elif len(ids) >= n:
                 rolled = rolled[:-1] * _BASE + word[n - 1:]
-        inside = np.zeros(len(ids), bool)
         if len(ids) >= n:
-            key = _mixed(rolled ^ salt[: len(rolled)])
-            valid = doc[: len(rolled)] == doc[n - 1:]
-            ordered = np.sort(key[valid])
-            twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-            if len(twice):
-                starts = np.flatnonzero(valid & np.isin(key, twice))
-                edge = np.zeros(len(ids) + 1, np.int32)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + n, -1)
-                inside = np.cumsum(edge[:-1]) > 0
-        yield n, inside
+            start = np.flatnonzero(doc[: len(rolled)] == doc[n - 1:])
+            yield n, start, _mixed(rolled ^ salt[: len(rolled)])[start]
+        else:
+            yield n, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+
+def _inside(n: int, start: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` words lie in an n-gram that occurs twice."""
+    ordered = np.sort(key)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return np.zeros(size, bool)
+    hit = start[np.isin(key, twice)]
+    edge = np.zeros(size + 1, np.int32)
+    np.add.at(edge, hit, 1)
+    np.add.at(edge, hit + n, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def repeated_words(ids: np.ndarray, doc: np.ndarray, lengths: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each n: which words lie in an n-gram that its document has at least twice."""
+    for n, start, key in _ngrams(ids, doc, lengths):
+        yield n, _inside(n, start, key, len(ids))
+
+
+def _top(n: int, start: np.ndarray, key: np.ndarray, doc: np.ndarray, until: np.ndarray, size: int) -> np.ndarray:
+    """Per document the most characters that one repeated n-gram has in all its places together.
+
+    ``until`` has the characters before each word and, last, of all words.
+    """
+    out = np.zeros(size, np.int64)
+    if len(key):
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        times = np.diff(np.append(first, len(key)))
+        at = start[order[first[times > 1]]]
+        np.maximum.at(out, doc[at], times[times > 1] * (until[at + n] - until[at]))
+    return out
 
 
 def measure(texts: Sequence[str]) -> pd.DataFrame:
@@ -96,20 +126,31 @@ def measure(texts: Sequence[str]) -> pd.DataFrame:
 
     word_chars = per_doc(chars)
     lines = np.array([_lines(b) for b in raw], np.int64).reshape(-1, 3)
-    shares, passed, five = [], np.ones(len(raw), bool), None
-    for n, inside in repeated_words(ids, doc, tuple(NGRAM_LIMITS)):
-        share = per_doc(chars * inside) / np.maximum(word_chars, 1)
-        shares.append(share)
-        passed &= share <= NGRAM_LIMITS[n]
-        if n == 5:
-            five = per_doc(inside)
+    until = np.concatenate(([0], np.cumsum(chars)))
+    top, shares, five = [], [], None
+    broken: dict[str, np.ndarray] = {}
+    for n, start, key in _ngrams(ids, doc, (*TOP_LIMITS, *NGRAM_LIMITS)):
+        if n in TOP_LIMITS:
+            top.append(np.minimum(1.0, _top(n, start, key, doc, until, len(raw)) / np.maximum(word_chars, 1)))
+            broken[f"top_{n}"] = top[-1] > TOP_LIMITS[n]
+        else:
+            inside = _inside(n, start, key, len(ids))
+            shares.append(per_doc(chars * inside) / np.maximum(word_chars, 1))
+            broken[f"repeat_{n}"] = shares[-1] > NGRAM_LIMITS[n]
+            if n == 5:
+                five = per_doc(inside)
     symbols = np.array([len(b) - len(b.translate(None, _SYMBOLS)) for b in raw], np.int64)
     line_share = lines[:, 1] / np.maximum(lines[:, 2], 1)
-    passed &= (line_share <= LINE_LIMIT) & (symbols <= SYMBOL_LIMIT * count)
+    broken["lines"] = line_share > LINE_LIMIT
+    broken["symbols"] = symbols > SYMBOL_LIMIT * count
     failed = (count < 10) | (100 * five > 20 * count)
+    broken["base"] = failed
+    verdicts = np.array(list(broken.values()))
+    names = np.array(list(broken))
     return pd.DataFrame({
         "n_words": count, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": lines[:, 0], "n_repeat_words": five,
-        "dup_line_share": line_share, "repeat_shares": list(np.array(shares).T), "base_failed": failed, "kept": ~failed & passed})
+        "dup_line_share": line_share, "top_shares": list(np.array(top).T), "repeat_shares": list(np.array(shares).T),
+        "base_failed": failed, "kept": ~verdicts.any(axis=0), "rejected_by": [names[v].tolist() for v in verdicts.T]})
 
 
 def _chunks(texts: Sequence[str]) -> Iterator[Sequence[str]]:
@@ -128,7 +169,7 @@ def _assessed(texts: pd.Series) -> pd.DataFrame:
 
 
 def assess(docs: DataFrame, text: str = "text", name: str = "quality") -> DataFrame:
-    """``docs`` with the struct ``quality``: counts, shares inside repetition and the verdict ``kept``.
+    """``docs`` with the struct ``quality``: counts, shares inside repetition, the verdict ``kept`` and the rules broken.
 
     Each row by itself, its whole text; a null text counts as empty and fails.  Rows, ids and
     other columns are left alone; a column of the result's name is replaced.
@@ -146,4 +187,4 @@ def digest(docs: DataFrame) -> DataFrame:
     """One row per document: the counts and both verdicts."""
     return assess(docs.select("doc_id", "text")).select(
         "doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                                             "base_failed", "kept")])
+                                             "base_failed", "kept", "rejected_by")])

@@ -52,6 +52,44 @@ def test_repeated_ngrams_of_all_lengths():
             assert inside.tolist() == want
 
 
+def test_shares_and_rules():
+    """Shares against plain loops; each rule can be the only one broken."""
+    ts = [t or "" for t in texts() if t != "w " * 3000]
+    got = quality.measure(ts)
+    for t, top, repeat in zip(ts, got.top_shares, got.repeat_shares):
+        words = WORD.findall(t)
+        size = max(1, sum(map(len, words)))
+        for n, x in zip((*quality.TOP_LIMITS, *quality.NGRAM_LIMITS), (*top, *repeat)):
+            grams = [tuple(words[i:i + n]) for i in range(len(words) - n + 1)]
+            if n in quality.TOP_LIMITS:
+                want = max((grams.count(g) * sum(map(len, g)) for g in set(grams) if grams.count(g) > 1), default=0) / size
+                assert x == min(1.0, want)
+            else:
+                inside = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + n)}
+                assert x == sum(len(words[j]) for j in inside) / size
+    assert sorted(quality.NGRAM_LIMITS.values(), reverse=True) == list(quality.NGRAM_LIMITS.values())
+    rng = random.Random(11)
+
+    def fresh(k):
+        return ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(k)]
+
+    long10, pair, line = fresh(10), fresh(2), " ".join(fresh(4))
+    # a ten-word phrase twice in 135 words; a pair of words 15 times; a four-word line eight times
+    ten = [*long10, *fresh(58), *long10, *fresh(57)]
+    twos = [w for _ in range(15) for w in (*pair, *fresh(5))]
+    rows = ["\n".join([line, *(x for _ in range(7) for x in (line, " ".join(fresh(11))))])]
+    found = quality.measure([" ".join(ten), " ".join(twos), *rows, " ".join(fresh(200))])
+    assert found.rejected_by[0] == ["repeat_10"] and found.rejected_by[1] == ["top_2"]
+    assert {"top_4", "lines"} == set(found.rejected_by[2]) - {"top_2", "top_3"} and found.rejected_by[3] == []
+    assert found.kept.tolist() == [False, False, False, True] and not found.base_failed.any()
+
+
+def test_very_long_text():
+    text = " ".join(str(i) for i in range(400_000))
+    one = quality.measure([text, text + " " + text]).iloc
+    assert one[0].kept and one[0].n_words == 400_000 and one[1].base_failed and one[1].n_repeat_words == 800_000
+
+
 def test_verdicts(frame):
     rng = random.Random(10)
     clean = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200))
