@@ -3,12 +3,15 @@
 Each task packs its documents as they come.  What a document has beyond whole sequences goes
 to the fill level (a new sequence among them) for which the sum over levels of the squared
 number of sequences at that level becomes smallest.  Only a level array and the sequences that
-are still open are kept.  Open sequences left at the end are filled up by cutting documents.
+are still open are kept.  Where the rule would open one sequence too many, the smallest piece that
+closes a sequence is cut off the document and the rule places what is left of it.  At the end the
+emptiest open sequences fill the gaps of the fullest.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ from skysieve.llm import tokens
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
-_OPEN_TOKENS = 4 << 20  # tokens in open sequences before they are closed
+OPEN = 32  # sequences open at a time
 
 
 class Levels:
@@ -61,11 +64,68 @@ class Levels:
         self.open[level + size].append(pieces)
         return None
 
-    def drain(self) -> list:
-        """All pieces of open sequences, fullest sequences first; the array is empty then."""
-        left = [p for level in reversed(self.open) for pieces in level for p in pieces]
-        self.__init__(self.capacity)
-        return left
+    def fullest(self) -> int:
+        """Highest level that has a sequence."""
+        return int(np.flatnonzero(self.count)[-1])
+
+
+class Windows:
+    """At most ``most`` open sequences for pieces ``(doc, start, ids, total)`` below the capacity.
+
+    ``moved`` counts the ids that were cut off to fill a gap instead of being placed by the rule.
+    """
+
+    def __init__(self, capacity: int, most: int = OPEN):
+        self.levels, self.capacity, self.most = Levels(capacity), capacity, most
+        self.n_open = self.moved = 0
+
+    def add(self, piece: tuple) -> Iterator[list]:
+        """Place a piece; sequences that are full by it."""
+        doc, start, ids, n = piece
+        if self.n_open >= self.most and not self.levels.choose(len(ids)):
+            level = self.levels.fullest()
+            gap = self.capacity - level
+            if gap < len(ids):
+                self.levels.count[level] -= 1
+                self.n_open -= 1
+                self.moved += gap
+                yield [*self.levels.open[level].pop(), (doc, start, ids[:gap], n)]
+                piece = (doc, start + gap, ids[gap:], n)
+            else:  # it fits everywhere: on top of the fullest
+                self.levels.count[level] -= 1
+                self.levels.count[level + len(ids)] += 1
+                self.levels.open[level + len(ids)].append([*self.levels.open[level].pop(), piece])
+                return
+        before = int(self.levels.count.sum())
+        full = self.levels.put(len(piece[2]), piece)
+        self.n_open += int(self.levels.count.sum()) - before
+        if full is not None:
+            yield full
+
+    def finish(self) -> Iterator[list]:
+        """Everything still open: full sequences, then a rest in powers of two."""
+        left = deque([level, pieces] for level, same in enumerate(self.levels.open) for pieces in same)
+        total = sum(level for level, _ in left)
+        while total >= self.capacity:
+            level, pieces = left.pop()
+            gap = self.capacity - level
+            self.moved += gap
+            while gap:
+                donor = left[0]
+                doc, start, ids, n = donor[1].pop()
+                keep = max(0, len(ids) - gap)
+                pieces.append((doc, start + keep, ids[keep:], n))
+                if keep:
+                    donor[1].append((doc, start, ids[:keep], n))
+                gap -= len(ids) - keep
+                donor[0] -= len(ids) - keep
+                if not donor[0]:
+                    left.popleft()
+            total -= self.capacity
+            yield pieces
+        self.moved += total
+        yield from cut_up([p for _, pieces in reversed(left) for p in pieces], self.capacity)
+        self.levels, self.n_open = Levels(self.capacity), 0
 
 
 def cut_up(pieces: list, capacity: int) -> Iterator[list]:
@@ -85,8 +145,8 @@ def cut_up(pieces: list, capacity: int) -> Iterator[list]:
 
 def _packer(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, levels, rows = tokens.encoder(path).document, Levels(capacity), []
-        sequence, waiting = TaskContext.get().partitionId() << 40, 0
+        encode, windows, rows = tokens.encoder(path).document, Windows(capacity), []
+        sequence = TaskContext.get().partitionId() << 40
 
         def close(pieces: list) -> None:
             nonlocal sequence
@@ -110,18 +170,11 @@ def _packer(path: str, capacity: int, with_ids: bool):
                 for a in range(0, whole, capacity):
                     close([(doc, a, ids[a:a + capacity], n)])
                 if n > whole:
-                    full = levels.put(n - whole, (doc, whole, ids[whole:], n))
-                    waiting += n - whole
-                    if full is not None:
-                        waiting -= capacity
-                        close(full)
-                if waiting > _OPEN_TOKENS:
-                    for pieces in cut_up(levels.drain(), capacity):
+                    for pieces in windows.add((doc, whole, ids[whole:], n)):
                         close(pieces)
-                    waiting = 0
                 if len(rows) >= 5000:
                     yield from flush()
-        for pieces in cut_up(levels.drain(), capacity):
+        for pieces in windows.finish():
             close(pieces)
         yield from flush()
 

@@ -97,6 +97,37 @@ def test_level_rule():
         assert all(len(o) == c and all(sum(p) == h for p in o) for h, (o, c) in enumerate(zip(levels.open, levels.count)))
 
 
+def test_cuts_stay_few():
+    """Every id in one place, sequences full, few ids moved by cuts whatever the share of a task."""
+    rng = random.Random(6)
+    sizes = [max(1, int(rng.lognormvariate(5.5, 0.9))) % 2048 or 1 for _ in range(6000)] + [300] * 500 + [2047] * 100
+    rng.shuffle(sizes)
+    for share in (6600, 1650, 206):
+        moved = 0
+        for first in range(0, len(sizes), share):
+            windows, out = packing.Windows(2048), []
+            for i, n in enumerate(sizes[first: first + share]):
+                out += windows.add((i, 0, np.arange(n), n))
+                assert windows.n_open == windows.levels.count.sum() <= packing.OPEN
+            assert all(sum(len(p[2]) for p in pieces) == 2048 for pieces in out)
+            rest = list(windows.finish())
+            lengths = [sum(len(p[2]) for p in pieces) for pieces in rest]
+            assert all(n == 2048 or n & (n - 1) == 0 for n in lengths) and len(set(n for n in lengths if n < 2048)) == sum(n < 2048 for n in lengths)
+            seen = {}
+            for i, start, ids, n in (p for pieces in out + rest for p in pieces):
+                assert len(ids) and ids[0] == start and n == sizes[first + i]
+                seen.setdefault(i, []).extend(ids.tolist())
+            assert all(sorted(seen[i]) == list(range(n)) for i, n in enumerate(sizes[first: first + share]))
+            moved += windows.moved
+        assert moved < 0.05 * sum(sizes), share
+
+
+def test_one_sequence_open():
+    windows = packing.Windows(8, 1)
+    out = [p for i, n in enumerate((5, 2, 2, 7, 7, 1, 4)) for p in windows.add((i, 0, np.arange(n), n))] + list(windows.finish())
+    assert [sum(len(p[2]) for p in pieces) for pieces in out] == [8, 8, 8, 4]
+
+
 def test_best_fit():
     rng = np.random.default_rng(6)
     for capacity in (7, 64, 100):
