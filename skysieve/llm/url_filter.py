@@ -22,7 +22,8 @@ POLICY: tuple[tuple[str, str], ...] = (
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-BAD, GOOD = "label=bad", "label=good"
+BAD, GOOD = "=bad", "=good"
+KINDS = ("host", "label", "path", "query", "domain", "ending", "fragment", "scheme")  # rare ones first
 
 
 def host(url: Column) -> Column:
@@ -57,10 +58,14 @@ def policy_rule(host_: Column, path_: Column, policy: Sequence[tuple[str, str]]
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens: scheme, host, its last two labels, named path segments, file ending, query keys, fragment."""
+    """Distinct tokens: scheme, host, its labels but the last, its last two labels, path segments, file ending, query keys, fragment.
+
+    Path segments that are a number, with or without an ending, name single pages and are left out.
+    """
     u = F.coalesce(url, F.lit(""))
     h, p = host(url), path(url)
-    segments = F.transform(F.filter(F.split(p, "/"), lambda s: (s != "") & ~s.rlike("[0-9]")), lambda s: F.concat(F.lit("path="), s))
+    labels = F.transform(F.filter(F.split(F.regexp_extract(h, r"^(.*)\.", 1), r"\."), lambda s: s != ""), lambda s: F.concat(F.lit("label="), s))
+    segments = F.transform(F.filter(F.split(p, "/"), lambda s: (s != "") & ~s.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$")), lambda s: F.concat(F.lit("path="), s))
     keys = F.transform(F.regexp_extract_all(u, F.lit(r"[?&]([^=&#]+)"), F.lit(1)), lambda k: F.concat(F.lit("query="), k))
     single = F.array(
         F.concat(F.lit("scheme="), F.regexp_extract(u, "^([^:/?#]+)://", 1)),
@@ -68,25 +73,33 @@ def tokens(url: Column) -> Column:
         F.concat(F.lit("domain="), F.substring_index(h, ".", -2)),
         F.concat(F.lit("ending="), F.regexp_extract(p, r"\.([A-Za-z0-9]+)$", 1)),
         F.when(F.contains(u, F.lit("#")), F.lit("fragment=yes")).otherwise(F.lit("fragment=")))
-    return F.array_distinct(F.concat(F.filter(single, lambda t: ~F.endswith(t, F.lit("="))), segments, keys))
+    return F.array_distinct(F.concat(F.filter(single, lambda t: ~F.endswith(t, F.lit("="))), labels, segments, keys))
 
 
 def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 20,
-         partitions: int = 12) -> DataFrame:
+         partitions: int | None = None) -> DataFrame:
     """Rules ``(tokens, confidence, support)`` of ``labelled(url, bad)``, every labelled row a transaction.
 
-    A rule needs ``min_support`` of the transactions and at least ``min_count`` of them.
-
-    Frequent tokens, which FP-growth keeps on the driver, are at most (tokens per URL) /
+    A rule of one token needs ``min_count`` bad transactions, however many there are; its counts
+    are one distributed aggregate.  A combination needs ``min_support`` of the transactions as
+    well: frequent tokens, which FP-growth keeps on the driver, are then at most (tokens per URL) /
     ``min_support``, whatever the number of rows.  Rows without a label are left out.  A rule goes
     if a part of its tokens alone is as sure.
     """
     label = F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD))
     items = cut(labelled.where("bad IS NOT NULL").select(F.array_union(tokens(F.col("url")), F.array(label)).alias("items")), "items")
-    support = min(1.0, max(min_support, min_count / max(1, items.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence, numPartitions=partitions).fit(items)
-    sure = cut(model.associationRules.where(F.col("consequent")[0] == BAD).select(
-        F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
+    n = max(1, items.count())
+    is_bad = F.array_contains("items", BAD)
+    alone = items.select(F.explode(F.array_except("items", F.array(F.lit(BAD), F.lit(GOOD)))).alias("token"), is_bad.alias("bad")).groupBy(
+        "token").agg(F.count_if("bad").alias("b"), F.count("*").alias("n")).where(
+        (F.col("b") >= min_count) & (F.col("b") / F.col("n") >= min_confidence)).select(
+        F.array("token").alias("tokens"), (F.col("b") / F.col("n")).alias("confidence"), (F.col("b") / n).alias("support"))
+    support = min(1.0, max(min_support, min_count / n))
+    fitted = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence)
+    model = (fitted.setNumPartitions(partitions) if partitions else fitted).fit(items)
+    combined = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.size("antecedent") > 1)).select(
+        F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    sure = cut(alone.unionByName(combined), "rules")
     parts = sure.select(F.explode("tokens").alias("anchor"), F.col("tokens").alias("whole"), F.col("confidence").alias("c"))
     shorter = sure.select(F.col("tokens")[0].alias("anchor"), F.col("tokens").alias("part"), F.col("confidence").alias("d"))
     implied = parts.join(shorter, "anchor").where(
@@ -94,14 +107,20 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     return sure.join(implied.select(F.col("whole").alias("tokens")).distinct(), "tokens", "left_anti")
 
 
+def _anchor(rule: Column) -> Column:
+    """The token of a rule that most likely is the rarest: by kind, then the first in order."""
+    ranks = F.create_map(*[F.lit(x) for at, kind in enumerate(KINDS) for x in (kind, at)])
+    keyed = F.transform(rule, lambda t: F.struct(F.try_element_at(ranks, F.substring_index(t, "=", 1)).alias("rank"), t.alias("token")))
+    return F.array_min(keyed)["token"]
+
+
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Surest rule of each distinct ``url`` that has one: ``(url, mined)``.
+    """Surest rule of each distinct ``url`` that has one: ``(url, mined)``; of equally sure ones the largest text.
 
-    A rule is indexed under its rarest-looking token, the last in order; a URL that has this token
-    must have the others as well.
+    A rule is indexed under one token only, so that a URL meets it once; the URL must have the others as well.
     """
-    index = cut(rules.select(F.element_at("tokens", -1).alias("token"), F.col("tokens").alias("need"), "confidence"), "rule-index")
-    seen = urls.select("url", tokens(F.col("url")).alias("have"))
+    index = cut(rules.select(_anchor(F.col("tokens")).alias("token"), F.col("tokens").alias("need"), "confidence"), "rule-index")
+    seen = urls.where("url IS NOT NULL").select("url", tokens(F.col("url")).alias("have"))
     hit = seen.select("url", "have", F.explode("have").alias("token")).join(index, "token").where(
         F.size(F.array_except("need", "have")) == 0)
     best = F.max(F.struct("confidence", F.array_join("need", " ").alias("need")))
@@ -112,10 +131,11 @@ def judge(pages: DataFrame, rules: DataFrame, policy: Sequence[tuple[str, str]]
     """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` and ``mined``; columns of these names are replaced.
 
     Policy first, then mined rules, else allow.  Null URLs and URLs without ``://`` have empty
-    parts and fit no policy.  Every row is answered, repeated ones alike.
+    parts and fit no policy.  Every row is answered, repeated ones alike.  URLs of any length are taken whole.
     """
     base = boxed(pages).withColumn("url", field("url"))
-    base = base.join(matches(base.select("url"), rules), "url", "left")
+    unknown = base.where("url IS NULL").withColumn("mined", F.lit(None).cast("string"))  # any share of the rows, none to look up
+    base = base.where("url IS NOT NULL").join(matches(base.select("url"), rules), "url", "left").unionByName(unknown)
     base = base.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
     base = base.withColumn("_policy", policy_rule(F.col("host"), F.col("path"), policy))
     verdict = F.coalesce(F.col("_policy.verdict"), F.when(F.col("mined").isNotNull(), F.lit("block")), F.lit("allow"))

@@ -67,6 +67,52 @@ def test_mined_rules(spark):
     assert sorted((r.url or "", r.verdict) for r in rows) == [("", "allow"), ("http://a.z/x/?k=1", "block"), ("http://b.z/x/", "allow")]
 
 
+def test_tokens(spark):
+    rows = spark.createDataFrame([("https://www.casino-win.Example.com/en/casino24/17/18.html?a=1&b#x",), (None,), ("x://h/",)], "url string").select(
+        u.tokens(u.F.col("url")).alias("t")).collect()
+    assert set(rows[0].t) == {"scheme=https", "host=www.casino-win.example.com", "domain=example.com", "label=www", "label=casino-win",
+                              "label=example", "path=en", "path=casino24", "ending=html", "query=a", "query=b", "fragment=yes"}
+    assert rows[1].t == [] and set(rows[2].t) == {"scheme=x", "host=h", "domain=h"}
+
+
+def test_support_does_not_grow(spark):
+    """Twenty bad URLs are enough for a token among any number of others."""
+    data = [(f"http://pills{i % 3}.z/x", True) for i in range(60)] + [(f"http://h{i % 500}.z/x", i % 5 == 0) for i in range(15000)]
+    got = {r.tokens[0] for r in u.mine(spark.createDataFrame(data, "url string, bad boolean")).where("size(tokens) = 1").collect()}
+    assert {f"host=pills{i}.z" for i in range(3)} <= got
+
+
+def test_rules_decide_pages(spark):
+    """The whole ``pages`` table with labels that depend on the URL: mined rules block just the pages they fit."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    bad = u.F.col("url").rlike("://[^/?#]*(casino-win|free-bets|cheap-pills|spam-farm)") | (
+        u.F.col("url").rlike("://blog[.]") & u.F.col("url").rlike("utm_source"))
+    rules = u.cut(u.mine(pages.select("url", bad.alias("bad"))), "rules")
+    needs = {frozenset(r.tokens) for r in rules.collect()}
+    assert frozenset(["label=blog", "query=utm_source"]) in needs
+    rows = u.judge(pages.withColumn("bad", bad), rules).collect()
+    tokens = {r.url: set(r.t) for r in pages.select("url", u.tokens(u.F.col("url")).alias("t")).collect()}
+    for r in rows:
+        fits = any(need <= tokens[r.url] for need in needs)
+        assert (r.mined is not None) == fits
+        assert r.verdict == (dict((rule, v) for v, rule in u.POLICY)[r.rule] if r.rule else "block" if fits else "allow")
+    for label in ("casino-win", "free-bets", "cheap-pills", "spam-farm"):  # a rule for each label that is frequent enough
+        assert (frozenset([f"label={label}"]) in needs) == (sum(f"label={label}" in tokens[r.url] for r in rows) >= 20)
+    found = sum(r.bad and r.mined is not None for r in rows)
+    assert found >= 0.9 * sum(r.bad for r in rows) > 100
+    assert sum(not r.bad and r.mined is not None for r in rows) <= found * 0.4 / 0.6
+
+
+def test_odd_urls(spark):
+    """Ties, null URLs, very long ones: the largest text of equally sure rules wins."""
+    rules = spark.createDataFrame([(["label=a"], 0.9, 0.1), (["path=p"], 0.9, 0.1), (["path=long", "scheme=http"], 0.7, 0.1)],
+                                  "tokens array<string>, confidence double, support double")
+    long = "http://h.z/" + "s/" * 100_000 + "long"
+    rows = u.judge(spark.createDataFrame([(x,) for x in ("http://a.z/p", None, None, long, "https://h.z/long")], "url string"), rules).collect()
+    assert sorted((r.url or "", r.mined) for r in rows if r.url != long) == [("", None), ("", None), ("http://a.z/p", "path=p"), ("https://h.z/long", None)]
+    assert [r.mined for r in rows if r.url == long] == ["path=long scheme=http"]
+
+
 def test_labels(spark):
     pages = spark.createDataFrame([(1, "http://a/en/7"), (2, "http://a/en/8.html"), (3, None), (4, "http://a/en/99999999999999999999")], "page_id long, url string")
     labels = spark.createDataFrame([(7, 1, 0), (7, 1, 1), (8, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
