@@ -48,14 +48,15 @@ def _lines(text: bytes) -> tuple[int, int, int]:
     return n, size, total
 
 
-def _ngrams(ids: np.ndarray, doc: np.ndarray, lengths: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each n: the first words of all n-grams and their hashes, which differ between documents.
+def _repeats(ids: np.ndarray, doc: np.ndarray, lengths: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each n: first words of the n-grams that their document has twice or more, equal ones together, and their hashes.
 
-    A hash rolls from each length to the next; n-grams never cross documents.
+    A hash rolls from each length to the next; n-grams never cross documents.  Only where a
+    shorter n-gram repeats can a longer one repeat, so each length looks at what the last one left.
     """
     word, rolled = _mixed(ids.astype(np.uint64) + np.uint64(1)), None
     salt = _mixed(doc.astype(np.uint64) + np.uint64(0x5851F42D))
-    n = 0
+    start, n = np.arange(len(ids)), 0
     for want in sorted(lengths):
         while n < want:
             n += 1
@@ -63,45 +64,42 @@ def _ngrams(ids: np.ndarray, doc: np.ndarray, lengths: Sequence[int]) -> Iterato
                 rolled = word.copy()
             elif len(ids) >= n:
                 rolled = rolled[:-1] * _BASE + word[n - 1:]
-        if len(ids) >= n:
-            start = np.flatnonzero(doc[: len(rolled)] == doc[n - 1:])
-            yield n, start, _mixed(rolled ^ salt[: len(rolled)])[start]
-        else:
-            yield n, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        start = start[start + n <= len(ids)]
+        start = start[doc[start] == doc[start + n - 1]]
+        key = _mixed(rolled[start] ^ salt[start]) if len(start) else np.zeros(0, np.uint64)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        same = key[1:] == key[:-1]
+        twice = np.zeros(len(key), bool)
+        twice[1:] = same
+        twice[:-1] |= same
+        at = start[order[twice]]
+        yield n, at, key[twice]
+        start = np.sort(at)
 
 
-def _inside(n: int, start: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
-    """Which of ``size`` words lie in an n-gram that occurs twice."""
-    ordered = np.sort(key)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    if not len(twice):
-        return np.zeros(size, bool)
-    hit = start[np.isin(key, twice)]
-    edge = np.zeros(size + 1, np.int32)
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + n, -1)
-    return np.cumsum(edge[:-1]) > 0
+def _inside(n: int, at: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` words lie in n-grams that start at the given ones."""
+    edge = np.bincount(at, minlength=size + 1) - np.bincount(at + n, minlength=size + 1)
+    return np.cumsum(edge[:size]) > 0
 
 
 def repeated_words(ids: np.ndarray, doc: np.ndarray, lengths: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
     """For each n: which words lie in an n-gram that its document has at least twice."""
-    for n, start, key in _ngrams(ids, doc, lengths):
-        yield n, _inside(n, start, key, len(ids))
+    for n, at, _ in _repeats(ids, doc, lengths):
+        yield n, _inside(n, at, len(ids))
 
 
-def _top(n: int, start: np.ndarray, key: np.ndarray, doc: np.ndarray, until: np.ndarray, size: int) -> np.ndarray:
+def _top(n: int, at: np.ndarray, key: np.ndarray, doc: np.ndarray, until: np.ndarray, size: int) -> np.ndarray:
     """Per document the most characters that one repeated n-gram has in all its places together.
 
     ``until`` has the characters before each word and, last, of all words.
     """
     out = np.zeros(size, np.int64)
     if len(key):
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        times = np.diff(np.append(first, len(key)))
-        at = start[order[first[times > 1]]]
-        np.maximum.at(out, doc[at], times[times > 1] * (until[at + n] - until[at]))
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        times, at = np.diff(np.append(first, len(key))), at[first]
+        np.maximum.at(out, doc[at], times * (until[at + n] - until[at]))
     return out
 
 
@@ -129,12 +127,12 @@ def measure(texts: Sequence[str]) -> pd.DataFrame:
     until = np.concatenate(([0], np.cumsum(chars)))
     top, shares, five = [], [], None
     broken: dict[str, np.ndarray] = {}
-    for n, start, key in _ngrams(ids, doc, (*TOP_LIMITS, *NGRAM_LIMITS)):
+    for n, at, key in _repeats(ids, doc, (*TOP_LIMITS, *NGRAM_LIMITS)):
         if n in TOP_LIMITS:
-            top.append(np.minimum(1.0, _top(n, start, key, doc, until, len(raw)) / np.maximum(word_chars, 1)))
+            top.append(np.minimum(1.0, _top(n, at, key, doc, until, len(raw)) / np.maximum(word_chars, 1)))
             broken[f"top_{n}"] = top[-1] > TOP_LIMITS[n]
         else:
-            inside = _inside(n, start, key, len(ids))
+            inside = _inside(n, at, len(ids))
             shares.append(per_doc(chars * inside) / np.maximum(word_chars, 1))
             broken[f"repeat_{n}"] = shares[-1] > NGRAM_LIMITS[n]
             if n == 5:
