@@ -3,31 +3,59 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from skysieve.session import spread
+from skysieve.session import numbers, spread, whole_groups
 
 IMAGE = ("iter", "beam_id")
 
 
-def _angle(k: Column, n_theta: int) -> Column:
-    return F.lit(-math.pi / 2) + k * F.lit(math.pi / (n_theta - 1))
-
-
 def votes(pixels: DataFrame, n_theta: int = 180, keys: Sequence[str] = IMAGE) -> DataFrame:
-    """Pixels per (angle, distance) cell; counts combine map-side."""
-    p = pixels.where("power > 0").select(*keys, "channel_sample", "time_idx", F.explode(
-        F.sequence(F.lit(0), F.lit(n_theta - 1))).alias("theta"))
-    return p.groupBy(*keys, "theta", _rho("theta", n_theta).alias("rho")).agg(F.count("*").alias("votes"))
-
+    """Pixels per (angle, distance) cell.
 
-def _rho(theta: str, n_theta: int) -> Column:
-    a = _angle(F.col(theta), n_theta)
-    return F.floor(F.col("time_idx") * F.cos(a) + F.col("channel_sample") * F.sin(a) + 0.5).cast("int")
+    An image's cells are nearly as many as its pixels times the angles, so only pixels are dealt, and
+    images are counted one by one inside the tasks.  An image's pixels are counted by place first.
+    """
+    keys = list(keys)
+    angles = [-math.pi / 2 + k * (math.pi / (n_theta - 1)) for k in range(n_theta)]
+    cos, sin = np.array([math.cos(a) for a in angles]), np.array([math.sin(a) for a in angles])
+    def count(t: np.ndarray, c: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        step = max(1, min(n_theta, 1_000_000 // len(t)))  # angles counted together
+        for k in range(0, n_theta, step):
+            rho = np.floor(t[None, :] * cos[k:k + step, None] + c[None, :] * sin[k:k + step, None] + 0.5).astype(np.int64)
+            low = rho.min()
+            width = rho.max() - low + 1
+            cell = (rho - low + np.arange(len(rho))[:, None] * width).ravel()
+            found = np.bincount(cell, np.tile(n, len(rho)))
+            at = np.flatnonzero(found)
+            yield k + at // width, at % width + low, found[at]
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        t, c = (numbers(table, x, pa.float64()) for x in ("time_idx", "channel_sample"))
+        n, placed = numbers(table, "_n", pa.int64()), ~(np.isnan(t) | np.isnan(c))
+        image, parts = [], []
+        for a, b in zip(starts, np.append(starts[1:], table.num_rows)):
+            on = a + np.flatnonzero(placed[a:b])
+            found = list(count(t[on], c[on], n[on])) if len(on) else []
+            if len(on) < b - a:  # pixels without a place have no distance
+                nowhere = int(n[a:b][~placed[a:b]].sum())
+                found.append((np.arange(n_theta), np.full(n_theta, np.nan), np.full(n_theta, nowhere)))
+            image += [np.full(len(x[0]), a) for x in found]
+            parts += found
+        theta, rho, votes_of = (np.concatenate(x) for x in zip(*parts))
+        none = np.isnan(rho)
+        return table.select(keys).take(pa.array(np.concatenate(image))).append_column("theta", pa.array(theta, pa.int32())).append_column(
+            "rho", pa.array(np.where(none, 0, rho).astype(np.int32), mask=none)).append_column("votes", pa.array(votes_of.astype(np.int64)))
+
+    schema = T.StructType([pixels.schema[k] for k in keys] + [
+        T.StructField("theta", T.IntegerType()), T.StructField("rho", T.IntegerType()), T.StructField("votes", T.LongType())])
+    places = pixels.where("power > 0").groupBy(*keys, "time_idx", "channel_sample").agg(F.count("*").alias("_n"))
+    return whole_groups(places, keys, run, schema, rows=5_000)
 
 
 def segments(pixels: DataFrame, min_votes: int = 10, min_length: int = 5, max_gap: int = 3,
