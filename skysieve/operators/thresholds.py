@@ -8,11 +8,14 @@ not depend on the unit, which keeps them exact.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from skysieve.session import deal
 
 IMAGE = ("iter", "beam_id")
 
@@ -21,15 +24,21 @@ def value_range(pixels: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     return pixels.groupBy(*keys).agg(F.min("power").alias("lo"), F.max("power").alias("hi"))
 
 
-def histogram(pixels: DataFrame, n_bins: int, keys: Sequence[str] = IMAGE) -> DataFrame:
-    """Equal-width bins from image minimum to maximum, empty bins included."""
-    keys = list(keys)
+def _bin_counts(pixels: DataFrame, n_bins: int, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Range of each image and pixels in its bins, those without a pixel left out."""
     rng = value_range(pixels, keys)
     ratio = F.try_divide(F.col("power") - F.col("lo"), F.col("hi") - F.col("lo")) * n_bins
     b = F.least(F.lit(n_bins - 1), F.floor(ratio)).cast("int")
-    counts = pixels.join(rng, keys).where("hi > lo").groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("_n"))
+    return rng, pixels.join(rng, keys).where("hi > lo").groupBy(*keys, b.alias("bin")).agg(
+        F.count("*").alias("_n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+
+
+def histogram(pixels: DataFrame, n_bins: int, keys: Sequence[str] = IMAGE) -> DataFrame:
+    """Equal-width bins from image minimum to maximum, empty bins included."""
+    keys = list(keys)
+    rng, counts = _bin_counts(pixels, n_bins, keys)
     grid = rng.where("hi > lo").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
-    return grid.join(counts, keys + ["bin"], "left").withColumn("n", F.coalesce("_n", F.lit(0))).drop("_n")
+    return grid.join(counts.drop("lo", "hi"), keys + ["bin"], "left").withColumn("n", F.coalesce("_n", F.lit(0))).drop("_n")
 
 
 def _centre(n_bins: int) -> Column:
@@ -125,47 +134,80 @@ def kittler(pixels: DataFrame, n_bins: int = 1024, keys: Sequence[str] = IMAGE)
 def minimum(pixels: DataFrame, n_bins: int = 1024, keys: Sequence[str] = IMAGE) -> DataFrame:
     """Lowest point between the two peaks that remain after repeated 3-bin smoothing.
 
-    The histogram (``n_bins`` numbers) of each image is one array row; images with other than
-    two final peaks have no threshold.
+    The filled bins of each image are one array row, at most ``n_bins`` of them; images with other
+    than two final peaks have no threshold.
     """
     keys = list(keys)
-    h = histogram(pixels, n_bins, keys)
-    rows = h.groupBy(*keys).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"),
-                                F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("_h"))
-    rows = rows.select(*keys, "lo", "hi", F.col("_h.n").alias("h"))
-    # few bytes but much arithmetic per row: spread over all cores whatever the data size
-    rows = rows.repartition(pixels.sparkSession.sparkContext.defaultParallelism * 2, *keys)
-
-    @F.pandas_udf("int")
-    def valley(h: pd.Series) -> pd.Series:
-        return pd.Series(_valleys(np.stack(h.to_numpy()).astype(float))).astype("Int32")
-
-    rows = rows.withColumn("bin", valley("h")).where("bin IS NOT NULL")
-    return rows.select(*keys, _centre(n_bins).alias("threshold"))
-
-
-def _valleys(x: np.ndarray, max_rounds: int = 10000) -> list[int | None]:
-    """Lowest bin between two peaks for a batch of histograms (rows)."""
+    counts = _bin_counts(pixels, n_bins, keys)[1].where("bin IS NOT NULL")
+    rows = counts.groupBy(*keys).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.collect_list(F.struct("bin", "_n")).alias("_h"))
+    rows = rows.select(*keys, "lo", "hi", F.col("_h.bin").alias("_bins"), F.col("_h._n").alias("_counts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                bins, counts = part.column(part.num_columns - 2), part.column(part.num_columns - 1)
+                h = np.zeros((part.num_rows, n_bins))
+                h[np.repeat(np.arange(len(h)), pc.list_value_length(bins).to_numpy()), bins.flatten().to_numpy()] = counts.flatten().to_numpy()
+                found = _valleys(h)
+                at = pa.array([i for i, v in enumerate(found) if v is not None], pa.int64())
+                out = pa.Table.from_batches([part]).select([*keys, "lo", "hi"]).take(at).append_column(
+                    "bin", pa.array([v for v in found if v is not None], pa.int32()))
+                yield from out.to_batches()
+
+    # few bytes but much arithmetic per row: spread over all tasks whatever the data size.  A filter on
+    # the result of a column function would run it before the spreading too, in few merged tasks.
+    schema = T.StructType([rows.schema[c] for c in (*keys, "lo", "hi")] + [T.StructField("bin", T.IntegerType())])
+    return deal(rows, *keys).mapInArrow(run, schema).select(*keys, _centre(n_bins).alias("threshold"))
+
+
+def _valleys(x: np.ndarray, max_rounds: int = 10000, together: int = 32) -> list[int | None]:
+    """Lowest bin between two peaks for a batch of histograms (rows).
+
+    ``together`` of them are smoothed at a time, which stay in a core's cache; a finished one
+    makes room for the next.
+    """
     result: list[int | None] = [None] * len(x)
-    open_rows = np.arange(len(x))
-    for _ in range(max_rounds):
-        if not len(open_rows):
-            break
-        pad = np.concatenate([x[:, :1], x, x[:, -1:]], axis=1)
-        x = (pad[:, :-2] + pad[:, 1:-1] + pad[:, 2:]) / 3
-        step = np.diff(x, axis=1)
-        if (step != 0).all():
-            peak = step < 0
-            peak[:, 1:] &= step[:, :-1] > 0
-        else:
-            peak = _peaks_with_plateaus(step)
-        count = peak.sum(axis=1)
-        done = count < 3
-        for i in np.flatnonzero(done & (count == 2)):
-            a, b = np.flatnonzero(peak[i])
-            result[open_rows[i]] = int(a + np.argmin(x[i, a: b + 1]))
-        x, open_rows = x[~done], open_rows[~done]
-    return result
+    width = x.shape[1]
+    pad = np.empty((together, width + 2))  # a bin more at both ends
+    new = np.empty((together, width))
+    rows, rounds = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    following = 0
+    while True:
+        n = min(together - len(rows), len(x) - following)
+        if n:
+            pad[len(rows):len(rows) + n, 1:-1] = x[following:following + n]
+            rows = np.append(rows, np.arange(following, following + n))
+            rounds = np.append(rounds, np.zeros(n, np.int64))
+            following += n
+        if not len(rows):
+            return result
+        p, s = pad[:len(rows)], new[:len(rows)]
+        p[:, 0], p[:, -1] = p[:, 1], p[:, -2]
+        np.add(p[:, :-2], p[:, 1:-1], out=s)
+        np.add(s, p[:, 2:], out=s)
+        np.divide(s, 3, out=p[:, 1:-1])
+        y = p[:, 1:-1]
+        up, down = y[:, 1:] > y[:, :-1], y[:, 1:] < y[:, :-1]
+        peak = down.copy()
+        peak[:, 1:] &= up[:, :-1]
+        level = np.flatnonzero(_count(up | down) < width - 1)
+        if len(level):
+            peak[level] = _peaks_with_plateaus(np.diff(y[level], axis=1))
+        count = _count(peak)
+        rounds += 1
+        done = (count < 3) | (rounds >= max_rounds)
+        if done.any():
+            for i in np.flatnonzero(count == 2):
+                a, b = np.flatnonzero(peak[i])
+                result[rows[i]] = int(a + np.argmin(y[i, a: b + 1]))
+            kept = np.flatnonzero(~done)
+            pad[:len(kept)] = p[kept]
+            rows, rounds = rows[kept], rounds[kept]
+
+
+def _count(flags: np.ndarray) -> np.ndarray:
+    return np.add.reduce(flags.view(np.uint8), axis=1, dtype=np.uint32)
 
 
 def _peaks_with_plateaus(step: np.ndarray) -> np.ndarray:
