@@ -218,15 +218,23 @@ def calibrator_windows(requests: DataFrame, transits: DataFrame, before_s: int,
 
     ``requests(request_id, from_s, to_s)``, ``transits(source, transit_s)``.  Per source the
     latest transit before the end is the candidate.  Requests are listed once per day they
-    touch and transits are gathered into one sorted list per day and source, which is searched
-    in place, so that no pair is made for a transit that is not the answer.
+    touch.  Of the days before the last one only the latest transit of each source counts; on the
+    last day requests and transits are put in order of time, and the transit before a request's end
+    is the answer, so the work does not grow with the transits of a day.
     """
-    r = requests.withColumn("_lo", F.col("from_s") + before_s).withColumn("_hi", F.col("to_s") - after_s)
-    r = r.where("_lo < _hi").withColumn("_day", F.explode(F.sequence(
-        F.floor(F.col("_lo") / bucket_s), F.floor(F.col("_hi") / bucket_s))))
-    # distinct seconds of one source in one day: a bounded list
-    t = transits.groupBy("source", F.floor(F.col("transit_s") / bucket_s).alias("_day")).agg(
-        F.collect_set("transit_s").alias("_ts"))
-    latest = F.array_max(F.filter("_ts", lambda x: (x > F.col("_lo")) & (x < F.col("_hi"))))
-    inside = r.join(t, "_day").withColumn("transit_s", latest).where("transit_s IS NOT NULL")
-    return inside.groupBy("request_id", "source").agg(F.max("transit_s").alias("transit_s"))
+    r = requests.withColumn("_lo", F.col("from_s") + before_s).withColumn("_hi", F.col("to_s") - after_s).where("_lo < _hi")
+    last = F.floor(F.col("_hi") / bucket_s)
+    t = transits.where("transit_s IS NOT NULL").select("source", "transit_s", F.floor(F.col("transit_s") / bucket_s).alias("_day")).distinct()
+    days = t.groupBy("source", "_day").agg(F.max("transit_s").alias("transit_s"))
+    earlier = r.withColumn("_day", F.explode(F.filter(F.sequence(F.floor(F.col("_lo") / bucket_s), last), lambda d: d < last))).join(
+        days, "_day").select("request_id", "source", "_lo", "transit_s")
+    ends = r.withColumn("_day", last).join(days.select("source", "_day"), "_day").select(
+        "source", "_day", F.col("_hi").alias("_at"), F.lit(False).alias("_transit"), "request_id", "_lo", F.lit(None).cast(
+            t.schema["transit_s"].dataType).alias("transit_s"))
+    seen = t.select("source", "_day", F.col("transit_s").alias("_at"), F.lit(True).alias("_transit"), *[
+        F.lit(None).cast(r.schema[c].dataType).alias(c) for c in ("request_id", "_lo")], "transit_s")
+    # at the same second the request comes first: a transit must lie before the end
+    order = Window.partitionBy("source", "_day").orderBy("_at", "_transit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = ends.unionByName(seen).withColumn("transit_s", F.last("transit_s", ignorenulls=True).over(order)).where(
+        "NOT _transit").select("request_id", "source", "_lo", "transit_s")
+    return earlier.unionByName(before).where("transit_s > _lo").groupBy("request_id", "source").agg(F.max("transit_s").alias("transit_s"))
