@@ -10,21 +10,22 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from skysieve.session import spread
+from skysieve.session import numbers, whole_groups
 
 IMAGE = ("iter", "beam_id")
 
 
 def over_tiles(pixels: DataFrame, kernel: Callable, halo: int, n_channels: int, n_times: int,
                keys: Sequence[str] = IMAGE, tile: int = 256, keep: bool = True,
-               value: str = "result") -> DataFrame:
+               value: str = "result", places: bool = False) -> DataFrame:
     """Run ``kernel(matrix, lo, hi, top) -> matrix`` on every tile.
 
     ``matrix`` covers channels lo..hi-1 of an image with ``top`` channels.  With ``keep`` the
-    result is read at the pixels that exist; without, at all cells where it is not zero.
+    result is read at the pixels that exist; without, at all cells where it is not zero.  With
+    ``places`` the kernel gets the rows and columns of those pixels too and returns their values alone.
     """
     keys = list(keys)
     last = (n_channels - 1) // tile
@@ -34,31 +35,37 @@ def over_tiles(pixels: DataFrame, kernel: Callable, halo: int, n_channels: int,
             F.greatest(F.lit(0), F.floor((c - halo) / tile)).cast("int"),
             F.least(F.lit(last), F.floor((c + halo) / tile)).cast("int"))))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = key[-1] * tile
-        lo, hi = max(0, own - halo), min(n_channels, own + tile + halo)
-        ch, t = pdf["channel_sample"].to_numpy(), pdf["time_idx"].to_numpy()
-        m = np.zeros((hi - lo, n_times))
-        m[ch - lo, t] = pdf["power"]
-        out = kernel(m, lo, hi, n_channels)
-        if keep:
-            mine = (ch >= own) & (ch < own + tile)
-            ch, t = ch[mine], t[mine]
-        else:
-            ch, t = np.nonzero(out)
-            ch = ch + lo
-            mine = (ch >= own) & (ch < own + tile)
-            ch, t = ch[mine], t[mine]
-        res = pd.DataFrame({"channel_sample": ch, "time_idx": t, "power": m[ch - lo, t],
-                            value: out[ch - lo, t].astype(float)})
-        for name, v in zip(keys, key):
-            res.insert(0, name, v)
-        return res[keys + ["channel_sample", "time_idx", "power", value]]
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        channel, time = (numbers(table, x, pa.int64()) for x in ("channel_sample", "time_idx"))
+        tiles, power = numbers(table, "_tile", pa.int64()), numbers(table, "power", pa.float64())
+        found = []
+        for a, b in zip(starts, np.append(starts[1:], table.num_rows)):
+            own = int(tiles[a]) * tile
+            lo, hi = max(0, own - halo), min(n_channels, own + tile + halo)
+            ch, t = channel[a:b], time[a:b]
+            m = np.zeros((hi - lo, n_times))
+            m[ch - lo, t] = power[a:b]
+            if keep:
+                mine = (ch >= own) & (ch < own + tile)
+                ch, t = ch[mine], t[mine]
+                out = kernel(m, lo, hi, n_channels, ch - lo, t) if places else kernel(m, lo, hi, n_channels)[ch - lo, t]
+            else:
+                out = kernel(m, lo, hi, n_channels)
+                ch, t = np.nonzero(out)
+                mine = (ch + lo >= own) & (ch + lo < own + tile)
+                ch, t = ch[mine] + lo, t[mine]
+                out = out[ch - lo, t]
+            found.append((np.full(len(ch), a), ch, t, m[ch - lo, t], out.astype(float)))
+        group, ch, t, power, out = (np.concatenate(x) for x in zip(*found))
+        res = table.select(keys).take(pa.array(group))
+        for name, v in (("channel_sample", ch.astype(np.int32)), ("time_idx", t.astype(np.int32)), ("power", power), (value, out)):
+            res = res.append_column(name, pa.array(v))
+        return res
 
     schema = T.StructType([pixels.schema[k] for k in keys] + [
         T.StructField("channel_sample", T.IntegerType()), T.StructField("time_idx", T.IntegerType()),
         T.StructField("power", T.DoubleType()), T.StructField(value, T.DoubleType())])
-    return spread(copies, *keys, "_tile").groupBy(*keys, "_tile").applyInPandas(run, schema)
+    return whole_groups(copies, [*keys, "_tile"], run, schema)
 
 
 def _window_sum(m: np.ndarray, rc: int, rt: int) -> np.ndarray:
@@ -118,19 +125,29 @@ def adaptive_threshold(pixels: DataFrame, n_channels: int, n_times: int, block:
 def median_filter(pixels: DataFrame, n_channels: int, n_times: int, size: int = 20,
                   keys: Sequence[str] = IMAGE, tile: int = 64) -> DataFrame:
     """Median over a size x size neighbourhood (offsets -size/2 .. size/2-1), mirrored edges."""
-    half = size // 2
+    half, middle = size // 2, size * size // 2
+    some = 2_000_000 // (size * size) + 1  # windows put in order at a time
 
-    def kernel(m, lo, hi, top):
+    def kernel(m, lo, hi, top, r, c):
         edge = ((half if lo == 0 else 0, half if hi == top else 0), (half, half))
         p = np.pad(m, edge, mode="symmetric")
-        v = np.lib.stride_tricks.sliding_window_view(p, (size, size))
-        v = np.sort(v.reshape(*v.shape[:2], -1), axis=2)[:, :, size * size // 2]
-        out = np.zeros_like(m)
-        start = 0 if lo == 0 else half
-        out[start: start + v.shape[0]] = v[: out.shape[0] - start, : m.shape[1]]
+        r = r if lo == 0 else r - half
+
+        def within(flags):
+            s = np.pad(flags.astype(np.int64), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+            return s[r + size, c + size] - s[r, c + size] - s[r + size, c] + s[r, c]
+
+        # in a window that is mostly empty the median is zero; only the others are put in order
+        below = within(p < 0)
+        open_ones = np.flatnonzero((below > middle) | (below + within(p == 0) <= middle))
+        out = np.zeros(len(r))
+        windows = np.lib.stride_tricks.sliding_window_view(p, (size, size))
+        for a in range(0, len(open_ones), some):
+            at = open_ones[a:a + some]
+            out[at] = np.partition(windows[r[at], c[at]].reshape(len(at), -1), middle, axis=1)[:, middle]
         return out
 
-    return over_tiles(pixels, kernel, half, n_channels, n_times, keys, tile, value="filtered")
+    return over_tiles(pixels, kernel, half, n_channels, n_times, keys, tile, value="filtered", places=True)
 
 
 def cfar_peaks(pixels: DataFrame, n_channels: int, n_times: int, train: int = 10, guard: int = 2,
