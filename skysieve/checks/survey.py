@@ -557,6 +557,7 @@ def _(v):
     FROM (SELECT *, UNNEST(RANGE(0, n + 1)) AS k FROM (
       SELECT *, GREATEST(ABS(t1 - t0), ABS(c1 - c0)) AS n FROM vx_leaf_boxes))""")
 def _(b):
-    """The rasteriser as a table function."""
+    """The rasteriser as a table function; a line has many cells, so lines are dealt to all tasks."""
     from skysieve.functions.table_functions import register
-    return register(b.sparkSession).sql("SELECT id, time_idx, channel_sample FROM rasterise(TABLE(SELECT * FROM {b}))", b=b)
+    from skysieve.session import spread
+    return register(b.sparkSession).sql("SELECT id, time_idx, channel_sample FROM rasterise(TABLE(SELECT * FROM {b}))", b=spread(b, "id"))

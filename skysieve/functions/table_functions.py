@@ -24,6 +24,7 @@ TRANSFORMS: dict[str, tuple[dict[str, T.DataType], Callable[[np.ndarray], Iterat
     "spectrum": ({"channel": _INT, "power": _DOUBLE}, lambda x: ((i, float(p)) for i, p in enumerate(
         np.abs(np.fft.fftshift(np.fft.fft(x))) ** 2))),
 }
+_CELLS = 20_000  # of lines drawn at a time
 _PIECE = 65_536  # samples held as Python numbers before they become an array
 
 
@@ -59,22 +60,42 @@ class BlockTransform:
                 yield (*self.key, *out)
 
 
-@udtf
+@udtf(useArrow=True)
 class Rasterise:
-    """The table's columns and, in a row each, the cells on the line from (t0, c0) to (t1, c1)."""
+    """The table's columns and, in a row each, the cells on the line from (t0, c0) to (t1, c1).
+
+    Lines are drawn together once they have about ``_CELLS`` cells.
+    """
 
     @staticmethod
     def analyze(table: AnalyzeArgument) -> AnalyzeResult:
         cells = [T.StructField(n, T.IntegerType()) for n in ("time_idx", "channel_sample")]
         return AnalyzeResult(T.StructType([f for f in table.dataType.fields if f.name not in ("time_idx", "channel_sample")] + cells))
 
+    def __init__(self):
+        self.kept, self.ends, self.cells = [], [], 0
+
     def eval(self, row: Row):
-        kept = [v for n, v in row.asDict().items() if n not in ("time_idx", "channel_sample")]
-        dt, dc = row["t1"] - row["t0"], row["c1"] - row["c0"]
-        n = int(max(abs(dt), abs(dc)))
-        for k in range(n + 1):
-            share = k / n if n else 0.0
-            yield (*kept, int(np.floor(row["t0"] + share * dt + 0.5)), int(np.floor(row["c0"] + share * dc + 0.5)))
+        t0, c0, t1, c1 = ends = row["t0"], row["c0"], row["t1"], row["c1"]
+        self.cells += int(max(abs(t1 - t0), abs(c1 - c0))) + 1
+        self.ends.append(ends)
+        self.kept.append(tuple(v for n, v in zip(row.__fields__, row) if n not in ("time_idx", "channel_sample")))
+        if self.cells >= _CELLS:
+            yield from self.drawn()
+
+    def terminate(self):
+        yield from self.drawn()
+
+    def drawn(self) -> Iterator[tuple]:
+        t0, c0, t1, c1 = np.array(self.ends, float).reshape(-1, 4).T
+        n = np.maximum(np.abs(t1 - t0), np.abs(c1 - c0)).astype(np.int64)
+        line = np.repeat(np.arange(len(n)), n + 1)
+        k = np.arange(len(line)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+        share = np.divide(k, n[line], out=np.zeros(len(line)), where=n[line] > 0)
+        t = np.floor(t0[line] + share * (t1 - t0)[line] + 0.5).astype(np.int64).tolist()
+        c = np.floor(c0[line] + share * (c1 - c0)[line] + 0.5).astype(np.int64).tolist()
+        kept, self.kept, self.ends, self.cells = self.kept, [], [], 0
+        return ((*kept[i], x, y) for i, x, y in zip(line.tolist(), t, c))
 
 
 def register(spark: SparkSession) -> SparkSession:
