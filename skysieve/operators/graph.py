@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = (), max_rounds:
     return e.select(*keys, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _contract(keys: list[str], buffer_rows: int = 500_000):
+def _contract(keys: list[str], buffer_rows: int = 100_000):
     """Replace the edges of a slice by stars around its smallest nodes; connectivity stays."""
 
     def stars(parts: list[pd.DataFrame]) -> pd.DataFrame:
