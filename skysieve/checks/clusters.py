@@ -114,6 +114,11 @@ def components(p):
     return st.leaf_components(gated(p), NT)
 
 
+def pieces(p):
+    """Leaf clusters; their components are read twice and written once."""
+    return st.leaf_clusters(cut(components(p)))
+
+
 @query("c8_space_partition", "fx_streaks", "SELECT * FROM vx_leaves", "vx_leaves")
 def _(p):
     return leaves(p).drop("node")
@@ -142,7 +147,7 @@ def _(p):
        "vx_gated vx_leaf_edges")
 def _(p):
     """The same components by distributed star contraction."""
-    g = gated(p).withColumn("p", (F.col("channel_sample") * NT + F.col("time_idx")).cast("bigint"))
+    g = cut(gated(p)).withColumn("p", (F.col("channel_sample") * NT + F.col("time_idx")).cast("bigint"))
     e = st.leaf_edges(g).select("iter", "beam_id", "leaf", (F.col("c1") * NT + F.col("t1")).cast("bigint").alias("src"),
                                 (F.col("c2") * NT + F.col("t2")).cast("bigint").alias("dst"))
     out = graph.label_nodes(g.select("iter", "beam_id", "leaf", "p"), e, "p", ["iter", "beam_id", "leaf"])
@@ -154,7 +159,7 @@ def _(p):
            ROUND(c_mean, 5) AS c_mean FROM vx_leaf_clusters""", "vx_leaf_clusters")
 def _(p):
     """Inertia ratio, missing scores, slope and weighted centroid of accepted leaf clusters."""
-    out = rounded(rounded(st.leaf_clusters(components(p)), "ratio", 6), "slope t_mean c_mean")
+    out = rounded(rounded(pieces(p), "ratio", 6), "slope t_mean c_mean")
     return out.select("iter", "beam_id", "leaf", "comp", "n", "ratio", "slope", "t_mean", "c_mean")
 
 
@@ -200,7 +205,7 @@ def _(p):
     SELECT iter, beam_id, ROUND(1.5 * MEDIAN(SQRT((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))), 5) AS eps
     FROM vx_leaf_clusters GROUP BY 1, 2""", "vx_leaf_clusters")
 def _(p):
-    return rounded(st.merge_radius(st.leaf_clusters(components(p))), "eps")
+    return rounded(st.merge_radius(pieces(p)), "eps")
 
 
 _MERGE = f"""
@@ -219,7 +224,7 @@ _MERGE = f"""
 @query("j10_merge_edges", "fx_streaks", _MERGE + """
     SELECT iter, beam_id, ROUND(LEAST(ta, tb), 4) AS t0, ROUND(GREATEST(ta, tb), 4) AS t1 FROM edges""", "vx_leaf_clusters")
 def _(p):
-    k = st.leaf_clusters(components(p))
+    k = cut(pieces(p))
     e = st.merge_edges(k)
     c = st.with_cluster_id(k, ["iter", "beam_id"]).select("iter", "beam_id", "cid", "t_mean")
     out = e.join(c.withColumnsRenamed({"cid": "src", "t_mean": "ta"}), ["iter", "beam_id", "src"]).join(
@@ -241,7 +246,7 @@ def _(p):
     WHERE n >= 2 OR total = 1""", "vx_leaf_clusters")
 def _(p):
     """Sizes of the merged groups per image."""
-    g = st.merged_groups(cut(st.leaf_clusters(components(p))))
+    g = st.merged_groups(cut(pieces(p)))
     return g.groupBy("iter", "beam_id", "group_id").agg(F.count("*").alias("leaves")).drop("group_id")
 
 

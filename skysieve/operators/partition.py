@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from skysieve.session import cut, spread
+from skysieve.session import cut, numbers, whole_groups
 
 IMAGE = ("iter", "beam_id")
 BOX = ("x1", "x2", "y1", "y2")
@@ -40,30 +40,35 @@ def kd_partition(pixels: DataFrame, n_channels: int, n_times: int, leaf: int = 4
         T.StructField("power", T.DoubleType()), T.StructField("node", T.LongType()),
         T.StructField("leaf", T.LongType())] + [T.StructField(b, T.DoubleType()) for b in BOX])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ch, t = pdf["channel_sample"].to_numpy(float), pdf["time_idx"].to_numpy(float)
-        ids = pdf["node"].to_numpy().copy()
-        box = pdf[list(BOX)].to_numpy(copy=True)
-        todo = [np.arange(len(pdf))]
-        while todo:
-            i = todo.pop()
-            if len(i) <= leaf:
-                continue
-            wide_c, wide_t = np.ptp(ch[i]), np.ptp(t[i])
-            if wide_c == 0 and wide_t == 0:
-                continue
-            axis, x = (0, ch) if wide_c >= wide_t else (1, t)
-            at = (x[i].min() + x[i].max()) / 2
-            low = x[i] <= at
-            for part, side in ((i[low], 0), (i[~low], 1)):
-                ids[part] = ids[part] * 2 + side
-                box[part, (3 - side) if axis == 0 else (1 - side)] = at
-                todo.append(part)
-        out = pdf.assign(leaf=ids)
-        out[list(BOX)] = box
-        return out[[f.name for f in leaf_schema.fields]]
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        ch, t = numbers(table, "channel_sample", pa.float64()), numbers(table, "time_idx", pa.float64())
+        ids = numbers(table, "node", pa.int64())
+        box = np.stack([numbers(table, name, pa.float64()) for name in BOX], 1)
+        at = np.arange(table.num_rows)  # pixels of open parts, part by part
+        while len(at):
+            c, v = ch[at], t[at]
+            c0, c1, t0, t1 = (f.reduceat(x, starts) for x in (c, v) for f in (np.minimum, np.maximum))
+            n, wide_c, wide_t = np.diff(np.append(starts, len(at))), c1 - c0, t1 - t0
+            split = (n > leaf) & ((wide_c > 0) | (wide_t > 0))
+            by_c = (wide_c >= wide_t) | np.isnan(wide_t)
+            middle = np.where(by_c, (c0 + c1) / 2, (t0 + t1) / 2)
+            part = np.repeat(np.arange(len(starts)), n)
+            on = np.flatnonzero(split[part])
+            at, part = at[on], part[on]
+            high = np.where(by_c[part], c[on], v[on]) > middle[part]
+            ids[at] = ids[at] * 2 + high
+            box[at, np.where(by_c[part], np.where(high, 2, 3), np.where(high, 0, 1))] = middle[part]
+            order = np.argsort(part * 2 + high, kind="stable")
+            at, side = at[order], (part * 2 + high)[order]
+            starts = np.flatnonzero(np.diff(side, prepend=-1))
+        out = table.select([*keys, "channel_sample", "time_idx", "power", "node"]).append_column("leaf", pa.array(ids))
+        for i, name in enumerate(BOX):
+            out = out.append_column(name, pa.array(box[:, i]))
+        return out
 
-    return spread(df, *keys, "node").groupBy(*keys, "node").applyInPandas(run, leaf_schema)
+    df = df.withColumns({"channel_sample": F.col("channel_sample").cast("int"), "time_idx": F.col("time_idx").cast("int"),
+                         "power": F.col("power").cast("double")})
+    return whole_groups(df, [*keys, "node"], run, leaf_schema)
 
 
 def _split_round(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -92,7 +97,8 @@ def leaf_gate(leaves: DataFrame, noise: DataFrame, keys: Sequence[str] = IMAGE,
     ``noise(keys, beam_noise)``.  The leaf mean is an aggregate over at most one leaf.
     """
     keys = list(keys)
-    stats = leaves.groupBy(*keys, "node", "leaf").agg(F.avg("power").alias("_m"), F.count("*").alias("_n"))
-    gate = stats.where(F.col("_n") > min_points).join(noise.select(*keys, "beam_noise"), keys).select(
-        *keys, "node", "leaf", (F.col("_m") - F.col("beam_noise") * (10 ** (snr_db / 10))).alias("_gate"))
-    return leaves.join(gate, keys + ["node", "leaf"]).where(F.col("power") > F.col("_gate")).drop("_gate")
+    own = Window.partitionBy(*keys, "node", "leaf")  # the leaves are made once, not again for their means
+    stats = leaves.withColumn("_m", F.avg("power").over(own)).withColumn("_n", F.count("*").over(own)).where(F.col("_n") > min_points)
+    gate = F.col("_m") - F.col("beam_noise") * (10 ** (snr_db / 10))
+    columns = [*keys, "node", "leaf", *[c for c in leaves.columns if c not in (*keys, "node", "leaf")]]
+    return stats.join(noise.select(*keys, "beam_noise"), keys).where(F.col("power") > gate).select(*columns)

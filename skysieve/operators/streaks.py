@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from skysieve.functions import regression as rg
 from skysieve.operators.graph import connected_components, local_components, neighbour_pairs
 from skysieve.operators.partition import kd_partition, leaf_gate
-from skysieve.session import cut, spread
+from skysieve.session import cut, numbers, whole_groups
 
 IMAGE = ("iter", "beam_id")
 # Time and frequency resolution of the stream, steepest Doppler rate, its margin.
@@ -34,50 +34,74 @@ def link_offsets(reach: float = 4.0, min_slope: float = MIN_SLOPE) -> list[tuple
     return steps
 
 
+def _linked(group: np.ndarray, ch: np.ndarray, t: np.ndarray, leaf: np.ndarray, steps: Sequence[tuple[int, int]],
+            every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pixels and of those a step away in the same leaf of a group.
+
+    A step leads to all pixels in its cell, or to the last one without ``every``.
+    """
+    pad = max(abs(x) for s in steps for x in s)
+    width, height = int(np.ptp(t)) + 1 + 2 * pad, int(np.ptp(ch)) + 1 + 2 * pad
+    code = (group * height + (ch - ch.min() + pad)) * width + (t - t.min() + pad)
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    u, v = [], []
+    for dc, dt in steps:
+        want = code + dc * width + dt
+        end = np.searchsorted(code, want, "right")
+        hit = np.flatnonzero(code[np.maximum(end - 1, 0)] == want)
+        n = end[hit] - np.searchsorted(code, want[hit]) if every else np.ones(len(hit), np.int64)
+        back = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        a, b = order[np.repeat(hit, n)], order[np.repeat(end[hit], n) - 1 - back]
+        same = leaf[a] == leaf[b]
+        u.append(a[same])
+        v.append(b[same])
+    return np.concatenate(u), np.concatenate(v)
+
+
 def leaf_edges(leaves: DataFrame, keys: Sequence[str] = IMAGE, reach: float = 4.0,
                min_slope: float = MIN_SLOPE) -> DataFrame:
     """Linked pixel pairs inside each leaf.
 
-    Every pixel names the few lattice cells it may link to; an equality join on the cell
-    finds those that exist, so no leaf is joined with itself as a whole.
+    Every pixel looks up the few lattice cells it may link to among the pixels of its partition
+    node, so no leaf is joined with itself as a whole and only pixels are shuffled.
     """
-    keys = [*keys, "node", "leaf"]
-    steps = F.array(*[F.struct(F.lit(c).alias("dc"), F.lit(t).alias("dt")) for c, t in link_offsets(reach, min_slope)])
-    a = leaves.select(*keys, F.col("channel_sample").alias("c1"), F.col("time_idx").alias("t1"), F.explode(steps).alias("_s"))
-    a = a.select(*keys, "c1", "t1", (F.col("c1") + F.col("_s.dc")).alias("c2"), (F.col("t1") + F.col("_s.dt")).alias("t2"))
-    b = leaves.select(*keys, F.col("channel_sample").alias("c2"), F.col("time_idx").alias("t2"))
-    return a.join(b, [*keys, "c2", "t2"])
+    keys = [*keys, "node"]
+    steps = link_offsets(reach, min_slope)
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        ch, t, leaf = (numbers(table, x, pa.int64()) for x in ("channel_sample", "time_idx", "leaf"))
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ch))))
+        u, v = _linked(group, ch, t, leaf, steps, every=True)
+        out = table.select([*keys, "leaf"]).take(pa.array(u))
+        for name, x in (("c2", ch[v]), ("t2", t[v]), ("c1", ch[u]), ("t1", t[u])):
+            out = out.append_column(name, pa.array(x.astype(np.int32)))
+        return out
+
+    known = leaves.select(*keys, "leaf", "channel_sample", "time_idx").dropna()
+    schema = T.StructType([known.schema[k] for k in (*keys, "leaf")] + [T.StructField(x, T.IntegerType()) for x in ("c2", "t2", "c1", "t1")])
+    return whole_groups(known, keys, run, schema, rows=20_000)
 
 
 def leaf_components(leaves: DataFrame, n_times: int, keys: Sequence[str] = IMAGE, reach: float = 4.0,
                     min_slope: float = MIN_SLOPE) -> DataFrame:
     """Component of each pixel among the linked pixels of its leaf (``comp``).
 
-    Works on one partition node at a time, which the partitioner keeps below its task limit.
+    Works on whole partition nodes, which the partitioner keeps below its task limit.
     """
     keys = list(keys)
     steps = link_offsets(reach, min_slope)
     fields = [*leaves.schema.fields, T.StructField("comp", T.LongType())]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ch, t = pdf["channel_sample"].to_numpy(), pdf["time_idx"].to_numpy()
-        leaf = pdf["leaf"].to_numpy()
-        pad = int(reach) + 1
-        c0 = ch.min() - pad
-        grid = np.full((ch.max() - c0 + pad + 1, n_times + 2 * pad), -1)
-        grid[ch - c0, t + pad] = np.arange(len(ch))
-        u, v = [], []
-        for dc, dt in steps:
-            other = grid[ch - c0 + dc, t + pad + dt]
-            hit = np.flatnonzero(other >= 0)
-            hit = hit[leaf[hit] == leaf[other[hit]]]
-            u.append(hit)
-            v.append(other[hit])
-        label = local_components(len(ch), np.concatenate(u), np.concatenate(v))
-        low = pd.Series(ch.astype("int64") * n_times + t).groupby(label).transform("min")
-        return pdf.assign(comp=low.to_numpy())
-
-    return spread(leaves, *keys, "node").groupBy(*keys, "node").applyInPandas(run, T.StructType(fields))
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        ch, t, leaf = (numbers(table, x, pa.int64()) for x in ("channel_sample", "time_idx", "leaf"))
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ch))))
+        label = local_components(len(ch), *_linked(group, ch, t, leaf, steps, every=False))
+        low = np.full(len(ch), np.iinfo(np.int64).max)
+        np.minimum.at(low, label, ch * n_times + t)
+        return table.append_column("comp", pa.array(low[label]))
+
+    return whole_groups(leaves, [*keys, "node"], run, T.StructType(fields))
 
 
 def leaf_clusters(components: DataFrame, keys: Sequence[str] = IMAGE, min_length: int = 5,

@@ -101,7 +101,8 @@ def detections(pixels: DataFrame, noise: DataFrame, blocks: DataFrame, n_channel
     """
     keys = [obs, "iter", "beam_id"]
     level = cut(beam_level(noise, [obs]))
-    clean = nz.skip_warm_up(filtered(pixels, noise, n_channels, n_times, filters, [obs]), warm_up)
+    # a detector reads the pixels several times: run the filters once
+    clean = cut(nz.skip_warm_up(filtered(pixels, noise, n_channels, n_times, filters, [obs]), warm_up))
     clusters = DETECTORS[detector](clean, level, n_channels, n_times, keys, channel_mhz * 1e6, sampling_time, gradient, **options)
     return tr.to_detections(clusters, level, blocks, start_mhz, channel_mhz, sampling_time, n_times, [obs])
 
@@ -138,7 +139,7 @@ def track_table(points: DataFrame, blocks: DataFrame, sampling_time: float, chan
 def streak_detection(pixels: DataFrame, n_channels: int, n_times: int, **kw) -> DataFrame:
     """Streak detector on power pixels, from noise estimate to validated streaks."""
     clean, noise = cleaned_pixels(pixels, n_channels, n_times, **kw)
-    return st.detect_streaks(nz.skip_warm_up(clean), beam_level(noise), n_channels, n_times)
+    return st.detect_streaks(cut(nz.skip_warm_up(clean)), beam_level(noise), n_channels, n_times)
 
 
 def dbscan_detection(pixels: DataFrame, n_channels: int, n_times: int, channel_hz: float, sampling_time: float,
