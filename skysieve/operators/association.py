@@ -13,13 +13,14 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from skysieve.operators.graph import label_nodes
+from skysieve.operators.graph import label_nodes, local_components
 from skysieve.operators.sequences import row_index
 from skysieve.operators.tracks import GRADIENT, best_detections, fits
-from skysieve.session import cut
+from skysieve.session import cut, numbers, whole_groups
 
 CLUSTER = ("iter", "beam_id", "cluster_id")
 TRACK_SCHEMA = "track_no long, status string, n long, first_sample long, last_sample long, gradient double, r double"
@@ -91,19 +92,56 @@ def spread(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.abs(v.std(0) / v.mean(0))
 
 
-def straight(rules: Rules, m: np.ndarray) -> np.ndarray:
-    """Falling line inside the window, correlated beyond chance."""
-    slope, _, r = lines(m)
-    a = np.minimum(np.abs(np.nan_to_num(r)), 1.0)
-    n = m[..., 0]
-    sure = (n >= 5) | ((n == 4) & (1 - a <= 0.01)) | ((n == 3) & (1 - 2 * np.arcsin(a) / math.pi <= 0.01))
-    return (np.nan_to_num(r) <= -0.99) & sure & _inside(rules, slope)
-
-
 def _inside(rules: Rules, slope: np.ndarray) -> np.ndarray:
     return (slope >= rules.gradient[1]) & (slope <= rules.gradient[0])
 
 
+# The same on plain numbers, in the same order of operations: an array costs more than a few numbers.
+Moments = tuple[float, float, float, float, float, float]
+_NONE = (0.0,) * 6
+
+
+def _moments(x: list[float], y: list[float]) -> Moments:
+    n = len(x)
+    if not n:
+        return _NONE
+    if n >= 8:  # numpy adds longer ones in another order
+        return tuple(moments(np.array(x), np.array(y)).tolist())
+    a = b = xx = xy = yy = 0.0
+    for p, q in zip(x, y):
+        a += p
+        b += q
+    a /= n
+    b /= n
+    for p, q in zip(x, y):
+        p -= a
+        q -= b
+        xx += p * p
+        xy += p * q
+        yy += q * q
+    return float(n), a, b, xx, xy, yy
+
+
+def _together(a: Moments, b: Moments) -> Moments:
+    n = a[0] + b[0]
+    share = b[0] / n if n > 0 else 0.0
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    w = a[0] * share
+    return (n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + w * dx * dx, a[4] + b[4] + w * dx * dy, a[5] + b[5] + w * dy * dy)
+
+
+def _line(m: Moments) -> tuple[float, float, float]:
+    slope = m[4] / m[3] if m[3] > 0 else math.nan
+    both = math.sqrt(m[3] * m[5]) if m[3] > 0 and m[5] > 0 else 0.0
+    return slope, m[2] - slope * m[1], m[4] / both if both else math.nan
+
+
+def _spread(a: float, b: float, c: float) -> float:
+    mean = (a + b + c) / 3
+    p, q, r = a - mean, b - mean, c - mean
+    return abs(math.sqrt((p * p + q * q + r * r) / 3) / mean) if mean else math.inf
+
+
 # --- tracks ----------------------------------------------------------------------------------
 @dataclass
 class Track:
@@ -116,8 +154,8 @@ class Track:
 
     founder: tuple[int, int, int, int]  # block, beam, first sample, cluster
     block: int
-    raw: np.ndarray
-    past: np.ndarray  # strongest of earlier blocks
+    raw: Moments
+    past: Moments  # strongest of earlier blocks
     top: dict[tuple[int, int], tuple[float, float]]  # (sample, beam): signal, channel
     n_samples: int  # of earlier blocks
     samples: set[int]
@@ -127,24 +165,42 @@ class Track:
     last: int
     noticed: int = 0  # samples when its growth was last looked at
     loose: bool = False
-    _strongest: np.ndarray | None = field(default=None, repr=False, compare=False)
+    _strongest: Moments | None = field(default=None, repr=False, compare=False)
+    _line: tuple[float, float, float] | None = field(default=None, repr=False, compare=False)
 
     @classmethod
     def of(cls, rules: Rules, block: int, key: tuple[int, int], rows: np.ndarray) -> Track:
         """A cluster from rows ``(sample, channel, signal, beam)``; equal signals: the lowest channel."""
-        t, y = rows[:, 0], rows[:, 1]
-        top: dict[tuple[int, int], tuple[float, float]] = {}
-        for sample, channel, signal, beam in rows[np.lexsort((-y, rows[:, 2]))].tolist():
-            top[int(sample), int(beam)] = (signal, channel)
-        return cls((block, key[0], int(t.min()), key[1]), block, moments(t * rules.dt, y * rules.dy), NONE, top, 0, set(map(int, t)),
-                   set(map(int, rows[:, 3])), set(y.tolist()), int(t.min()), int(t.max()))
-
-    def strongest(self, rules: Rules) -> np.ndarray:
+        points = rows.tolist()
+        if any(p[2] != p[2] or p[1] != p[1] for p in points):  # as sorted by numpy: what is no number comes last
+            points = rows[np.lexsort((-rows[:, 1], rows[:, 2]))].tolist()
+            top = {(int(t), int(beam)): (signal, y) for t, y, signal, beam in points}
+        else:
+            top = {}
+            for t, y, signal, beam in points:
+                place = int(t), int(beam)
+                held = top.get(place)
+                if held is None or signal > held[0] or (signal == held[0] and y < held[1]):
+                    top[place] = (signal, y)
+        raw = _moments((rows[:, 0] * rules.dt).tolist(), (rows[:, 1] * rules.dy).tolist())
+        samples = {int(p[0]) for p in points}
+        first, last = min(samples), max(samples)
+        return cls((block, key[0], first, key[1]), block, raw, _NONE, top, 0, samples, {int(p[3]) for p in points}, {p[1] for p in points},
+                   first, last)
+
+    def strongest(self, rules: Rules) -> Moments:
         if self._strongest is None:
-            at = np.array([(t, y) for (t, _), (_, y) in sorted(self.top.items())], float).reshape(-1, 2)
-            self._strongest = together(self.past, moments(at[:, 0] * rules.dt, at[:, 1] * rules.dy))
+            at = sorted(self.top.items())
+            new = _moments([t * rules.dt for (t, _), _ in at], [y * rules.dy for _, (_, y) in at])
+            self._strongest = _together(self.past, new) if self.past[0] else new
         return self._strongest
 
+    def line(self, rules: Rules) -> tuple[float, float, float]:
+        """Of the strongest detections."""
+        if self._line is None:
+            self._line = _line(self.strongest(rules))
+        return self._line
+
     def missing(self, n_samples: int, first: int, last: int, n: float) -> float:
         return (last - first - (n_samples - 1) + 1) / n
 
@@ -156,7 +212,7 @@ class Track:
         for place, (signal, channel) in c.top.items():
             if place not in top or signal > top[place][0]:
                 top[place] = (signal, channel)
-        return Track(self.founder, c.block, together(self.raw, c.raw), past, top, n, samples | c.samples,
+        return Track(self.founder, c.block, _together(self.raw, c.raw), past, top, n, samples | c.samples,
                      set(sorted(self.beams | c.beams)[:6]), set(sorted(self.channels | c.channels)[:5]),
                      min(self.first, c.first), max(self.last, c.last), self.noticed, self.loose)
 
@@ -164,18 +220,23 @@ class Track:
         return self.n_samples + len(self.samples)
 
     def fits(self, rules: Rules) -> bool:
-        return bool(straight(rules, self.raw)) and self.missing(self.size(), self.first, self.last, self.raw[0]) <= rules.merge_missing
+        slope, _, r = _line(self.raw)
+        if not (r <= -0.99 and rules.gradient[1] <= slope <= rules.gradient[0]):
+            return False
+        n, a = self.raw[0], min(abs(r), 1.0)
+        sure = n >= 5 or (n == 4 and 1 - a <= 0.01) or (n == 3 and 1 - 2 * math.asin(a) / math.pi <= 0.01)
+        return sure and self.missing(self.size(), self.first, self.last, n) <= rules.merge_missing
 
     def valid(self, rules: Rules) -> bool:
         if len(self.beams) > 5:
             return True
-        slope, _, r = lines(self.raw)
-        return bool(len(self.channels) >= 5 and self.size() >= 5 and abs(r) >= rules.linearity and _inside(rules, slope)
-                    and self.missing(self.size(), self.first, self.last, self.raw[0]) <= rules.valid_missing)
+        slope, _, r = _line(self.raw)
+        return (len(self.channels) >= 5 and self.size() >= 5 and abs(r) >= rules.linearity and rules.gradient[1] <= slope <= rules.gradient[0]
+                and self.missing(self.size(), self.first, self.last, self.raw[0]) <= rules.valid_missing)
 
     def row(self) -> tuple:
-        slope, _, r = lines(self.raw)
-        return int(self.raw[0]), self.first, self.last, *(None if v != v else float(v) for v in (slope, r))
+        slope, _, r = _line(self.raw)
+        return int(self.raw[0]), self.first, self.last, *(None if v != v else v for v in (slope, r))
 
 
 class FirstMatch:
@@ -189,9 +250,9 @@ class FirstMatch:
         yield from self.silence(number - 1)
         for c in sorted(clusters, key=lambda c: c.founder):
             self._place(c)
-        invalid = [t for t in self.tracks if not t.valid(self.rules)]
-        self.tracks = [t for t in self.tracks if t.valid(self.rules)]
-        yield from ((t, "cancelled") for t in invalid)
+        judged = [(t, t.valid(self.rules)) for t in self.tracks]
+        self.tracks = [t for t, valid in judged if valid]
+        yield from ((t, "cancelled") for t, valid in judged if not valid)
         yield from self.silence(number)
 
     def silence(self, number: int) -> Iterator[tuple[Track, str]]:
@@ -202,29 +263,39 @@ class FirstMatch:
         return ((t, "terminated") for t in gone)
 
     def _place(self, c: Track) -> None:
-        """All open tracks are compared at once; the first one that fits takes the cluster."""
-        own = c.strongest(self.rules)
-        if self.tracks:
-            held = np.stack([t.strongest(self.rules) for t in self.tracks])
-            a, b, m = lines(held), lines(own), lines(together(held, np.broadcast_to(own, held.shape)))
-            near = (spread(a[0], b[0], m[0]) < self.rules.max_cv) & (spread(a[1], b[1], m[1]) < self.rules.max_cv)
-            for i in np.flatnonzero(near & _inside(self.rules, m[0])):
-                grown = self.tracks[i].with_cluster(self.rules, c)
-                if grown.fits(self.rules):
-                    grown.loose |= self._strays(grown, b)
-                    self.tracks[i] = grown
-                    return
+        """The first open track that fits takes the cluster."""
+        for i in self._near(c) if self.tracks else ():
+            grown = self.tracks[i].with_cluster(self.rules, c)
+            if grown.fits(self.rules):
+                grown.loose |= self._strays(grown, c.line(self.rules))
+                self.tracks[i] = grown
+                return
         if c.fits(self.rules):
             self.tracks.append(c)
 
+    def _near(self, c: Track) -> Iterator[int]:
+        """Open tracks whose line is like the cluster's; many are compared at once."""
+        rules, own, b = self.rules, c.strongest(self.rules), c.line(self.rules)
+        if len(self.tracks) > 24:
+            held = np.array([t.strongest(rules) for t in self.tracks])
+            a, m = lines(held), lines(together(held, np.broadcast_to(np.array(own), held.shape)))
+            near = (spread(a[0], b[0], m[0]) < rules.max_cv) & (spread(a[1], b[1], m[1]) < rules.max_cv)
+            yield from np.flatnonzero(near & _inside(rules, m[0])).tolist()
+            return
+        steep, shallow = rules.gradient[1], rules.gradient[0]
+        for i, t in enumerate(self.tracks):
+            m = _line(_together(t.strongest(rules), own))
+            if steep <= m[0] <= shallow:
+                a = t.line(rules)
+                if _spread(a[0], b[0], m[0]) < rules.max_cv and _spread(a[1], b[1], m[1]) < rules.max_cv:
+                    yield i
+
     def _strays(self, track: Track, of: tuple) -> bool:
         """Whether a track's line lies farther from its last cluster than parts are told apart by.
 
         Repeated (sample, beam) places in a block can do that; parts are not safe then.
         """
-        line = lines(track.strongest(self.rules))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return not all(p / q > 0 and abs(math.log(p / q)) <= self.rules.reach for p, q in zip(line[:2], of[:2]))
+        return not all(q and p / q > 0 and abs(math.log(p / q)) <= self.rules.reach for p, q in zip(track.line(self.rules)[:2], of[:2]))
 
 
 # --- on Spark --------------------------------------------------------------------------------
@@ -236,10 +307,11 @@ def association_parts(points: DataFrame, obs: str, rules: Rules) -> DataFrame:
     than its square, in slope and in intercept.  Both are cut into logarithmic cells; occupied cells
     within reach, over the blocks a track stays open, are linked, and parts are the components of
     the cells.  There is a row for each cluster, and links grow with the cells, not with pairs.
+    Observations of up to ``TASK_CLUSTERS`` clusters are linked many at a time inside tasks, larger ones by joins.
     """
     best = best_detections(points.select(obs, *CLUSTER, "time_sample", "channel_sample", "snr"), [obs, *CLUSTER, "time_sample"], ["channel_sample"])
     c = fits(best, [obs, *CLUSTER], dt=rules.dt, dy=rules.dy)
-    width, steps = 2 * rules.reach, 1
+    width = 2 * rules.reach
 
     def cell(x: str) -> Column:  # a line without a slope or through zero meets nothing
         return F.when(F.col(x) != 0, F.floor(F.log(F.abs(F.col(x))) / width))
@@ -248,6 +320,18 @@ def association_parts(points: DataFrame, obs: str, rules: Rules) -> DataFrame:
     alone = F.col("_s").isNull() | F.col("_i").isNull()
     node = F.when(alone, F.xxhash64(*CLUSTER)).otherwise(F.xxhash64("iter", "_s", "_i", "_g"))
     c = cut(c.withColumn("node", node).select(obs, *CLUSTER, "node", "_s", "_i", "_g"), "cells")
+    large = cut(c.groupBy(obs).agg(F.count("*").alias("n")).where(F.col("n") > TASK_CLUSTERS).select(obs), "large")
+    some = not large.isEmpty()
+    parts = _parts_in_tasks(c.join(large, obs, "left_anti") if some else c, obs, rules)
+    return parts.unionByName(_parts_by_join(c.join(large, obs, "left_semi"), obs, rules)) if some else parts
+
+
+TASK_CLUSTERS = 50_000  # an observation of more clusters is linked by joins
+
+
+def _parts_by_join(c: DataFrame, obs: str, rules: Rules) -> DataFrame:
+    """Cells meet by equality joins; parts are found by distributed components."""
+    steps = 1
     cells = c.where("_s IS NOT NULL AND _i IS NOT NULL").select(obs, "iter", "_s", "_i", "_g", "node").distinct()
     near = F.sequence(F.lit(-steps), F.lit(steps))
     moved = cells.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(rules.blocks)))).withColumn("_ds", F.explode(near)).withColumn(
@@ -261,20 +345,105 @@ def association_parts(points: DataFrame, obs: str, rules: Rules) -> DataFrame:
     return c.select(obs, *CLUSTER, "node").join(part, [obs, "node"]).join(last, obs).select(obs, *CLUSTER, "part", "last_block")
 
 
+def _parts_in_tasks(c: DataFrame, obs: str, rules: Rules) -> DataFrame:
+    """The same parts, many whole observations of a task linked together."""
+    schema = T.StructType([*c.select(obs, *CLUSTER).schema.fields, T.StructField("part", T.LongType()),
+                           T.StructField("last_block", c.schema["iter"].dataType)])
+    names, arrow = [obs, *CLUSTER], to_arrow_schema(schema)
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+        has = ~table.column("iter").is_null().to_numpy()
+        none = np.iinfo(np.int64).min
+        block = np.where(has, table.column("iter").fill_null(0).to_numpy().astype(np.int64), none)
+        last = np.maximum.reduceat(block, starts)[group]
+        part = _linked(group, block, has, *(numbers(table, x, pa.float64()) for x in ("_s", "_i", "_g")), numbers(table, "node", pa.int64()),
+                       rules.blocks)
+        found = [pa.array(part), pa.array(last, mask=last == none)]
+        return pa.table([*(table.column(x) for x in names), *found], [f.name for f in arrow]).cast(arrow)
+
+    return whole_groups(c.where(F.col(obs).isNotNull()), [obs], run, schema)
+
+
+def _linked(group: np.ndarray, block: np.ndarray, has: np.ndarray, s: np.ndarray, i: np.ndarray, g: np.ndarray, node: np.ndarray,
+            blocks: int) -> np.ndarray:
+    """Smallest node of the cells within reach of each other, for clusters of many observations; ``s``, ``i`` are whole or NaN."""
+    meets = has & (s == s) & (i == i)
+    if not meets.any():
+        return node.copy()
+    at = np.lexsort((block[meets], group[meets]))
+    at = np.flatnonzero(meets)[at]
+
+    def ranks(x: np.ndarray) -> np.ndarray:  # neighbours stay neighbours, wider gaps become two
+        known, place = np.unique(x, return_inverse=True)
+        return np.append(0, np.cumsum(np.minimum(np.diff(known), 2)))[place].astype(np.int64)
+
+    new = np.append(True, (np.diff(group[at]) != 0) | (np.diff(block[at]) != 0))
+    row = np.cumsum(new) - 1  # (observation, block), in order
+    of, number = group[at][new], block[at][new]
+    rs, ri, rg = ranks(s[at]), ranks(i[at]), np.unique(g[at], return_inverse=True)[1]
+    wi, wg = ri.max() + 3, rg.max() + 1
+    ws = rs.max() + 3
+    cell = ((row * ws + rs + 1) * wi + ri + 1) * wg + rg
+    cells, first, place = np.unique(cell, return_index=True, return_inverse=True)
+    row, low = row[first], node[at][first]
+    np.minimum.at(low, place, node[at])
+    u, v = [], []
+    for later in range(blocks + 1):
+        to = np.minimum(row + later, len(of) - 1)
+        reached = (row + later < len(of)) & (of[to] == of[row]) & (number[to] - number[row] <= blocks)
+        if not reached.any():
+            break
+        for ds in (-1, 0, 1):
+            for di in (-1, 0, 1):
+                if later or (ds, di) > (0, 0):
+                    want = cells[reached] + ((later * ws + ds) * wi + di) * wg
+                    there = np.minimum(np.searchsorted(cells, want), len(cells) - 1)
+                    hit = cells[there] == want
+                    u.append(np.flatnonzero(reached)[hit])
+                    v.append(there[hit])
+    label = local_components(len(cells), np.concatenate(u), np.concatenate(v))
+    part, least = node.copy(), low.copy()
+    np.minimum.at(least, label, low)
+    part[at] = least[label][place]
+    return part
+
+
 def part_sizes(parts: DataFrame, obs: str) -> DataFrame:
     """Clusters and blocks of each part: what one task has to fold in order."""
     return parts.groupBy(obs, "part").agg(F.count("*").alias("clusters"), F.count_distinct("iter").alias("blocks"))
 
 
-def block_clusters(rules: Rules, pdf: pd.DataFrame) -> Iterator[tuple[int, list[Track]]]:
-    """Blocks in order, each with its clusters."""
-    pdf = pdf.sort_values(list(CLUSTER), kind="stable")
-    rows = pdf[["time_sample", "channel_sample", "snr", "beam_id"]].to_numpy(float)
-    keys = pdf[list(CLUSTER)].to_numpy(np.int64)
-    edges = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1), len(keys)] if len(keys) else [0]
+def may_found(rules: Rules, n: np.ndarray, raw: np.ndarray, first: np.ndarray, last: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether clusters could fit by themselves; sums here may differ in the last digits, so limits are a little wider than the rule's.
+
+    Nothing begins a track but a cluster that fits by itself: until one comes, a part has no tracks.
+    """
+    slope, _, r = lines(raw)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        missing = (last - first - (size - 1) + 1) / n
+        low, high = sorted(rules.gradient)
+        edge = 1e-6 * max(abs(low), abs(high))
+        never = (n < 3) | (r > -0.99 + 1e-6) | ((n == 3) & (r > -0.9998)) | ((n == 4) & (r > -0.99 + 1e-6))
+        return ~(never | (slope < low - edge) | (slope > high + edge) | (missing > rules.merge_missing * (1 + 1e-6) + 1e-6))
+
+
+def cluster_moments(rules: Rules, x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Counts, moments, first and last and number of samples of the clusters that begin at ``at``; rows in order of sample ``x``."""
+    n = np.diff(np.append(at, len(x)))
+    t, c = x * rules.dt, y * rules.dy
+    mt, mc = np.add.reduceat(t, at) / n, np.add.reduceat(c, at) / n
+    dt, dc = t - np.repeat(mt, n), c - np.repeat(mc, n)
+    raw = np.stack([n, mt, mc, *(np.add.reduceat(v, at) for v in (dt * dt, dt * dc, dc * dc))], axis=-1)
+    new = np.append(True, np.diff(x) != 0)
+    new[at] = True
+    return n, raw, x[at], x[at + n - 1], np.add.reduceat(new.astype(np.int64), at)
+
+
+def block_clusters(rules: Rules, keys: np.ndarray, rows: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, list[Track]]]:
+    """Blocks in order, each with its clusters, which begin and end at ``edges``; ``keys`` are (block, beam, cluster) of each."""
     number, held = None, []
-    for a, z in zip(edges, edges[1:]):
-        block, beam, cluster = keys[a].tolist()
+    for (block, beam, cluster), a, z in zip(keys.tolist(), edges, edges[1:]):
         if block != number:
             if held:
                 yield number, held
@@ -288,18 +457,40 @@ _FOUND = "f_iter long, f_beam long, f_time long, f_cluster long, loose boolean,
 
 
 def _folded(points: DataFrame, obs: str, rules: Rules) -> DataFrame:
-    """Tracks of each (obs, part), with their founders and whether the part was safe to fold alone."""
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        match, done = FirstMatch(rules), []
-        for number, clusters in block_clusters(rules, pdf):
-            done += match.block(clusters, number)
-        done += match.silence(int(pdf["last_block"].iloc[0]))
-        done += [(t, "pending") for t in match.tracks]
-        return pd.DataFrame([(key[0], *t.founder, t.loose, status, *t.row()) for t, status in done],
-                            columns=[obs, *[x.split()[0] for x in _FOUND.split(", ")]])
+    """Tracks of each (obs, part), with their founders and whether the part was safe to fold alone.
 
-    kind = points.schema[obs].dataType.simpleString()
-    return points.groupBy(obs, "part").applyInPandas(run, f"{obs} {kind}, {_FOUND}")
+    Clusters that may found a track are picked for all parts of a table together; parts are folded from
+    their first such cluster on.
+    """
+    columns = [obs, *CLUSTER, "time_sample", "channel_sample", "snr", "part", "last_block"]
+    schema = T.StructType([points.schema[obs], *T._parse_datatype_string(_FOUND).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+        keys = np.stack([group, *(numbers(table, x, pa.int64()) for x in CLUSTER)], axis=-1)
+        t, y, snr = (numbers(table, x, pa.float64()) for x in ("time_sample", "channel_sample", "snr"))
+        order = np.lexsort((t, *keys.T[::-1]))
+        keys, rows = keys[order], np.stack([t, y, snr, keys[:, 2]], axis=-1)[order]
+        at = np.flatnonzero(np.append(True, (np.diff(keys, axis=0) != 0).any(1)))
+        able = np.flatnonzero(may_found(rules, *cluster_moments(rules, rows[:, 0], rows[:, 1], at)))
+        edges, keys = np.append(at, len(rows)), keys[at]
+        parts, begin = np.unique(keys[able, 0], return_index=True)
+        ends = np.searchsorted(keys[:, 0], parts, "right")
+        last = table.column("last_block").take(pa.array(starts[parts])).to_pylist()
+        done, of = [], []
+        for part, a, z, final in zip(parts.tolist(), able[begin].tolist(), ends.tolist(), last):
+            match, before = FirstMatch(rules), len(done)
+            for number, clusters in block_clusters(rules, keys[a:z, 1:], rows, edges[a:z + 1]):
+                done += match.block(clusters, number)
+            done += match.silence(final)
+            done += [(track, "pending") for track in match.tracks]
+            of += [int(starts[part])] * (len(done) - before)
+        found = [(*track.founder, track.loose, status, *track.row()) for track, status in done]
+        values = [pa.array(v, f.type) for v, f in zip(zip(*found) if found else [()] * (len(arrow) - 1), list(arrow)[1:])]
+        return pa.table([table.column(obs).take(pa.array(of, pa.int64())), *values], [f.name for f in arrow]).cast(arrow)
+
+    return whole_groups(points.select(*columns), [obs, "part"], run, schema)
 
 
 def associate_first_match(points: DataFrame, obs: str, dt: float, dy: float, block_len: int = 160, **limits) -> DataFrame:
@@ -314,10 +505,11 @@ def associate_first_match(points: DataFrame, obs: str, dt: float, dy: float, blo
     columns = [obs, *CLUSTER, "time_sample", "channel_sample", "snr"]
     parts = cut(association_parts(points, obs, rules), "parts")
     dealt = points.select(*columns).join(parts, [obs, *CLUSTER])
-    found = cut(_folded(dealt, obs, rules), "part-tracks")
-    strayed = found.where("loose").select(obs).distinct()
-    whole = dealt.join(strayed, obs, "left_semi").withColumn("part", F.lit(0).cast("long"))
-    tracks = cut(found.join(strayed, obs, "left_anti").unionByName(_folded(whole, obs, rules)), "tracks")
+    tracks = cut(_folded(dealt, obs, rules), "part-tracks")
+    strayed = tracks.where("loose").select(obs).distinct()
+    if not strayed.isEmpty():
+        whole = dealt.join(strayed, obs, "left_semi").withColumn("part", F.lit(0).cast("long"))
+        tracks = cut(tracks.join(strayed, obs, "left_anti").unionByName(_folded(whole, obs, rules)), "tracks")
     order = ["f_iter", "f_beam", "f_time", "f_cluster"]
     return row_index(tracks, [obs], order, "f_iter", "_no").select(
         obs, (F.col("_no") - 1).alias("track_no"), "status", "n", "first_sample", "last_sample", "gradient", "r")

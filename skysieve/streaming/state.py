@@ -164,13 +164,13 @@ class OpenTracks(StatefulProcessor):
     @staticmethod
     def _stored(t: Track, number: int) -> tuple:
         top = [[float(a), float(b), s, y] for (a, b), (s, y) in t.top.items()]
-        return (number, t.block, t.raw.tolist(), t.past.tolist(), top, t.n_samples, sorted(t.samples), sorted(t.beams),
+        return (number, t.block, list(t.raw), list(t.past), top, t.n_samples, sorted(t.samples), sorted(t.beams),
                 sorted(t.channels), t.first, t.last, t.noticed)
 
     @staticmethod
     def _track(founder: tuple, stored: tuple) -> Track:
         _, block, raw, past, top, n, samples, beams, channels, first, last, noticed = stored
-        return Track(founder, block, np.array(raw), np.array(past), {(int(a), int(b)): (s, y) for a, b, s, y in top}, n, set(samples),
+        return Track(founder, block, tuple(raw), tuple(past), {(int(a), int(b)): (s, y) for a, b, s, y in top}, n, set(samples),
                      set(beams), set(channels), first, last, noticed)
 
 

@@ -130,6 +130,66 @@ def test_parts_are_smaller_than_observations(spark):
     assert sum(r.clusters for r in sizes) == n and max(r.clusters for r in sizes) < n
 
 
+def test_small_parts_share_their_calls(spark):
+    """A call of Python for each part took the time of observations that are many and small."""
+    pdf = observations(11, n_obs=40)
+    rules = an.Rules(DT, DY, LEN, merge_missing=4.0, valid_missing=4.0)
+    df = spark.createDataFrame(pdf, SCHEMA)
+    parts = an.association_parts(df, "obs_id", rules)
+    folded = an._folded(df.join(parts, ["obs_id", *an.CLUSTER]), "obs_id", rules)
+    plan = folded._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    assert sorted((r.obs_id, r.status, r.n, r.first_sample, r.last_sample) for r in folded.collect()) == sorted(
+        (o, s, *rest) for o, _, s, *rest in by_points(pdf, rules))
+
+
+@pytest.mark.parametrize("seed", [12, 13])
+def test_parts_in_tasks_equal_parts_by_joins(spark, monkeypatch, seed):
+    pdf = observations(seed, n_obs=5, n_blocks=12, overlap=True)
+    rng = np.random.default_rng(seed)
+    rows = [[None if c not in ("beam_id", "cluster_id", "event_id") and rng.random() < 0.02 else v for c, v in zip(COLUMNS, row)]
+            for row in pdf.astype(object).to_numpy().tolist()]
+    df = spark.createDataFrame(rows, SCHEMA)
+    rules = an.Rules(DT, DY, LEN, expiry_s=9.0)
+    found = []
+    for most in (an.TASK_CLUSTERS, 50, 0):  # all in tasks, some by joins, all by joins
+        monkeypatch.setattr(an, "TASK_CLUSTERS", most)
+        found.append(sorted(map(str, an.association_parts(df, "obs_id", rules).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+
+
+def test_plain_numbers_equal_arrays():
+    rng = np.random.default_rng(14)
+    for n in (1, 2, 3, 5, 7, 8, 30):
+        x, y = np.sort(rng.integers(0, 700, n)) * DT, rng.integers(-900, 900, n) * DY
+        a, b = an.moments(x, y), an.moments(x[: n // 2 + 1], -y[: n // 2 + 1])
+        assert an._moments(x.tolist(), y.tolist()) == tuple(a) and an._together(tuple(a), tuple(b)) == tuple(an.together(a, b))
+        want = [float(v) for v in an.lines(a)]
+        assert np.array_equal(an._line(tuple(a)), want, equal_nan=True)
+        v = rng.normal(size=3)
+        assert an._spread(*v.tolist()) == an.spread(*v)
+
+
+def test_many_open_tracks_are_compared_as_few():
+    """Arrays and plain numbers pick the same track."""
+    rules = an.Rules(DT, DY, LEN, expiry_s=60.0, merge_missing=9.0, valid_missing=9.0)
+    rng = np.random.default_rng(15)
+    few, many = an.FirstMatch(rules), an.FirstMatch(rules)
+    for it in range(3):
+        t = np.arange(it * LEN, it * LEN + LEN, 4)
+        clusters = [an.Track.of(rules, it, (0, k), np.stack([t, np.round(9000 - 300 * (k % 60) - 1.0 * t), np.full(len(t), 5.0),
+                                                              np.zeros(len(t))], 1)) for k in rng.permutation(90).tolist()]
+        assert not list(many.block(clusters, it))
+    assert len(many.tracks) > 24
+    own = an.Track.of(rules, 3, (0, 1), np.stack([t + LEN, np.round(9000 - 300 * 7 - 1.0 * (t + LEN)), np.full(len(t), 5.0), np.zeros(len(t))], 1))
+    found = list(many._near(own))
+    each = []
+    for i, track in enumerate(many.tracks):
+        few.tracks = [track]
+        each += [i for _ in few._near(own)]
+    assert found == each and found
+
+
 def test_strayed_tracks_fall_back_to_the_whole(spark, monkeypatch):
     pdf = observations(6, overlap=True)
     df = spark.createDataFrame(pdf, SCHEMA)
