@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from skysieve.operators.association import FirstMatch, Rules, Track
+from skysieve.operators.association import CLUSTER, FirstMatch, Rules, Track, block_clusters, cluster_moments, may_found
 from skysieve.operators.channelise import block_spectra
+from skysieve.session import numbers
 
 NOISE_OUT = "iter long, beam_id int, channel_sample int, channel_noise double, channel_noise_std double"
 NOISE_STATE = "channel array<int>, noise array<array<double>>, std array<array<double>>"
@@ -47,120 +52,163 @@ def rolling_noise_stream(noise: DataFrame, n_blocks: int = 10, channels_per_key:
 
 TRACK_OUT = ("track_no long, status string, n long, first_sample long, last_sample long, gradient double, r double, "
              "event string")
-_FOUNDER = "f_iter long, f_beam long, f_time long, f_cluster long"
-_TRACK = ("number long, block long, raw array<double>, past array<double>, top array<array<double>>, n_samples long, "
-          "samples array<long>, beams array<long>, channels array<double>, first long, last long, noticed long")
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class OpenTracks(StatefulProcessor):
-    """First-match association of one key: blocks wait for the watermark, tracks for their timers.
+    """First-match association of a bucket of observations: blocks wait for the watermark, tracks for a timer.
 
-    State is the rows of blocks the watermark has not passed and, for each open track, moments
-    and the details of one block, whatever the length of the observation.
+    Rows come packed, all of a bucket and a block's end together, and wait as they come.  State is
+    the rows of blocks the watermark has not passed, what is known of each observation and, for each
+    open track, moments and the details of one block, whatever the length of the observation.
     """
 
-    def __init__(self, rules: Rules, keys: Sequence[str]):
-        self.rules, self.start_ms = rules, 0
-        self.columns = [*keys, *(c.split()[0] for c in TRACK_OUT.split(", "))]
+    def __init__(self, rules: Rules, keys: Sequence[str], rows: pa.Schema, out: pa.Schema):
+        self.rules, self.keys, self.rows, self.out = rules, list(keys), rows, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "iter long", "rows array<array<double>>")
-        self.tracks = handle.getMapState("tracks", _FOUNDER, _TRACK)
-        self.clock = handle.getValueState("clock", "block long, tracks long, start_ms long")
+        self.waiting = handle.getMapState("waiting", "end_ms long, part long", "rows array<binary>")
+        self.held = handle.getValueState("held", "observations binary")
+        self.clock = handle.getValueState("clock", "fired_ms long, timer_ms long, parts long")
 
-    def _clock(self) -> tuple[int | None, int]:
-        """The last block taken in and the number of tracks so far; also sets the key's start."""
-        if not self.clock.exists():
-            return None, 0
-        block, tracks, self.start_ms = self.clock.get()
-        return block, tracks
+    def _observations(self) -> dict[tuple, tuple]:
+        """``(last block taken in, tracks so far, time of block 0, stored open tracks)`` by key."""
+        return pickle.loads(self.held.get()[0]) if self.held.exists() else {}
 
-    def _end_ms(self, block: int) -> int:
-        return self.start_ms + math.ceil((block + 1) * self.rules.block_s * 1000)
+    def _end_ms(self, block: int, start_ms: int) -> int:
+        return start_ms + math.ceil((block + 1) * self.rules.block_s * 1000)
 
-    def _passed(self, watermark_ms: int) -> int:
+    def _passed(self, watermark_ms: int, start_ms: int) -> int:
         """The last block that ends at or before the watermark."""
-        block = math.floor((watermark_ms - self.start_ms) / (self.rules.block_s * 1000)) - 1
-        while self._end_ms(block + 1) <= watermark_ms:
+        block = math.floor((watermark_ms - start_ms) / (self.rules.block_s * 1000)) - 1
+        while self._end_ms(block + 1, start_ms) <= watermark_ms:
             block += 1
-        while self._end_ms(block) > watermark_ms:
+        while self._end_ms(block, start_ms) > watermark_ms:
             block -= 1
         return block
 
+    def _table(self, parts: Sequence[bytes]) -> pa.Table:
+        return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(p), self.rows) for p in parts], self.rows)
+
+    def _codes(self, table: pa.Table) -> tuple[np.ndarray, list[tuple]]:
+        """Numbers of the observations of the rows, and their keys."""
+        code = np.zeros(table.num_rows, np.int64)
+        for k in self.keys:
+            found = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+            code = np.unique(code * len(found.dictionary) + found.indices.to_numpy(), return_inverse=True)[1]
+        first = pa.array(np.unique(code, return_index=True)[1])
+        return code, list(zip(*(table.column(k).take(first).to_pylist() for k in self.keys)))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        done, counter = self._clock()
-        late, blocks = 0, {}
+        fired, timer, parts = self.clock.get() if self.clock.exists() else (None, None, 0)
+        ends: dict[int, list[bytes]] = {}
         for r in rows:
-            if r["cluster_id"] is None:  # a tick: only its time counts
-                continue
-            if done is None and not blocks and not self.clock.exists():
-                self.start_ms = r["start_ms"]
-                self.clock.update((None, counter, self.start_ms))
-            if done is not None and r["iter"] <= done:
-                late += 1
-                continue
-            blocks.setdefault(r["iter"], []).append([float(r[c]) for c in ("time_sample", "channel_sample", "snr", "beam_id", "cluster_id")])
-        for number, held in blocks.items():
-            if self.waiting.containsKey((number,)):
-                held = self.waiting.getValue((number,))[0] + held
-            else:
-                self.handle.registerTimer(self._end_ms(number))
-            self.waiting.updateValue((number,), (held,))
-        if late:
-            yield self._out(key, None, "late", (late, None, None, None, None), "late")
+            if r["rows"] is not None:  # else a tick: only its time counts
+                ends.setdefault(r["end_ms"], []).append(bytes(r["rows"]))
+        if not ends:
+            return
+        late: dict[tuple, int] = {}
+        for end in [e for e in ends if fired is not None and e <= fired]:
+            ends[end] = self._in_time(ends[end], late)
+        ends = {end: held for end, held in ends.items() if held}
+        for end, held in ends.items():
+            self.waiting.updateValue((end, parts), (held,))
+            parts += 1
+        if ends and (timer is None or min(ends) < timer):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = min(ends)
+            self.handle.registerTimer(timer)
+        self.clock.update((fired, timer, parts))
+        yield from self._packed([(*k, None, "late", n, None, None, None, None, "late") for k, n in late.items()])
+
+    def _in_time(self, parts: list[bytes], late: dict[tuple, int]) -> list[bytes]:
+        """Rows of blocks that have not been taken in; counts the others."""
+        table, known = self._table(parts), self._observations()
+        code, keys = self._codes(table)
+        done = np.array([-math.inf if (o := known.get(k)) is None else o[0] for k in keys])
+        gone = numbers(table, "iter", pa.int64()) <= done[code]
+        for c, n in zip(*np.unique(code[gone], return_counts=True)):
+            late[keys[c]] = late.get(keys[c], 0) + int(n)
+        return [b.serialize().to_pybytes() for b in table.filter(pa.array(~gone)).combine_chunks().to_batches()]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        done, counter = self._clock()
-        passed = self._passed(timerValues.getCurrentWatermarkInMs())
-        due = sorted(n for (n,) in self.waiting.keys() if n <= passed)
-        numbers, match = {}, FirstMatch(self.rules)
-        for founder, value in self.tracks.iterator():
-            track = self._track(tuple(founder), value)
-            match.tracks.append(track)
-            numbers[track.founder] = value[0]
-        match.tracks.sort(key=lambda t: t.founder)
-        before = set(numbers)
-        for number in due:
-            rows = np.array(self.waiting.getValue((number,))[0])
-            self.waiting.removeKey((number,))
-            clusters = [Track.of(self.rules, number, (int(beam), int(cluster)), rows[(rows[:, 3] == beam) & (rows[:, 4] == cluster), :4])
-                        for beam, cluster in {(b, c) for b, c in rows[:, 3:].tolist()}]
-            closed = list(match.block(clusters, number))
-            opened = [t for t in (*match.tracks, *(t for t, _ in closed)) if t.founder not in numbers]
-            for t in sorted(opened, key=lambda t: t.founder):
-                numbers[t.founder] = counter
-                counter += 1
-            for t, status in closed:
-                yield self._out(key, numbers[t.founder], status, t.row(), "transit" if status == "terminated" else "deleted")
+        now = timerValues.getCurrentWatermarkInMs()
+        _, _, parts = self.clock.get()
+        places = [tuple(k) for k in self.waiting.keys()]
+        due = sorted(k for k in places if k[0] <= now)
+        table = self._table([p for k in due for p in self.waiting.getValue(k)[0]])
+        for k in due:
+            self.waiting.removeKey(k)
+        known, out = self._observations(), []
+        blocks, starts = self._blocks(table, {k for k, o in known.items() if o[3]})
+        following = [k[0] for k in places if k[0] > now]
+        for k in [*starts, *(k for k, o in known.items() if o[3] and k not in starts)]:
+            done, counter, start, stored = known.get(k) or (None, 0, starts[k], ())
+            passed = self._passed(now, start)
+            match, numbered = FirstMatch(self.rules), {}
+            for founder, value in stored:
+                match.tracks.append(self._track(founder, value))
+                numbered[founder] = value[0]
+            for number, clusters in blocks.get(k, ()):
+                closed = list(match.block(clusters, number))
+                opened = [t for t in (*match.tracks, *(t for t, _ in closed)) if t.founder not in numbered]
+                for t in sorted(opened, key=lambda t: t.founder):
+                    numbered[t.founder] = counter
+                    counter += 1
+                for t, status in closed:
+                    out.append((*k, numbered[t.founder], status, *t.row(), "transit" if status == "terminated" else "deleted"))
+                for t in match.tracks:
+                    size = t.size()
+                    if not t.noticed or (size - t.noticed) / size > 0.10:
+                        out.append((*k, numbered[t.founder], "pending", *t.row(), "modified" if t.noticed else "created"))
+                    t.noticed = size
+            out += [(*k, numbered[t.founder], status, *t.row(), "transit") for t, status in match.silence(passed)]
             for t in match.tracks:
-                size = t.size()
-                if not t.noticed or (size - t.noticed) / size > 0.10:
-                    yield self._out(key, numbers[t.founder], "pending", t.row(), "modified" if t.noticed else "created")
-                t.noticed = size
-        for t, status in match.silence(passed):
-            yield self._out(key, numbers[t.founder], status, t.row(), "transit")
-        open_now = {t.founder for t in match.tracks}
-        for founder in before - open_now:
-            self.tracks.removeKey(founder)
-        pending = set(self.handle.listTimers())
-        for t in match.tracks:
-            self.tracks.updateValue(t.founder, self._stored(t, numbers[t.founder]))
-            limit = t.last * self.rules.dt + self.rules.expiry_s
-            block = math.floor(limit / self.rules.block_s)
-            block += (block + 1) * self.rules.block_s <= limit
-            if self._end_ms(block) not in pending:
-                pending.add(self._end_ms(block))
-                self.handle.registerTimer(self._end_ms(block))
-        self.clock.update((max(passed, -1 if done is None else done), counter, self.start_ms))
+                limit = t.last * self.rules.dt + self.rules.expiry_s
+                block = math.floor(limit / self.rules.block_s)
+                block += (block + 1) * self.rules.block_s <= limit
+                following.append(self._end_ms(block, start))
+            known[k] = (max(passed, -1 if done is None else done), counter, start,
+                        [(t.founder, self._stored(t, numbered[t.founder])) for t in match.tracks])
+        timer = min(following, default=None)
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        self.held.update((pickle.dumps(known),))
+        self.clock.update((now, timer, parts))
+        yield from self._packed(out)
+
+    def _blocks(self, table: pa.Table, tracked: set[tuple]) -> tuple[dict, dict]:
+        """Blocks with their clusters for each observation that has or may found tracks, and the times of block 0 of all."""
+        if not table.num_rows:
+            return {}, {}
+        code, keys = self._codes(table)
+        first = np.unique(code, return_index=True)[1]
+        starts = dict(zip(keys, numbers(table, "start_ms", pa.int64())[first].tolist()))
+        ids = np.stack([code, *(numbers(table, c, pa.int64()) for c in CLUSTER)], axis=-1)
+        t, y, snr = (numbers(table, c, pa.float64()) for c in ("time_sample", "channel_sample", "snr"))
+        order = np.lexsort((t, *ids.T[::-1]))
+        ids, rows = ids[order], np.stack([t, y, snr, ids[:, 2]], axis=-1)[order]
+        at = np.flatnonzero(np.append(True, (np.diff(ids, axis=0) != 0).any(1)))
+        edges, ids = np.append(at, len(rows)), ids[at]
+        able = may_found(self.rules, *cluster_moments(self.rules, rows[:, 0], rows[:, 1], at))
+        able |= np.array([k in tracked for k in keys])[ids[:, 0]]
+        able = np.flatnonzero(able)
+        some, begin = np.unique(ids[able, 0], return_index=True)
+        ends = np.searchsorted(ids[:, 0], some, "right")
+        return {keys[c]: block_clusters(self.rules, ids[a:z, 1:], rows, edges[a:z + 1])
+                for c, a, z in zip(some.tolist(), able[begin].tolist(), ends.tolist())}, starts
+
+    def _packed(self, rows: list[tuple], at_once: int = 50_000) -> Iterator[Row]:
+        for i in range(0, len(rows), at_once):
+            columns = zip(*rows[i:i + at_once])
+            batch = pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, self.out)], schema=self.out)
+            yield Row(rows=batch.serialize().to_pybytes())
 
     def close(self) -> None:
         pass
 
-    def _out(self, key, number, status, row, event) -> Row:
-        return Row(**dict(zip(self.columns, (*key, number, status, *row, event))))
-
     @staticmethod
     def _stored(t: Track, number: int) -> tuple:
         top = [[float(a), float(b), s, y] for (a, b), (s, y) in t.top.items()]
@@ -175,7 +223,7 @@ class OpenTracks(StatefulProcessor):
 
 
 def track_stream(points: DataFrame, obs: str | Sequence[str], dt: float, dy: float, block_len: int = 160, delay: str = "0 seconds",
-                 start_ms: int | str = 0, **limits) -> DataFrame:
+                 start_ms: int | str = 0, buckets: int = 1024, **limits) -> DataFrame:
     """First-match association on a stream of cluster points, with its event notices.
 
     A block is taken in once the watermark has passed its end, so its rows may come in any order and
@@ -185,16 +233,66 @@ def track_stream(points: DataFrame, obs: str | Sequence[str], dt: float, dy: flo
     without any further row of their key.  Rows without a cluster only move the time on.  ``obs``
     may name several columns whose values never share a track.  ``start_ms`` is the time of block 0, or the
     column that has it for each observation: needed where observations do not run at the same time.
+    Observations are dealt to ``buckets``, whose state and rows Python gets together; what is known of the
+    observations of a bucket is written again when one of them goes on, so more of them need more buckets.
     """
     keys = [obs] if isinstance(obs, str) else list(obs)
     _rocks(points.sparkSession)
     rules = Rules(dt, dy, block_len, **limits)
-    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
     start = F.coalesce(F.col(start_ms) if isinstance(start_ms, str) else F.lit(start_ms), F.lit(0)).cast("long")
-    end = F.timestamp_millis(start + F.ceil((F.col("iter") + 1) * rules.block_s * 1000).cast("long"))
-    rows = points.select(*keys, "iter", F.col("cluster_id").cast("long").alias("cluster_id"), "beam_id", "time_sample", "channel_sample",
-                         "snr", start.alias("start_ms"), end.alias("block_end")).withWatermark("block_end", delay)
-    return rows.groupBy(*keys).transformWithState(OpenTracks(rules, keys), f"{kinds}, {TRACK_OUT}", "Append", "EventTime")
+    end = start + F.ceil((F.col("iter") + 1) * rules.block_s * 1000).cast("long")
+    rows = points.select(*keys, *(F.col(c).cast("long").alias(c) for c in CLUSTER), F.col("time_sample").cast("double").alias("time_sample"),
+                         F.col("channel_sample").cast("double").alias("channel_sample"), F.col("snr").cast("double").alias("snr"),
+                         start.alias("start_ms"), F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), end.alias("_end_ms"))
+    kept = to_arrow_schema(rows.drop("_bucket", "_end_ms").schema)
+    out = T.StructType([*(points.schema[k] for k in keys), *T._parse_datatype_string(TRACK_OUT).fields])
+    out_rows = to_arrow_schema(out)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for packed in b.column(0):
+                yield pa.ipc.read_record_batch(packed.as_buffer(), out_rows)
+
+    packed = rows.mapInArrow(_packer(kept), "bucket long, end_ms long, rows binary")
+    timed = packed.withColumn("block_end", F.timestamp_millis("end_ms")).withWatermark("block_end", delay)
+    return timed.groupBy("bucket").transformWithState(OpenTracks(rules, keys, kept, out_rows), "rows binary", "Append", "EventTime").mapInArrow(
+        unpack, out)
+
+
+def _packer(kept: pa.Schema, at_once: int = 500_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of a bucket and a block's end in one row; rows without a cluster leave only their times."""
+    names = kept.names
+
+    def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        none = pc.is_null(table.column("cluster_id"))
+        ticks = pc.drop_null(pc.unique(table.filter(none).column("_end_ms"))).to_pylist()
+        table = table.filter(pc.invert(none))
+        if any(table.column(c).null_count for c in ("iter", "beam_id", "time_sample")):
+            raise ValueError("a row with a cluster needs its block, beam and sample")
+        bucket, end = (numbers(table, c, pa.int64()) for c in ("_bucket", "_end_ms"))
+        order = np.lexsort((end, bucket))
+        bucket, end = bucket[order], end[order]
+        at = np.flatnonzero(np.append(True, (np.diff(bucket) != 0) | (np.diff(end) != 0))) if len(order) else order
+        rows = table.select(names).cast(kept).take(pa.array(order)).combine_chunks()
+        whole = rows.to_batches()[0] if len(order) else None
+        values = [whole.slice(a, z - a).serialize() for a, z in zip(at.tolist(), np.append(at[1:], len(order)).tolist())]
+        return pa.RecordBatch.from_arrays([
+            pa.array([0] * len(ticks) + bucket[at].tolist(), pa.int64()), pa.array(ticks + end[at].tolist(), pa.int64()),
+            pa.array([None] * len(ticks) + [v.to_pybytes() for v in values], pa.binary())], ["bucket", "end_ms", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= at_once:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+
+    return run
 
 
 class ChannelPower(StatefulProcessor):

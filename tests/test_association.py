@@ -275,6 +275,46 @@ def test_tracks_expire_in_silence_and_after_a_restart(spark, tmp_path):
     assert again == len(spark.read.parquet(str(tmp_path / "out")).collect())
 
 
+def test_observations_of_a_bucket_share_state_rows_and_calls(spark, tmp_path):
+    """A state of its own for each block of each observation took the time of observations that are many and small."""
+    pdf = observations(16, n_obs=30)
+    limits = {"merge_missing": 4.0, "valid_missing": 4.0}
+    land(pdf, str(tmp_path / "in"), [pdf.iloc[::2], pdf.iloc[1::2], tick(5000), tick(5001)])
+    stream = ss.track_stream(sb.block_stream(spark, str(tmp_path / "in"), SCHEMA), "obs_id", DT, DY, LEN, delay="1 hour", **limits, **(
+        {"buckets": 3} if "buckets" in ss.track_stream.__code__.co_varnames else {}))
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    held = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"])
+    assert held < pdf[["obs_id", "iter"]].drop_duplicates().shape[0] / 2
+    batch = an.associate_first_match(spark.createDataFrame(pdf, SCHEMA), "obs_id", DT, DY, LEN, **limits)
+    want = [(o, t, "terminated" if s == "pending" else s, *rest) for o, t, s, *rest in plain(batch)]
+    assert ended(spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()) == want
+
+
+@pytest.mark.parametrize("buckets", [1, 50])
+def test_several_key_columns_nulls_and_times_of_their_own(spark, tmp_path, buckets):
+    pdf = observations(17, n_obs=6)
+    limits = {"merge_missing": 4.0, "valid_missing": 4.0}
+    batch = an.associate_first_match(spark.createDataFrame(pdf, SCHEMA), "obs_id", DT, DY, LEN, **limits)
+    big = 2 ** 60 + 1  # no number of floating point
+    names = {0: ("a", big), 1: ("a", big + 1), 2: (None, big), 3: ("a", None), 4: (None, None), 5: ("b", big)}
+    landed = pdf.assign(site=pdf.obs_id.map(lambda o: names[o][0]), obs_id=pd.array([names[o][1] for o in pdf.obs_id], "Int64"),
+                        start=(pdf.obs_id * 1700).astype("Int64"))
+    late = landed[landed["iter"] == 0]
+    parts = [g for _, g in landed.groupby(landed["iter"] // 2)]
+    empty = dict.fromkeys(landed.columns)
+    ticks = [pd.DataFrame([empty | {"iter": b}], columns=landed.columns).astype({"start": "Int64", "site": "string"}) for b in (600, 601)]
+    land(landed, str(tmp_path / "in"), [*parts, ticks[0], late, ticks[1]])  # what comes after the time has passed changes nothing
+    stream = ss.track_stream(sb.block_stream(spark, str(tmp_path / "in"), SCHEMA + ", site string, start bigint"), ["site", "obs_id"], DT, DY,
+                             LEN, delay="20 seconds", start_ms="start", buckets=buckets, **limits)
+    stt.run_available(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    rows = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()
+    number = {v: k for k, v in names.items()}
+    got = sorted((number[r.site, r.obs_id], r.track_no, r.status, r.n, r.first_sample, r.last_sample) for r in rows if r.event in ("transit", "deleted"))
+    assert got == [(o, t, "terminated" if s == "pending" else s, *rest) for o, t, s, *rest in plain(batch)] and {g[0] for g in got} >= {2, 3}
+
+
 def test_state_does_not_grow_with_a_track():
     rules = an.Rules(DT, DY, LEN, merge_missing=9.0, valid_missing=9.0)
     match, sizes = an.FirstMatch(rules), []
