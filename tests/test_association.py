@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -315,6 +316,78 @@ def test_several_key_columns_nulls_and_times_of_their_own(spark, tmp_path, bucke
     assert got == [(o, t, "terminated" if s == "pending" else s, *rest) for o, t, s, *rest in plain(batch)] and {g[0] for g in got} >= {2, 3}
 
 
+class Store:
+    """State of one key, with a count of the calls that would cross to the state store."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getMapState(self, *_):
+        return Held(self)
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class Held:
+    def __init__(self, store):
+        self.store, self.values, self.value = store, {}, None
+
+    def __getattr__(self, name):
+        self.store.calls += 1
+        return {"exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v),
+                "keys": lambda: list(self.values), "getValue": self.values.get, "updateValue": self.values.__setitem__,
+                "removeKey": self.values.pop}[name]
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_a_bucket_takes_its_observations_together_and_counts_late_rows():
+    rules = an.Rules(DT, DY, LEN, merge_missing=9.0, valid_missing=9.0)
+    names = ["obs_id", "iter", "beam_id", "cluster_id", "time_sample", "channel_sample", "snr", "start_ms"]
+    rows = pa.schema([(n, pa.float64() if n in names[4:7] else pa.int64()) for n in names])
+    out = pa.schema([("obs_id", pa.int64()), *((c.split()[0], {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[c.split()[1]])
+                                               for c in ss.TRACK_OUT.split(", "))])
+    bucket, store = ss.OpenTracks(rules, ["obs_id"], rows, out), Store()
+    bucket.init(store)
+
+    def block(number, some):  # a falling line for each observation
+        points = [(o, number, 0, number, t, float(9000 + 50 * o - t), 5.0, 0) for o in some for t in range(number * LEN, number * LEN + LEN, 4)]
+        table = pa.table([pa.array(c, f.type) for c, f in zip(zip(*points), rows)], schema=rows).combine_chunks()
+        return {"end_ms": 4000 * (number + 1), "rows": table.to_batches()[0].serialize().to_pybytes()}
+
+    def told(rows):
+        return [r for x in rows for r in pa.ipc.read_record_batch(pa.py_buffer(x["rows"]), out).to_pylist()]
+
+    def fire(now):
+        found = []
+        while min(store.timers, default=now + 1) <= now:
+            at = min(store.timers)
+            found += told(bucket.handleExpiredTimer((0,), Now(now), None))
+            store.timers.discard(at)
+        return found
+
+    assert not list(bucket.handleInputRows((0,), iter([block(n, range(300)) for n in (0, 1)]), Now(0)))
+    events = fire(8000)
+    assert [r["event"] for r in events].count("created") == [r["event"] for r in events].count("modified") == 300
+    assert store.calls < 50 and len(store.timers) == 1
+    late = told(bucket.handleInputRows((0,), iter([block(1, [7, 8]), block(1, [500]), block(2, [7])]), Now(8000)))
+    assert sorted((r["obs_id"], r["event"], r["n"], r["track_no"]) for r in late) == [(7, "late", 10, None), (8, "late", 10, None)]
+    ended = fire(10 ** 7)
+    assert not store.timers and sorted((r["obs_id"], r["n"]) for r in ended if r["event"] == "transit") == sorted(
+        [(o, 30 if o == 7 else 20) for o in range(300)] + [(500, 10)])
+
+
 def test_state_does_not_grow_with_a_track():
     rules = an.Rules(DT, DY, LEN, merge_missing=9.0, valid_missing=9.0)
     match, sizes = an.FirstMatch(rules), []
